@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, packing, quality_rules
+from . import decontam, ngram_join, packing, quality_rules, secrets_scan
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
 OP7_SQL = """
@@ -56,6 +56,11 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: fixed patterns and entropy spans."""
+    return secrets_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component of documents of similarity 0.8 or more."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -75,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixture_packing, op6_secret_scans, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
