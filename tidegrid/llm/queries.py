@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, quality_rules, secrets_scan
+from . import decontam, ngram_join, packing, quality_rules, secrets_scan, sharding, token_counts
+from .store import persisted, shared_dir
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
 OP7_SQL = """
@@ -43,6 +46,22 @@ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(i
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 """
 
+#: Bytes by hash prefix at every depth; a document's shard is the shortest prefix that fits.
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) AS h FROM documents
+), b AS (SELECT least(24, 4 + greatest(0, CAST(ceil(log2(greatest(1, sum(n_bytes) / 1048576.0))) AS INTEGER))) AS bits FROM d
+), p AS (
+  SELECT doc_id, n_bytes, bits, unnest(generate_series(0, bits)) AS depth, h >> (32 - bits) AS fine FROM d, b
+), q AS (SELECT doc_id, n_bytes, bits, depth, fine >> (bits - depth) AS bucket FROM p
+), s AS (SELECT depth, bucket, sum(n_bytes) AS total FROM q GROUP BY depth, bucket
+), l AS (
+  SELECT doc_id, n_bytes, min({'depth': q.depth, 'bucket': q.bucket}) AS leaf FROM q JOIN s ON q.depth = s.depth AND q.bucket = s.bucket
+  WHERE s.total <= 1048576 OR q.depth = q.bits GROUP BY doc_id, n_bytes
+)
+SELECT doc_id, n_bytes, leaf.depth AS depth, leaf.bucket AS bucket, CAST(0 AS BIGINT) AS page, false AS overflow, concat(leaf.depth, '-', leaf.bucket) AS shard FROM l
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -56,6 +75,24 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after four commits: all documents come; all counts are revised
+    to include the end id, under a new version; documents without text go; the first batch comes again and is ignored."""
+    counts = persisted(token_counts.counted(table(spark, sf_dir, "documents")), "token-counts")
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/tidegrid/rollup-{uuid.uuid4().hex}")
+    ended = counts.withColumns({"tokenizer_version": F.concat("tokenizer_version", F.lit("+end")), "n_tokens": F.col("n_tokens") + 1})
+    rollup.commit("load", token_counts.inserted(counts))
+    rollup.commit("revise", token_counts.revised(counts, ended))
+    rollup.commit("purge", token_counts.deleted(ended.where("n_tokens = 1")))
+    rollup.commit("load", token_counts.inserted(counts))
+    return rollup.totals()
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of at most 1 MiB of text."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: fixed patterns and entropy spans."""
     return secrets_scan.scanned(table(spark, sf_dir, "documents"))
@@ -80,9 +117,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op6_secret_scans, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op4_extendible_sharding, op6_secret_scans, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express on whole tables."""
-    return {"op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
