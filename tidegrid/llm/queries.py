@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, quality_rules, secrets_scan, sharding, token_counts
+from . import decontam, ngram_join, packing, pii, quality_rules, secrets_scan, sharding, token_counts
 from .store import persisted, shared_dir
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
@@ -93,6 +93,11 @@ def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: fixed patterns and candidates that the boosted trees select."""
+    return pii.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: fixed patterns and entropy spans."""
     return secrets_scan.scanned(table(spark, sf_dir, "documents"))
@@ -117,7 +122,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op4_extendible_sharding, op6_secret_scans, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
