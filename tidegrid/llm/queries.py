@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, pii, quality_rules, secrets_scan, sharding, token_counts
+from . import chat_format, decontam, ngram_join, packing, pii, quality_rules, secrets_scan, sharding, token_counts, url_filter
 from .store import persisted, shared_dir
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
@@ -88,6 +88,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule and verdict."""
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of at most 1 MiB of text."""
     return sharding.sharded(table(spark, sf_dir, "documents"))
@@ -108,6 +113,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's role, recovered from the texts, and its canonical form."""
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside occurrences of ten-word windows of the benchmark."""
     return decontam.digest(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -122,7 +132,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
