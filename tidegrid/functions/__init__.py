@@ -1,0 +1 @@
+"""Part of the time-series engine: functions."""
