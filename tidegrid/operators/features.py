@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.durations import duration, micros
 from ..functions.names import col, numeric_columns
@@ -201,9 +202,7 @@ class BuildRollingFeatures:
         """Exponential weights need the whole past: one pass over each series, batch by batch, that carries two sums."""
         names = {f"{c}#ewm_{a}": (c, a) for c in cols for a in alphas}
         order = [self.time_col] if isinstance(self.time_col, str) else list(self.time_col)
-        schema = df.schema
-        for n in names:
-            schema = schema.add(n, "double")
+        schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(order, kind="stable")
