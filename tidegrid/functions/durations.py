@@ -15,7 +15,7 @@ def duration(span: str | int) -> int:
     if isinstance(span, int):
         return span
     parts = re.findall(r"([0-9.]*)\s*([A-Za-z]+)", span)
-    if not parts or re.sub(r"[0-9.]*\s*[A-Za-z]+\s*", "", span):
+    if not parts or any(u.lower() not in _UNITS for _, u in parts) or re.sub(r"[0-9.]*\s*[A-Za-z]+\s*", "", span):
         raise ValueError(f"not a time span: {span!r}")
     return round(sum(float(n or 1) * _UNITS[u.lower()] for n, u in parts))
 
