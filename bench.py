@@ -30,8 +30,8 @@ def main() -> None:
         from tidegrid.llm import queries as llm
 
         found |= {n: llm.queries()[n] for n in PIPELINE}
-    except ModuleNotFoundError as e:
-        if not (e.name or "").startswith("tidegrid.llm"):
+    except ImportError as e:
+        if e.name not in ("tidegrid.llm", "tidegrid.llm.queries"):
             raise
     found["clean_above_clip"] = plans.queries()["clean_above_clip"]
     found["clean_above_clip"](spark, sf_dir).write.format("noop").mode("overwrite").save()
