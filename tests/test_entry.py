@@ -37,3 +37,24 @@ def test_query(spark, duck, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
+def test_rows(spark, name):
+    out = plans.queries()[name](spark, DATA)
+    assert out.count() > 0 and out.columns
+
+
+def test_plot_data(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrid.plans import plot_data
+
+    e = plans.events(spark, DATA).select("ts", F.col("value").alias("y"), F.lit(5.0).alias("predict_lead_1_q_0.1"), F.lit(60.0).alias("predict_lead_1_q_0.9"), F.lit(30.0).alias("predict_lead_1_mean"))
+    q = plot_data.quantile_plot(e, "y", "ts", 1, [0.1, 0.9], outlier_min_q=1)
+    want = e.where("y >= 60 OR y <= 5").count()
+    assert abs(q.where("outlier").count() - want) <= 1  # the first row has no prediction
+    points = plot_data.lag_correlation_points(e.select("ts", "y", F.col("y").alias("x")), "y", "ts", 3)
+    assert points.where("strongest").first().LAG == 0
+    flags = plot_data.removal_points(e.withColumn("bad", F.col("y") > 60), "y", "bad", "ts", 5)
+    assert flags.where("removed").count() == e.where("y > 60").count()
