@@ -38,7 +38,7 @@ SHARES = (
     ("digit_share", "n_digits", "word_chars"),
     ("bang_share", "n_bangs", "n_words"),
     ("stop_share", "n_stops", "n_words"),
-    ("distinct_share", "n_distinct", "n_words"),
+    ("variety", "n_distinct", "n_words"),
     ("bar_share", "n_bars", "n_words"),
     ("word_length", "word_chars", "n_words"),
 )
@@ -98,6 +98,7 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 def measured(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and the counts of every row."""
+    small_batches(docs.sparkSession)
     columns = [F.col(c) for c in keep]
     fields = [docs.schema[c] for c in keep]
     kind = docs.select(*columns).schema
@@ -122,6 +123,8 @@ def base_failed() -> Column:
 def share(name: str) -> Column:
     """A share as a column over the counts; 0 where its denominator is 0."""
     _, top, bottom = next(s for s in SHARES if s[0] == name)
+    if name == "variety":  # of logarithms, so that long texts are not judged by their length
+        return F.when(F.col(bottom) > 0, F.log(F.col(top) + 1) / F.log(F.col(bottom) + 1)).otherwise(F.lit(0.0))
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
