@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import persisted
+from .store import persisted, small_batches
 from .textcore import Words, slices, table_alnum, windows
 
 #: Words of a window, and windows in one broadcast (about 200 MB on a worker).
@@ -131,6 +131,7 @@ def _scan(texts: DataFrame, block: Benchmark) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """By row of ``docs``: ``doc_id, row, n_words, spans, items``; spans are hit words, in order and apart."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     blocks = iter(_blocks(benchmark, size, most_windows))
     first, second = next(blocks), next(blocks, None)
@@ -169,6 +170,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, drop_fro
     """``docs`` without the hit spans: the characters from the first hit word to the last of each span are cut out.
     A document whose hit words are at least ``drop_from`` of its words goes. Columns are those of ``docs``; a column
     ``n_chars`` follows the text."""
+    small_batches(docs.sparkSession)
     block_list = list(_blocks(benchmark, size, MOST_WINDOWS))
     names, kind = docs.columns, docs.schema
     k = names.index("text")

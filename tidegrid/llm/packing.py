@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import persisted
+from .store import persisted, small_batches
 from .tokens import END_ID, Encoder, vocabulary_file
 
 #: Documents in a block of the running sums, and the ids in a block of the stream (2**17: 64 windows) below most_blocks.
@@ -68,6 +68,7 @@ def pack(
     own share of all tokens, so that all queues end together.
     """
     vocabulary = vocabulary or vocabulary_file()
+    small_batches(docs.sparkSession)
     kept = persisted(tokenised(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "packing-ids")
     shared = F.when(F.col("source").isNull(), F.lit("null:")).otherwise(F.concat(F.lit("s:"), F.col("source")))
     meta = kept.select("row", "n", shared.alias("queue"))

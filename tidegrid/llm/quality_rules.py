@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .textcore import Words, code_points, mix, slices, table_white, windows
 
 #: Bound of the labelled sample that the rules are learned from (rows, by hash of the document id).
@@ -29,7 +30,7 @@ SAMPLE_ROWS = 40_000
 REPEAT_WINDOW = 8
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_bangs", "n_stops", "n_distinct", "n_bars")
-#: Shares that rules may test: name, numerator, denominator.
+#: Shares that rules may test: name, numerator, denominator (of ``variety`` the logarithms).
 SHARES = (
     ("symbol_share", "n_symbols", "word_chars"),
     ("dup_line_share", "n_dup_lines", "n_lines"),

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -136,11 +138,13 @@ def scanned(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             sha = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([written(x) for _, x in found], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; a column ``n_chars`` follows the text."""
+    small_batches(docs.sparkSession)
     names, kind = docs.columns, docs.schema
     k = names.index(text_col)
 

@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the rows of an Arrow batch for the session: texts and sets may be long, and a batch is held in memory whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def persisted(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` and reads it back with the same schema."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ words and windows within one table; callers that need certainty compare the word
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ SPACE = 0x20
 BASE = 0x9E3779B97F4A7C15  # odd
 STEP = 0xC2B2AE3D27D4EB4F  # odd
 #: Text bytes that are worked on at once in a Python worker.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 
 def worker_cache() -> dict:
@@ -58,6 +59,15 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
         end = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, side="right")) - 1)
         yield first, end, data[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
         first = end
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back, so that a reused worker doesn't stay at its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:

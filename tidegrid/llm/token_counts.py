@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .tokens import Encoder, vocabulary_file
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -32,6 +33,7 @@ SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_t
 def counted(docs: DataFrame, *, vocabulary: str | None = None, version: str = "byte_bpe_50k") -> DataFrame:
     """``doc_id, source, lang, tokenizer_version, n_tokens`` of every row."""
     vocabulary = vocabulary or vocabulary_file()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
