@@ -285,9 +285,7 @@ def family(seed, copies, base_words=80):
     return out
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
-def test_near_duplicates(spark, monkeypatch, crowd):
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+def test_near_duplicates(spark):
     texts = family(1, 60) + family(2, 25, 300) + family(3, 12, 9) + ["A b c d", "a B c d", "a b c", "", " ", "one"]
     texts = dict(enumerate(texts))
     df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")

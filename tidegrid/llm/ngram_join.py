@@ -8,11 +8,10 @@ never results) two sets that link share a shingle among their first ``n - ceil(p
 2. Groups meet by prefix shingle. In each bucket, as in each group, neighbours by size are candidates (a chain, not all
    pairs), filtered by size and by an exact bound of the symmetric difference from parity bitmaps, and verified.
 3. Verified links give components. Buckets and groups that lie in one component are done. The others are expanded to
-   members; buckets with the same groups are taken once. In crowded ones, the shingles that a document shares with none
-   of the crowd are counted: a document with too many links with none of it and leaves, and the others are held against
-   the one with the fewest, which links most of a family of copies at once.
-4. In the buckets that are still open, all pairs across components that pass the filters (size, shared shingles, parity
-   bitmaps) are verified. No link between two components can be missed, so the components are those of all links.
+   members; buckets with the same groups are taken once. In each, the documents are held against the one that shares
+   most of its prefix with others, which links most of a family of copies at once.
+4. In the buckets that are still open, all pairs across components that pass the filters (size, parity bitmaps) are
+   verified. No link between two components can be missed, so the components are those of all links.
 
 Sets are sent only for the members of pairs that pass the filters. All joins are between tables; the driver holds the
 bounded summary of frequent shingles and a few counts.
@@ -42,8 +41,6 @@ BITMAP = 16
 TASK_TOP, TOP, AT_LEAST = 20_000, 100_000, 4
 #: Document ids that a semi-join may broadcast (16 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
-#: Documents in a bucket from which the bound by own shingles is worked out; below it pairs are few.
-CROWD = 32
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +278,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
     # What is left: buckets and groups with members in two components or more, each set of groups once.
     labelled = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("g", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    shared = rows.groupBy("g").agg(F.count("*").alias("times"))
+    labelled = labelled.join(shared, "g", "left").withColumn("shared", F.coalesce(F.col("times"), F.lit(0)) / F.col("n")).drop("times")
     labelled = persisted(labelled, "join-labelled")
     by_group = labelled.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     open_rows = rows.select("token", "g").join(by_group, "g")
@@ -288,32 +287,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     chosen = per_bucket.where("low != high").groupBy("who", "who2", "many", "low", "high").agg(F.min("token").alias("token")).select("token")
     alone = by_group.where("low != high").select(F.col("g").alias("token"), "g")  # a group itself is a bucket
     buckets = rows.select("token", "g").join(chosen, "token", "left_semi").select(F.concat(F.lit("t"), F.col("token")).alias("bucket"), "g").unionByName(alone.select(F.concat(F.lit("g"), F.col("token")).alias("bucket"), "g"))
-    wide = persisted(buckets.join(labelled, "g").select("bucket", "doc_id", "n", "comp").distinct(), "join-open")
-
-    # Crowded buckets: shingles that only one of their documents has bound what it can share with any other.
-    crowded = wide.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
-    dense = persisted(wide.join(crowded, "bucket", "left_semi"), "join-dense")
-    sparse = wide.join(crowded, "bucket", "left_anti").withColumn("own", F.lit(0).cast("long"))
-    own = _own_shingles(dense.select("doc_id").distinct(), profiles, texts, words)
-    dense = dense.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-    dense = persisted(dense.where(100 * F.col("own") <= (100 - percent) * F.col("n")), "join-sharing")
-    # The document with the least of its own stands in the middle: the others of its size are held against it first.
-    middle = Window.partitionBy("bucket", F.round(F.log("n") * 8)).orderBy(F.col("own") / F.col("n"), "doc_id")
-    star = dense.withColumns({"hub": F.first("doc_id").over(middle), "hub_comp": F.first("comp").over(middle)}).where("comp != hub_comp")
+    wide = persisted(buckets.join(labelled, "g").groupBy("bucket", "doc_id", "n", "comp").agg(F.max("shared").alias("shared")), "join-open")
+
+    # The document that shares most of its prefix stands in the middle of a family: the others of its size are held
+    # against it first, which links most of the family at once.
+    middle = Window.partitionBy("bucket", F.round(F.log("n") * 8)).orderBy(F.desc("shared"), "doc_id")
+    star = wide.withColumns({"hub": F.first("doc_id").over(middle), "hub_comp": F.first("comp").over(middle)}).where("comp != hub_comp")
     star = star.groupBy("doc_id", "hub").agg(F.count("*").alias("times")).groupBy("doc_id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     star = _bounded(star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), heads, percent)
     links = persisted(links.unionByName(_verified(star, texts, words, percent)), "join-links")
     comps = persisted(components(links), "join-components")
 
     # All pairs across what are still different components, in the buckets that are still open.
-    wide = dense.unionByName(sparse.select(*dense.columns)).drop("comp").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    wide = wide.drop("comp", "shared").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     wide = persisted(wide, "join-relabelled")
     still = wide.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
     wide = persisted(wide.join(still, "bucket", "left_semi").join(heads.select("doc_id", "bitmap"), "doc_id"), "join-crossing")
     x, y = wide.alias("x"), wide.alias("y")
-    shared = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
-    enough = (100 + percent) * shared >= percent * (F.col("x.n") + F.col("y.n"))
-    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & enough & _bound("x", "y", percent))
+    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & _bound("x", "y", percent))
     crossing = crossing.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = _verified(crossing, texts, words, percent)
 
@@ -322,29 +313,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     return profiles.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _own_shingles(ids: DataFrame, profiles: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, own``: the shingles that no other of the documents ``ids`` has. Ids of several rows have no entry."""
-    ids = persisted(ids, "join-ids")
-    few = ids.count() <= BROADCAST_IDS
-    run, kind = _members(words)
-    once = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, kind).groupBy("h").agg(F.count("*").alias("many"), F.min("doc_id").alias("doc_id")).where("many = 1")
-    single = profiles.join(ids, "doc_id", "left_semi").groupBy("doc_id").count().where("count = 1").select("doc_id")
-    return once.groupBy("doc_id").agg(F.count("*").alias("own")).join(single, "doc_id", "left_semi")
-
-
-def _members(words: int):
-    """One row for each shingle (its upper 48 bits) of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, bounds in slices(batch.column(1)):
-                shingle, first = shingle_sets(data, bounds, words)
-                of = pa.array(np.repeat(np.arange(a, b), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([pa.array((shingle >> np.uint64(16)).view(np.int64)), batch.column(0).take(of)], ["h", "doc_id"])
-
-    return run, "h long, doc_id long"
-
-
 def _bounded(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the filters."""
     both = pairs.join(heads.withColumnRenamed("doc_id", "a").select("a", F.struct("n", "bitmap").alias("x")), "a").join(heads.withColumnRenamed("doc_id", "b").select("b", F.struct("n", "bitmap").alias("y")), "b")
