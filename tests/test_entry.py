@@ -58,3 +58,18 @@ def test_plot_data(spark):
     assert points.where("strongest").first().LAG == 0
     flags = plot_data.removal_points(e.withColumn("bad", F.col("y") > 60), "y", "bad", "ts", 5)
     assert flags.where("removed").count() == e.where("y > 60").count()
+
+
+def test_whole_tables(spark, tmp_path):
+    """Every user and type counts, whatever the id; the fitting rows are cut by time."""
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE events AS SELECT * REPLACE (user_id + 100 * (event_id % 2) AS user_id) FROM '{DATA}/events.parquet'")
+    con.sql("INSERT INTO events SELECT event_id + 1000000, ts, 777, event_type, value * 10, props FROM events")  # a hot user, and a range of its own
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name in ("resampled_mean_all", "padded_values_all", "wide_table_all", "clip_fitted_by_time", "range_validator_by_time"):
+        got = plans.queries()[name](spark, str(tmp_path)).toPandas()
+        want = con.sql(plans.oracle_sql()[name]).df()
+        if "user_id" in got:
+            assert set(got.user_id) == set(con.sql("SELECT DISTINCT user_id FROM events").df().user_id)
+        same(got, want)
+    assert set(con.sql("SELECT DISTINCT event_type FROM events").df().event_type) == set(plans.TYPES)

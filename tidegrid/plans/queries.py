@@ -15,6 +15,7 @@ from . import plot_data
 
 Query = Callable[[SparkSession, str], DataFrame]
 BY, ORDER = ["user_id"], ["ts", "event_id"]
+TYPES = ("click", "error", "purchase", "signup", "view")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -231,6 +232,51 @@ def padded_values(spark, sf):
     return r.select("user_id", F.col("ts").cast("timestamp_ntz").alias("time"), "value")
 
 
+@registered("""
+WITH r AS (SELECT user_id, epoch_us(ts) // 86400000000 * 86400000000 AS bin, value FROM events),
+g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), 86400000000)) AS bin FROM r GROUP BY user_id), v AS (SELECT user_id, bin, avg(value) AS value FROM r GROUP BY ALL)
+SELECT g.user_id, make_timestamp(g.bin) AS time, round(v.value, 6) AS value FROM g LEFT JOIN v ON v.user_id = g.user_id AND v.bin = g.bin""")
+def resampled_mean_all(spark, sf):
+    """Daily means of all users, empty days missing."""
+    r = reshaping.resampled(events(spark, sf), "1d", ["value"], "ts", "mean", BY)
+    return r.select("user_id", F.col("ts").cast("timestamp_ntz").alias("time"), rounded("value").alias("value"))
+
+
+@registered("""
+WITH r AS (SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 AS bin, value, ts FROM events),
+g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), 21600000000)) AS bin FROM r GROUP BY user_id), v AS (SELECT user_id, bin, arg_max(value, ts) AS value FROM r GROUP BY ALL),
+f AS (SELECT g.user_id, g.bin, last_value(v.value IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.bin ROWS 2 PRECEDING) AS value FROM g LEFT JOIN v ON v.user_id = g.user_id AND v.bin = g.bin)
+SELECT user_id, make_timestamp(bin) AS time, value FROM f WHERE value IS NOT NULL""")
+def padded_values_all(spark, sf):
+    """As-of values of all users on a six-hour grid, carried over two bins at most."""
+    r = reshaping.padded(events(spark, sf), "6h", ["value"], "ts", 2, BY)
+    return r.select("user_id", F.col("ts").cast("timestamp_ntz").alias("time"), "value")
+
+
+@registered("SELECT time_bucket(INTERVAL '1 day', ts) AS time, " + ", ".join(f"round(sum(value) FILTER (event_type = '{k}'), 4) AS {k}" for k in TYPES) + " FROM events GROUP BY 1")
+def wide_table_all(spark, sf):
+    """Daily sums by type as columns, all types."""
+    long = events(spark, sf).groupBy(F.date_trunc("day", "ts").alias("TIME"), F.lit("a").alias("ID"), F.col("event_type").alias("TYPE")).agg(rounded(F.sum("value"), 4).alias("VALUE"))
+    w = reshaping.long_to_wide(long, "_", [f"a_{k}" for k in TYPES])
+    return w.select(F.col("TIME").cast("timestamp_ntz").alias("time"), *[F.col(f"a_{k}").alias(k) for k in TYPES])
+
+
+@registered("SELECT event_id, greatest(least(value, b.hi), b.lo) AS value FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-15') b")
+def clip_fitted_by_time(spark, sf):
+    """Values clipped to the range of the rows before a time."""
+    e = events(spark, sf)
+    train, _ = cleaning.datetime_train_test_split(e, datetime="2024-01-15", datecol="ts")
+    return cleaning.ClipTransformer(["value"]).fit(train).transform(e).select("event_id", "value")
+
+
+@registered("SELECT event_id, CASE WHEN value >= b.lo AND value <= b.hi THEN value END AS value FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-15') b")
+def range_validator_by_time(spark, sf):
+    """Values outside the range of the rows before a time become missing."""
+    e = events(spark, sf)
+    train, _ = cleaning.datetime_train_test_split(e, datetime="2024-01-15", datecol="ts")
+    return validation.OutsideRangeValidator(["value"]).fit(train).transform(e).select("event_id", "value")
+
+
 @registered("SELECT event_id, CASE WHEN day(t) >= 25 AND isodow(t) = 7 AND hour(t) = 2 AND month(t) = 3 THEN 'to_summertime' WHEN day(t) >= 25 AND isodow(t) = 7 AND hour(t) = 2 AND month(t) = 10 THEN 'to_wintertime' ELSE 'normal' END AS dst FROM (SELECT event_id, ts + INTERVAL 90 DAY * (event_id % 5) AS t FROM events)")
 def clock_changes(spark, sf):
     """Hours of clock changes, on times spread over the year."""
