@@ -136,6 +136,15 @@ def test_url_rules_and_model(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_max_contexts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    more = spark.createDataFrame([(-1, None), (-2, "http://Ünder😀^.org/\n~^a?b"), (-3, "http://spam.org/x"), (-3, "http://spam.org/x"), (-4, "")], "page_id long, url string")
+    rows = pages.unionByName(more)
+    got = [sorted((tuple(r) for r in url_filter.judged(rows, max_contexts=n).collect()), key=str) for n in (10**9, 3000, 0)]
+    assert len(got[0]) == rows.count() and got[0] == got[1] == got[2]
+    assert sum(r[4] == "block" and r[3] is None for r in got[0]) > 5 and len({r[5] for r in got[0]}) > 100
+
+
 def test_markov_is_a_distribution():
     model = url_filter.Markov({"": {"a": 3, "b": 1}, "a": {"b": 2}})
     symbols = sorted(url_filter._PLAIN) + [url_filter.OTHER]

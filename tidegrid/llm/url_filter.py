@@ -4,9 +4,10 @@ Two smoothed variable-order Markov models, one of accepted and one of rejected U
 seed labeller can label: rejected are hosts with a label that holds a seed word, accepted are those without. An order is
 used as far as its context was seen; each is smoothed by the next shorter one (Witten-Bell). A URL without a rule is
 blocked when its log-likelihood difference by character exceeds a threshold, calibrated as a quantile of the accepted
-rows' scores. Counts are summed inside tasks before they are shuffled. Contexts seen too rarely are pruned by a
-threshold that the driver picks from a histogram so that a model has at most ``max_contexts`` entries; this is the
-method's variable order and bounds what is broadcast (about 100 bytes an entry).
+rows' scores. Counts are summed inside tasks before they are shuffled. No count is left out: up to ``max_contexts``
+entries both models are broadcast (about 100 bytes an entry); beyond it the distinct contexts and symbols of the rows
+are joined with the counts, and what they add to a score is joined with the rows. Both ways add the same whole numbers,
+so that scores are equal to the last bit.
 
 Rules: a rule ``host/path`` fits its host and all subdomains if the URL's path starts with the rule's ("/" and what
 follows); of those that fit, the longest wins.
@@ -34,6 +35,10 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Words that mark a rejected host in the seed labels.
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "free", "pills", "poker", "porn", "slots", "spam", "track", "viagra", "win", "xxx")
 ORDER, MAX_CONTEXTS = 4, 400_000
+#: Contexts of so many symbols at most are broadcast in any case; the alphabet bounds them.
+LOW = 2
+#: Log-likelihood differences are summed as whole numbers of this part.
+PARTS = 1 << 32
 START, OTHER = "^", "~"
 _PLAIN = set("abcdefghijklmnopqrstuvwxyz0123456789-./_")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,55 +119,122 @@ class Markov:
             self.known[context, symbol] = out
         return out
 
-    def likelihood(self, text: str) -> float:
-        """Mean log-likelihood by symbol."""
-        s = symbols(text)
-        n = len(s) - ORDER
-        return sum(math.log(self.chance(s[i - ORDER : i], s[i])) for i in range(ORDER, len(s))) / n if n else 0.0
-
-
-def trained(rows: DataFrame, max_contexts: int = MAX_CONTEXTS) -> dict[bool, dict[str, dict[str, int]]]:
-    """Both models' counts, by ``rejected``; rare contexts of higher orders are pruned to the bound."""
-    counts = persisted(counted(rows), "url-counts")
-    by_size = counts.groupBy(F.floor(F.log2("times")).cast("int").alias("size")).count().orderBy(F.desc("size")).collect()
-    total, least = 0, 0
-    for r in by_size:
-        total += r["count"]
-        if total > max_contexts:
-            least = 2 ** (r.size + 1)
-            break
+
+def smoothed(own: dict[str, int], symbol: str, shorter: float) -> float:
+    """Witten-Bell: seen counts, and the shorter context's chance with the weight of the distinct symbols seen."""
+    total, kinds = sum(own.values()), len(own)
+    return (own.get(symbol, 0) + kinds * shorter) / (total + kinds) if total else shorter
+
+
+def parts(bad: float, good: float) -> int:
+    """The difference of two chances' logarithms, as a whole number of parts."""
+    return round((math.log(bad) - math.log(good)) * PARTS)
+
+
+def collected(counts: DataFrame) -> dict[bool, dict[str, dict[str, int]]]:
+    """Both models' counts on the driver, by ``rejected``."""
     out: dict[bool, dict[str, dict[str, int]]] = {False: {}, True: {}}
-    for r in counts.where(f"length(context) <= 1 or times >= {least}").limit(2 * max_contexts).collect():
+    for r in counts.collect():
         out[r.rejected].setdefault(r.context, {})[r.symbol] = r.times
     return out
 
 
 def scores(rows: DataFrame, counts: dict, column: str = "text") -> DataFrame:
-    """``rows`` with ``score``: the rejected model's mean log-likelihood less the accepted model's."""
+    """``rows`` with ``score``: the rejected model's mean log-likelihood less the accepted model's. Counts are broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
     place, names = rows.columns.index(column), [*rows.columns, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = Markov(shared.value[False]), Markov(shared.value[True])
+        known: dict[tuple[str, str], int] = {}
+
+        def score(text: str) -> float:
+            s, total = symbols(text), 0
+            for i in range(ORDER, len(s)):
+                key = s[i - ORDER : i], s[i]
+                d = known.get(key)
+                if d is None:
+                    d = parts(bad.chance(*key), good.chance(*key))
+                    if len(known) < 1_000_000:
+                        known[key] = d
+                total += d
+            return float(total) / float((len(s) - ORDER) * PARTS)
+
         for batch in batches:
-            own = [bad.likelihood(t) - good.likelihood(t) if t else 0.0 for t in batch.column(place).to_pylist()]
+            own = [score(t) if t else 0.0 for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], names)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
+def joined_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """As :func:`scores`, for counts too many to broadcast; ``rows`` has a column ``text`` and is written once."""
+    rows = persisted(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")  # row numbers must hold over two passes
+    low = rows.sparkSession.sparkContext.broadcast(collected(counts.where(f"length(context) <= {LOW}")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                out: list[tuple[int, str, str, int]] = []
+                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = symbols(text)
+                    out += [(row, *k, n) for k, n in Counter((s[i - ORDER : i], s[i]) for i in range(ORDER, len(s))).items()]
+                columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "context", "symbol", "times"])
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [Markov(low.value[k]) for k in (True, False)]
+        for batch in batches:
+            keys, out = [], []
+            for context, wanted, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = [dict(x or ()) for x in own]
+                for symbol in wanted:
+                    both = []
+                    for model, longer in zip(models, (own[0::2], own[1::2]), strict=True):
+                        chance = model.chance(context[ORDER - LOW :], symbol)
+                        for x in longer:
+                            chance = smoothed(x, symbol, chance)
+                        both.append(chance)
+                    keys.append((context, symbol))
+                    out.append(parts(*both))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(out, pa.int64())], ["context", "symbol", "parts"])
+
+    places = rows.select("row", "text").mapInArrow(read, "row long, context string, symbol string, times long")
+    keys = places.groupBy("context").agg(F.collect_set("symbol").alias("wanted"))
+    symbol = F.struct("symbol", "times")
+    for n in range(LOW + 1, ORDER + 1):
+        own = counts.where(f"length(context) = {n}").groupBy(F.col("context").alias(f"c{n}")).agg(
+            F.map_from_entries(F.collect_list(F.when(F.col("rejected"), symbol))).alias(f"bad{n}"), F.map_from_entries(F.collect_list(F.when(~F.col("rejected"), symbol))).alias(f"good{n}")
+        )
+        keys = keys.withColumn(f"c{n}", F.substring("context", ORDER - n + 1, n)).join(own, f"c{n}", "left")
+    rated = keys.select("context", "wanted", *[f"{k}{n}" for n in range(LOW + 1, ORDER + 1) for k in ("bad", "good")]).mapInArrow(rate, "context string, symbol string, parts long")
+    sums = places.join(rated, ["context", "symbol"]).groupBy("row").agg(F.sum(F.col("times") * F.col("parts")).cast("double").alias("_sum"), (F.sum("times") * PARTS).cast("double").alias("_all"))
+    out = rows.join(sums, "row", "left").withColumn("score", F.coalesce(F.col("_sum") / F.col("_all"), F.lit(0.0)))
+    return persisted(out.drop("row", "_sum", "_all"), "url-scores")
+
+
 def judged(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_blocks: float = 0.002, max_contexts: int = MAX_CONTEXTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row. The models read host and path."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("text", F.concat("host", "path")).withColumn("rejected", seeded(F.col("host"), seeds))
     labelled = rows.where("rejected is not null")
-    counts = trained(labelled, max_contexts)
+    counts = persisted(counted(labelled), "url-counts")
+    entries = {r.rejected: r["count"] for r in counts.groupBy("rejected").count().collect()}
+    rows = rows.select("page_id", "host", "path", "text", "rejected")
     threshold = math.inf
-    if counts[False] and counts[True]:
-        got = scores(labelled.where("not rejected").select("text"), counts).select(F.percentile_approx("score", 1 - false_blocks, 10_000)).first()[0]
+    if len(entries) < 2:
+        out = rows.withColumn("score", F.lit(0.0))
+    else:
+        if sum(entries.values()) <= max_contexts:
+            shared = collected(counts)
+            out, good = scores(rows, shared), scores(labelled.where("not rejected").select("text"), shared)
+        else:
+            out = joined_scores(rows, counts)
+            good = out.where("not rejected")
+        got = good.select(F.percentile_approx("score", 1 - false_blocks, 10_000)).first()[0]
         threshold = max(0.0, got if got is not None and not np.isnan(got) else math.inf)
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = scores(rows.select("page_id", "host", "path", "text"), counts) if counts[False] and counts[True] else rows.withColumn("score", F.lit(0.0))
     method = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")
