@@ -174,6 +174,28 @@ def test_sharding(spark, docs, odd, empty):
     assert len(hot) > 3 and all(r.o for r in hot)
 
 
+def test_shards_fit_their_limit(spark):
+    code = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16)
+    near = [i for i in range(100_000) if code(i) >> 20 == code(0) >> 20][:20]  # 12 bits in common
+    rng = random.Random(3)
+    rows = [(i, "x" * 700) for i in near] + [(-1, "y" * rng.randint(0, 999)) for _ in range(300)] + [(-2, "z" * 2500)] + [(-2, ""), (-2, None)]
+    rows += [(-3, "é" * rng.randint(0, 5)) for _ in range(9000)] + [(-4, "w" * 1000), (-4, "w" * 1000)]  # several blocks; whole pages
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sharding.sharded(df, limit=1000).collect()
+    assert len(got) == len(rows)
+    sizes, members = Counter(), {}
+    for r in got:
+        sizes[r.shard] += r.n_bytes
+        members.setdefault(r.shard, []).append(r)
+    assert all(b <= 1000 or (len([r for r in members[k] if r.n_bytes]) == 1 and members[k][0].doc_id == -2) for k, b in sizes.items())
+    own = [r for r in got if r.doc_id in near]
+    assert len({r.shard for r in own}) == len(near) and not any(r.overflow or r.page for r in own)  # one more bit parts them
+    assert all(r.bucket == code(r.doc_id) >> (32 - r.depth) for r in got)
+    assert all(r.overflow and r.depth == 32 for r in got if r.doc_id in (-1, -3, -4))
+    hot = {r.shard for r in got if r.doc_id == -1}
+    assert len(hot) <= 2 * sum(r.n_bytes for r in got if r.doc_id == -1) / 1000 + 1
+
+
 def pii_base(t):
     luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
     sp = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
