@@ -389,6 +389,24 @@ def test_decontamination(spark, odd, empty):
     assert out[1].text == "start here , " + "and so on " * 20 and out[1].n_chars == len(out[1].text) and 2 not in out and out[3].text == "clean" and out[4].text is None
 
 
+def test_items_without_an_id_are_found(spark):
+    """A null name counts as one item, as in the query's SQL, and is left out of the digest."""
+    passage, other = (" ".join(f"{c}{i}" for i in range(15)) for c in "pq")
+    bench = spark.createDataFrame([(None, passage), (None, other), (7, passage + " end")], "item_id long, text string")
+    docs_ = spark.createDataFrame([(1, f"a b {passage} c"), (2, f"{other} and so on " + "x y " * 30), (3, "clean"), (4, f"{passage} {other}")], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs_.toPandas())
+    con.register("benchmark", bench.toPandas().astype({"item_id": "Int64"}))
+    want = {tuple(r) for r in con.sql(queries.OP9_SQL).df()[["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]].itertuples(index=False)}
+    for most in (2_000_000, 10):
+        got = {tuple(r) for r in decontam.digest(decontam.hits(docs_, bench, most_windows=most)).collect()}
+        assert got == want
+    assert {(x[0], x[2], x[3]) for x in got} == {(1, 15, 2), (2, 15, 1), (3, 0, 0), (4, 30, 2)}
+    assert [x[4] for x in got if x[0] == 1] == [decontam.items_digest(["7"])]
+    left = {r.doc_id: r.text for r in decontam.cleaned(docs_, bench).collect()}
+    assert set(left) == {2, 3} and "q0" not in left[2]
+
+
 def test_quality(spark, docs, texts, odd, empty):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     word = re.compile(r"[^\x20\x09-\x0D]+")

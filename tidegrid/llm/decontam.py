@@ -9,7 +9,8 @@ benchmark is taken in blocks of that many windows, each a broadcast pass over th
 are united by its row. Blocks are cut by item hash, so that the driver never holds more than one.
 
 Defined results: null texts have no words; an item without words has no windows; equal windows of several items count
-for each; rows with a null or repeated ``doc_id`` are judged each by itself; other columns are ignored.
+for each; items with a null id hit as others do and count as one item without a name; rows with a null or repeated
+``doc_id`` are judged each by itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ HITS = "doc_id long, row long, n_words long, spans array<struct<first:long,last:
 class Benchmark:
     """Windows of a block of items, by their length in words."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         text = pa.array([t for _, t in items], pa.string())
         self.names = [i for i, _ in items]
         found: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
@@ -60,11 +61,11 @@ class Benchmark:
         out.names, out.by_length = state
         return out
 
-    def match(self, w: Words) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+    def match(self, w: Words) -> tuple[list[list[tuple[int, int]]], list[set[str | None]]]:
         """By text the hit spans (first word, last word exclusive, in the text) and the items."""
         docs = len(w.first) - 1
         spans: list[list[tuple[int, int]]] = [[] for _ in range(docs)]
-        items: list[set[str]] = [set() for _ in range(docs)]
+        items: list[set[str | None]] = [set() for _ in range(docs)]
         hashes = w.hashes()
         for length, (keys, known) in self.by_length.items():
             run = windows(hashes, length)
@@ -97,14 +98,14 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items in blocks of about ``most`` windows."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     # Words cannot be more than half of the characters (and one).
     bound = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))) / 2 + 1)).first()[0] or 0
     parts = max(1, -(-int(bound) // most))
     for k in range(parts):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
 
 
 def _scan(texts: DataFrame, block: Benchmark) -> DataFrame:
@@ -121,7 +122,7 @@ def _scan(texts: DataFrame, block: Benchmark) -> DataFrame:
                     [
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(w.first).astype(np.int64)),
                         pa.array([[{"first": x, "last": y} for x, y in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                        pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                        pa.array([sorted(i, key=lambda x: (x is None, x)) for i in items], pa.list_(pa.string())),
                     ],
                     ["doc_id", "row", "n_words", "spans", "items"],
                 )
