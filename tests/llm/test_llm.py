@@ -1,5 +1,6 @@
 """The pipeline operators against brute force on small fixtures, and their edge cases."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -234,6 +235,15 @@ def test_pii(spark, docs, texts, empty, odd):
     assert not [n for n in str(pii.scanned(docs)._jdf.queryExecution().executedPlan()).split() if re.search("Python|Pandas|Arrow", n)]
 
 
+def test_pii_address_of_every_form_is_proposed(spark):
+    at = ["(at)", " (at) ", "[at]", " [AT] ", "{at}", " {at} ", " at ", " @ "]
+    dot = ["(dot)", " (dot) ", "[dot]", " [DOT] ", "{dot}", " {dot} ", " dot ", " . ", "."]
+    forms = [f"jane{a}{host}{d}com" for a in at for d in dot for host in ("example", "e" * 63)]
+    df = spark.createDataFrame([(i, f"so {t} it is") for i, t in enumerate(forms)], "doc_id long, text string")
+    every = dataclasses.replace(pii.fitted(spark), thresholds=(-1e9,) * 4)
+    assert {r.doc_id: r.spans for r in pii.scanned(df, model=every).collect()} == {i: ("email:3:%d" % (3 + len(t))) for i, t in enumerate(forms)}
+
+
 def test_pii_model_separates_held_out_examples(spark):
     model = pii.fitted(spark)
     rows = [dict(zip(("kind", "own", "before", "after", "label"), r, strict=True)) for r in pii.examples(600, seed=99)]

@@ -45,6 +45,8 @@ GENERATORS = (
     (3, r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ .\-/]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9])", "digits"),
     (3, r"(?<![0-9])(?:00[1-9]|0[1-9])[0-9]{7,12}(?![0-9])", "digits"),
 )
+#: What any match of the e-mail generator holds.
+WORDS = rf"(?i)[A-Za-z0-9._%+\-]{AT}[A-Za-z0-9\-]{{1,63}}{DOT}[A-Za-z0-9\-]"
 #: Words of the context, by what they speak for.
 CONTEXT = {
     "says_mail": r"(?i)(?:e-?mail|contact|reach|write to|mailto|correo|courriel)",
@@ -332,7 +334,7 @@ def scanned(docs: DataFrame, *, model: Model | None = None, id_col: str = "doc_i
     model = model or fitted(docs.sparkSession)
     text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.contains(text, F.lit("@")).alias("at"), text.rlike("[0-9]").alias("digits"), text.rlike(r"(?i)[\[({ ]at[\])} ][^\n]{1,70}dot|[\[({]at[\])}]| @ ").alias("words"))
+    rows = rows.select("doc_id", "text", F.contains(text, F.lit("@")).alias("at"), text.rlike("[0-9]").alias("digits"), text.rlike(WORDS).alias("words"))
     base = base_spans(text, F.col("at"), F.col("digits"))
     proposed = [_possible(found(text, pattern, kind, F.col(gate)), kind) for kind, pattern, gate in GENERATORS]
     rows = rows.select("doc_id", "text", *[b.alias(k) for b, k in zip(base, KINDS, strict=True)], F.array_distinct(F.concat(*proposed)).alias("proposed"))
