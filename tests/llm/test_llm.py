@@ -344,6 +344,13 @@ def test_near_duplicates_edges(spark, odd, empty):
     assert {r.component_id for r in ngram_join.near_duplicates(twice).collect()} == {3}
 
 
+def test_rows_of_one_id_keep_the_links_of_each_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(9, a), (9, b), (3, a), (20, b + " more"), (None, b), (30, "quite another text of its own"), (30, None)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 96, 0), (3, 96, 3), (9, 96, 3), (9, 96, 3), (20, 97, 3), (30, 0, 30), (30, 2, 30)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)] + [(5, 5), (None, 3)]

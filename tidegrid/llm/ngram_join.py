@@ -236,6 +236,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _joined(texts, words, percent)
+    # Rows are joined each by itself; those of an id become one vertex when components are.
+    texts = persisted(texts.withColumn("row", F.monotonically_increasing_id()), "join-rows")
+    found = persisted(_joined(texts.select(F.expr("if(doc_id is null, null, row)").alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", "row"), "join-by-row")
+    found = found.join(texts.where("doc_id is not null").select("row", "doc_id"), "row", "left")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    links = found.join(least, "component_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    final = components(persisted(links, "join-id-links"))
+    return found.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _joined(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """As :func:`near_duplicates`, for ids (nulls apart) that don't repeat."""
     run, kind = _profiles(words)
     seen = persisted(texts.mapInArrow(run, kind), "join-profiles")
     profiles = seen.where("heavy is null").drop("heavy", "times")
