@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import persisted
+from .store import persisted, scope
 
 
 def _starred(links: DataFrame, large: bool) -> DataFrame:
@@ -28,12 +28,14 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     """``links``: two long columns ``a, b`` (nulls and self-links are ignored). Returns ``node, component`` for every
     node that has a link; ``component`` is the smallest node that it reaches. No links give no rows."""
     links = links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = persisted(links, label)
-    seen = None
-    while True:
-        state = now.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        now = persisted(_starred(_starred(now, True), False), label)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scope() as here:
+        now, seen = persisted(links, label), None
+        while True:
+            state = now.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if state == seen or not state[0]:
+                break
+            seen = state
+            now = persisted(_starred(_starred(now, True), False), label)
+            here.drop(but=1)
+        found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        return here.result(found, label)

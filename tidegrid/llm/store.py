@@ -1,56 +1,5 @@
-"""Intermediate tables in the shared folder that the cluster names.
+"""Intermediate tables: those of the engine's own, under the name that the operators here use."""
 
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: any executor can read it again after another one
-is lost. Where the setting is empty (tests), a folder of the driver is used and set.
-"""
+from ..functions.tables import Scope, delete, persisted, scope, shared_dir, small_batches, temporary
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's setting, else the context's checkpoint folder, else a new local one."""
-    at = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
-    if not at:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jdir.get() if jdir.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set(KEY, at)
-    return at.rstrip("/")
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the rows of an Arrow batch for the session: texts and sets may be long, and a batch is held in memory whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
-def persisted(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` and reads it back with the same schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegrid/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def drop_all() -> None:
-    """Deletes what this driver has written with :func:`persisted`."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the context has ended: the folder's owner cleans up
-            return
+__all__ = ["Scope", "delete", "persisted", "scope", "shared_dir", "small_batches", "temporary"]
