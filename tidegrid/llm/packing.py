@@ -14,11 +14,12 @@ one join on a row number.
 
 Defined results: a null text is empty; an empty text is the id 1 alone; rows with a null or repeated ``doc_id`` are
 packed each by itself and keep their ``doc_id``; a null source is a queue of its own; sources beyond ``max_queues``
-share queues by hash; other columns are ignored, whatever their names; an empty table gives no rows.
+share queues by hash, but for those with a proportion; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -58,14 +59,16 @@ def pack(
     window: int = 2048,
     packet: int = 512,
     proportions: Mapping[str, float] | None = None,
+    temperature: float = 1.0,
     max_queues: int = 1024,
     most_blocks: int = 4096,
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all documents with their sequence and offset; ``with_ids`` adds the ids themselves.
 
-    ``proportions``: target shares by source (those not named share what is left by size); by default each source's
-    own share of all tokens, so that all queues end together.
+    ``proportions``: target shares by source, at most 1 in all. Sources that are not named share what is left by their
+    tokens to the power ``temperature``: at 1 all queues end together, below 1 small sources are brought forward. Where a
+    queue ends, the others go on in their proportions; every document is packed once whatever the targets.
     """
     vocabulary = vocabulary or vocabulary_file()
     small_batches(docs.sparkSession)
@@ -73,10 +76,12 @@ def pack(
     shared = F.when(F.col("source").isNull(), F.lit("null:")).otherwise(F.concat(F.lit("s:"), F.col("source")))
     meta = kept.select("row", "n", shared.alias("queue"))
     totals = meta.groupBy("queue").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "queue")
+    given = {f"s:{k}": float(v) for k, v in (proportions or {}).items()}
+    if any(v <= 0 for v in given.values()) or sum(given.values()) > 1 + 1e-9:
+        raise ValueError("proportions must be above 0, and at most 1 in all")
     named = [(r.queue, r.total) for r in totals.limit(max_queues).collect()]
-    known = [q for q, _ in named]
     if len(named) == max_queues:  # the smaller ones share queues, so that what the driver holds stays bounded
-        own = known[: max_queues // 2]
+        own = [*given, *[q for q, _ in named if q not in given][: max_queues // 2]]
         meta = meta.withColumn("queue", F.when(F.col("queue").isin(own), F.col("queue")).otherwise(F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(max_queues // 2)).cast("string"))))
         named = [(r.queue, r.total) for r in meta.groupBy("queue").agg(F.sum("n").alias("total")).collect()]
     named.sort()
@@ -84,9 +89,8 @@ def pack(
     spark = docs.sparkSession
     if not whole:
         return spark.createDataFrame([], PIECES + (", ids binary" if with_ids else ""))
-    given = {f"s:{k}": v for k, v in (proportions or {}).items()}
-    left, rest = max(0.0, 1 - sum(given.values())), sum(n for q, n in named if q not in given)
-    share = {q: given[q] if q in given else left * n / rest for q, n in named}
+    left, rest = max(0.0, 1 - sum(given.values())), sum(n**temperature for q, n in named if q not in given)
+    share = {q: given[q] if q in given else left * n**temperature / rest for q, n in named}
     quanta = [(q, i, max(window * share[q], 1.0)) for i, (q, _) in enumerate(named)]
     meta = meta.join(F.broadcast(spark.createDataFrame(quanta, "queue string, rank int, quantum double")), "queue")
 
@@ -103,10 +107,11 @@ def pack(
     steps = steps.withColumn("length", F.least(F.lit(packet).cast("long"), F.col("n") - F.col("start")))
     steps = steps.withColumn("queue_end", F.col("queue_start") + F.col("start") + F.col("length"))
     steps = steps.withColumn("round", F.ceil(F.col("queue_end") / F.col("quantum")).cast("long"))
-    wide = -(-whole // min(most_blocks, -(-whole // BLOCK_IDS)))  # ids in a block of rounds, about
-    steps = steps.select("row", "start", "length", "round", "rank", "queue_end", F.floor(F.col("round") * window / F.lit(wide)).cast("long").alias("span"))
+    rounds = max(math.ceil(n / quantum) for (_, n), (_, _, quantum) in zip(named, quanta, strict=True))
+    blocks = min(most_blocks, -(-whole // BLOCK_IDS))
+    steps = steps.select("row", "start", "length", "round", "rank", "queue_end", F.expr(f"round * {blocks} div {rounds}").alias("span"))
 
-    # Place in the stream, again by block totals; there are most_blocks totals or a few more.
+    # Place in the stream, again by the totals of blocks of rounds; there are at most most_blocks + 1.
     steps = persisted(steps, "packing-rounds")
     firsts = steps.groupBy("span").agg(F.sum("length").alias("tokens")).orderBy("span").collect()
     at = np.concatenate([[0], np.cumsum([r.tokens for r in firsts])]).tolist()
