@@ -1,109 +1,267 @@
-"""Chat formatting: a hidden Markov model recovers the speakers of transcripts, then turns are rendered canonically.
+"""Chat formatting: a hidden Markov model recovers the turns and speakers of transcripts, which are then rendered canonically.
 
-The states are the roles. A message is seen through its speaker marker (``User:``, ``Assistant:`` and the like) and line
-features (length, lines, question mark, first of the transcript). Starts, transitions and emissions are counted over all
-labelled rows and smoothed. Viterbi decoding is exact for conversations of any length and runs on pieces of at most
-``piece`` turns: each piece is reduced to a matrix of best path scores between entry and exit states, the matrices of a
-conversation are chained, and each piece is then decoded between its boundary states. So no conversation, however long,
-is gathered in one task with its texts.
+A row's text may be one message or a whole transcript of several turns. It is read by lines. A line is seen through its
+speaker marker (``User:``, ``Assistant:`` and the like) and line features (length, question mark); a state is a role and
+whether the line begins a turn. A turn begins at a row's first line or at a marked line; whether a marked line inside a
+row does, or only quotes a marker, is for Viterbi to find.
 
-Features are SQL expressions; only the small matrices and codes reach Python. Defined results: a null text is empty;
-null roles train nothing; turns that share a number keep the order of their texts; rows with a null conversation are
+Starts, transitions and emissions are counted over labelled rows (each one turn of its ``role``) and smoothed; markers keep
+half of their prior weight however many rows have none. No row is judged by a model that has seen it: conversations fall
+in two halves by a hash, and each half is decoded by the model of the other.
+
+Rows are spread by range of (conversation, turn) and sorted inside the partitions, so that a conversation, however long,
+takes as many tasks as its rows fill. Conversations inside a partition are decoded there, many at a time. Of the two at
+its edges, which may go on beside it, the task keeps a max-plus matrix and the turns under every state before and behind;
+the matrices of a conversation, one a partition, are chained, and the right turns are chosen. Texts only pass through.
+
+Defined results: a null text is one empty line; null roles train nothing; rows that share a conversation and a turn number
+are put in the order of a hash of their texts; a null turn stays null and comes first; rows with a null conversation are
 one conversation; a table without known roles decodes by the markers alone; an empty table gives no rows; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import persisted
+from .store import persisted, small_batches
 
 ROLES = ("system", "user", "assistant")
-#: Speaker markers at the start of a message, by role.
+#: Speaker markers at the start of a line, by role.
 MARKERS = (
     ("system", r"(?i)^\s*(?:#+\s*|\*\*|\[|<\|?)?(?:system|instructions?)(?:\*\*|\]|\|?>)?\s*[:>\]]"),
     ("user", r"(?i)^\s*(?:#+\s*|\*\*|\[|<\|?)?(?:user|human|customer|question|q|me)(?:\*\*|\]|\|?>)?\s*[:>\]]"),
     ("assistant", r"(?i)^\s*(?:#+\s*|\*\*|\[|<\|?)?(?:assistant|ai|bot|agent|answer|a|model)(?:\*\*|\]|\|?>)?\s*[:>\]]"),
 )
-PIECE = 256
-#: Codes by feature: marker (0 none, then by role), characters, lines, ends with a question mark, first turn.
-SIZES = (4, 10, 5, 2, 2)
-#: How much more a marker says under its own role than under another before any counts.
-MARKER_WEIGHT = 50.0
+N = len(ROLES)
+#: States: a role's first line, then a role's further lines.
+STATES = 2 * N
+#: Codes by feature: marker (0 none, then by role; behind it the same for a row's first line), characters, question mark.
+SIZES = (2 * (N + 1), 10, 2)
+CELLS = int(np.prod(SIZES))
+#: Prior counts: of a turn's own marker against another's and against none inside a row; of a marker inside a turn.
+OWN_MARKER, PLAIN, QUOTED = 50.0, 50.0, 0.1
+#: Lines that are decoded at once.
+CHUNK_LINES = 20_000
+
 
+def cells(text: Column) -> Column:
+    """By line of a text its features as one number."""
 
-def codes(text: Column, first: Column) -> Column:
-    """The features of a message as one array of small numbers."""
-    marker = F.lit(0)
-    for i, (_, pattern) in reversed(list(enumerate(MARKERS))):
-        marker = F.when(text.rlike(pattern), F.lit(i + 1)).otherwise(marker)
-    size = F.least(F.floor(F.log2(F.length(text) + 1)).cast("int"), F.lit(SIZES[1] - 1))
-    lines = F.least(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(SIZES[2] - 1)).cast("int")
-    asks = F.rtrim(text).endswith("?").cast("int")
-    return F.array(marker, size, lines, asks, first.cast("int"))
+    def cell(line: Column, i: Column) -> Column:
+        marker = F.lit(0)
+        for k, (_, pattern) in reversed(list(enumerate(MARKERS))):
+            marker = F.when(line.rlike(pattern), F.lit(k + 1)).otherwise(marker)
+        size = F.least(F.floor(F.log2(F.length(line) + 1)).cast("int"), F.lit(SIZES[1] - 1))
+        return ((marker + F.when(i == 0, N + 1).otherwise(0)) * SIZES[1] + size) * SIZES[2] + F.rtrim(line).endswith("?").cast("int")
+
+    return F.transform(F.split(text, "\n", -1), cell)
 
 
 class Hmm:
-    """Log chances of starts, transitions and emissions."""
+    """Log chances: ``start`` by role, ``move`` from role to role of the next turn, ``emit`` by state and cell; ``stay`` is the
+    chance by role that a turn has another line."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]):
-        self.start, self.move, self.emit = start, move, emit
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, stay: np.ndarray):
+        self.start, self.emit = start, emit
+        # From any line of a role: on with the turn, or the first line of the next turn.
+        on = np.where(np.eye(N, dtype=bool), np.log(stay), -np.inf)
+        self.step = np.tile(np.hstack([move + np.log(1 - stay)[:, None], on]), (2, 1))
+        self.enter = np.vstack([self.step, np.concatenate([start, np.full(N, -np.inf)])])  # the last row: a conversation begins
 
-    def seen(self, features: np.ndarray) -> np.ndarray:
-        """Messages x roles: log chances of what is seen."""
-        return sum(e[:, features[:, i]].T for i, e in enumerate(self.emit))
+    @classmethod
+    def of(cls, starts: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> Hmm:
+        """From counts of first roles, of roles behind each other, and of cells by state."""
+        start, move = starts + 1.0, moves + 1.0
+        prior = np.full((STATES, SIZES[0]), QUOTED)
+        for r in range(N):
+            prior[r, 0] = prior[N + r, N + 1 :] = 0.0  # turns begin at marked lines and first lines, first lines begin turns
+            prior[r, [1 + r, N + 1, N + 2 + r]] = OWN_MARKER, PLAIN, OWN_MARKER
+            prior[N + r, 0] = PLAIN
+        by = counts.reshape(STATES, *SIZES)
+        marker = by.sum(axis=(2, 3))
+        seen = marker.sum(axis=1, keepdims=True)
+        marker = marker + np.maximum(1.0, seen / prior.sum(axis=1, keepdims=True)) * prior
+        with np.errstate(divide="ignore"):
+            parts = [np.log(x / x.sum(axis=1, keepdims=True)) for x in (marker * (prior > 0), by.sum(axis=(1, 3)) + 1.0, by.sum(axis=(1, 2)) + 1.0)]
+        emit = (parts[0][:, :, None, None] + parts[1][:, None, :, None] + parts[2][:, None, None, :]).reshape(STATES, CELLS)
+        lines = seen.reshape(2, N) + 1.0
+        return cls(np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), emit, lines[1] / lines.sum(axis=0))
 
-    def reduced(self, seen: np.ndarray) -> np.ndarray:
-        """Best scores from the state before the piece to its last state (entry x exit)."""
-        best = self.move + seen[0]
-        for row in seen[1:]:
-            best = (best[:, :, None] + self.move[None]).max(axis=1) + row
-        return best
+    def decoded(self, lines: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best state of every line of whole conversations; ``first``: positions of their first lines, and the end."""
+        order = np.argsort(-np.diff(first), kind="stable")
+        begin, size = first[:-1][order], np.diff(first)[order]
+        seen, longest = self.emit[:, lines].T, int(size.max(initial=0))
+        score = self.enter[-1] + seen[begin]
+        back, alive = [], [len(size)]
+        for t in range(1, longest):
+            n = int(np.searchsorted(-size, -t, side="left"))  # those of more than t lines
+            step = score[:n, :, None] + self.step
+            back.append(step.argmax(axis=1).astype(np.int8))
+            score[:n] = np.take_along_axis(step, back[-1][:, None, :].astype(np.int64), axis=1)[:, 0] + seen[begin[:n] + t]
+            alive.append(n)
+        now = score.argmax(axis=1)
+        out = np.zeros(len(lines), np.int8)
+        for t in range(longest - 1, -1, -1):
+            n = alive[t]
+            out[begin[:n] + t] = now[:n]
+            if t:
+                now[:n] = back[t - 1][np.arange(n), now[:n]]
+        return out
 
-    def path(self, seen: np.ndarray, enter: np.ndarray, leave: int) -> np.ndarray:
-        """The best states of a piece that starts with scores ``enter`` for its first state and ends in ``leave``."""
-        score, back = enter + seen[0], []
+    def edge(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a part of a conversation: best scores from each state before it (and from the start) to each last state,
+        and the states of its lines (lines x before x last)."""
+        seen = self.emit[:, lines].T
+        score, back = self.enter + seen[0], []
         for row in seen[1:]:
-            step = score[:, None] + self.move
-            back.append(step.argmax(axis=0))
-            score = step.max(axis=0) + row
-        states = [leave]
-        for b in reversed(back):
-            states.append(int(b[states[-1]]))
-        return np.array(states[::-1])
-
-
-def prepared(turns: DataFrame, piece: int = PIECE) -> DataFrame:
-    """``conv, piece, turn, text, role, x``; a piece holds the turns of one range of numbers."""
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv"), turn.alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("role").cast("string").alias("role"))
-    return rows.withColumn("x", codes(F.col("text"), F.col("turn") == 0)).withColumn("piece", F.floor(F.col("turn") / piece).cast("long"))
-
-
-def fitted(rows: DataFrame) -> Hmm:
-    """Chances from all labelled rows; one is added to each count, and markers speak for their role from the start."""
-    n = len(ROLES)
-    state = sum((F.when(F.col("role") == r, F.lit(i)).otherwise(F.lit(0)) for i, r in enumerate(ROLES)), F.lit(0))
-    known = rows.where(F.col("role").isin(*ROLES)).select("conv", "turn", "x", state.alias("s"))
-    emit = [np.ones((n, size)) for size in SIZES]
-    for i in range(n):
-        emit[0][i, i + 1] += MARKER_WEIGHT
-    for r in known.select("s", F.posexplode("x")).groupBy("s", "pos", "col").count().collect():  # at most 3 * 23 rows
-        emit[r.pos][r.s, r.col] += r["count"]
-    starts = np.ones(n)
-    for r in known.where("turn = 0").groupBy("s").count().collect():
-        starts[r.s] += r["count"]
+            step = score[:, :, None] + self.step
+            back.append(step.argmax(axis=1).astype(np.int8))
+            score = step.max(axis=1) + row
+        states = np.zeros((len(lines), STATES + 1, STATES), np.int8)
+        now = np.tile(np.arange(STATES), (STATES + 1, 1))
+        for t in range(len(lines) - 1, -1, -1):
+            states[t] = now
+            if t:
+                now = np.take_along_axis(back[t - 1].astype(np.int64), now, axis=1)
+        return score, states
+
+
+def prepared(turns: DataFrame) -> DataFrame:
+    """``conv, turn, text, role, half, x`` of every row; ``x`` has a cell for each line."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("role").cast("string").alias("role"))
+    return rows.withColumns({"half": F.pmod(F.xxhash64("conv"), F.lit(2)).cast("int"), "x": cells(F.col("text"))})
+
+
+def fitted(rows: DataFrame) -> tuple[Hmm, Hmm]:
+    """The models of the two halves of the conversations, from all of their labelled rows."""
+    state = F.lit(0)
+    for i, r in enumerate(ROLES):
+        state = F.when(F.col("role") == r, F.lit(i)).otherwise(state)
+    known = rows.where(F.col("role").isin(*ROLES)).select("half", "conv", "turn", "x", state.alias("s"))
+    emit, starts, moves = np.zeros((2, STATES, CELLS)), np.zeros((2, N)), np.zeros((2, N, N))
+    lines = known.select("half", "s", F.posexplode("x").alias("at", "cell"))
+    for r in lines.groupBy("half", "s", (F.col("at") > 0).alias("on"), "cell").count().collect():  # at most 2 * STATES * CELLS rows
+        emit[r.half, r.s + N * r.on, r.cell] += r["count"]
+    for r in known.where("turn = 0").groupBy("half", "s").count().collect():
+        starts[r.half, r.s] += r["count"]
     # A turn follows the one numbered before it; repeated numbers count by their shares, so no window over a conversation.
-    per = known.groupBy("conv", "turn", "s").count()
+    per = known.where("turn is not null").groupBy("half", "conv", "turn", "s").count()
     after = per.select("conv", (F.col("turn") - 1).alias("turn"), F.col("s").alias("t"), F.col("count").alias("times"))
-    move = np.ones((n, n))
-    for r in per.join(after, ["conv", "turn"]).groupBy("s", "t").agg(F.sum(F.least("count", "times")).alias("times")).collect():
-        move[r.s, r.t] += r.times
-    return Hmm(np.log(starts / starts.sum()), np.log(move / move.sum(axis=1, keepdims=True)), [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit])
+    for r in per.join(after, ["conv", "turn"]).groupBy("half", "s", "t").agg(F.sum(F.least("count", "times")).alias("times")).collect():
+        moves[r.half, r.s, r.t] += r.times
+    return tuple(Hmm.of(starts[h], moves[h], emit[h]) for h in range(2))
+
+
+def begun(states: np.ndarray, size: np.ndarray) -> pa.Array:
+    """By row a list of alternatives, each the turns that begin in it: line times roles, plus role. ``states``: lines x
+    alternatives; ``size``: lines of each row."""
+    ends, ways = np.cumsum(size), states.shape[1]
+    row = np.repeat(np.arange(len(size)), size)
+    line = np.arange(len(row)) - (ends - size)[row]
+    at, way = np.nonzero(states < N)
+    order = np.lexsort((at, way, row[at]))
+    at, way = at[order], way[order]
+    turns = line[at] * N + states[at, way]
+    counts = np.bincount(row[at] * ways + way, minlength=len(size) * ways)
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(turns.astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(size) + 1) * ways).astype(np.int32)), inner)
+
+
+OUT = "conv long, turn long, text string, ways array<array<int>>, part int, edge int, half int, best array<double>"
+
+
+def _decoded(models: tuple):
+    """Rows in order of conversation to their turns. ``edge`` is null inside a partition, 0 for the conversation at its
+    beginning and 1 for another at its end; the last row of an edge has its matrix as ``best``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, edges, held = TaskContext.get().partitionId(), 0, []
+
+        def out(table: pa.Table, first: np.ndarray | None) -> pa.RecordBatch:
+            """Whole conversations that begin at rows ``first``, or (None) one at an edge."""
+            nonlocal edges
+            x = table.column("x").combine_chunks()
+            lines, size = x.flatten().to_numpy(), x.value_lengths().to_numpy()
+            half = table.column("half").to_numpy()
+            edge, best = pa.nulls(len(size), pa.int32()), [None] * len(size)
+            if first is None:
+                score, states = models[1 - half[0]].edge(lines)
+                ways, edge, best[-1] = begun(states.reshape(len(lines), -1), size), pa.array(np.full(len(size), edges, np.int32)), score.ravel().tolist()
+                edges += 1
+            else:
+                states = np.zeros(len(lines), np.int8)
+                at = np.concatenate([[0], np.cumsum(size)])[np.append(first, len(size))]
+                for h in range(2):
+                    own = np.flatnonzero(half[first] == h)
+                    take = np.concatenate([np.arange(at[c], at[c + 1]) for c in own]) if len(own) else np.zeros(0, np.int64)
+                    states[take] = models[1 - h].decoded(lines[take], np.concatenate([[0], np.cumsum(at[own + 1] - at[own])]))
+                ways = begun(states[:, None], size)
+            plain = [table.column(c).combine_chunks() for c in ("conv", "turn", "text")]
+            return pa.RecordBatch.from_arrays([*plain, ways, pa.array(np.full(len(size), part, np.int32)), edge, pa.array(half.astype(np.int32)), pa.array(best, pa.list_(pa.float64()))], ["conv", "turn", "text", "ways", "part", "edge", "half", "best"])
+
+        def starts(table: pa.Table) -> np.ndarray:
+            conv = table.column("conv")
+            key, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy()
+            return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (null[1:] != null[:-1])]))
+
+        lines = 0
+        for batch in batches:
+            held.append(batch)
+            lines += int(batch.column(batch.schema.get_field_index("x")).value_lengths().to_numpy().sum())
+            if lines < CHUNK_LINES:
+                continue
+            # All but the last conversation are whole.
+            table = pa.Table.from_batches(held)
+            first = starts(table)
+            done = 0
+            if not edges and len(first) > 1:
+                yield out(table.slice(0, first[1]), None)
+                done = 1
+            if len(first) - 1 > done:
+                yield out(table.slice(first[done], first[-1] - first[done]), first[done:-1] - first[done])
+            if len(first) > 1:
+                table = table.slice(first[-1])
+                held = table.to_batches()
+            lines = 0
+        if held:
+            table = pa.Table.from_batches(held)
+            first = starts(table)
+            if not edges:
+                yield out(table.slice(0, first[1] if len(first) > 1 else len(table)), None)
+                table = table.slice(first[1]) if len(first) > 1 else table.slice(len(table))
+                first = first[1:] - first[1] if len(first) > 1 else first[:0]
+            if len(first) > 1:
+                yield out(table.slice(0, first[-1]), first[:-1])
+            if len(first):
+                yield out(table.slice(first[-1]), None)
+
+    return run
+
+
+def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one conversation's edges, in order, which alternative of each is the best path's."""
+    pdf = pdf.sort_values(["part", "edge"])
+    best = [np.array(b).reshape(STATES + 1, STATES) for b in pdf["best"]]
+    score, scores = best[0][-1], [best[0][-1]]
+    for b in best[1:]:
+        score = (score[:, None] + b[:-1]).max(axis=0)
+        scores.append(score)
+    leave = [int(scores[-1].argmax())]
+    for k in range(len(best) - 1, 0, -1):
+        leave.append(int((scores[k - 1] + best[k][:-1, leave[-1]]).argmax()))
+    leave = leave[::-1]
+    enter = [STATES, *leave[:-1]]
+    return pd.DataFrame({"part": pdf["part"].to_numpy(), "edge": pdf["edge"].to_numpy(), "way": [e * STATES + x for e, x in zip(enter, leave, strict=True)]})
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -114,54 +272,24 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(plain), F.lit("\n<|end|>\n"))
 
 
-def formatted(turns: DataFrame, *, piece: int = PIECE, model: Hmm | None = None) -> DataFrame:
-    """``conv_id, turn, role, rendered`` for every row; ``role`` is what the model recovers from the texts."""
-    rows = persisted(prepared(turns, piece), "chat-rows")
-    model = model or fitted(rows)
-    state = (model.start, model.move, model.emit)
-    n = len(ROLES)
-
-    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        pdf = pdf.sort_values(["turn", "text"], kind="stable")
-        return pdf, np.array(pdf["x"].tolist(), np.int64)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Boundary states: forward over the pieces, then back."""
-        pdf = pdf.sort_values("piece")
-        own = Hmm(*state)
-        best = [np.array(b).reshape(n, n) for b in pdf["best"]]
-        score, scores = None, []
-        first = np.array(pdf["first"].iloc[0])
-        for k, b in enumerate(best):
-            score = first if k == 0 else (score[:, None] + b).max(axis=0)
-            scores.append(score)
-        leave = [int(scores[-1].argmax())]
-        for k in range(len(best) - 1, 0, -1):
-            leave.append(int((scores[k - 1] + best[k][:, leave[-1]]).argmax()))
-        leave = leave[::-1]
-        enter = [own.start.tolist()] + [own.move[s].tolist() for s in leave[:-1]]
-        return pd.DataFrame({"conv": pdf["conv"].to_numpy(), "piece": pdf["piece"].to_numpy(), "enter": enter, "leave": leave}).astype({"conv": "Int64"})
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A piece's matrix, and its exit scores if a conversation starts with it."""
-        pdf, x = ordered(pdf)
-        own = Hmm(*state)
-        seen = own.seen(x)
-        score = own.start + seen[0]
-        for row in seen[1:]:
-            score = (score[:, None] + own.move).max(axis=0) + row
-        return pd.DataFrame({"conv": [pdf["conv"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "best": [own.reduced(seen).ravel().tolist()], "first": [score.tolist()]}).astype({"conv": "Int64"})
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x = ordered(pdf)
-        own = Hmm(*state)
-        path = own.path(own.seen(x), np.array(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0]))
-        return pd.DataFrame({"conv": pdf["conv"], "turn": pdf["turn"], "role": [ROLES[s] for s in path], "text": pdf["text"]}).astype({"conv": "Int64"})
-
-    keyed = rows.select("conv", "piece", "turn", "text", "x")
-    matrices = keyed.groupBy("conv", "piece").applyInPandas(reduce, "conv long, piece long, best array<double>, first array<double>")
-    bounds = matrices.groupBy("conv").applyInPandas(chain, "conv long, piece long, enter array<double>, leave long")
-    joined = keyed.alias("a").join(bounds.alias("b"), F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.piece") == F.col("b.piece"))).select("a.*", "b.enter", "b.leave")
-    out = joined.groupBy("conv", "piece").applyInPandas(decode, "conv long, turn long, role string, text string")
-    return out.select(F.col("conv").alias("conv_id"), "turn", "role", rendered(F.col("role"), F.col("text")).alias("rendered"))
-
+def formatted(turns: DataFrame, *, models: tuple[Hmm, Hmm] | None = None) -> DataFrame:
+    """``conv_id, turn, part, role, rendered`` for every turn; ``part`` numbers the turns of a row from 0. ``models`` (of
+    other conversations, one for each half) replace those that are counted on the table itself."""
+    small_batches(turns.sparkSession)
+    rows = persisted(prepared(turns), "chat-rows")
+    own = models or fitted(rows)
+    keyed = rows.select("conv", "turn", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text", "half", "x")
+    keys = ["conv", "turn", "tie", "row"]
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv", "turn", "text", "half", "x")
+    found = persisted(ordered.mapInArrow(_decoded(own), OUT), "chat-turns")
+    edges = found.where("best is not null").groupBy("conv").applyInPandas(_chained, "part int, edge int, way int")
+    found = found.drop("best").join(F.broadcast(edges), ["part", "edge"], "left")  # two rows at most for each partition
+    lines = F.split("text", "\n", -1)
+    begins = F.element_at("ways", F.coalesce("way", F.lit(0)) + 1)
+    out = found.select("conv", "turn", lines.alias("lines"), begins.alias("begins"))
+    out = out.select("conv", "turn", "lines", "begins", F.posexplode("begins").alias("part", "code"))
+    first = F.expr(f"code div {N}").cast("int")
+    end = F.coalesce(F.expr(f"get(begins, part + 1) div {N}").cast("int"), F.size("lines"))
+    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.col("code") % N + 1).cast("int"))
+    text = F.array_join(F.slice("lines", first + 1, end - first), "\n")
+    return out.select(F.col("conv").alias("conv_id"), "turn", "part", role.alias("role"), rendered(role, text).alias("rendered"))
