@@ -6,7 +6,7 @@ have hits can be dropped, or the hit spans cut out.
 
 The hash set is broadcast while it holds at most ``most_windows`` windows (about 100 bytes each on a worker); a larger
 benchmark is taken in blocks of that many windows, each a broadcast pass over the documents, and the hits of a document
-are united by its row. Blocks are cut by item hash, so that the driver never holds more than one.
+are united by its row. Blocks are cut by item hash, and the driver reads one after the other.
 
 Defined results: null texts have no words; an item without words has no windows; equal windows of several items count
 for each; items with a null id hit as others do and count as one item without a name; rows with a null or repeated
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import persisted, small_batches
+from .store import persisted, scope, small_batches
 from .textcore import Words, slices, table_alnum, windows
 
 #: Words of a window, and windows in one broadcast (about 200 MB on a worker).
@@ -98,14 +98,14 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Items in blocks of about ``most`` windows."""
+def _blocks(benchmark: DataFrame, most: int) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
+    """How many blocks of about ``most`` windows the items make, and the blocks, each read when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     # Words cannot be more than half of the characters (and one).
     bound = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))) / 2 + 1)).first()[0] or 0
     parts = max(1, -(-int(bound) // most))
-    for k in range(parts):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    return parts, ([(r.item_id, r.text) for r in items.where(block == k).collect()] for k in range(parts))
 
 
 def _scan(texts: DataFrame, block: Benchmark) -> DataFrame:
@@ -134,16 +134,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, most_window
     """By row of ``docs``: ``doc_id, row, n_words, spans, items``; spans are hit words, in order and apart."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    blocks = iter(_blocks(benchmark, size, most_windows))
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _scan(texts, Benchmark(first, size))
-    texts = persisted(texts, "decontam-rows")  # row numbers must hold over several passes
-    passes = None
-    for block in (first, second, *blocks):
-        found = persisted(_scan(texts, Benchmark(block, size)), "decontam-pass")
-        passes = found if passes is None else passes.unionByName(found)
-    return _united(passes)
+    count, blocks = _blocks(benchmark, most_windows)
+    if count == 1:
+        return _scan(texts, Benchmark(next(blocks), size))
+    with scope() as here:
+        texts = persisted(texts, "decontam-rows")  # row numbers must hold over several passes
+        return here.result(_united(_passes(texts, blocks, size)), "decontam-hits")
+
+
+def _passes(texts: DataFrame, blocks: Iterator[list], size: int) -> DataFrame:
+    """The hits of each block, one pass after the other; each row is there once with its words, else where it has hits."""
+    out = None
+    for block in blocks:
+        found = _scan(texts, Benchmark(block, size))
+        found = persisted(found if out is None else found.where("size(spans) > 0"), "decontam-pass")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _united(passes: DataFrame) -> DataFrame:
@@ -167,46 +173,72 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, drop_from: float = 0.5) -> DataFrame:
+def _cut(part: pa.RecordBatch, k: int, data: np.ndarray, bounds: np.ndarray, w: Words, spans: list[list[tuple[int, int]]], drop_from: float) -> pa.RecordBatch:
+    """A slice of rows without the hit ``spans`` of the texts in column ``k``, or without the row."""
+    if not any(spans):
+        return part
+    counts = np.diff(w.first)
+    texts, keep = part.column(k).to_pylist(), np.ones(len(part), bool)
+    for i, own in enumerate(spans):
+        if not own:
+            continue
+        if sum(y - x for x, y in own) >= drop_from * counts[i]:
+            keep[i] = False
+            continue
+        raw, at, base = [], int(bounds[i]), int(w.first[i])
+        for x, y in own:
+            raw.append(data[at : w.start[base + x]].tobytes())
+            at = int(w.end[base + y - 1])
+        texts[i] = b"".join([*raw, data[at : bounds[i + 1]].tobytes()]).decode()
+    return part.set_column(k, part.schema.names[k], pa.array(texts, part.column(k).type)).filter(pa.array(keep))
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, most_windows: int = MOST_WINDOWS, drop_from: float = 0.5) -> DataFrame:
     """``docs`` without the hit spans: the characters from the first hit word to the last of each span are cut out.
     A document whose hit words are at least ``drop_from`` of its words goes. Columns are those of ``docs``; a column
-    ``n_chars`` follows the text."""
+    ``n_chars`` follows the text. A benchmark of several blocks takes a pass for each, and its spans meet the rows in a join."""
     small_batches(docs.sparkSession)
-    block_list = list(_blocks(benchmark, size, MOST_WINDOWS))
     names, kind = docs.columns, docs.schema
     k = names.index("text")
-    shared = [docs.sparkSession.sparkContext.broadcast(Benchmark(b, size).plain()) for b in block_list]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, bounds in slices(batch.column(k)):
-                w = Words(data, bounds, table_alnum())
-                spans: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
-                for one in shared:
-                    spans = [united(x + y) for x, y in zip(spans, Benchmark.of(one.value).match(w)[0], strict=True)]
-                part = batch.slice(a, b - a)
-                if any(spans):
-                    counts = np.diff(w.first)
-                    texts, keep = part.column(k).to_pylist(), np.ones(b - a, bool)
-                    for i, own in enumerate(spans):
-                        if not own:
-                            continue
-                        if sum(y - x for x, y in own) >= drop_from * counts[i]:
-                            keep[i] = False
-                            continue
-                        raw, at, base = [], int(bounds[i]), int(w.first[i])
-                        for x, y in own:
-                            raw.append(data[at : w.start[base + x]].tobytes())
-                            at = int(w.end[base + y - 1])
-                        texts[i] = b"".join([*raw, data[at : bounds[i + 1]].tobytes()]).decode()
-                    part = part.set_column(k, names[k], pa.array(texts, part.column(k).type))
-                    part = part.filter(pa.array(keep))
-                yield part
-
-    out = docs.mapInArrow(run, kind)
+    count, blocks = _blocks(benchmark, most_windows)
+    if count == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(next(blocks), size).plain())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Benchmark.of(shared.value)
+            for batch in batches:
+                for a, b, data, bounds in slices(batch.column(k)):
+                    w = Words(data, bounds, table_alnum())
+                    yield _cut(batch.slice(a, b - a), k, data, bounds, w, own.match(w)[0], drop_from)
+
+        out = docs.mapInArrow(run, kind)
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.select(range(len(names)))
+                found = batch.column(len(names)).to_pylist()
+                for a, b, data, bounds in slices(batch.column(k)):
+                    spans = [[(x["first"], x["last"]) for x in f or ()] for f in found[a:b]]
+                    yield _cut(rows.slice(a, b - a), k, data, bounds, Words(data, bounds, table_alnum()), spans, drop_from)
+
+        with scope() as here:
+            number, spans = (_free(n, names) for n in ("_row", "_spans"))
+            rows = persisted(docs.withColumn(number, F.monotonically_increasing_id()), "decontam-rows")
+            texts = rows.select(F.lit(None).cast("long").alias("doc_id"), F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+            hit = _united(_passes(texts, blocks, size)).where("size(spans) > 0").select(F.col("row").alias(number), F.col("spans").alias(spans))
+            both = rows.join(hit, number, "left").select(*[F.col(f"`{n}`") for n in names], spans)
+            out = here.result(both.mapInArrow(run, kind), "decontam-cleaned")
     return out.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType)) if "n_chars" in names else out
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken, in any case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def items_digest(items: list[str]) -> str:
     """The digest of item names that :func:`digest` gives, for tests."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
