@@ -4,8 +4,8 @@ A batch holds signed changes: a document that came (+1, +tokens), one that went
 old count out, its new one in). A batch is summed by key before any shuffle and committed as one small Parquet table
 whose folder is named by the batch's id. The write goes to a folder of its own and is moved into place by one rename,
 so a batch is there whole or not at all, and a batch id that is there already is left alone: commits may be repeated
-after any failure. Totals are the sums over all committed batches; ``compact`` folds them into one table that remembers
-the ids it holds.
+after any failure. Totals are the sums over all committed batches; ``compact`` folds those that it has listed, and no
+others, into one table that remembers the ids it holds; it deletes them only after that table is in place.
 
 Defined results: a null source, language or version is a key of its own; null texts count no tokens; null signs and
 counts change nothing; keys whose documents and tokens are both 0 again don't show; an empty batch is committed and
@@ -15,6 +15,7 @@ changes nothing; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from .store import small_batches
 from .tokens import Encoder, vocabulary_file
 
 KEYS = ("source", "lang", "tokenizer_version")
+#: Beginning of the names of folders that are being written.
+WRITING = "_writing-"
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -75,52 +78,71 @@ class Rollup:
     def _there(self, path: str) -> bool:
         return self._fs.exists(self._at(path))
 
-    def folded(self) -> set[str]:
-        """Batch folders that the newest compaction holds."""
-        base = self._newest()
-        return set() if base is None else {r.folder for r in self.spark.read.schema("folder string").parquet(f"{base}/held").collect()}
-
     def _newest(self) -> str | None:
         found = sorted(str(s.getPath()) for s in (self._fs.globStatus(self._at(f"{self.path}/base=*")) or []))
         return found[-1] if found else None
 
+    def _held(self, base: str | None, names: list[str]) -> set[str]:
+        """Those of the batch folders ``names`` that a compaction holds."""
+        if base is None or not names:
+            return set()
+        held = self.spark.read.schema("folder string").parquet(f"{base}/held")
+        return {r.folder for r in held.where(F.col("folder").isin(names)).collect()}
+
+    def _placed(self, own: str, to: str) -> bool:
+        """Moves a folder into place; False, and the folder is gone, if another one is there."""
+        nested = f"{to}/{own.rsplit('/', 1)[1]}"  # some stores move a folder into one that exists
+        if self._fs.rename(self._at(own), self._at(to)) and not self._there(nested):
+            return True
+        self._fs.delete(self._at(nested), True)
+        self._fs.delete(self._at(own), True)
+        return False
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed rows once; False if it was there already."""
         to = self._folder(batch)
-        if self._there(to) or to.rsplit("/", 1)[1] in self.folded():
+        if self._there(to) or self._held(self._newest(), [to.rsplit("/", 1)[1]]):
             return False
         rows = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-        own = f"{self.path}/_writing-{uuid.uuid4().hex}"
+        own = f"{self.path}/{WRITING}{uuid.uuid4().hex}"
         rows.write.parquet(own)
-        if not self._fs.rename(self._at(own), self._at(to)) or self._there(f"{to}/{own.rsplit('/', 1)[1]}"):
-            self._fs.delete(self._at(f"{to}/{own.rsplit('/', 1)[1]}"), True)  # another writer was first
-            self._fs.delete(self._at(own), True)
-            return False
-        return True
+        return self._placed(own, to)
 
     def _parts(self) -> tuple[str | None, list[str]]:
-        held = self.folded()
-        batches = [str(s.getPath()) for s in (self._fs.globStatus(self._at(f"{self.path}/batch=*")) or [])]
-        return self._newest(), sorted(b for b in batches if b.rsplit("/", 1)[1] not in held)
+        """The newest compaction, and the batches beside it that it doesn't hold."""
+        base = self._newest()
+        batches = {(at := str(s.getPath())).rsplit("/", 1)[1]: at for s in (self._fs.globStatus(self._at(f"{self.path}/batch=*")) or [])}
+        held = self._held(base, list(batches))
+        return base, sorted(at for name, at in batches.items() if name not in held)
 
-    def totals(self) -> DataFrame:
-        """Current totals by key."""
-        base, batches = self._parts()
+    def _summed(self, base: str | None, batches: list[str]) -> DataFrame:
         at = ([f"{base}/totals"] if base else []) + batches
         if not at:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*at)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
-    def compact(self) -> None:
-        """Folds all batches into one table; they are deleted after it is in place."""
+    def totals(self) -> DataFrame:
+        """Current totals by key. Read them before the next compaction deletes what they come from."""
+        return self._summed(*self._parts())
+
+    def compact(self, stale: float = 86400.0) -> bool:
+        """Folds the batches that are there now into one table, and deletes them once it is in place. A batch that is
+        committed meanwhile stays beside it. False, and nothing changes, if another compaction was first. Folders that
+        writers left behind ``stale`` seconds ago or earlier are deleted too."""
         base, batches = self._parts()
-        held = self.folded() | {b.rsplit("/", 1)[1] for b in batches}
-        own = f"{self.path}/_writing-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{own}/totals")
-        self.spark.createDataFrame([(h,) for h in sorted(held)], "folder string").coalesce(1).write.parquet(f"{own}/held")
         serial = 0 if base is None else int(base.rsplit("=", 1)[1]) + 1
-        self._fs.rename(self._at(own), self._at(f"{self.path}/base={serial:012d}"))
+        own = f"{self.path}/{WRITING}{uuid.uuid4().hex}"
+        self._summed(base, batches).coalesce(1).write.parquet(f"{own}/totals")  # a row for each key
+        names = self.spark.createDataFrame([(b.rsplit("/", 1)[1],) for b in batches], "folder string")
+        held = names if base is None else names.unionByName(self.spark.read.schema("folder string").parquet(f"{base}/held"))
+        held.write.parquet(f"{own}/held")
+        if not self._placed(own, f"{self.path}/base={serial:012d}"):
+            return False
         for old in [base, *batches]:
             if old:
                 self._fs.delete(self._at(old), True)
+        for left in self._fs.globStatus(self._at(f"{self.path}/{WRITING}*")) or []:
+            if left.getModificationTime() < 1000 * (time.time() - stale):
+                self._fs.delete(left.getPath(), True)
+        return True
