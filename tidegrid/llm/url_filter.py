@@ -1,10 +1,11 @@
 """URL filters: host and path rules, then a character language-model ratio.
 
-Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are counted over all rows that a
-seed labeller can label: rejected are hosts with a label that holds a seed word, accepted are those without. An order is
-used as far as its context was seen; each is smoothed by the next shorter one (Witten-Bell). A URL without a rule is
-blocked when its log-likelihood difference by character exceeds a threshold, calibrated as a quantile of the accepted
-rows' scores. Counts are summed inside tasks before they are shuffled. No count is left out: up to ``max_contexts``
+Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are counted over labelled URLs: given
+ones (``labelled``), or else the table's own, by a seed labeller (rejected are hosts with a label that holds a seed word,
+accepted are those without). An order is used as far as its context was seen; each is smoothed by the next shorter one
+(Witten-Bell). One in ``HELD`` of the labelled URLs (by a hash of the URL) trains no model; the threshold is a quantile of
+the scores of the accepted ones among these. A URL without a rule is blocked when its log-likelihood difference by
+character exceeds it. Counts are summed inside tasks before they are shuffled. No count is left out: up to ``max_contexts``
 entries both models are broadcast (about 100 bytes an entry); beyond it the distinct contexts and symbols of the rows
 are joined with the counts, and what they add to a score is joined with the rows. Both ways add the same whole numbers,
 so that scores are equal to the last bit.
@@ -35,6 +36,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Words that mark a rejected host in the seed labels.
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "free", "pills", "poker", "porn", "slots", "spam", "track", "viagra", "win", "xxx")
 ORDER, MAX_CONTEXTS = 4, 400_000
+#: One in so many labelled URLs only calibrates the threshold.
+HELD = 5
 #: Contexts of so many symbols at most are broadcast in any case; the alphabet bounds them.
 LOW = 2
 #: Log-likelihood differences are summed as whole numbers of this part.
@@ -214,27 +217,32 @@ def joined_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return persisted(out.drop("row", "_sum", "_all"), "url-scores")
 
 
-def judged(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_blocks: float = 0.002, max_contexts: int = MAX_CONTEXTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, score`` of every row. The models read host and path."""
+def judged(pages: DataFrame, *, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_blocks: float = 0.002, max_contexts: int = MAX_CONTEXTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, score`` of every row. The models read host and path. ``labelled``: columns
+    ``url`` and ``accepted``; rows with a null in either, or without a host, teach nothing."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("text", F.concat("host", "path")).withColumn("rejected", seeded(F.col("host"), seeds))
-    labelled = rows.where("rejected is not null")
-    counts = persisted(counted(labelled), "url-counts")
+    rows = rows.withColumn("text", F.concat("host", "path"))
+    if labelled is None:
+        known = rows.select("text", seeded(F.col("host"), seeds).alias("rejected"))
+    else:
+        given = F.col("url").cast("string")
+        known = labelled.where(host_of(given) != "").select(F.concat(host_of(given), path_of(given)).alias("text"), (~F.col("accepted").cast("boolean")).alias("rejected"))
+    known = known.where("rejected is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0)
+    counts = persisted(counted(known.where("not held")), "url-counts")
     entries = {r.rejected: r["count"] for r in counts.groupBy("rejected").count().collect()}
-    rows = rows.select("page_id", "host", "path", "text", "rejected")
     threshold = math.inf
     if len(entries) < 2:
         out = rows.withColumn("score", F.lit(0.0))
     else:
+        held = known.where("held and not rejected").select("text")
         if sum(entries.values()) <= max_contexts:
             shared = collected(counts)
-            out, good = scores(rows, shared), scores(labelled.where("not rejected").select("text"), shared)
+            out, good = scores(rows, shared), scores(held, shared)
         else:
-            out = joined_scores(rows, counts)
-            good = out.where("not rejected")
+            out, good = joined_scores(rows, counts), joined_scores(held, counts)
         got = good.select(F.percentile_approx("score", 1 - false_blocks, 10_000)).first()[0]
-        threshold = max(0.0, got if got is not None and not np.isnan(got) else math.inf)
+        threshold = max(0.0, got if got is not None and not np.isnan(got) else 0.0)
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")
