@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,13 @@ CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 #: Patterns of the generators, by kind.
+AT_MARK, DOT_WORD = r"(?: ?\(at\) ?| ?\[at\] ?| ?\{at\} ?)", r"(?: ?\(dot\) ?| ?\[dot\] ?| ?\{dot\} ?| dot )"
 AT, DOT = r"(?: ?\(at\) ?| ?\[at\] ?| ?\{at\} ?| at | @ )", r"(?: ?\(dot\) ?| ?\[dot\] ?| ?\{dot\} ?| dot | \. |\.)"
+_LOCAL, _NAME = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}", r"[A-Za-z0-9\-]{1,63}"
 GENERATORS = (
+    # What is written out in full, whatever a plainer match before it has taken up.
+    (0, rf"(?i){_LOCAL}{AT}{_NAME}(?:{DOT_WORD}{_NAME}){{1,4}}", "words"),
+    (0, rf"(?i){_LOCAL}{AT_MARK}{_NAME}(?:{DOT}{_NAME}){{1,4}}", "words"),
     (0, rf"(?i)(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}{AT}[A-Za-z0-9\-]{{1,63}}(?:{DOT}[A-Za-z0-9\-]{{1,63}}){{1,4}}", "words"),
     (1, r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){2,7}:?[0-9a-f]{1,4}(?![0-9a-f:])", "digits"),
     (1, r"(?<![0-9.])[0-9]{1,3}(?: ?[.,] ?| ?\[\.\] ?| dot )[0-9]{1,3}(?: ?[.,] ?| ?\[\.\] ?| dot )[0-9]{1,3}(?: ?[.,] ?| ?\[\.\] ?| dot )[0-9]{1,3}(?![0-9.])", "digits"),
@@ -61,22 +67,27 @@ BEFORE, AFTER = 24, 8
 EXAMPLES = 1800
 
 
+def folded(items: Column, first: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 128) -> Column:
+    """A fold that gives an array: ``step`` turns what is carried and an item to what is carried on and an output (null:
+    none). Outputs are put together by blocks, so that no long array is copied for each item. What is carried at the end
+    is lost; ``kind`` is the outputs' type."""
+    nothing = F.array().cast(f"array<{kind}>")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))), lambda b: F.slice(items, b * block + 1, block))
+
+    def one(acc: Column, x: Column) -> Column:
+        carried, out = step(acc["c"], x)
+        return F.struct(carried.alias("c"), F.when(out.isNull(), acc["a"]).otherwise(F.concat(acc["a"], F.array(out))).alias("a"))
+
+    def whole(acc: Column, b: Column) -> Column:
+        inner = F.array(F.aggregate(b, F.struct(acc["c"].alias("c"), nothing.alias("a")), one))
+        return F.transform(inner, lambda r: F.struct(r["c"].alias("c"), F.concat(acc["a"], F.array(r["a"])).alias("a")))[0]
+
+    return F.flatten(F.aggregate(blocks, F.struct(first.alias("c"), F.array().cast(f"array<array<{kind}>>").alias("a")), whole)["a"])
+
+
 def running(lengths: Column) -> Column:
-    """Running sums of an array of ints, in blocks so that long arrays stay cheap."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / 128).cast("int"))),
-        lambda b: F.aggregate(
-            F.slice(lengths, b * 128 + 1, 128),
-            F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a")),
-            lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"] + x)).alias("a")),
-        ),
-    )
-    done = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).alias("s"), F.array().cast("array<array<int>>").alias("a")),
-        lambda acc, b: F.struct((acc["s"] + b["s"]).alias("s"), F.concat(acc["a"], F.array(F.transform(b["a"], lambda x: x + acc["s"]))).alias("a")),
-    )
-    return F.flatten(done["a"])
+    """Running sums of an array of ints."""
+    return folded(lengths, F.lit(0), "int", lambda c, x: (c + x, c + x))
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,own:string>>"
@@ -268,17 +279,26 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[int, str, str, str
     return out
 
 
+Example = tuple[int, str, str, str, int]
 _fitted: dict[str, Model] = {}
 
 
-def fitted(spark: SparkSession, precision: float = 0.97) -> Model:
-    """The model, fitted once for an application: every third example only calibrates the thresholds."""
-    if spark.sparkContext.applicationId in _fitted:
-        return _fitted[spark.sparkContext.applicationId]
-    rows = json.dumps([dict(zip(("kind", "own", "before", "after", "label"), r, strict=True)) for r in examples()])
-    given = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<kind:int,own:string,before:string,after:string,label:int>>")))
+def _features(spark: SparkSession, rows: Sequence[Example]) -> np.ndarray:
+    """Kind, label and features of candidates ``kind, own, before, after, label``."""
+    text = json.dumps([dict(zip(("kind", "own", "before", "after", "label"), r, strict=True)) for r in rows])
+    given = spark.range(1).select(F.posexplode(F.from_json(F.lit(text), "array<struct<kind:int,own:string,before:string,after:string,label:int>>")).alias("at", "r")).select("at", "r.*")
     x = features(F.col("kind"), F.col("own"), F.col("before"), F.col("after"))
-    got = np.array([list(r) for r in given.select("kind", "label", *[c.alias(k) for k, c in x.items()]).collect()], float)
+    return np.array([list(r)[1:] for r in sorted(given.select("at", "kind", "label", *[c.alias(k) for k, c in x.items()]).collect())], float)
+
+
+def fitted(spark: SparkSession, labelled: Sequence[Example] | None = None, precision: float = 0.97) -> Model:
+    """A model from labelled candidates (at most ``EXAMPLES``; by default those made from templates, fitted once for an
+    application): every third one only calibrates the thresholds, by kind the least score from which the share of real
+    ones is ``precision``."""
+    known = spark.sparkContext.applicationId
+    if labelled is None and known in _fitted:
+        return _fitted[known]
+    got = _features(spark, list(labelled if labelled is not None else examples())[:EXAMPLES])
     held = np.arange(len(got)) % 3 == 0
     trees, first = boosted(got[~held, 2:], got[~held, 1])
     score = first + sum(t.predict(got[held, 2:]) for t in trees)
@@ -289,9 +309,11 @@ def fitted(spark: SparkSession, precision: float = 0.97) -> Model:
         right = np.cumsum(labels[own][order]) / np.arange(1, own.sum() + 1)
         good = np.flatnonzero(right >= precision)
         at.append(max(0.5, float(score[own][order][good[-1]]) if len(good) else math.inf))
-    _fitted.clear()
-    _fitted[spark.sparkContext.applicationId] = Model(trees, first, tuple(at))
-    return _fitted[spark.sparkContext.applicationId]
+    model = Model(trees, first, tuple(at))
+    if labelled is None:
+        _fitted.clear()
+        _fitted[known] = model
+    return model
 
 
 def scored(text: Column, candidates: Column, model: Model) -> Column:
@@ -312,15 +334,31 @@ def scored(text: Column, candidates: Column, model: Model) -> Column:
 
 def resolved(chosen: Column, base: Column) -> Column:
     """Selections that overlap no base span; of selections that overlap each other the one with the best score."""
-    kind = "array<struct<start:int,kind:int,end:int,score:double>>"
-    free = F.filter(chosen, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    kind = "struct<start:int,kind:int,end:int,score:double>"
+    none = F.lit(None).cast(kind)
+    # All spans in order; base spans (without a score) reach over what begins before their furthest end so far, and in the
+    # other direction a selection reaches over the base spans that begin before its end.
+    plain = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit(None).cast("double").alias("score")))
+    whole = F.array_sort(F.concat(chosen, plain).cast(f"array<{kind}>"))
+
+    def forth(reach: Column, s: Column) -> tuple[Column, Column]:
+        is_base = s["score"].isNull()
+        return F.when(is_base, F.greatest(reach, s["end"])).otherwise(reach), F.when(is_base | (reach <= s["start"]), s).otherwise(none)
+
+    def back(begin: Column, s: Column) -> tuple[Column, Column]:
+        is_base = s["score"].isNull()
+        return F.when(is_base, F.least(begin, s["start"])).otherwise(begin), F.when(~is_base & (begin >= s["end"]), s).otherwise(none)
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        crosses = (F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"])
-        return F.when(~crosses, F.concat(acc, F.array(s))).when(s["score"] > last["score"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))).otherwise(acc)
+    ahead = folded(whole, F.lit(-1), kind, forth)
+    free = F.reverse(folded(F.reverse(ahead), F.lit(2**31 - 1), kind, back))
 
-    return F.aggregate(F.array_sort(free), F.array().cast(kind), step)
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
+        crosses = last.isNotNull() & (s["start"] < last["end"])
+        return F.when(crosses & (s["score"] <= last["score"]), last).otherwise(s), F.when(crosses, none).otherwise(last)
+
+    # One more item, beyond all others, brings out the last.
+    end = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(0).alias("kind"), F.lit(2**31 - 1).alias("end"), F.lit(0.0).alias("score")).cast(kind))
+    return folded(F.concat(free, end), none, kind, step)
 
 
 def written(spans: Column) -> Column:
@@ -329,16 +367,55 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(names[s["kind"]], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+def spans_of(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (with a column ``text``, never null) with ``base``, the spans of the fixed patterns, and ``more``, those that
+    the trees select; both in order."""
+    text, kept = F.col("text"), [c for c in rows.columns if c != "text"]
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    rows = rows.select(*kept, "text", F.contains(text, F.lit("@")).alias("_at"), text.rlike("[0-9]").alias("_digits"), text.rlike(WORDS).alias("_words"))
+    base = base_spans(text, F.col("_at"), F.col("_digits"))
+    proposed = [_possible(found(text, pattern, kind, F.col(f"_{gate}")), kind) for kind, pattern, gate in GENERATORS]
+    rows = rows.select(*kept, "text", F.array_sort(plain(F.concat(*base))).alias("base"), F.array_distinct(F.concat(*proposed)).alias("_proposed"))
+    more = F.when(F.size("_proposed") > 0, resolved(scored(text, F.col("_proposed"), model), F.col("base")))
+    return rows.select(*kept, "text", "base", F.coalesce(plain(more), F.array().cast(kind)).alias("more"))
+
+
 def scanned(docs: DataFrame, *, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """By row ``doc_id``, counts of the base kinds, the digest of their spans, and all spans."""
-    model = model or fitted(docs.sparkSession)
-    text = F.col("text")
+    """By row ``doc_id``, counts of the base kinds, the digest of their spans, all spans, and their number."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.contains(text, F.lit("@")).alias("at"), text.rlike("[0-9]").alias("digits"), text.rlike(WORDS).alias("words"))
-    base = base_spans(text, F.col("at"), F.col("digits"))
-    proposed = [_possible(found(text, pattern, kind, F.col(gate)), kind) for kind, pattern, gate in GENERATORS]
-    rows = rows.select("doc_id", "text", *[b.alias(k) for b, k in zip(base, KINDS, strict=True)], F.array_distinct(F.concat(*proposed)).alias("proposed"))
-    rows = rows.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("base"), "proposed")
-    rows = rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base", F.when(F.size("proposed") > 0, resolved(scored(text, F.col("proposed"), model), F.col("base"))).alias("more"))
-    more = F.coalesce(F.transform("more", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", more))).alias("spans"))
+    rows = spans_of(rows, model or fitted(docs.sparkSession))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    every = F.concat("base", "more")
+    return rows.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_sort(every)).alias("spans"), F.size(every).cast("long").alias("n_spans"))
+
+
+def redacted(docs: DataFrame, *, model: Model | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span replaced by its kind in brackets; of spans that overlap, the first and what reaches over its
+    end are one. A null text stays null; a column ``n_chars`` follows the text."""
+    names = docs.columns
+    inner = [f"_c{i}" for i in range(len(names))]  # whatever the columns are called
+    own = inner[names.index(text_col)]
+    rows = docs.toDF(*inner).withColumn("text", F.coalesce(F.col(own).cast("string"), F.lit("")))
+    rows = spans_of(rows, model or fitted(docs.sparkSession))
+    kind, none = "struct<start:int,kind:int,end:int>", F.lit(None).cast("struct<start:int,kind:int,end:int>")
+
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
+        crosses = last.isNotNull() & (s["start"] < last["end"])
+        one = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(crosses, one).otherwise(s), F.when(crosses, none).otherwise(last)
+
+    end = F.array(F.struct(F.lit(2**31 - 2).alias("start"), F.lit(0).alias("kind"), F.lit(2**31 - 2).alias("end")).cast(kind))
+    apart = F.concat(folded(F.concat(F.array_sort(F.concat("base", "more")), end), none, kind, step), end)
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    pieces = folded(apart, F.lit(0), "string", lambda at, s: (s["end"], F.concat(F.substring(F.col("text"), at + 1, s["start"] - at), F.when(s["start"] < 2**31 - 2, marks[s["kind"]]).otherwise(F.lit("")))))
+    text = F.when(F.col(own).isNotNull(), F.array_join(pieces, ""))
+    rows = rows.withColumn(own, text)
+    if "n_chars" in names:
+        at = inner[names.index("n_chars")]
+        rows = rows.withColumn(at, F.length(own).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*inner).toDF(*names)
