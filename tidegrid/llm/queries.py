@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, ngram_join, packing, pii, quality_rules, secrets_scan, sharding, token_counts, url_filter
-from .store import persisted, shared_dir
+from .store import persisted, scope, temporary
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
 OP7_SQL = """
@@ -50,14 +49,12 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) AS h FROM documents
-), b AS (SELECT least(24, 4 + greatest(0, CAST(ceil(log2(greatest(1, sum(n_bytes) / 1048576.0))) AS INTEGER))) AS bits FROM d
-), p AS (
-  SELECT doc_id, n_bytes, bits, unnest(generate_series(0, bits)) AS depth, h >> (32 - bits) AS fine FROM d, b
-), q AS (SELECT doc_id, n_bytes, bits, depth, fine >> (bits - depth) AS bucket FROM p
+), p AS (SELECT doc_id, n_bytes, h, unnest(generate_series(0, 32)) AS depth FROM d
+), q AS (SELECT doc_id, n_bytes, depth, h >> (32 - depth) AS bucket FROM p
 ), s AS (SELECT depth, bucket, sum(n_bytes) AS total FROM q GROUP BY depth, bucket
 ), l AS (
   SELECT doc_id, n_bytes, min({'depth': q.depth, 'bucket': q.bucket}) AS leaf FROM q JOIN s ON q.depth = s.depth AND q.bucket = s.bucket
-  WHERE s.total <= 1048576 OR q.depth = q.bits GROUP BY doc_id, n_bytes
+  WHERE s.total <= 1048576 OR q.depth = 32 GROUP BY doc_id, n_bytes
 )
 SELECT doc_id, n_bytes, leaf.depth AS depth, leaf.bucket AS bucket, CAST(0 AS BIGINT) AS page, false AS overflow, concat(leaf.depth, '-', leaf.bucket) AS shard FROM l
 """
@@ -71,21 +68,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces in sequences of 2048 tokens, sources mixed in proportion to their tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Every document's pieces in sequences of 2048 tokens. Sources are mixed by their tokens to the power 0.7, so that small
+    ones come earlier than their share."""
+    return packing.pack(table(spark, sf_dir, "documents"), temperature=0.7)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after four commits: all documents come; all counts are revised
     to include the end id, under a new version; documents without text go; the first batch comes again and is ignored."""
-    counts = persisted(token_counts.counted(table(spark, sf_dir, "documents")), "token-counts")
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/tidegrid/rollup-{uuid.uuid4().hex}")
-    ended = counts.withColumns({"tokenizer_version": F.concat("tokenizer_version", F.lit("+end")), "n_tokens": F.col("n_tokens") + 1})
-    rollup.commit("load", token_counts.inserted(counts))
-    rollup.commit("revise", token_counts.revised(counts, ended))
-    rollup.commit("purge", token_counts.deleted(ended.where("n_tokens = 1")))
-    rollup.commit("load", token_counts.inserted(counts))
-    return rollup.totals()
+    with scope() as here:
+        counts = persisted(token_counts.counted(table(spark, sf_dir, "documents")), "token-counts")
+        rollup = token_counts.Rollup(spark, temporary(spark, "rollup"))
+        ended = counts.withColumns({"tokenizer_version": F.concat("tokenizer_version", F.lit("+end")), "n_tokens": F.col("n_tokens") + 1})
+        rollup.commit("load", token_counts.inserted(counts))
+        rollup.commit("revise", token_counts.revised(counts, ended))
+        rollup.commit("purge", token_counts.deleted(ended.where("n_tokens = 1")))
+        rollup.commit("load", token_counts.inserted(counts))
+        return here.result(rollup.totals(), "token-totals")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
