@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -90,7 +91,46 @@ def test_packing(docs, texts, odd, empty):
     check_packing(got, {1: [1], 2: [1], 5: hugging(ODD[5][1]) + [1]})
     assert sum(r.doc_id == 6 for r in got) == 2 and sum(r.doc_id is None for r in got) == 1
     assert packing.pack(empty).count() == 0
-    assert packing.pack(docs, proportions={"src0": 0.5}).agg(F.sum("length")).first()[0] == pieces.length.sum()
+
+
+def round_robin(queues, quanta, packet):
+    """Plain deficit round-robin: queues of (document, tokens), in order; packets (document, start, length) as they are sent."""
+    waiting = {q: [(d, s, min(packet, n - s)) for d, n in own for s in range(0, n, packet)] for q, own in queues.items()}
+    spent, sent, rounds = dict.fromkeys(queues, 0), [], 0
+    while any(waiting.values()):
+        rounds += 1
+        for q in sorted(waiting):
+            while waiting[q] and waiting[q][0][2] <= rounds * quanta[q] - spent[q]:  # the deficit, without sums of rounding errors
+                spent[q] += waiting[q][0][2]
+                sent.append(waiting[q].pop(0))
+    return sent
+
+
+@pytest.mark.parametrize(("proportions", "temperature"), [({"a": 0.125, "b": 0.5}, 1.0), (None, 0.0), ({"c": 0.25}, 0.5)])
+def test_packing_is_deficit_round_robin(spark, proportions, temperature):
+    """Window by window as the plain scheduler fills them, with targets far from the natural shares, over several tasks."""
+    rng = random.Random(7)
+    rows = [(i, "x y " * rng.randint(0, 900), rng.choice("aaaabbc")) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = {i: len(hugging(t)) + 1 for i, t, _ in rows}
+    queues = {q: [(i, ids[i]) for i, _, s in rows if s == q] for q in "abc"}
+    total = {q: sum(n for _, n in own) for q, own in queues.items()}
+    given = proportions or {}
+    rest = sum(n**temperature for q, n in total.items() if q not in given)
+    quanta = {q: max(256 * given.get(q, (1 - sum(given.values())) * n**temperature / rest), 1.0) for q, n in total.items()}
+    want, at = [], 0
+    for doc, start, length in round_robin(queues, quanta, 100):
+        while length:
+            n = min(length, 256 - at % 256)
+            want.append((at // 256, at % 256, doc, start, n))
+            at, start, length = at + n, start + n, length - n
+    for blocks in (3, 4096):
+        got = packing.pack(df, window=256, packet=100, proportions=proportions, temperature=temperature, most_blocks=blocks).collect()
+        assert sorted((r.sequence_id, r.offset, r.doc_id, r.start, r.length) for r in got) == want
+    if proportions == {"a": 0.125, "b": 0.5}:  # windows hold the targets while all queues last
+        first = [w for w in want if w[0] < 20]
+        source = {i: s for i, _, s in rows}
+        assert abs(sum(w[4] for w in first if source[w[2]] == "b") / sum(w[4] for w in first) - 0.5) < 0.06
 
 
 def test_packing_round_trip(docs, texts):
@@ -124,6 +164,32 @@ def test_token_counts(spark, docs, texts, odd, empty, tmp_path):
     assert rollup.totals().count() == 0
 
 
+def test_compaction_neither_loses_nor_doubles(spark, tmp_path):
+    one = spark.createDataFrame([("a", "en", "v", 1, 10)], token_counts.SCHEMA)
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    total = lambda: [tuple(r) for r in rollup.totals().collect()]
+    rollup.commit("first", one)
+    # A batch that comes while the others are folded counts once, before and after the next compaction.
+    summed = rollup._summed
+    rollup._summed = lambda *a: (rollup.commit("meanwhile", one), summed(*a))[1]
+    assert rollup.compact()
+    rollup._summed = summed
+    assert total() == [("a", "en", "v", 2, 20)] and not rollup.commit("first", one) and not rollup.commit("meanwhile", one)
+    assert rollup.compact() and total() == [("a", "en", "v", 2, 20)]
+    assert not rollup.commit("first", one) and not rollup.commit("meanwhile", one)
+    # Where the table can't be put in place nothing is deleted.
+    rollup.commit("third", one)
+    placed = rollup._placed
+    rollup._placed = lambda *a: False
+    assert not rollup.compact()
+    rollup._placed = placed
+    assert total() == [("a", "en", "v", 3, 30)]
+    # A writer that died leaves a folder that isn't read, and goes in the end.
+    (tmp_path / "r" / "_writing-dead").mkdir()
+    assert total() == [("a", "en", "v", 3, 30)] and rollup.compact(stale=-5.0)
+    assert not list((tmp_path / "r").glob("_writing-*")) and total() == [("a", "en", "v", 3, 30)]
+
+
 def test_url_rules_and_model(spark):
     rows = [(1, "http://A.Example.NET/en/1?x"), (2, "https://x.example.net/fr/1"), (3, "http://example.com/de/"), (4, "http://b.org/fr/#t"), (5, "http://b.org/en/"), (6, None), (7, "no scheme"), (8, "http://notexample.com/de/1"), (8, "http://notexample.com/de/1"), (9, "http://foo.net"), (10, "a://b://c/d"), (11, "")]
     got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))).collect()}
@@ -137,6 +203,39 @@ def test_url_rules_and_model(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_on_the_whole_table(spark):
+    """Host, path and rule of every page against plain string operations, and verdicts where a rule decides."""
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    for r in queries.op3_url_filters(spark, DATA).collect():
+        host = path = ""
+        if "://" in (pages[r.page_id] or ""):
+            rest = pages[r.page_id].split("://", 1)[1]
+            host = re.split("[/?#]", rest)[0]
+            path = re.split("[?#]", rest[len(host) :])[0]
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
+        assert r.verdict == max(fits)[2] if fits else r.verdict in ("block", "allow")
+
+
+def test_url_models_learn_given_labels(spark):
+    """Labels that no seed word gives: held-out URLs are told apart, and few accepted ones are blocked."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+    url = lambda good: f"http://{word('aeioubdlmnrst' if good else 'qxzjkvwy0123')}.info/{word('aeioubdlmnrst' if good else 'qxzjkvwy0123')}/{rng.randint(1, 99)}"
+    rows = [(i, url(i % 3 > 0), i % 3 > 0) for i in range(3000)]
+    train = [(u, a) for i, u, a in rows if i < 2000] + [(None, True), ("no scheme", False), ("http://q.info/", None)]
+    test = spark.createDataFrame([(i, u) for i, u, _ in rows if i >= 2000] + [(-1, "http://" + "a" * 100_000 + ".info/" + "b" * 100_000)], "page_id long, url string")
+    labelled = spark.createDataFrame(train, "url string, accepted boolean")
+    both = [{r.page_id: r.verdict for r in url_filter.judged(test, labelled=labelled, false_blocks=0.01, max_contexts=n).collect()} for n in (10**9, 0)]
+    assert both[0] == both[1] and len(both[0]) == 1001
+    good = [both[0][i] for i, _, a in rows if i >= 2000 and a]
+    bad = [both[0][i] for i, _, a in rows if i >= 2000 and not a]
+    assert good.count("block") <= 0.03 * len(good) and bad.count("block") >= 0.95 * len(bad)
+    assert url_filter.judged(test, labelled=labelled.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def test_url_verdicts_do_not_depend_on_max_contexts(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     more = spark.createDataFrame([(-1, None), (-2, "http://Ünder😀^.org/\n~^a?b"), (-3, "http://spam.org/x"), (-3, "http://spam.org/x"), (-4, "")], "page_id long, url string")
@@ -244,6 +343,62 @@ def test_pii_address_of_every_form_is_proposed(spark):
     assert {r.doc_id: r.spans for r in pii.scanned(df, model=every).collect()} == {i: ("email:3:%d" % (3 + len(t))) for i, t in enumerate(forms)}
 
 
+def test_pii_spans_of_the_trees_by_recall_and_precision(spark):
+    """Whole sentences with cues other than the features look for, in other shapes than the fixed patterns find."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("river stone garden window orange silver market".split())
+    digits = lambda k: "".join(str(rng.randint(0, 9)) for _ in range(k))
+
+    def luhn(k):
+        body = digits(k - 1)
+        return body + next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(body + c))) % 10 == 0)
+
+    cards = lambda: (lambda c, s: s.join(c[i : i + 4] for i in range(0, 16, 4)))(luhn(16), rng.choice("./"))
+    make = {
+        "email": lambda: f"{word()}{rng.choice(('.', '_'))}{word()}{rng.choice((' (at) ', ' at ', '[at]'))}{word()}{rng.choice((' (dot) ', ' dot ', '[dot]'))}{rng.choice(('com', 'org'))}",
+        "ip": lambda: rng.choice(("[.]", " . ", " dot ")).join(str(rng.randint(1, 255)) for _ in range(4)),
+        "card": cards,
+        "phone": lambda: rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{rng.randint(1, 9)}{digits(10)}")),
+    }
+    clean = [lambda: f"{digits(4)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 99)}.{rng.randint(0, 9)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{word()} at {word()}. Then", lambda: f"{digits(3)},{digits(3)}", lambda: f"{digits(4)} {word()}"]
+    texts, real = [], {}
+    for i in range(800):
+        kind = rng.choice(list(make)) if i % 2 else None
+        lead = f"the {word()} {rng.choice(('is', 'said', 'has', 'was sent to', 'under'))} "
+        own = make[kind]() if kind else rng.choice(clean)()
+        texts.append((i, f"{lead}{own} and so the {word()} went on"))
+        if kind:
+            real[i] = (kind, len(lead), len(lead) + len(own))
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for kind in make:
+        own = [i for i in real if real[i][0] == kind]
+        hit = sum(any(k == kind and int(a) < real[i][2] and real[i][1] < int(b) for k, a, b in got[i]) for i in own)
+        print("recall", kind, round(hit / len(own), 3), "of", len(own))
+        assert hit >= 0.9 * len(own), kind
+    wrong = sum(bool(got[i]) for i, _ in texts if i not in real)
+    print("clean texts with a span", wrong, "of", 400)
+    assert wrong <= 20
+    assert pii.scanned(spark.createDataFrame([(1, "contact me at joe.smith at example dot com")], "doc_id long, text string")).first().spans == "email:14:42"
+
+
+def test_pii_redaction(spark, odd, empty):
+    rows = [(1, "é mail a.b@c.org, +1 (212) 555-0199 or 10.0.0.1", "en", "a", 3), (2, None, "en", "a", None), (3, "clean", "en", "a", 5), (4, "1.2.3.4 " * 500, "en", "a", 0), (5, "", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("base", "more", "_at", "_digits", "_proposed", "_c1")})
+    got = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert got[1].text == "é mail [EMAIL], [PHONE] or [IP]" and got[1].n_chars == len(got[1].text) and got[2].text is None and got[3].text == "clean"
+    assert got[4].text == "[IP] " * 500 and got[5].text == "" and pii.redacted(df).columns == df.columns
+    assert pii.redacted(odd).count() == len(ODD) and pii.redacted(empty).count() == 0
+
+
+def test_pii_model_from_given_labels(spark):
+    """A model fitted on labels that turn the templates' round selects what they call real."""
+    turned = [(k, own, a, b, 1 - y) for k, own, a, b, y in pii.examples(900, seed=5)]
+    given, plain = pii.fitted(spark, turned), pii.fitted(spark)
+    x = pii._features(spark, pii.examples(300, seed=6))
+    score = lambda m: m.first + sum(t.predict(x[:, 2:]) for t in m.trees)
+    assert np.corrcoef(score(given), score(plain))[0, 1] < -0.8 and pii.fitted(spark) is plain
+
+
 def test_pii_model_separates_held_out_examples(spark):
     model = pii.fitted(spark)
     rows = [dict(zip(("kind", "own", "before", "after", "label"), r, strict=True)) for r in pii.examples(600, seed=99)]
@@ -268,6 +423,7 @@ def test_secrets(spark, texts, odd, empty):
     check_spans(secrets_scan.scanned(df).collect(), dict(enumerate(cases)), secrets_base, secrets_scan.KINDS)
     check_spans(queries.op6_secret_scans(spark, DATA).collect(), texts, secrets_base, secrets_scan.KINDS)
     assert secrets_scan.scanned(odd).count() == len(ODD) and secrets_scan.scanned(empty).count() == 0
+    assert secrets_scan.redacted(odd).columns == odd.columns and secrets_scan.redacted(odd).count() == len(ODD) and secrets_scan.redacted(empty).count() == 0
     clean = secrets_scan.redacted(spark.createDataFrame([(1, "é token = abcdefgh1 and 0123456789abcdef0123456789abcdef.", "en", "a", 3), (2, None, "en", "a", None)], DOCS)).orderBy("doc_id").collect()
     assert clean[0].text == "é [SECRET] and [SECRET]." and clean[0].n_chars == len(clean[0].text) and clean[1].text is None
 
@@ -284,6 +440,17 @@ def test_entropy_by_incremental_counts():
                 if set(w) <= kind.members and h >= kind.bits - 1e-12 and sum(c.isdigit() for c in w) >= kind.digits and sum(c.islower() for c in w) >= kind.lower and sum(c.isupper() for c in w) >= kind.upper:
                     want |= set(range(i, i + kind.window))
             assert {p for a, b in secrets_scan.entropy_runs(text, kind) for p in range(a, b)} == want
+    rng, found = random.Random(3), {16: 0, 24: 0}
+    for n in found:
+        for i in range(2000):
+            kind = secrets_scan.CLASSES[i % 5]
+            found[n] += bool(secrets_scan.all_spans("so " + "".join(rng.choice(sorted(kind.members - set("+/_=-"))) for _ in range(n)) + " it")[1])
+    assert found[16] >= 0.85 * 2000 and found[24] >= 0.97 * 2000, found
+    for t in ("internationalization", "a-rather-long-hyphenated-word", "https://example.org/some/path/2024/01/index.html", "CamelCaseIdentifierName", "2024-01-02T10:20:30", "1234567890123456"):
+        assert secrets_scan.all_spans(t)[1] == [], t
+    assert secrets_scan.all_spans("key Zx9Kq2LmV7tRw4YpB8nJc3Hd ok", allowed=secrets_scan.allow_list(["Zx9.*"]))[1] == []
+    many = " ".join(f"token = abcdefgh{i} Zx9Kq2LmV7tRw4YpB8nJc3Hd{i}" for i in range(50))
+    assert len(secrets_scan.all_spans(many)[1]) == 100
     assert secrets_scan.all_spans("key Zx9Kq2LmV7tRw4YpB8nJc3Hd ok")[1] == [(4, 3, 28)]
     assert secrets_scan.all_spans("id 123e4567-e89b-12d3-a456-426614174000")[1] == []
 
@@ -344,6 +511,52 @@ def test_near_duplicates_edges(spark, odd, empty):
     assert {r.component_id for r in ngram_join.near_duplicates(twice).collect()} == {3}
 
 
+def test_near_duplicates_of_long_sets_and_a_large_family(spark):
+    """Sets beyond the short bitmaps, one family of a thousand, and pairs on either side of the bound."""
+    rng = random.Random(9)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(4000)]
+    texts = {0: " ".join(long)}
+    for i, cut in enumerate((3, 60, 83, 90, 100, 140, 400), 1):  # each changed word takes five shingles
+        own = list(long)
+        for k in range(cut):
+            own[10 + k * (3900 // cut)] = f"z{i}_{k}"
+        texts[i] = " ".join(own)
+    texts[8], texts[9] = " ".join(long[:3300]), " ".join(long[:3100])
+    texts |= {20 + i: t for i, t in enumerate(family(4, 1000, 60))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df.repartition(6)).collect()}
+    assert got == join_brute(texts)
+
+
+def test_long_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((600, 700, 500), (520, 3000, 20), (5000, 5200, 4900)):
+        x, shared = rng.integers(0, 2**63, n + m, dtype=np.uint64), both
+        a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:shared], x[n : n + m - shared]]))
+        maps = ngram_join.long_maps(np.concatenate([a, b]), np.array([0, n, n + m])).to_pylist()
+        assert ngram_join.apart(*maps) == ngram_join.apart(*maps[::-1]) <= n + m - 2 * shared
+        assert ngram_join.apart(maps[0], maps[0]) == 0
+    assert ngram_join.long_maps(np.arange(600, dtype=np.uint64), np.array([0, 512, 600])).to_pylist() == [None, None]
+
+
+def test_intermediate_tables_go(spark):
+    """What operators write on their way is deleted; what they hand on stays."""
+    from tidegrid.llm.store import persisted, scope, shared_dir
+
+    at = shared_dir(spark).removeprefix("file://") + "/tidegrid"
+    before = set(os.listdir(at)) if os.path.exists(at) else set()
+    out = ngram_join.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+    left = set(os.listdir(at)) - before
+    assert len(left) == 1 and left.pop().startswith("join-result") and out.count() == 2
+    with scope() as outer:
+        with scope() as inner:
+            one = persisted(spark.range(3), "one")
+            two = inner.result(one, "two")
+        assert two.count() == 3 and not [n for n in os.listdir(at) if n.startswith("one-")]
+        outer.drop()
+    assert not [n for n in os.listdir(at) if n.startswith("two-")]
+
+
 def test_rows_of_one_id_keep_the_links_of_each_text(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
     rows = [(9, a), (9, b), (3, a), (20, b + " more"), (None, b), (30, "quite another text of its own"), (30, None)]
@@ -402,6 +615,13 @@ def test_decontamination(spark, odd, empty):
     passage = " ".join(f"p{i}" for i in range(15))
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     rows = [(1, "start here " + passage.upper() + ", " + "and so on " * 20, "en", "a", 0), (2, passage, "en", "a", 0), (3, "clean", "en", "a", 5), (4, None, "en", "a", None)]
+    bench = bench.unionByName(spark.createDataFrame([(2, "other words that are in no document at all " * 3), (3, None)], bench.schema))
+    clash = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("row", "spans", "_row", "_SPANS", "n_words", "items")})
+    first = [sorted(map(tuple, decontam.cleaned(clash, bench, most_windows=n).collect()), key=str) for n in (2_000_000, 10)]
+    assert first[0] == first[1] and decontam.cleaned(clash, bench).columns == clash.columns
+    for most in (2_000_000, 5):  # a very long text, repeated and null ids, an empty table
+        kept = decontam.cleaned(odd, bench, most_windows=most)
+        assert kept.columns == odd.columns and kept.count() == len(ODD) and decontam.cleaned(empty, bench, most_windows=most).count() == 0
     out = {r.doc_id: r for r in decontam.cleaned(spark.createDataFrame(rows, DOCS), bench).collect()}
     assert out[1].text == "start here , " + "and so on " * 20 and out[1].n_chars == len(out[1].text) and 2 not in out and out[3].text == "clean" and out[4].text is None
 
@@ -458,39 +678,85 @@ def test_decision_list_column_is_its_prediction(spark):
     assert rows.k.tolist() == rules.predict({n: rows[n].to_numpy() for n in quality_rules.FEATURES}).tolist() == [False, False, True, True]
 
 
+def chat_brute(convs, models, half):
+    """Plain Viterbi by lines: ``convs`` maps a conversation to its ordered texts; turns as (role, text)."""
+    markers = [re.compile(p) for _, p in chat_format.MARKERS]
+    out = {}
+    for conv, texts in convs.items():
+        own, states = models[1 - half[conv]], range(chat_format.STATES)
+        lines = [(line, i == 0) for t in texts for i, line in enumerate(t.split("\n"))]
+        best = []
+        for k, (line, first) in enumerate(lines):
+            marker = next((i + 1 for i, m in enumerate(markers) if m.match(line)), 0) + 4 * first
+            cell = (marker * 10 + min(9, int(math.log2(len(line) + 1)))) * 2 + line.rstrip(" ").endswith("?")
+            step = {}
+            for s in states:
+                if not k:
+                    came = (own.start[s] if s < 3 else -math.inf, None)
+                else:
+                    came = max(((best[-1][p][0] + own.step[p][s], p) for p in states), key=lambda x: x[0])
+                step[s] = (came[0] + own.emit[s][cell], came[1])
+            best.append(step)
+        path = [max(states, key=lambda s: best[-1][s][0])]
+        for step in best[:0:-1]:
+            path.append(step[path[-1]][1])
+        turns, k = [], 0
+        for text in texts:
+            for line in text.split("\n"):
+                state = path[::-1][k]
+                k += 1
+                if state < 3:
+                    turns.append((chat_format.ROLES[state], []))
+                turns[-1][1].append(line)
+        canon = []
+        for role, part in turns:
+            plain = "\n".join(part)
+            for _, pattern in chat_format.MARKERS:
+                plain = re.sub(r"(?i)" + pattern.removeprefix("(?i)") + r"\s*", "", plain)
+            canon.append((role, f"<|{role}|>\n{plain.strip(' ')}\n<|end|>\n"))
+        out[conv] = canon
+    return out
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "System: be kind"), (1, 1, "user", "User: what is this?"), (1, 2, "assistant", "Assistant: a test.\nOf two lines."), (2, 0, None, "Human: hi"), (2, 1, "user", None), (2, 1, "user", None), (None, 3, "odd", "AI: hello")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(4, None, None, "User: b\nmore of b\nAssistant: c\nUser: d?"), (4, None, None, "User: b\nmore of b\nAssistant: c\nUser: d?"), (5, 0, None, "line of text\n" * 20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("conv", "part", "half", "x", "row", "way", "edge")})
     got = chat_format.formatted(df).collect()
-    assert len(got) == len(rows)
-    by = {(r.conv_id, r.turn): r for r in got}
-    assert [by[k].role for k in ((1, 0), (1, 1), (1, 2), (2, 0), (None, 3))] == ["system", "user", "assistant", "user", "assistant"]
-    assert by[1, 2].rendered == "<|assistant|>\na test.\nOf two lines.\n<|end|>\n"
+    assert len(got) == len(rows) + 4
+    by = {(r.conv_id, r.turn, r.part): r for r in got}
+    assert [by[*k, 0].role for k in ((1, 0), (1, 1), (1, 2), (2, 0), (None, 3))] == ["system", "user", "assistant", "user", "assistant"]
+    assert by[1, 2, 0].rendered == "<|assistant|>\na test.\nOf two lines.\n<|end|>\n"
+    assert [by[4, None, i].rendered for i in range(3)] == ["<|user|>\nb\nmore of b\n<|end|>\n", "<|assistant|>\nc\n<|end|>\n", "<|user|>\nd?\n<|end|>\n"]
+    assert sum(r.conv_id == 4 for r in got) == 6 and by[2, 1, 0].rendered.endswith("|>\n\n<|end|>\n")
     assert chat_format.formatted(spark.createDataFrame([], df.schema)).count() == 0
-    conv = spark.read.parquet(f"{DATA}/conversations.parquet")
-    joined = queries.op8_chat_formatting(spark, DATA).withColumnRenamed("role", "r").join(conv, ["conv_id", "turn"])
-    assert joined.where("r = role").count() >= 0.9 * conv.count()
+    # Roles of conversations that the model was not fitted on (each half is decoded by the other's).
+    sf = "/root/testdata/sf0.01"
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    joined = queries.op8_chat_formatting(spark, sf).withColumnRenamed("role", "r").join(conv, ["conv_id", "turn"])
+    assert joined.count() == conv.count() and joined.where("r = role").count() >= 0.9 * conv.count()
 
 
-def test_viterbi_in_pieces_is_viterbi_as_a_whole(spark):
+def test_viterbi_over_partitions_is_plain_viterbi(spark):
     rng = np.random.default_rng(0)
-    start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), [rng.dirichlet([1] * s, 3) for s in chat_format.SIZES]
-    model = chat_format.Hmm(np.log(start), np.log(move), [np.log(e) for e in emit])
-    texts = ["x" * int(rng.integers(1, 400)) + ("?" if rng.random() < 0.4 else "") for _ in range(90)]
-    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
-    want = [r.role for r in chat_format.formatted(df, piece=1000, model=model).orderBy("turn").collect()]
-    assert [r.role for r in chat_format.formatted(df, piece=7, model=model).orderBy("turn").collect()] == want
-    x = np.array([r.x for r in chat_format.prepared(df).orderBy("turn").collect()])
-    seen, score, back = model.seen(x), None, []
-    for i, row in enumerate(seen):
-        if i:
-            step = score[:, None] + model.move
-            back.append(step.argmax(0))
-        score = model.start + row if not i else step.max(0) + row
-    states = [int(score.argmax())]
-    for b in back[::-1]:
-        states.append(int(b[states[-1]]))
-    assert [chat_format.ROLES[s] for s in states[::-1]] == want
+    models = tuple(chat_format.Hmm.of(rng.integers(0, 50, 3), rng.integers(0, 50, (3, 3)), rng.integers(0, 9, (6, chat_format.CELLS))) for _ in range(2))
+    line = lambda: str(rng.choice(["User: ", "Assistant: ", "System: ", "", "", "> quoted Bot: "])) + "x" * int(rng.integers(0, 200)) + ("?" if rng.random() < 0.4 else "")
+    texts = {c: ["\n".join(line() for _ in range(rng.integers(1, 6))) for _ in range(n)] for c, n in enumerate([150, 1, 2, 3, 40, 1, 1, 90, 2])}
+    df = spark.createDataFrame([(c, i, "user", t) for c, own in texts.items() for i, t in enumerate(own)], "conv_id long, turn long, role string, text string")
+    half = {r.conv: r.half for r in chat_format.prepared(df).select("conv", "half").distinct().collect()}
+    want = chat_brute(texts, models, half)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {}
+            for r in sorted(chat_format.formatted(df, models=models).collect(), key=lambda r: (r.conv_id, r.turn, r.part)):
+                got.setdefault(r.conv_id, []).append((r.role, r.rendered))
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_sql_of_op7_and_op9(spark):
