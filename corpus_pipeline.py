@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import decontam, ngram_join, packing, quality_rules, secrets_scan
-from tidegrid.llm.store import persisted
+from tidegrid.llm.store import scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,8 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """Packs what is left into sequences of 2048 tokens, sources mixed by their tokens to the power 0.7."""
+    return packing.pack(docs, temperature=0.7)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope() as here:  # what a stage writes on its way goes as its result is there
+            docs = here.result(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
