@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import col, group_of, numeric_columns
+from ..functions.order import average_ranks
 from ..functions.windows import ordered
 
 
@@ -79,27 +80,74 @@ def incident_curves_information(df: DataFrame, time_col: str, return_aggregated:
     )
 
 
-def _average_rank(value: Column, both: Column, by: Sequence[str]) -> Column:
-    """Average ranks among the rows where both values are there."""
-    w = Window.partitionBy(*by, both).orderBy(value)
-    ties = Window.partitionBy(*by, both, value)
-    return F.when(both, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+def _rises(order: np.ndarray) -> int:
+    """Pairs of places i < j with ``order[i] < order[j]``, bit by bit: where two numbers part, the one with the bit comes later."""
+    total = 0
+    for bit in range(int(order.max(initial=0)).bit_length() - 1, -1, -1):
+        part = order >> (bit + 1)
+        own = np.argsort(part, kind="stable")
+        one = (order[own] >> bit) & 1
+        zeros = np.cumsum(1 - one)
+        first = np.searchsorted(part[own], part[own], side="left")
+        total += int((one * (zeros - (zeros - (1 - one))[first])).sum())
+    return total
 
 
-def _kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """Kendall's tau-b, by blocks of rows against all."""
-    same, ties_x, ties_y, n = 0.0, 0.0, 0.0, len(x)
-    for i in range(0, n, 1000):
-        a, b = np.sign(x[i : i + 1000, None] - x[None]), np.sign(y[i : i + 1000, None] - y[None])
-        same += (a * b).sum()
-        ties_x += (a != 0).sum()
-        ties_y += (b != 0).sum()
-    return float(same / np.sqrt(ties_x * ties_y)) if ties_x and ties_y else float("nan")
+def concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Concordant less discordant pairs; pairs with a tie count for nothing."""
+    ranks = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    # Among equal x, falling y are no rises; with y turned round, what rises is discordant.
+    up, down = ranks[np.lexsort((-ranks, x))], ranks[np.lexsort((ranks, x))]
+    return _rises(up) - _rises(down.max(initial=0) - down)
+
+
+def kendall(long: DataFrame, parts: int = 64) -> DataFrame:
+    """``k, c``: Kendall's tau-b of ``x`` and ``y`` for each ``k``.
+
+    Values of either column are dealt into ``parts`` buckets in order. Pairs that differ in both buckets are counted from
+    the table of bucket pairs; pairs that share one, inside that bucket. A bucket of one value has only ties.
+    """
+    at = [i / parts for i in range(1, parts)]
+    ends = long.groupBy("k").agg(*[F.percentile_approx(c, at, 4 * parts).alias(f"at_{c}") for c in "xy"])
+
+    def bucket(c: str) -> Column:
+        return F.size(F.filter(f"at_{c}", lambda v: v <= F.col(c))).alias(f"b{c}")
+
+    rows = long.join(ends, "k").select("k", "x", "y", bucket("x"), bucket("y"))
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((parts, parts), object)
+        for a, b, n in zip(pdf["bx"], pdf["by"], pdf["n"], strict=True):
+            table[a, b] = int(n)
+        upto = table.cumsum(0).cumsum(1)
+        same = sum(table[a, b] * upto[a - 1, b - 1] for a in range(1, parts) for b in range(1, parts))
+        other = sum(table[a, b] * (upto[a - 1, -1] - upto[a - 1, b]) for a in range(1, parts) for b in range(parts))
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [float(same - other)]})
+
+    def inside_x(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [float(concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy()))]})
+
+    def inside_y(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Without the pairs that share the other bucket too."""
+        both = sum(concordance(own["x"].to_numpy(), own["y"].to_numpy()) for _, own in pdf.groupby("bx"))
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [float(concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy()) - both)]})
+
+    kind = "k int, s double"
+    sums = rows.groupBy("k", "bx", "by").agg(F.count("*").alias("n")).groupBy("k").applyInPandas(between, kind)
+    for c, f in (("x", inside_x), ("y", inside_y)):
+        mixed = rows.groupBy("k", f"b{c}").agg(F.min(c).alias("low"), F.max(c).alias("high")).where("low < high").select("k", f"b{c}")
+        sums = sums.unionByName(rows.join(mixed, ["k", f"b{c}"], "left_semi").groupBy("k", f"b{c}").applyInPandas(f, kind))
+    found = sums.groupBy("k").agg(F.sum("s").alias("s"))
+    for c in "xy":
+        per = rows.groupBy("k", c).agg(F.count("*").cast("double").alias("n"))
+        found = found.join(per.groupBy("k").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias(f"free_{c}")), "k")
+    return found.select("k", (F.col("s") / F.nullif(F.sqrt("free_x") * F.sqrt("free_y"), F.lit(0.0))).alias("c"))
 
 
 def lag_correlation(df: DataFrame, target: str, time_col: str | Sequence[str], lag: int | Sequence[int] = 12, method: str | Callable[[np.ndarray, np.ndarray], float] = "pearson", cols: Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """LAG and a column for each feature: its correlation with the target when it is ``LAG`` rows older. Pearson takes one
-    pass; Spearman ranks each pair; Kendall and functions get each pair's values (of one series) in one task."""
+    pass; Spearman and Kendall order each pair's values in buckets. A function of two arrays gets all values of a pair in
+    one task: it is meant for one series."""
     lags = list(range(lag)) if isinstance(lag, int) else list(lag)
     cols = list(cols) if cols is not None else [c for c in numeric_columns(df, tuple(partition_by)) if c != target]
     w = ordered(partition_by, time_col)
@@ -109,13 +157,14 @@ def lag_correlation(df: DataFrame, target: str, time_col: str | Sequence[str], l
     if method == "pearson":
         row = shifted.agg(*[F.corr(x, "_y").alias(x) for _, _, x in names])
     else:
-        long = shifted.select("_y", F.posexplode(F.array(*[F.col(x) for _, _, x in names])).alias("k", "x")).where("x IS NOT NULL AND _y IS NOT NULL")
+        long = shifted.select(F.col("_y").alias("y"), F.posexplode(F.array(*[F.col(x) for _, _, x in names])).alias("k", "x")).where("x IS NOT NULL AND y IS NOT NULL")
         if method == "spearman":
-            ranked = long.withColumns({"rx": _average_rank(F.col("x"), F.lit(True), ("k",)), "ry": _average_rank(F.col("_y"), F.lit(True), ("k",))})
+            ranked = average_ranks(average_ranks(long, ["k"], "x", "rx"), ["k"], "y", "ry")
             found = ranked.groupBy("k").agg(F.corr("rx", "ry").alias("c"))
+        elif method == "kendall":
+            found = kendall(long)
         else:
-            f = _kendall if method == "kendall" else method
-            found = long.groupBy("k").applyInPandas(lambda pdf: pd.DataFrame({"k": [pdf["k"].iloc[0]], "c": [float(f(pdf["x"].to_numpy(), pdf["_y"].to_numpy()))]}), "k int, c double")
+            found = long.groupBy("k").applyInPandas(lambda pdf: pd.DataFrame({"k": [pdf["k"].iloc[0]], "c": [float(method(pdf["x"].to_numpy(), pdf["y"].to_numpy()))]}), "k int, c double")
         row = found.groupBy().pivot("k", list(range(len(names)))).agg(F.first("c")).toDF(*[x for _, _, x in names])
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("LAG"), *[F.col(f"x{i}_{n}").alias(c) for i, c in enumerate(cols)]) for n in lags])))
 

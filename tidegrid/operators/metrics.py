@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import col
+from ..functions.order import running
 from ..functions.windows import ordered
 from .features import range_lag_column
 
@@ -108,24 +109,26 @@ def make_incident_recall_scorer(range_pred: tuple[int, int], time_col: str, inci
 
 
 def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``threshold, hits, marked, all``: counts of rows from each score up. Scores are summed first, so the running sums
-    are over distinct scores."""
-    per = df.groupBy(col(score).alias("threshold")).agg(F.sum(col(label)).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("threshold", F.sum("p").over(w).alias("hits"), F.sum("n").over(w).alias("marked"), F.sum("p").over(Window.partitionBy()).alias("whole"))
+    """``threshold, p, hits, marked, whole``: counts of rows at and from each score up. Scores are summed first, so the
+    running sums are over distinct scores, in buckets of their order."""
+    per = df.groupBy(col(score).cast("double").alias("threshold")).agg(F.sum(col(label)).alias("p"), F.count("*").alias("n"))
+    whole = F.broadcast(df.agg(F.sum(col(label)).alias("whole")))  # one row
+    return running(per, "threshold", {"hits": "p", "marked": "n"}, descending=True).drop("n").crossJoin(whole)
 
 
-def precision_incident_recall_curve(df: DataFrame, incident: str, prediction: str, range_pred: tuple[int, int], time_col: str | Sequence[str]) -> DataFrame:
+def precision_incident_recall_curve(df: DataFrame, incident: str, prediction: str, range_pred: tuple[int, int], time_col: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``threshold, precision, recall``: precision against incidents looked for ahead, recall with predictions carried to
-    the incident; both step functions on all thresholds."""
+    the incident; both step functions on all thresholds. ``by``: the series in which rows are ahead of each other."""
     a, b = range_pred
-    ahead = range_lag_column(df, incident, (a, b), time_col, name="_ahead")
-    carried = range_lag_column(df, prediction, (-b, -a), time_col, name="_carried")
-    precision = _curve(ahead, "_ahead", prediction).select("threshold", (F.col("hits") / F.col("marked")).alias("precision"))
-    recall = _curve(carried, incident, "_carried").select("threshold", (F.col("hits") / F.nullif("whole", F.lit(0))).alias("recall"))
-    both = precision.join(recall, "threshold", "full_outer")
-    later = Window.orderBy("threshold").rowsBetween(0, Window.unboundedFollowing)
-    return both.select("threshold", F.coalesce(F.first("precision", ignorenulls=True).over(later), F.lit(1.0)).alias("precision"), F.coalesce(F.first("recall", ignorenulls=True).over(later), F.lit(0.0)).alias("recall"))
+    ahead = range_lag_column(df, incident, (a, b), time_col, by, name="_ahead")
+    carried = range_lag_column(df, prediction, (-b, -a), time_col, by, name="_carried")
+    zero = F.lit(0)
+    rows = ahead.select(col(prediction).cast("double").alias("threshold"), F.col("_ahead").alias("p"), F.lit(1).alias("n"), zero.alias("r"))
+    rows = rows.union(carried.select(F.col("_carried").cast("double"), zero, zero, col(incident)))
+    per = rows.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in "pnr"])
+    whole = F.broadcast(df.agg(F.sum(col(incident)).alias("whole")))  # one row
+    out = running(per, "threshold", {"hits": "p", "marked": "n", "found": "r"}, descending=True).crossJoin(whole)
+    return out.select("threshold", F.coalesce(F.col("hits") / F.nullif("marked", zero), F.lit(1.0)).alias("precision"), F.coalesce(F.col("found") / F.nullif("whole", zero), F.lit(0.0)).alias("recall"))
 
 
 def performance(df: DataFrame, y_true: str, y_pred: str, train_mean: float, metric: str = "R2", by: Sequence[str] = ()) -> DataFrame:

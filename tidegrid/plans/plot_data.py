@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import col
@@ -14,18 +14,25 @@ from ..operators.metrics import _curve, performance
 from ..operators.reshaping import resampled
 
 
-def performance_evaluation_fixed_predict_ahead(train: DataFrame, test: DataFrame, y_true: str, y_pred: str, time_col: str, resolutions: Sequence[str] = ("native",), metric: str = "R2") -> DataFrame:
-    """``resolution, split`` and the metric: predictions and values averaged to each resolution, against the training mean."""
+def performance_evaluation_fixed_predict_ahead(train: DataFrame, test: DataFrame, y_true: str, y_pred: str, time_col: str, resolutions: Sequence[str] = ("native",), metric: str = "R2", train_avg_func: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """``resolution, split`` and the metric: predictions and values averaged to each resolution, against the training mean
+    (or another aggregate of the training values)."""
     out = None
     for r in resolutions:
         parts = {k: df if r == "native" else resampled(df, r, [y_true, y_pred], time_col) for k, df in (("train", train), ("test", test))}
-        mean = parts["train"].agg(F.avg(col(y_true))).first()[0]
+        mean = parts["train"].agg(train_avg_func(col(y_true))).first()[0]
         for k, df in parts.items():
             row = performance(df, y_true, y_pred, mean, metric).select(F.lit(r).alias("resolution"), F.lit(k).alias("split"), metric)
             out = row if out is None else out.unionByName(row)
     return out
 
 
+def best_resolution(scores: DataFrame, metric: str = "R2", split: str = "test") -> str:
+    """The resolution with the best score of :func:`performance_evaluation_fixed_predict_ahead`."""
+    best = F.max_by if metric == "R2" else F.min_by
+    return scores.where(F.col("split") == split).agg(best("resolution", metric)).first()[0]
+
+
 def quantile_plot(df: DataFrame, y_true: str, time_col: str, lead: int, quantiles: Sequence[float], outlier_min_q: int | None = None, outlier_window: int = 1, outlier_limit: int | None = None, resample: str | None = None, ignore_value: float | None = None) -> DataFrame:
     """Values, predictions moved to the time they are for, the interval's bounds, and outliers: at least
     ``outlier_limit`` of ``outlier_window`` rows on or outside the bounds of the ``outlier_min_q``-th widest interval."""
@@ -55,9 +62,10 @@ def incident_heatmap(df: DataFrame, row: str, value: str, time_col: str, resolut
 
 def precision_recall_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """``threshold, precision, recall, average_precision``."""
-    out = _curve(df, label, score).select("threshold", (F.col("hits") / F.col("marked")).alias("precision"), (F.col("hits") / F.nullif("whole", F.lit(0))).alias("recall"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return out.withColumn("_ap", F.col("precision") * step).withColumn("average_precision", F.sum("_ap").over(Window.partitionBy())).drop("_ap")
+    found = _curve(df, label, score)
+    precision, whole = F.col("hits") / F.col("marked"), F.nullif("whole", F.lit(0))
+    mean = F.broadcast(found.agg(F.sum(precision * F.col("p") / whole).alias("average_precision")))  # one row
+    return found.select("threshold", precision.alias("precision"), (F.col("hits") / whole).alias("recall")).crossJoin(mean)
 
 
 def lag_correlation_points(df: DataFrame, target: str, time_col: str, lag: int = 12) -> DataFrame:
