@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.durations import duration, micros
 from ..functions.names import col, numeric_columns
+from ..functions.order import bucket_of, cuts
 from ..functions.windows import last_rows, last_span, ordered
 
 SIMPLE = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}
@@ -80,21 +80,31 @@ def uneven_spectrum(times: np.ndarray, values: np.ndarray, span: float, size: in
     return out
 
 
-def _array_udf(kind: str, width: float, span: float, size: int) -> Callable:
+def _uneven_udf(span: float, size: int) -> Callable:
+    """The non-uniform sums of arrays of times and values; missing without them."""
+
     @F.pandas_udf("array<double>")
-    def run(series: pd.Series) -> pd.Series:
-        out = []
-        for own in series:
-            if own is None or any(v is None for v in ([r["x"] for r in own])):
-                out.append(None)
-                continue
-            v, t = np.array([r["x"] for r in own], float), np.array([r["t"] for r in own], float)
-            out.append((spectrum(v) if kind == "fourier" else ricker(v, width) if kind == "cwt" else uneven_spectrum(t, v, span, size)).tolist())
-        return pd.Series(out)
+    def run(times: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else uneven_spectrum(t, v, span, size) for t, v in zip(times, values, strict=True)])
 
     return run
 
 
+def _weighted(values: Sequence[Column], weights: np.ndarray) -> Column:
+    """A sum of columns with fixed weights."""
+    return sum((v * float(w) for v, w in zip(values[1:], weights[1:], strict=True)), values[0] * float(weights[0]))
+
+
+def linear_forms(kind: str, values: Sequence[Column], width: float) -> list[Column]:
+    """Magnitudes of Fourier coefficients, or wavelet sums, of as many columns (oldest first) as fixed linear forms;
+    missing if a value is."""
+    n = len(values)
+    if kind == "cwt":
+        return [_weighted(values, row) for row in np.array([ricker(e, width) for e in np.eye(n)]).T]
+    turns = 2 * np.pi * np.outer(np.arange(1, n // 2 + 1), np.arange(n)) / n
+    return [F.sqrt(F.pow(_weighted(values, np.cos(t)), F.lit(2.0)) + F.pow(_weighted(values, np.sin(t)), F.lit(2.0))) for t in turns]
+
+
 @dataclass
 class BuildRollingFeatures:
     """Rolling features of each column and window, shifted by ``lookback`` rows.
@@ -182,38 +192,51 @@ class BuildRollingFeatures:
     def _arrays(self, out: DataFrame, cols: Sequence[str], o: WindowSpec, tail: str) -> DataFrame:
         for c in cols:
             for n in self._windows():
-                w = last_rows(self.partition_by, self.time_col, n) if isinstance(n, int) else last_span(self.partition_by, self._time(), duration(n))
-                pairs = F.collect_list(F.struct((micros(col(self._time())) / 1e6).alias("t"), col(c).cast("double").alias("x"))).over(w)
+                first = 0 if self.rolling_type == "cwt" else 1
                 if isinstance(n, int):
-                    pairs = F.when(F.count(F.lit(1)).over(w) == n, pairs)
-                    size = n // 2 if self.rolling_type == "fourier" else n
+                    x = col(c).cast("double")
+                    past = [f"_x{k}" for k in range(self.lookback + n - 1, self.lookback - 1, -1)]
+                    out = out.withColumns({f"_x{k}": F.lag(x, k).over(o) if k else x for k in range(self.lookback, self.lookback + n)})
+                    forms = linear_forms(self.rolling_type, [F.col(p) for p in past], self.width)
+                    names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(len(forms))]
+                    out = out.withColumns(dict(zip(names, forms, strict=True))).drop(*past)
                 else:
-                    size = self.nfft_ncol
-                got = _array_udf(self.rolling_type, self.width, duration(n) / 1e6 if isinstance(n, str) else 0.0, size)(F.col("_pairs"))
-                out = out.withColumn("_pairs", pairs).withColumn("_got", got)
-                first = 1 if self.rolling_type in ("fourier", "nfft") else 0
-                names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(size)]
-                part = lambda i: F.get(F.col("_got"), F.lit(i))
-                out = out.withColumns({m: F.lag(part(i), self.lookback).over(o) if self.lookback else part(i) for i, m in enumerate(names)}).drop("_pairs", "_got")
+                    if self.rolling_type != "nfft":
+                        raise ValueError("fourier and cwt need numbers of rows")
+                    w, x = last_span(self.partition_by, self._time(), duration(n)), col(c).cast("double")
+                    whole = F.count(x).over(w) == F.count(F.lit(1)).over(w)
+                    got = _uneven_udf(duration(n) / 1e6, self.nfft_ncol)(F.col("_t"), F.col("_v"))
+                    out = out.withColumns({"_t": F.when(whole, F.collect_list(micros(col(self._time())) / 1e6).over(w)), "_v": F.when(whole, F.collect_list(x).over(w))}).withColumn("_got", got)
+                    names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(self.nfft_ncol)]
+                    part = lambda i: F.get(F.col("_got"), F.lit(i))
+                    out = out.withColumns({m: F.lag(part(i), self.lookback).over(o) if self.lookback else part(i) for i, m in enumerate(names)}).drop("_t", "_v", "_got")
                 self.made += names
         return out if self.keep_original else out.drop(*cols)
 
     def _ewm(self, df: DataFrame, cols: Sequence[str], alphas: Sequence[float], o: WindowSpec) -> DataFrame:
-        """Exponential weights need the whole past: one pass over each series, batch by batch, that carries two sums."""
+        """Means with weights that fall by ``1 - alpha`` a row: sums inside blocks of rows, and what the block before carries
+        over. Blocks are so long that anything older weighs less than 1e-200 of a value, which a double can't show, and so
+        short that the reciprocal weights inside stay in range. Missing values hold the last mean."""
         names = {f"{c}#ewm_{a}": (c, a) for c in cols for a in alphas}
-        order = [self.time_col] if isinstance(self.time_col, str) else list(self.time_col)
-        schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            return pdf.assign(**{n: pdf[c].astype(float).ewm(alpha=a).mean() for n, (c, a) in names.items()})
-
-        if self.partition_by:
-            out = df.groupBy(*self.partition_by).applyInPandas(run, schema)
-        else:
-            out = df.groupBy(F.lit(0)).applyInPandas(lambda key, pdf: run(pdf), schema)
+        by = [col(k) for k in self.partition_by]
+        out = df.withColumn("_no", F.row_number().over(o) - 1)
+        for n, (c, a) in names.items():
+            q, x = 1.0 - a, col(c).cast("double")
+            if q <= 0:
+                out = out.withColumn(n, x)
+                continue
+            size = math.ceil(200 / -math.log10(q))
+            out = out.withColumn("_block", F.floor(F.col("_no") / size))
+            place = F.col("_no") - F.col("_block") * size
+            weight = F.pow(F.lit(1 / q), place.cast("double"))
+            inside = Window.partitionBy(*by, "_block").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+            out = out.withColumns({m: F.coalesce(F.sum(F.when(x.isNotNull(), e * weight)).over(inside), F.lit(0.0)) / weight for m, e in (("_s", x), ("_w", F.lit(1.0)))})
+            block_before = Window.partitionBy(*by).orderBy("_block").rangeBetween(-1, -1)
+            carried = [F.coalesce(F.sum(F.when(place == size - 1, F.col(m))).over(block_before), F.lit(0.0)) * q / weight for m in ("_s", "_w")]
+            out = out.withColumns({"_s": F.col("_s") + carried[0], "_w": F.col("_w") + carried[1]})
+            out = out.withColumn(n, F.when(x.isNotNull(), F.col("_s") / F.col("_w"))).drop("_block", "_s", "_w")
+        out = out.drop("_no").withColumns({n: F.last(col(n), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)) for n in names})
         self.made = list(names)
-        out = out.withColumns({n: F.when(~F.isnan(col(n)), col(n)) for n in names})
         shift = lambda c: F.lag(c, self.lookback).over(o) if self.lookback else c
         out = out.withColumns({n: self._deviated(col(c).cast("double"), shift(col(n))) for n, (c, _) in names.items()})
         return out if self.keep_original else out.drop(*cols)
@@ -407,3 +430,86 @@ def automatic_rolling_features(df: DataFrame, target: str, cols: Sequence[str],
         own = sorted((r for r in ranked if made[r.NAME] == c), key=lambda r: (-abs(r.CORR), r.NAME))
         chosen += [r.NAME for r in own[:per_column]]
     return out.drop(*[m for m in made if m not in chosen]), scores
+
+
+@dataclass
+class RollingSearch:
+    """Searches the windows of rolling features of a linear forecast by time-series splits.
+
+    For each column, type and range of ``windows`` one window is chosen. Candidates are made in one plan; one pass sums the
+    products of all features and the target in ``cv + 1`` parts of the time axis. A linear fit on some of the features and
+    some of the parts needs these sums only, so that every choice is tried on the driver, on matrices of the features'
+    number: each slot in turn takes the window with the best mean R2 (fitted on the parts before, judged on the next one),
+    until nothing changes. Rows with a missing feature or target are left out.
+    """
+
+    time_col: str | Sequence[str]
+    target: str
+    cols: Sequence[str]
+    windows: Sequence[Sequence[int]] = ((1, 2, 5, 10),)
+    types: Sequence[str] = ("mean", "lag")
+    cv: int = 3
+    partition_by: Sequence[str] = ()
+    chosen: list[str] = field(default_factory=list)
+    r2_base: float | None = None
+    r2_rolling: float | None = None
+    importances: dict[str, float] = field(default_factory=dict)
+
+    def _candidates(self, df: DataFrame) -> tuple[DataFrame, list[list[str]]]:
+        slots = []
+        for kind in self.types:
+            for own in self.windows:
+                step = BuildRollingFeatures(self.time_col, kind, 0, [n for n in own if n > 1 or kind not in ("std", "var")], self.cols, partition_by=self.partition_by)
+                df = step.transform(df)
+                slots += [[m for m in step.made if m.startswith(f"{c}#")] for c in self.cols]
+        return df, [s for s in slots if s]
+
+    def fit(self, df: DataFrame) -> RollingSearch:
+        """Chooses the features, and keeps both R2 (of the columns alone, and with the features) and the importances: the
+        absolute weights for one standard deviation."""
+        if self.cv < 2 or "ewm" in self.types:
+            raise ValueError("cv must be 2 or more, and ewm has no windows")
+        rows, slots = self._candidates(df)
+        names = [*self.cols, *dict.fromkeys(m for s in slots for m in s)]
+        rows = rows.dropna(subset=[*names, self.target])
+        time = col(self.time_col if isinstance(self.time_col, str) else self.time_col[0]).cast("double")
+        x = [F.lit(1.0), *[col(n).cast("double") for n in names], col(self.target).cast("double")]
+        parts = rows.withColumn("_part", bucket_of(time, cuts(rows, time, self.cv + 1)))
+        products = [F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x[i:], i)]
+        grams = np.zeros((self.cv + 1, len(x), len(x)))
+        for r in parts.groupBy("_part").agg(*products).collect():
+            for i in range(len(x)):
+                for j in range(i, len(x)):
+                    grams[r._part, i, j] = grams[r._part, j, i] = r[f"s{i}_{j}"]
+
+        def weights(gram: np.ndarray, use: list[int]) -> np.ndarray:
+            return np.linalg.lstsq(gram[np.ix_(use, use)], gram[use, -1], rcond=None)[0]
+
+        def score(features: Sequence[str]) -> float:
+            use, got = [0, *[1 + names.index(f) for f in features]], []
+            for k in range(1, self.cv + 1):
+                w, own = weights(grams[:k].sum(0), use), grams[k]
+                whole = own[-1, -1] - own[0, -1] ** 2 / own[0, 0] if own[0, 0] else 0.0
+                if whole > 0:
+                    got.append(1 - (own[-1, -1] - 2 * w @ own[use, -1] + w @ own[np.ix_(use, use)] @ w) / whole)
+            return float(np.mean(got)) if got else -math.inf
+
+        now = [s[len(s) // 2] for s in slots]
+        for _ in range(10):
+            was = list(now)
+            for i, s in enumerate(slots):
+                now[i] = max(s, key=lambda m: score([*self.cols, *dict.fromkeys([*now[:i], m, *now[i + 1 :]])]))
+            if now == was:
+                break
+        self.chosen = list(dict.fromkeys(now))
+        self.r2_base, self.r2_rolling = score(self.cols), score([*self.cols, *self.chosen])
+        use = [0, *[1 + names.index(f) for f in [*self.cols, *self.chosen]]]
+        gram = grams.sum(0)
+        spread = np.sqrt(np.maximum(np.diag(gram)[use] / gram[0, 0] - (gram[0, use] / gram[0, 0]) ** 2, 0))
+        self.importances = dict(zip([*self.cols, *self.chosen], np.abs(weights(gram, use) * spread)[1:].tolist(), strict=True))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the chosen features."""
+        out, slots = self._candidates(df)
+        return out.drop(*{m for s in slots for m in s} - set(self.chosen))
