@@ -120,7 +120,7 @@ def remove_target_nan(df: DataFrame, target: Sequence[str], features: Sequence[s
 
 
 def remove_until_first_value(df: DataFrame, features: Sequence[str], time_col: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Rows from the first complete one on, by series."""
+    """Rows from the first complete one on, by series; a series without a complete row has none."""
     full = F.lit(True)
     for c in features:
         full = full & col(c).isNotNull()

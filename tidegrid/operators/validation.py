@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durations import duration, micros
 from ..functions.names import col, numeric_columns
+from ..functions.order import exact_quantiles
+from ..functions.tables import persisted, scope
 from ..functions.windows import last_rows, ordered
 from .cleaning import extremes
 
@@ -84,10 +88,13 @@ class OutsideRangeValidator(Validator):
 
 @dataclass
 class MADValidator(Validator):
-    """Flags deviations from a centred rolling median beyond ``madthresh`` times the median deviation of their sign."""
+    """Flags deviations from a centred rolling median beyond ``madthresh`` times the median deviation of their sign.
+
+    ``rollingwindow``: a number of rows, or a span such as ``"1d"`` (the rows in ``(t - span / 2, t + span / 2]``).
+    """
 
     time_col: str | Sequence[str]
-    rollingwindow: int = 60
+    rollingwindow: int | str = 60
     cols: Sequence[str] | None = None
     madthresh: float = 15
     partition_by: Sequence[str] = ()
@@ -95,20 +102,25 @@ class MADValidator(Validator):
 
     def _deviation(self, c: str) -> Column:
         n = self.rollingwindow
-        w = ordered(self.partition_by, self.time_col).rowsBetween(-(n // 2), (n - 1) // 2)
+        if isinstance(n, int):
+            w = ordered(self.partition_by, self.time_col).rowsBetween(-(n // 2), (n - 1) // 2)
+        else:
+            half = duration(n) // 2
+            time = self.time_col if isinstance(self.time_col, str) else self.time_col[0]
+            w = Window.partitionBy(*[col(c) for c in self.partition_by]).orderBy(micros(col(time))).rangeBetween(1 - half, half)
         return col(c) - F.percentile(col(c), F.lit(0.5)).over(w)
 
     def fit(self, df: DataFrame) -> MADValidator:
         """Both medians by column; a sign that never occurs never flags."""
         cols = self.columns_of(df)
-        found = df.select(*[self._deviation(c).alias(f"d{i}") for i, c in enumerate(cols)])
-        parts = []
-        for i in range(len(cols)):
-            d = F.col(f"d{i}")
-            parts += [F.percentile(F.when(d < 0, d), F.lit(0.5)).alias(f"a{i}"), F.percentile(F.when(d > 0, d), F.lit(0.5)).alias(f"b{i}")]
-        row = found.agg(*parts).first()
+        found = df.select(*[self._deviation(c).alias(f"d{i}") for i, c in enumerate(cols)]).persist()  # for a few passes
+        try:
+            d = [F.col(f"d{i}") for i in range(len(cols))]
+            got = exact_quantiles(found, {f"a{i}": F.when(x < 0, x) for i, x in enumerate(d)} | {f"b{i}": F.when(x > 0, x) for i, x in enumerate(d)}, [0.5])
+        finally:
+            found.unpersist()
         times = lambda x: None if x is None else x * self.madthresh
-        self.bounds = {c: (times(row[f"a{i}"]), times(row[f"b{i}"])) for i, c in enumerate(cols)}
+        self.bounds = {c: (times(got[f"a{i}"][0]), times(got[f"b{i}"][0])) for i, c in enumerate(cols)}
         return self
 
     def flags(self, df: DataFrame) -> dict[str, Column]:
@@ -177,58 +189,145 @@ class FlatlineValidator(Validator):
         return out.withColumns(second) if second else out
 
 
+@dataclass
+class Imputer:
+    """Fills missing values with what it has learnt from the table it was fitted on.
+
+    ``mean``, ``median``, ``most_frequent`` (the least of ties), ``constant`` (``value``), or ``iterative``: linear
+    regressions of each column on the others, ``rounds`` times over, from the means on. Each regression needs one pass of
+    sums (the normal equations) over a table that is written once a round; the driver solves a system of ``len(cols)``
+    unknowns. ``transform`` goes through the same regressions in the same order.
+    """
+
+    cols: Sequence[str]
+    method: str = "mean"
+    value: float | None = None
+    rounds: int = 3
+    given: dict[str, float | None] | None = None
+    weights: list[dict[str, list[float]]] = field(default_factory=list)
+
+    def fit(self, df: DataFrame) -> Imputer:
+        """Learns the values or the regressions."""
+        cols = list(self.cols)
+        if self.method == "constant":
+            self.given = dict.fromkeys(cols, self.value)
+        elif self.method in ("mean", "iterative"):
+            row = df.agg(*[F.avg(col(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+            self.given = {c: row[f"v{i}"] for i, c in enumerate(cols)}
+        elif self.method == "median":
+            self.given = {c: v[0] for c, v in exact_quantiles(df, {c: col(c) for c in cols}, [0.5]).items()}
+        elif self.method == "most_frequent":
+            tops = [df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).count().orderBy(F.desc("count"), "v").first() for c in cols]
+            self.given = {c: top.v if top else None for c, top in zip(cols, tops, strict=True)}
+        else:
+            raise ValueError("method must be mean, median, most_frequent, constant or iterative")
+        self.weights = []
+        if self.method == "iterative":
+            self._learn(df)
+        return self
+
+    def _filled(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(v).cast("double")) for c, v in self.given.items()})
+
+    def _x(self, c: str) -> list[Column]:
+        return [F.lit(1.0), *[col(o) for o in self.cols if o != c]]
+
+    def _step(self, df: DataFrame, c: str, weights: Sequence[float], missing: str) -> DataFrame:
+        guess = sum((float(b) * a for b, a in zip(weights, self._x(c), strict=True)), F.lit(0.0))
+        return df.withColumn(c, F.when(col(missing), guess).otherwise(col(c)))
+
+    def _learn(self, df: DataFrame) -> None:
+        cols = list(self.cols)
+        was = {c: f"_missing_{i}" for i, c in enumerate(cols)}
+        plain = df.select(*[col(c).cast("double").alias(c) for c in cols])
+        with scope() as here:
+            now = persisted(self._filled(plain.withColumns({m: col(c).isNull() for c, m in was.items()})), "impute-round")
+            for _ in range(self.rounds):
+                self.weights.append({})
+                for c in cols:
+                    x = self._x(c)
+                    sums = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * col(c)) for a in x]
+                    row = now.where(~col(was[c])).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+                    gram, at = np.zeros((len(x), len(x))), 0
+                    for i in range(len(x)):
+                        for j in range(i, len(x)):
+                            gram[i, j] = gram[j, i] = row[at] or 0.0
+                            at += 1
+                    self.weights[-1][c] = np.linalg.lstsq(gram, np.array([row[at + i] or 0.0 for i in range(len(x))]), rcond=None)[0].tolist()
+                    now = self._step(now, c, self.weights[-1][c], was[c])
+                now = persisted(now, "impute-round")
+                here.drop(but=1)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` without missing values in the columns (but where nothing was there to learn from)."""
+        if self.given is None:
+            raise ValueError("fit first")
+        was = {c: f"_missing_{i}" for i, c in enumerate(self.cols)}
+        if self.method != "iterative":
+            return self._filled(df) if self.method != "constant" else df.fillna(self.given)
+        out = self._filled(df.withColumns({m: col(c).isNull() for c, m in was.items()}))
+        for step in self.weights:
+            for c, weights in step.items():
+                out = self._step(out, c, weights, was[c])
+        return out.drop(*was.values())
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Both."""
+        return self.fit(df).transform(df)
+
+    def to_dict(self) -> dict:
+        """State as plain JSON types."""
+        return asdict(self)
+
+
 def imputed(df: DataFrame, cols: Sequence[str], method: str = "mean", value: float | None = None) -> DataFrame:
     """Missing values of each column filled by its mean, median, most frequent value (the least of ties) or a constant."""
-    if method == "constant":
-        return df.fillna(dict.fromkeys(cols, value))
-    if method in ("mean", "median"):
-        row = df.agg(*[(F.avg(col(c)) if method == "mean" else F.percentile(col(c), F.lit(0.5))).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-        given = {c: row[f"v{i}"] for i, c in enumerate(cols)}
-    elif method == "most_frequent":
-        given = {}
-        for c in cols:
-            top = df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).count().orderBy(F.desc("count"), "v").first()
-            given[c] = top.v if top else None
-    else:
-        raise ValueError("method must be mean, median, most_frequent, constant or iterative")
-    return df.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(v).cast("double")) for c, v in given.items()})
+    return Imputer(cols, method, value).fit_transform(df)
 
 
 def iteratively_imputed(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> DataFrame:
-    """Missing values filled by linear regressions on the other columns, in rounds that start from the means.
+    """Missing values filled by linear regressions on the other columns, in rounds that start from the means."""
+    return Imputer(cols, "iterative", rounds=rounds).fit_transform(df)
+
+
+@dataclass
+class ValidationPipe:
+    """Validators one behind the other, then an imputer (None: none). What is fitted on one table can be used on another."""
+
+    steps: Sequence[Validator]
+    imputer: Imputer | None = None
+
+    def fit(self, df: DataFrame) -> ValidationPipe:
+        """Fits each step on what the steps before it leave."""
+        for step in self.steps:
+            df = step.fit(df).transform(df)
+        if self.imputer is not None:
+            self.imputer.fit(df)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The steps with what they have learnt."""
+        for step in self.steps:
+            df = step.transform(df)
+        return df if self.imputer is None else self.imputer.transform(df)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Both."""
+        return self.fit(df).transform(df)
+
+    def to_dict(self) -> dict:
+        """State as plain JSON types."""
+        return {"steps": [{"kind": type(s).__name__} | s.to_dict() for s in self.steps], "imputer": None if self.imputer is None else self.imputer.to_dict()}
+
+    @staticmethod
+    def from_dict(given: dict) -> ValidationPipe:
+        """From :meth:`to_dict`, also after a way through JSON."""
+        kinds = {k.__name__: k for k in (OutsideRangeValidator, MADValidator, FlatlineValidator)}
+        steps = [kinds[s["kind"]](**{k: v for k, v in s.items() if k != "kind"}) for s in given["steps"]]
+        return ValidationPipe(steps, None if given["imputer"] is None else Imputer(**given["imputer"]))
 
-    Each regression needs one pass of sums (the normal equations); the driver solves a system of ``len(cols)`` unknowns.
-    """
-    import numpy as np
-
-    was = {c: f"_missing_{i}" for i, c in enumerate(cols)}
-    out = imputed(df.withColumns({m: col(c).isNull() for c, m in was.items()}), cols, "mean")
-    for _ in range(rounds):
-        for c in cols:
-            x = [F.lit(1.0), *[col(o).cast("double") for o in cols if o != c]]
-            sums = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * col(c)) for a in x]
-            row = out.where(~col(was[c])).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-            k = len(x)
-            gram, at = np.zeros((k, k)), 0
-            for i in range(k):
-                for j in range(i, k):
-                    gram[i, j] = gram[j, i] = row[at] or 0.0
-                    at += 1
-            weights = np.linalg.lstsq(gram, np.array([row[at + i] or 0.0 for i in range(k)]), rcond=None)[0]
-            guess = sum((float(b) * a for b, a in zip(weights, x, strict=True)), F.lit(0.0))
-            out = out.withColumn(c, F.when(col(was[c]), guess).otherwise(col(c)))
-    return out.drop(*was.values())
-
-
-def create_validation_pipe(time_col: str, cols: Sequence[str], rollingwindow: int = 60, madthresh: float = 15, flatline_window: int | str = "auto", pvalue: float = 1e-100, impute_method: str | None = "iterative", impute_value: float | None = None, partition_by: Sequence[str] = ()):
-    """A function of a table: median deviation, flat lines, then imputation (None: none)."""
-
-    def run(df: DataFrame) -> DataFrame:
-        out = MADValidator(time_col, rollingwindow, cols, madthresh, partition_by).fit_transform(df)
-        out = FlatlineValidator(time_col, flatline_window, cols, pvalue, partition_by=partition_by).fit_transform(out)
-        if impute_method is None:
-            return out
-        return iteratively_imputed(out, cols) if impute_method == "iterative" else imputed(out, cols, impute_method, impute_value)
-
-    return run
 
+def create_validation_pipe(time_col: str | Sequence[str], cols: Sequence[str], rollingwindow: int | str = 60, madthresh: float = 15, flatline_window: int | str = "auto", pvalue: float = 1e-100, impute_method: str | None = "iterative", impute_value: float | None = None, partition_by: Sequence[str] = ()) -> ValidationPipe:
+    """Median deviation, flat lines, then imputation (None: none)."""
+    steps = [MADValidator(time_col, rollingwindow, cols, madthresh, partition_by), FlatlineValidator(time_col, flatline_window, cols, pvalue, partition_by=partition_by)]
+    return ValidationPipe(steps, None if impute_method is None else Imputer(cols, impute_method, impute_value))
