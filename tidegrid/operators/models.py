@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import col
+from ..functions.order import exact_quantiles
 from .cleaning import has_strictly_increasing_index, make_df_monotonic, remove_target_nan
-from .metrics import joint_loss
+from .features import BuildRollingFeatures, RollingSearch, SimpleFeatureEngineer
+from .metrics import joint_loss, tilted
 from .reshaping import make_shifted_target
 
 
@@ -31,7 +33,10 @@ class TimeseriesRegressor:
     """Template: shifted targets are made, an output is fitted for each lead, predictions are put back together.
 
     ``features`` are columns of the table (see the feature operators). With ``use_diff_of_y`` the differences to the
-    current value are fitted and the current value is added to predictions.
+    current value are fitted and the current value is added to predictions. ``weight`` names a column of sample weights
+    (the constant forecaster has none); :meth:`create_weights` can be overridden. ``engineer`` makes the features from raw
+    columns, in fits and predictions alike (a dataclass with ``transform``, such as a rolling or a simple feature engineer);
+    with ``scale_y`` targets are fitted in units of their deviation from their mean.
     """
 
     time_col: str
@@ -42,8 +47,15 @@ class TimeseriesRegressor:
     use_diff_of_y: bool = False
     partition_by: Sequence[str] = ()
     monotonic_quantiles: bool = True
+    weight: str | None = None
+    engineer: object | None = None
+    scale_y: bool = False
     state: dict = field(default_factory=dict)
 
+    def engineered(self, df: DataFrame) -> DataFrame:
+        """``df`` with the features that the engineer makes."""
+        return df if self.engineer is None else self.engineer.transform(df)
+
     def _check(self, df: DataFrame) -> None:
         if any(p < 0 for p in self.predict_ahead) or len(set(self.predict_ahead)) != len(self.predict_ahead):
             raise ValueError("predict_ahead must be different numbers from 0")
@@ -55,35 +67,51 @@ class TimeseriesRegressor:
     def _targets(self) -> dict[int, str]:
         return {p: f"{self.target}_{'diff' if self.use_diff_of_y else 'lead'}_{p}" for p in self.predict_ahead}
 
+    def create_weights(self) -> Column:
+        """The weight of a row in fits: 1 unless a column gives it."""
+        return F.lit(1.0) if self.weight is None else col(self.weight).cast("double")
+
     def prepared(self, df: DataFrame) -> DataFrame:
-        """``df`` with the targets to fit, without incomplete rows."""
-        out = make_shifted_target(df, self.target, list(self.predict_ahead), self.time_col, self.use_diff_of_y, partition_by=self.partition_by)
+        """``df`` with features and the targets to fit, without incomplete rows."""
+        out = make_shifted_target(self.engineered(df), self.target, list(self.predict_ahead), self.time_col, self.use_diff_of_y, partition_by=self.partition_by)
         return remove_target_nan(out, list(self._targets().values()), self.features, True)
 
     def fit(self, df: DataFrame) -> TimeseriesRegressor:
         """Fits every output."""
         self._check(df)
         rows = self.prepared(df)
-        self.state = {str(p): self._fit_one(rows, y) for p, y in self._targets().items()}
+        targets = self._targets()
+        scales = {y: [0.0, 1.0] for y in targets.values()}
+        if self.scale_y:
+            row = rows.agg(*[f(col(y)).alias(f"{k}{i}") for i, y in enumerate(targets.values()) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+            scales = {y: [row[f"m{i}"], row[f"s{i}"] or 1.0] for i, y in enumerate(targets.values())}
+            rows = rows.withColumns({y: (col(y) - m) / s for y, (m, s) in scales.items()})
+        self.state = {str(p): {"fit": self._fit_one(rows, y), "scale": scales[y]} for p, y in targets.items()}
         return self
 
     def _fit_one(self, rows: DataFrame, y: str) -> dict:
         raise NotImplementedError
 
-    def _outputs(self, state: dict) -> dict[str, Column]:
-        """The mean's and the quantiles' expressions, by ``mean`` or the quantile."""
+    def _outputs(self, state: dict, read: Callable[[str], Column] = col) -> dict[str, Column]:
+        """The mean's and the quantiles' expressions, by ``mean`` or the quantile; ``read`` gives a feature's value."""
         raise NotImplementedError
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with the prediction columns, quantiles in order."""
+    def outputs(self, lead: int, read: Callable[[str], Column] = col) -> dict[str, Column]:
+        """As :meth:`_outputs`, in units of the target."""
         if not self.state:
             raise ValueError("fit first")
+        mean, size = self.state[str(lead)]["scale"]
+        made = self._outputs(self.state[str(lead)]["fit"], read)
+        return {k: c * size + mean for k, c in made.items()} if self.scale_y else made
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with the prediction columns, quantiles in order."""
         made = {}
         for p in self.predict_ahead:
-            for k, c in self._outputs(self.state[str(p)]).items():
+            for k, c in self.outputs(p).items():
                 name = f"predict_lead_{p}_mean" if k == "mean" else f"predict_lead_{p}_q_{k}"
                 made[name] = c + col(self.target) if self.use_diff_of_y else c
-        out = df.withColumns({n: made[n] for n in prediction_names(self.predict_ahead, self.quantiles)})
+        out = self.engineered(df).withColumns({n: made[n] for n in prediction_names(self.predict_ahead, self.quantiles)})
         if self.monotonic_quantiles and len(self.quantiles) > 1:
             for p in self.predict_ahead:
                 out = make_df_monotonic(out, [f"predict_lead_{p}_q_{q}" for q in sorted(self.quantiles)], "max")
@@ -97,12 +125,16 @@ class TimeseriesRegressor:
 
     def dump(self) -> str:
         """State as JSON text."""
-        return json.dumps({"kind": type(self).__name__} | asdict(self))
+        engineer = None if self.engineer is None else {"kind": type(self.engineer).__name__} | asdict(self.engineer)
+        return json.dumps({"kind": type(self).__name__} | asdict(self) | {"engineer": engineer})
 
     @staticmethod
     def load(text: str) -> TimeseriesRegressor:
-        """From :meth:`dump`; only the kinds of this module."""
+        """From :meth:`dump`; only the kinds of this module, and the feature engineers of the engine."""
         given = json.loads(text)
+        if given["engineer"] is not None:
+            made = {k.__name__: k for k in (BuildRollingFeatures, SimpleFeatureEngineer, RollingSearch)}
+            given["engineer"] = made[given["engineer"].pop("kind")](**given["engineer"])
         kinds = {k.__name__: k for k in (ConstantTimeseriesRegressor, LassoTimeseriesRegressor, MLPTimeseriesRegressor)}
         return kinds[given.pop("kind")](**given)
 
@@ -114,17 +146,18 @@ class ConstantTimeseriesRegressor(TimeseriesRegressor):
     average_type: str = "median"
 
     def _fit_one(self, rows: DataFrame, y: str) -> dict:
-        mid = F.avg(col(y)) if self.average_type == "mean" else F.percentile(col(y), F.lit(0.5))
-        row = rows.agg(mid.alias("mean"), *[F.percentile(col(y), F.lit(q)).alias(f"q{i}") for i, q in enumerate(self.quantiles)]).first()
-        return {"mean": row["mean"]} | {str(q): row[f"q{i}"] for i, q in enumerate(self.quantiles)}
+        found = exact_quantiles(rows, {"y": col(y)}, [0.5, *self.quantiles])["y"]
+        mid = rows.agg(F.avg(col(y))).first()[0] if self.average_type == "mean" else found[0]
+        return {"mean": mid} | {str(q): v for q, v in zip(self.quantiles, found[1:], strict=True)}
 
-    def _outputs(self, state: dict) -> dict[str, Column]:
+    def _outputs(self, state: dict, read: Callable[[str], Column] = col) -> dict[str, Column]:
         return {k if k == "mean" else float(k): F.lit(float(v)) for k, v in state.items()}
 
 
-def _sums(rows: DataFrame, x: Sequence[Column], y: Column) -> tuple[np.ndarray, np.ndarray, float]:
-    """Means of products of the features (with 1 first) and of each with the target, in one pass."""
-    parts = [F.avg(a * b) for i, a in enumerate(x) for b in x[i:]] + [F.avg(a * y) for a in x] + [F.count("*")]
+def _sums(rows: DataFrame, x: Sequence[Column], y: Column, weight: Column) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted means of products of the features (with 1 first) and of each with the target, in one pass."""
+    mean = lambda e: F.sum(e * weight) / F.sum(F.when(e.isNotNull(), weight))
+    parts = [mean(a * b) for i, a in enumerate(x) for b in x[i:]] + [mean(a * y) for a in x] + [F.count("*")]
     row = list(rows.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first())
     k, gram, at = len(x), np.zeros((len(x), len(x))), 0
     for i in range(k):
@@ -154,11 +187,11 @@ class LassoTimeseriesRegressor(TimeseriesRegressor):
     alpha: float = 0.01
     rounds: int = 25
 
-    def _x(self) -> list[Column]:
-        return [F.lit(1.0), *[col(c).cast("double") for c in self.features]]
+    def _x(self, read: Callable[[str], Column] = col) -> list[Column]:
+        return [F.lit(1.0), *[read(c).cast("double") for c in self.features]]
 
     def _fit_one(self, rows: DataFrame, y: str) -> dict:
-        gram, cross, _ = _sums(rows, self._x(), col(y).cast("double"))
+        gram, cross, _ = _sums(rows, self._x(), col(y).cast("double"), self.create_weights())
         out = {"mean": lasso(gram, cross, self.alpha).tolist()}
         for q in self.quantiles:
             out[str(q)] = self._quantile(rows, y, q, np.linalg.lstsq(gram, cross, rcond=None)[0]).tolist()
@@ -168,7 +201,7 @@ class LassoTimeseriesRegressor(TimeseriesRegressor):
         x = self._x()
         for _ in range(self.rounds):
             e = col(y) - self._line(w)
-            weight = F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(e), F.lit(1e-6))
+            weight = self.create_weights() * F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(e), F.lit(1e-6))
             parts = [F.sum(a * b * weight) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * col(y) * weight) for a in x]
             row = list(rows.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first())
             gram, at = np.zeros((len(x), len(x))), 0
@@ -182,15 +215,16 @@ class LassoTimeseriesRegressor(TimeseriesRegressor):
                 break
         return w
 
-    def _line(self, w: Sequence[float]) -> Column:
-        return sum((a * float(b) for a, b in zip(self._x()[1:], w[1:], strict=True)), F.lit(float(w[0])))
+    def _line(self, w: Sequence[float], read: Callable[[str], Column] = col) -> Column:
+        return sum((a * float(b) for a, b in zip(self._x(read)[1:], w[1:], strict=True)), F.lit(float(w[0])))
 
-    def _outputs(self, state: dict) -> dict[str, Column]:
-        return {k if k == "mean" else float(k): self._line(v) for k, v in state.items()}
+    def _outputs(self, state: dict, read: Callable[[str], Column] = col) -> dict[str, Column]:
+        return {k if k == "mean" else float(k): self._line(v, read) for k, v in state.items()}
 
     def contributions(self, df: DataFrame, lead: int | None = None) -> DataFrame:
         """Exact additive contributions ``weight * (x - mean)`` of each feature to the mean prediction."""
-        w = self.state[str(self.predict_ahead[0] if lead is None else lead)]["mean"]
+        own = self.state[str(self.predict_ahead[0] if lead is None else lead)]
+        w, df = np.array(own["fit"]["mean"]) * own["scale"][1], self.engineered(df)
         means = df.agg(*[F.avg(col(c)).alias(c) for c in self.features]).first()
         return df.withColumns({f"{c}_contribution": (col(c) - means[c]) * float(b) for c, b in zip(self.features, w[1:], strict=True)})
 
@@ -208,8 +242,8 @@ class MLPTimeseriesRegressor(TimeseriesRegressor):
 
     def _fit_one(self, rows: DataFrame, y: str) -> dict:
         cols = [*self.features, y]
-        got = rows.select(*[col(c).cast("double") for c in cols]).orderBy(F.xxhash64(*[col(c) for c in cols])).limit(self.sample_rows).toPandas().to_numpy()
-        x, t = got[:, :-1], got[:, -1]
+        got = rows.select(*[col(c).cast("double") for c in cols], self.create_weights().alias("_weight")).orderBy(F.xxhash64(*[col(c) for c in cols])).limit(self.sample_rows).toPandas().to_numpy()
+        x, t, share = got[:, :-2], got[:, -2], got[:, -1:] / got[:, -1].sum()
         mx, sx, mt, st = x.mean(0), x.std(0), t.mean(), t.std() or 1.0
         sx = np.where(sx == 0, 1, sx)
         x, t, rng, outs = (x - mx) / sx, (t - mt) / st, np.random.default_rng(self.seed), 1 + len(self.quantiles)
@@ -222,30 +256,78 @@ class MLPTimeseriesRegressor(TimeseriesRegressor):
             g[:, 0] = -2 * e[:, 0]
             for i, q in enumerate(self.quantiles, 1):
                 g[:, i] = np.where(e[:, i] >= 0, -q, 1 - q)
-            g /= len(x)
+            g *= share
             gz = (g @ p[2].T) * (1 - z**2)
             for i, d in enumerate((x.T @ gz, gz.sum(0), z.T @ g, g.sum(0))):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
                 p[i] -= self.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
         return {"x": [mx.tolist(), sx.tolist()], "y": [mt, st], "layers": [a.tolist() for a in p]}
 
-    def _outputs(self, state: dict) -> dict[str, Column]:
+    def _outputs(self, state: dict, read: Callable[[str], Column] = col) -> dict[str, Column]:
         (mx, sx), (mt, st), (a, b, c, d) = state["x"], state["y"], state["layers"]
-        x = [(col(n).cast("double") - m) / s for n, m, s in zip(self.features, mx, sx, strict=True)]
+        x = [(read(n).cast("double") - m) / s for n, m, s in zip(self.features, mx, sx, strict=True)]
         z = F.array(*[F.tanh(sum((x[i] * float(a[i][h]) for i in range(len(x))), F.lit(float(b[h])))) for h in range(self.hidden)])
         line = lambda k: sum((z[h] * float(c[h][k]) for h in range(self.hidden)), F.lit(float(d[k]))) * st + mt
         return {"mean": line(0)} | {q: line(i) for i, q in enumerate(self.quantiles, 1)}
 
 
+def shapley_contributions(model: TimeseriesRegressor, df: DataFrame, lead: int | None = None, output: str | float = "mean", orders: int = 8, seed: int = 0) -> DataFrame:
+    """Adds ``{feature}_contribution`` and ``base``: how a prediction comes about from that at the features' means.
+
+    Features are put in one after the other, in ``orders`` random orders and their reverses; what the prediction changes by
+    is the feature's, on average over the orders. Contributions and the base sum to the prediction, for any model.
+    """
+    lead = model.predict_ahead[0] if lead is None else lead
+    df, names, rng = model.engineered(df), list(model.features), np.random.default_rng(seed)
+    means = df.agg(*[F.avg(col(c)).alias(c) for c in names]).first()
+    found: dict[frozenset[str], str] = {}
+
+    def with_own(own: frozenset[str]) -> str:
+        return found.setdefault(own, f"_with_{len(found)}")
+
+    chains = []
+    for _ in range(orders):
+        order = [names[i] for i in rng.permutation(len(names))]
+        chains += [order, order[::-1]]
+    steps = [(c, with_own(frozenset(order[: i + 1])), with_own(frozenset(order[:i]))) for order in chains for i, c in enumerate(order)]
+    base = with_own(frozenset())
+    out = df.withColumns({n: model.outputs(lead, lambda c, own=own: col(c) if c in own else F.lit(means[c]))[output] for own, n in found.items()})
+    parts = {c: [F.col(a) - F.col(b) for name, a, b in steps if name == c] for c in names}
+    out = out.withColumns({f"{c}_contribution": sum(own[1:], own[0]) / len(own) for c, own in parts.items()} | {"base": F.col(base)})
+    return out.drop(*found.values())
+
+
+def quantile_importances(model: TimeseriesRegressor, df: DataFrame, lead: int | None = None, seed: int = 0) -> DataFrame:
+    """``feature, output, importance`` for the mean (absolute error) and each quantile (its loss): how much the loss grows
+    when the feature's values are dealt anew."""
+    lead = model.predict_ahead[0] if lead is None else lead
+
+    def losses(rows: DataFrame) -> dict[str, float]:
+        rows = make_shifted_target(rows, model.target, [lead], model.time_col, False, "_y", model.partition_by)
+        error = {k: col(f"_y_lead_{lead}") - c - (col(model.target) if model.use_diff_of_y else 0) for k, c in model.outputs(lead).items()}
+        row = rows.agg(*[F.avg(F.abs(e) if k == "mean" else tilted(e, k)).alias(str(k)) for k, e in error.items()]).first()
+        return row.asDict()
+
+    df = model.engineered(df)
+    base = losses(df)
+    out = [(c, k, v - base[k]) for i, c in enumerate(model.features) for k, v in losses(dealt_anew(df, c, seed * 1000 + i)).items()]
+    return df.sparkSession.createDataFrame(out, "feature string, output string, importance double")
+
+
+def dealt_anew(df: DataFrame, column: str, seed: int) -> DataFrame:
+    """``df`` with the values of a column exchanged by rank of a random number inside 64 buckets of rows."""
+    keyed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(64)))
+    a = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_id")))
+    b = keyed.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_id", F.lit(seed)))).alias("_r"), col(column).alias("_new"))
+    return a.join(b, ["_b", "_r"]).withColumn(column, F.col("_new")).select(*df.columns)
+
+
 def permutation_importances(model: TimeseriesRegressor, df: DataFrame, seed: int = 0) -> DataFrame:
     """``feature, importance``: how much the score falls when a feature's values are dealt anew. Values are exchanged by
     rank of a random number inside buckets of rows, so nothing is sorted as a whole."""
-    base, out = model.score(df), []
-    keyed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(64)))
-    for i, c in enumerate(model.features):
-        a = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_id")))
-        b = keyed.select("_b", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_id", F.lit(seed * 1000 + i)))).alias("_r"), col(c).alias("_new"))
-        out.append((c, base - model.score(a.join(b, ["_b", "_r"]).withColumn(c, F.col("_new")).select(*df.columns))))
+    df, plain = model.engineered(df), replace(model, engineer=None)
+    base = plain.score(df)
+    out = [(c, base - plain.score(dealt_anew(df, c, seed * 1000 + i))) for i, c in enumerate(model.features)]
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
 
 
@@ -280,3 +362,19 @@ def benchmark_model(train: DataFrame, test: DataFrame, model: TimeseriesRegresso
         known = lambda c, y=y: F.when(y.isNotNull(), c)
         parts.append(F.struct(F.lit(p).alias("lead"), scorer(y, known(col(f"predict_lead_{p}_mean"))).alias("model"), scorer(y, known(col(model.target).cast("double"))).alias("persistence"), scorer(y, known(F.lit(mean))).alias("mean")))
     return rows.agg(F.array(*parts).alias("s")).select(F.inline("s"))
+
+
+def benchmark_wrapper(models: Mapping[str, TimeseriesRegressor], datasets: Mapping[str, DataFrame], cols: Mapping[str, Sequence[str]], targets: Mapping[str, str], time_col: str, freq: str, train_until: Mapping[str, str], column_filter: Callable[[str], bool] = lambda name: True) -> DataFrame:
+    """``dataset, method, lead, score`` of every model and both baselines on every wide table: each is brought to a grid,
+    split, and filled before the models are fitted on the columns that pass ``column_filter``."""
+    out = None
+    for name, df in datasets.items():
+        own = [c for c in cols[name] if column_filter(c)]
+        train, test = preprocess_data_for_benchmarking(df, own, targets[name], time_col, freq, train_until[name])
+        for k, (label, model) in enumerate(models.items()):
+            made = replace(model, time_col=time_col, target=targets[name], features=own, state={})
+            scores = benchmark_model(train, test, made).withColumnRenamed("model", label)
+            scores = scores if not k else scores.drop("persistence", "mean")  # the baselines once
+            long = scores.unpivot("lead", [c for c in scores.columns if c != "lead"], "method", "score").select(F.lit(name).alias("dataset"), "method", "lead", "score")
+            out = long if out is None else out.unionByName(long)
+    return out
