@@ -91,9 +91,6 @@ def long_to_wide(df: DataFrame, sep: str = "_", keys: Sequence[str] | None = Non
     return keyed.groupBy("TIME").pivot("key", keys).agg(F.first("VALUE"))
 
 
-sam_format_to_wide = long_to_wide
-
-
 def wide_to_long(df: DataFrame, sep: str | None = "_", idvalue: str = "", timecol: str = "TIME") -> DataFrame:
     """TIME, ID, TYPE, VALUE: names split at the first separator; an empty ID becomes ``idvalue``; without a separator
     the name is the TYPE."""
@@ -110,9 +107,6 @@ def wide_to_long(df: DataFrame, sep: str | None = "_", idvalue: str = "", timeco
     return long.withColumn("n", names[F.col("name")]).select("TIME", "n.ID", "n.TYPE", "VALUE")
 
 
-wide_to_sam_format = wide_to_long
-
-
 def resampled(df: DataFrame, freq: str, cols: Sequence[str], time_col: str = "TIME", method: str = "mean", partition_by: Sequence[str] = ()) -> DataFrame:
     """Left-labelled bins from each series' first to last; empty bins have missing values."""
     step, by = duration(freq), list(partition_by)

@@ -5,13 +5,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durations import duration
+from ..functions.durations import duration, moment
 
-#: Variables that files give in tenths, and those whose -1 means "less than 0.05".
+# Fixed values, by the supplier's definition of its files: variables given in tenths, and those whose -1 means "less than
+# 0.05". The daily FHNH is an hour, not tenths, and is left as it is; T10 and FXX are older names of T10N and FX.
 TENTHS = ("FH", "FF", "FX", "T", "T10", "T10N", "TD", "SQ", "DR", "RH", "P", "FHVEC", "FG", "FHX", "FHN", "FXX", "TG", "TN", "TX", "RHX", "PG", "PX", "PN", "EV24")
 CLIPPED = ("SQ", "RH", "RHX")
 EARTH_KM = 6373.0
@@ -40,9 +42,18 @@ def read_knmi_stations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_knmi_measurements(spark: SparkSession, path: str, freq: str = "hourly", preprocess: bool = False) -> DataFrame:
-    """``STN, TIME`` and the variables of a measurement file. The last line of the ``#`` header names the columns; hour n
-    ends the n-th hour of its day, so hour 24 is midnight of the next."""
+def request_window(start: str, end: str, freq: str = "hourly") -> tuple[datetime, datetime]:
+    """What to ask the supplier for, so that all hours from ``start`` to ``end`` come: it answers by whole days, and the
+    hour that ends at midnight belongs to the day before."""
+    a, b = datetime.fromisoformat(start), datetime.fromisoformat(end)
+    if freq != "hourly":
+        return a, b
+    return (a - timedelta(hours=1)).replace(hour=0, minute=0), b.replace(hour=23, minute=0)
+
+
+def read_knmi_measurements(spark: SparkSession, path: str, freq: str = "hourly", preprocess: bool = False, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``STN, TIME`` and the variables of a measurement file, from ``start`` to ``end`` if they are given. The last line of
+    the ``#`` header names the columns; hour n ends the n-th hour of its day, so hour 24 is midnight of the next."""
     head = [r.value for r in spark.read.text(path).where(F.col("value").startswith("#")).orderBy(F.monotonically_increasing_id()).collect()]  # the header
     names = [n.strip() for n in head[-1].lstrip("# ").split(",")]
     part = F.split("value", ",")
@@ -53,6 +64,10 @@ def read_knmi_measurements(spark: SparkSession, path: str, freq: str = "hourly",
     time = day if hour is None else day + F.make_dt_interval(hours=F.col(hour).cast("int"))
     variables = [n for n in names if n not in ("STN", "YYYYMMDD", hour)]
     out = rows.select(F.col("STN").cast("int").alias("STN"), time.alias("TIME"), *[F.col(v).cast("double").alias(v) for v in variables])
+    if start is not None:
+        out = out.where(F.col("TIME") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        out = out.where(F.col("TIME") <= F.lit(end).cast("timestamp"))
     return preprocess_knmi(out) if preprocess else out
 
 
@@ -70,7 +85,7 @@ def preprocess_knmi(df: DataFrame) -> DataFrame:
 
 def read_knmi(spark: SparkSession, measurements: str, stations: str, lat: float, lon: float, start: str, end: str, freq: str = "hourly", variables: Sequence[str] | None = None, find_nonan_station: bool = False, preprocess: bool = False, drop_station: bool = True) -> DataFrame:
     """Measurements of the nearest station, or of the nearest without missing values, from ``start`` to ``end``."""
-    rows = read_knmi_measurements(spark, measurements, freq, preprocess).where((F.col("TIME") >= F.lit(start).cast("timestamp")) & (F.col("TIME") <= F.lit(end).cast("timestamp")))
+    rows = read_knmi_measurements(spark, measurements, freq, preprocess, start, end)
     if variables:
         rows = rows.select("STN", "TIME", *variables)
     near = read_knmi_stations(spark, stations).select(F.col("number").alias("STN"), haversine(F.col("latitude"), F.col("longitude"), lat, lon).alias("km"))
@@ -101,12 +116,16 @@ def read_openweathermap(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rain(spark: SparkSession, paths: str | Sequence[str], start: str, end: str, freq: str = "5min") -> DataFrame:
     """``TIME, PRECIPITATION`` from JSON answers ``{"data": [[epoch ms, value], ...]}``: batches are put together, rows
-    that several hold count once, and times from ``start`` to ``end`` stay."""
-    if duration(freq) < duration("5min"):
+    that several hold count once, and times from ``start`` to ``end`` stay. Steps longer than 5 minutes get the mean of
+    what they hold, under the time they begin."""
+    step = duration(freq)
+    if step < duration("5min"):
         raise ValueError("the shortest step is 5 minutes")
     raw = spark.read.schema("data array<array<double>>").option("multiLine", True).json(paths if isinstance(paths, str) else list(paths))
     rows = raw.select(F.explode("data").alias("p")).select(F.timestamp_millis(F.col("p")[0].cast("long")).alias("TIME"), F.col("p")[1].alias("PRECIPITATION")).distinct()
-    return rows.where(F.col("TIME").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
-
+    rows = rows.where(F.col("TIME").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    if step == duration("5min"):
+        return rows
+    begin = moment(F.expr(f"unix_micros(TIME) - pmod(unix_micros(TIME), {step})")).alias("TIME")
+    return rows.groupBy(begin).agg(F.avg("PRECIPITATION").alias("PRECIPITATION"))
 
-read_regenradar = read_rain
