@@ -14,7 +14,7 @@ HEADLINES = (
     "normalize_last_ffill", "normalize_mean", "wide_table", "resampled_mean", "rolling_mean", "rolling_median", "rolling_day_sum", "rolling_skew", "rolling_fourier",
     "mad_validator", "flatline_validator", "clean_range_average", "incident_summary", "lag_correlations", "datetime_parts", "cyclical_and_onehot", "announced_incidents", "linear_forecast",
 )
-PIPELINE = ("op9_benchmark_decontamination", "op10_quality_rules", "op6_secret_scans", "op5_pii", "op4_extendible_sharding", "op1_mixture_packing", "op3_url_filters")
+PIPELINE = tuple(f"op{n}_" for n in (9, 10, 6, 5, 4, 1, 3, 2, 8, 7))
 
 
 def main() -> None:
@@ -27,11 +27,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     found = {n: plans.queries()[n] for n in HEADLINES}
     try:
+        import corpus_pipeline
         from tidegrid.llm import queries as llm
 
-        found |= {n: llm.queries()[n] for n in PIPELINE}
+        found |= {name: q for n in PIPELINE for name, q in llm.queries().items() if name.startswith(n)} | {"pipeline": corpus_pipeline.run}
     except ImportError as e:
-        if e.name not in ("tidegrid.llm", "tidegrid.llm.queries"):
+        if e.name not in ("corpus_pipeline", "tidegrid.llm", "tidegrid.llm.queries"):
             raise
     found["clean_above_clip"] = plans.queries()["clean_above_clip"]
     found["clean_above_clip"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -1,13 +1,18 @@
 """Hand-made cases of the time-series operators."""
 
+import json
 import math
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions.durations import duration
 from tidegrid.operators import cleaning, exploration, features, metrics, models, reshaping, validation
+from tidegrid.plans import plot_data
 
 
 def series(spark, **columns):
@@ -100,8 +105,18 @@ def test_validators(spark):
     got = values(validation.MADValidator("t", 5, ["x"]).fit_transform(series(spark, x=spike)), "x")
     assert [i for i, v in enumerate(got) if v is None] == [25]
     pipe = validation.create_validation_pipe("t", ["x", "y"], 5, flatline_window=30)
-    out = pipe(series(spark, x=spike, y=[2 * v if v < 50 else 2.0 for v in spike]))
+    bad = series(spark, x=spike, y=[2 * v if v < 50 else 2.0 for v in spike])
+    out = pipe.fit_transform(bad)
     assert math.isclose(values(out, "x")[25], 1.0, abs_tol=0.2)
+    # What was learnt on one table is used on another, also after a way through JSON.
+    other = series(spark, x=[1.0, 200.0, 1.0, None, 0.0, 2.0], y=[2.0, 2.0, 2.0, 4.0, 0.0, 4.0])
+    again = validation.ValidationPipe.from_dict(json.loads(json.dumps(pipe.to_dict())))
+    got = values(again.transform(other), "x")
+    assert got == values(pipe.transform(other), "x") and math.isclose(got[1], 1.0, abs_tol=0.2) and math.isclose(got[3], 2.0, abs_tol=0.2) and got[4] == 0.0
+    for method, want in (("mean", 2.5), ("median", 1.0), ("most_frequent", 1.0), ("constant", 9.0)):
+        assert values(validation.imputed(series(spark, x=[1, 1, None, 0, 8]), ["x"], method, 9.0), "x")[2] == want
+    spread = validation.MADValidator("t", "4h", ["x"], 3).fit_transform(series(spark, x=spike))
+    assert [i for i, v in enumerate(values(spread, "x")) if v is None] == [25]
 
 
 def test_normalise(spark):
@@ -146,15 +161,114 @@ def test_models(spark):
     assert abs(lasso.score(df)) <= 3
     again = models.TimeseriesRegressor.load(lasso.dump())
     assert math.isclose(again.score(df), lasso.score(df))
+    # Features from raw columns inside the model, a scaled target, and the same after a way through JSON.
+    engineer = features.SimpleFeatureEngineer("t", [("x", "lag", 1), ("x", "mean", 2)], keep_original=True)
+    inside = models.LassoTimeseriesRegressor("t", "y", ["x_lag_1", "x_mean_2"], predict_ahead=[1], alpha=0.0, engineer=engineer, scale_y=True).fit(df)
+    assert abs(inside.score(df)) < 1e-6 and math.isclose(models.TimeseriesRegressor.load(inside.dump()).score(df), inside.score(df))
     net = models.MLPTimeseriesRegressor("t", "y", ["x"], predict_ahead=[1], epochs=500).fit(df)
     assert abs(net.score(df)) <= 3
     assert models.permutation_importances(lasso, df).first().importance > 5
+    two = df.withColumn("z", F.sin("i"))
+    both = models.MLPTimeseriesRegressor("t", "y", ["x", "z"], quantiles=[0.9], epochs=300).fit(two)
+    weight = {(r.feature, r.output): r.importance for r in models.quantile_importances(both, two).collect()}
+    assert weight["x", "mean"] > 5 > abs(weight["z", "mean"]) and weight["x", "0.9"] > weight["z", "0.9"]
+    parts = models.shapley_contributions(both, both.predict(two), orders=2).select("base", "x_contribution", "z_contribution", "predict_lead_0_mean").collect()
+    assert all(math.isclose(r[0] + r[1] + r[2], r[3], rel_tol=1e-9) for r in parts) and max(abs(r.x_contribution) for r in parts) > max(abs(r.z_contribution) for r in parts)
+    line = models.shapley_contributions(lasso, df, orders=1).orderBy("i").first()
+    assert math.isclose(line.x_contribution, lasso.contributions(df).orderBy("i").first().x_contribution, rel_tol=1e-9)
     with pytest.raises(ValueError):
         models.ConstantTimeseriesRegressor("t", "y", predict_ahead=[0], use_diff_of_y=True).fit(df)
+    heavy = df.withColumn("w", F.when(F.col("i") < 50, 1.0).otherwise(0.0)).withColumn("y", F.when(F.col("i") < 50, F.col("y")).otherwise(0.0))
+    assert math.isclose(models.LassoTimeseriesRegressor("t", "y", ["x"], alpha=0.0, weight="w").fit(heavy).state["0"]["fit"]["mean"][1], 69, rel_tol=1e-6)
+    weighed = models.MLPTimeseriesRegressor("t", "y", ["x"], epochs=300, weight="w").fit(heavy)
+    assert abs(weighed.predict(df).where("i = 10").first()["predict_lead_0_mean"] - 427) < 15
+    table = models.benchmark_wrapper({"line": lasso, "flat": models.ConstantTimeseriesRegressor("t", "y")}, {"made": df}, {"made": ["x", "skip"]}, {"made": "y"}, "t", "1h", {"made": "2020-01-04"}, lambda c: c != "skip").collect()
+    got = {r.method: r.score for r in table}
+    assert set(got) == {"line", "flat", "persistence", "mean"} and got["line"] < got["flat"]
     scores = models.benchmark_model(df.where("i < 80"), df.where("i >= 80"), models.LassoTimeseriesRegressor("t", "y", ["x"], predict_ahead=[2], alpha=0.001)).first()
     assert scores.model < scores.persistence < scores["mean"]
 
 
+def test_ewm_against_pandas(spark):
+    """Long enough for several blocks, with gaps, in two series."""
+    rng = random.Random(1)
+    x = [None if rng.random() < 0.2 or 900 < i < 1900 else rng.uniform(-5, 9) for i in range(2500)]
+    df = series(spark, x=x).withColumn("k", F.col("i") % 2)
+    for a in (0.4, 0.9, 0.05, 1.0):
+        got = values(features.BuildRollingFeatures("t", "ewm", 0, cols=["x"], alpha=a, partition_by=["k"]).transform(df), f"x#ewm_{a}")
+        for k in (0, 1):
+            want = pd.Series(x[k::2], dtype=float).ewm(alpha=a).mean()
+            assert close(got[k::2], [None if math.isnan(v) else v for v in want]), a
+
+
+def test_wavelet_and_fourier_against_numpy(spark):
+    rng = random.Random(2)
+    x = [rng.uniform(-3, 3) for _ in range(20)] + [None] + [1.0] * 9
+    df = series(spark, x=x)
+    for kind, n, f in (("fourier", 5, features.spectrum), ("cwt", 6, lambda v: features.ricker(v, 2))):
+        step = features.BuildRollingFeatures("t", kind, 1, n, ["x"], width=2)
+        out = step.transform(df)
+        for i, name in enumerate(step.made):
+            want = [None] + [None if k < n - 1 or None in x[k - n + 1 : k + 1] else float(f(np.array(x[k - n + 1 : k + 1]))[i]) for k in range(len(x) - 1)]
+            assert close(values(out, name), want), name
+    # Non-uniform sums of an even window of equal steps, against the definition.
+    n = 8
+    out = features.BuildRollingFeatures("t", "nfft", 0, f"{n}h", ["x"], nfft_ncol=3).transform(df)
+    v = np.array(x[12 - n + 1 : 13])
+    place = np.arange(-n + 1, 1) / n + 0.5
+    for i in range(3):
+        assert math.isclose(values(out, f"x#nfft_{n}h_{i + 1}")[12], abs(sum(v * np.exp(2j * np.pi * (i + 1) * place))), rel_tol=1e-9)
+
+
+def test_rank_correlations_against_pandas(spark):
+    rng = random.Random(4)
+    x = [rng.choice((None, rng.randint(0, 9), rng.uniform(0, 9))) for _ in range(400)]
+    y = [rng.choice((3, 3, rng.uniform(0, 9) + (v or 0))) for v in x]
+    df, pdf = series(spark, x=x, y=y), pd.DataFrame({"x": x, "y": y}, dtype=float)
+    spearman = [pdf.x.shift(n)[lambda s: s.notna()].rank().corr(pdf.y[pdf.x.shift(n).notna()].rank()) for n in (0, 3)]
+    assert close(values(exploration.lag_correlation(df, "y", "t", [0, 3], "spearman", ["x"]), "x", "LAG"), spearman)
+    pairs = [(pdf.x.shift(n)[i], pdf.y[i]) for n in (0,) for i in range(400) if not math.isnan(pdf.x.shift(n)[i])]
+    sign = lambda v: int(v > 0) - int(v < 0)
+    both = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for a in pairs for b in pairs]
+    tau = sum(p * q for p, q in both) / math.sqrt(sum(p * p for p, _ in both) * sum(q * q for _, q in both))
+    assert close(values(exploration.lag_correlation(df, "y", "t", [0], "kendall", ["x"]), "x", "LAG"), [tau])
+    largest = exploration.lag_correlation(df, "y", "t", [0], lambda a, b: float(a.max()), ["x"])
+    assert values(largest, "x", "LAG") == [max(v for v in x if v is not None)]
+    a, b = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    assert exploration.concordance(a, b) * 2 == sum(p * q for p, q in both)
+
+
+def test_rolling_search(spark):
+    """The target is the mean of five values: the search finds its window, and the forecast gets better for it."""
+    rng = random.Random(5)
+    x = [rng.uniform(0, 1) for _ in range(400)]
+    df = series(spark, x=x, y=[sum(x[max(0, i - 4) : i + 1]) / 5 for i in range(400)])
+    search = features.RollingSearch("t", "y", ["x"], ((2, 5, 9),), ("mean", "lag")).fit(df)
+    assert "x#mean_5" in search.chosen and search.r2_rolling > 0.99 > search.r2_base
+    assert max(search.importances, key=search.importances.get) == "x#mean_5"
+    assert set(search.transform(df).columns) == {*df.columns, *search.chosen}
+    with pytest.raises(ValueError):
+        features.RollingSearch("t", "y", ["x"], cv=1).fit(df)
+
+
+def test_small_ones(spark):
+    df = series(spark, x=[1, None], y=[1, 2])
+    assert cleaning.contains_nans(df) and not cleaning.contains_nans(df.select("y"))
+    with pytest.raises(AssertionError):
+        cleaning.assert_contains_nans(df)
+    assert features.identity_features(df).columns == ["i", "x", "y"] and features.identity_features(df, False).columns == df.columns
+    scorer = metrics.make_incident_recall_scorer((1, 1), "t")
+    assert scorer(series(spark, incident=[0, 1, 0, 1], prediction=[1, 0, 0, 0])) == 0.5
+    line = models.LassoTimeseriesRegressor("t", "y", ["x"], alpha=0.0).fit(series(spark, x=[0, 1, 2, 3], y=[1, 3, 5, 7]))
+    assert close(values(line.contributions(series(spark, x=[0, 2], y=[1, 5])), "x_contribution"), [-2, 2])
+    sums = models.importance_sums(spark.createDataFrame([("a#mean_2", 1.0), ("a#lag_1", 2.0), ("b", 1.0)], "feature string, importance double"))
+    assert {r.feature: (r.importance, r.share) for r in sums.collect()} == {"a": (3.0, 0.75), "b": (1.0, 0.25)}
+    scores = plot_data.score_table(spark.createDataFrame([(1, 0.5, 0.7)], "lead int, model double, mean double"))
+    assert sorted(tuple(r) for r in scores.collect()) == [(1, "mean", 0.7), (1, "model", 0.5)]
+    twice = spark.createDataFrame([(datetime(2019, 10, 27, 2, 0), 1.0), (datetime(2019, 10, 27, 2, 0), 3.0), (datetime(2019, 10, 27, 3, 0), 5.0)], "TIME timestamp, VALUE double")
+    assert sorted(r.VALUE for r in reshaping.average_winter_time(twice, ["TIME"]).collect()) == [2.0, 5.0]
+
+
 def test_durations():
     assert duration("15min") == 900_000_000 and duration("1h30min") == 5_400_000_000 and duration("min") == 60_000_000
     with pytest.raises(ValueError):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import col
+from ..functions.windows import ordered
 from ..operators import cleaning, exploration, features, metrics, models, reshaping, validation
 from ..sources import synthetic, weather
 from ..streaming import binning
@@ -118,6 +120,41 @@ def flatline_validator(spark, sf):
     return v.fit_transform(events(spark, sf)).select("event_id", "value")
 
 
+@registered("""
+WITH d AS (SELECT event_id, value, value - quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND 43200000000 FOLLOWING) AS d FROM events),
+b AS (SELECT quantile_cont(d, 0.5) FILTER (d < 0) * 5 AS lo, quantile_cont(d, 0.5) FILTER (d > 0) * 5 AS hi FROM d)
+SELECT event_id, CASE WHEN d < lo OR d > hi THEN NULL ELSE value END AS value FROM d, b""")
+def mad_validator_by_day(spark, sf):
+    """Deviations of more than five median deviations from the median of the day around become missing."""
+    return validation.MADValidator("ts", "1d", ["value"], 5, BY).fit_transform(events(spark, sf)).select("event_id", "value")
+
+
+_MAD = "value - quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS d"
+
+
+@registered(f"""
+WITH tr AS (SELECT value, {_MAD} FROM events WHERE ts < TIMESTAMP '2024-01-15'),
+b AS (SELECT quantile_cont(d, 0.5) FILTER (d < 0) * 5 AS lo, quantile_cont(d, 0.5) FILTER (d > 0) * 5 AS hi FROM tr),
+m AS (SELECT avg(value) FILTER (d >= lo AND d <= hi) AS m FROM tr, b),
+te AS (SELECT event_id, value, {_MAD} FROM events WHERE ts >= TIMESTAMP '2024-01-15')
+SELECT event_id, round(CASE WHEN d < lo OR d > hi THEN m ELSE value END, 6) AS value FROM te, b, m""")
+def validation_pipe(spark, sf):
+    """A pipe of validator and imputer, fitted on the rows before a time and used on those after it."""
+    train, test = cleaning.datetime_train_test_split(events(spark, sf), datetime="2024-01-15", datecol="ts")
+    pipe = validation.ValidationPipe([validation.MADValidator(ORDER, 10, ["value"], 5, BY)], validation.Imputer(["value"], "mean"))
+    return pipe.fit(train).transform(test).select("event_id", rounded("value").alias("value"))
+
+
+@registered("""
+WITH e AS (SELECT event_id, (user_id % 7)::DOUBLE AS x, CASE WHEN value >= 5 THEN value END AS v FROM events), m AS (SELECT avg(v) AS m FROM e),
+r AS (SELECT regr_slope(v, x) AS a, regr_intercept(v, x) AS b FROM e WHERE v IS NOT NULL)
+SELECT event_id, round(coalesce(v, a * x + b), 4) AS value FROM e, m, r""")
+def impute_by_regression(spark, sf):
+    """Missing values become a linear function of another column."""
+    e = cleaning.correct_below_threshold(events(spark, sf).withColumn("x", (F.col("user_id") % 7).cast("double")), "value", 5, "na")
+    return validation.Imputer(["value", "x"], "iterative").fit_transform(e).select("event_id", rounded("value", 4).alias("value"))
+
+
 @registered("""
 WITH m AS (SELECT event_id, CASE WHEN value >= 5 THEN value END AS v FROM events)
 SELECT event_id, coalesce(v, (SELECT quantile_cont(v, 0.5) FROM m)) AS value FROM m""")
@@ -284,6 +321,23 @@ def clock_changes(spark, sf):
     return reshaping.label_dst(e, "t").select("event_id", "dst")
 
 
+@registered("""
+WITH e AS (SELECT user_id % 10 AS id, ts + INTERVAL 90 DAY * (event_id % 5) AS t, value FROM events), d AS (SELECT *, day(t) >= 25 AND isodow(t) = 7 AND hour(t) = 2 AND month(t) = 10 AS twice FROM e)
+SELECT id, t, round(value, 6) AS value FROM d WHERE NOT twice UNION ALL SELECT id, t, round(avg(value), 6) FROM d WHERE twice GROUP BY id, t""")
+def winter_time_means(spark, sf):
+    """Rows that repeat in the hour that the clock repeats become one, on times spread over the year."""
+    e = events(spark, sf).select((F.col("user_id") % 10).alias("id"), F.expr("ts + make_dt_interval(90 * cast(event_id % 5 AS int))").alias("t"), "value")
+    return reshaping.average_winter_time(e, ["id", "t"], "value", "t").select("id", F.col("t").cast("timestamp_ntz").alias("t"), rounded("value").alias("value"))
+
+
+@registered("SELECT name, holes FROM (VALUES ('all', (SELECT count(*) FROM events WHERE value IS NULL) > 0), ('cut', (SELECT count(*) FROM events WHERE value < 5 OR value IS NULL) > 0)) t(name, holes)")
+def holes(spark, sf):
+    """Whether anything is missing, before and after small values are taken out."""
+    e = events(spark, sf).select("event_id", "value")
+    found = [("all", cleaning.contains_nans(e)), ("cut", cleaning.contains_nans(cleaning.correct_below_threshold(e, "value", 5, "na")))]
+    return spark.createDataFrame(found, "name string, holes boolean")
+
+
 @registered(f"SELECT event_id, lead(value, 1) {W} AS lead_1, lead(value, 3) {W} AS lead_3, round(lead(value, 2) {W} - value, 6) AS diff_2 FROM events")
 def shifted_targets(spark, sf):
     """Later values and differences."""
@@ -358,6 +412,10 @@ _sql["rolling_fourier"] = f"""
 WITH l AS (SELECT event_id, user_id, ts, list(value) {_frame} AS v FROM events)
 SELECT event_id, round(lag(a, 1) {W}, 6) AS r0, round(lag(b, 1) {W}, 6) AS r1 FROM (SELECT event_id, user_id, ts, CASE WHEN len(v) = 4 THEN sqrt((v[1] - v[3]) ** 2 + (v[2] - v[4]) ** 2) END AS a, CASE WHEN len(v) = 4 THEN abs(v[1] - v[2] + v[3] - v[4]) END AS b FROM l)"""
 _queries["rolling_wavelet"] = _rolling("cwt", 6, width=2)
+_waves = [" + ".join(f"v[{j + 1}] * {w!r}::DOUBLE" for j, w in enumerate(row)) for row in np.array([features.ricker(e, 2) for e in np.eye(6)]).T.tolist()]
+_sql["rolling_wavelet"] = f"""
+WITH l AS (SELECT event_id, user_id, ts, list(value) {W[:-1]} ROWS 5 PRECEDING) AS v FROM events)
+SELECT event_id, {", ".join(f"round(lag(c{i}, 1) {W}, 6) AS r{i}" for i in range(6))} FROM (SELECT event_id, user_id, ts, {", ".join(f"CASE WHEN len(v) = 6 THEN {x} END AS c{i}" for i, x in enumerate(_waves))} FROM l)"""
 _queries["rolling_uneven_fourier"] = _rolling("nfft", "3d", nfft_ncol=5)
 
 
@@ -376,6 +434,14 @@ def datetime_parts(spark, sf):
     return d.select("event_id", *[F.col(f"ts_{p}").cast("int").alias(p) for p in parts])
 
 
+@registered("SELECT event_id, (epoch_us(ts) % 1000000)::INT AS microsecond, day(last_day(ts))::INT AS days_in_month, day(ts) = 1 AS is_month_start, ts::DATE = last_day(ts) AS is_month_end, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second FROM events")
+def more_datetime_parts(spark, sf):
+    """More calendar parts."""
+    parts = ["microsecond", "days_in_month", "is_month_start", "is_month_end", "hour", "minute", "second"]
+    d = features.decompose_datetime(events(spark, sf), "ts", parts)
+    return d.select("event_id", *[F.col(f"ts_{p}").cast("boolean" if p.startswith("is_") else "int").alias(p) for p in parts])
+
+
 @registered("SELECT event_id, hour(timezone('Europe/Amsterdam', timezone('UTC', ts)))::INT AS hour FROM events")
 def local_hours(spark, sf):
     """Hours of the day in another zone."""
@@ -460,6 +526,25 @@ def rank_correlation(spark, sf):
     return exploration.lag_correlation(e, "y", ORDER, 1, "spearman", cols=["value"]).select(F.col("LAG").alias("lag"), rounded("value").alias("correlation"))
 
 
+@registered("""
+WITH p AS (SELECT value AS x, user_id AS y, count(*) AS n FROM events GROUP BY 1, 2),
+s AS (SELECT sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(a.n * b.n * abs(sign(a.x - b.x))) AS fx, sum(a.n * b.n * abs(sign(a.y - b.y))) AS fy FROM p a, p b)
+SELECT 0 AS lag, round(s / sqrt(fx * fy), 6) AS correlation FROM s""")
+def kendall_correlation(spark, sf):
+    """Kendall's correlation of value and user."""
+    e = events(spark, sf).withColumn("y", F.col("user_id").cast("double"))
+    return exploration.lag_correlation(e, "y", ORDER, 1, "kendall", cols=["value"]).select(F.col("LAG").alias("lag"), rounded("value").alias("correlation"))
+
+
+@registered("""
+WITH c AS (SELECT round(corr(l_quantity, l_extendedprice), 6) AS a, round(corr(l_discount, l_extendedprice), 6) AS b, round(corr(l_tax, l_extendedprice), 6) AS c FROM lineitem)
+SELECT name, correlation FROM (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS name, unnest([a, b, c]) AS correlation FROM c) QUALIFY row_number() OVER (ORDER BY abs(correlation) DESC, name) <= 2""")
+def top_correlations_of_all(spark, sf):
+    """The two columns that go best with the price, whatever their group."""
+    t = exploration.top_n_correlations(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_extendedprice", 2, False, cols=["l_quantity", "l_discount", "l_tax"])
+    return t.select(F.col("NAME").alias("name"), rounded("CORR").alias("correlation"))
+
+
 @registered("""
 WITH c AS (SELECT round(corr(l_quantity, l_extendedprice), 6) AS a, round(corr(l_discount, l_extendedprice), 6) AS b, round(corr(l_tax, l_extendedprice), 6) AS c FROM lineitem),
 l AS (SELECT 'l' AS grp, unnest(['l#quantity', 'l#discount', 'l#tax']) AS name, unnest([a, b, c]) AS correlation FROM c)
@@ -534,14 +619,28 @@ def announced_incidents(spark, sf):
 
 
 @registered("""
-WITH t AS (SELECT floor(least(value, 50))::INT AS s, (user_id % 3 = 0)::INT AS y FROM events), g AS (SELECT s, sum(y) AS p, count(*) AS n FROM t GROUP BY s)
+WITH t AS (SELECT value AS s, (user_id % 3 = 0)::INT AS y FROM events), g AS (SELECT s, sum(y) AS p, count(*) AS n FROM t GROUP BY s)
 SELECT s AS threshold, round(sum(p) OVER w / sum(n) OVER w, 6) AS precision, round(sum(p) OVER w / (SELECT sum(y) FROM t), 6) AS recall FROM g WINDOW w AS (ORDER BY s DESC)""")
 def precision_recall(spark, sf):
     """Precision and recall by threshold."""
-    e = events(spark, sf).select(F.expr("cast(floor(least(value, 50)) AS int)").alias("s"), (F.col("user_id") % 3 == 0).cast("int").alias("y"))
+    e = events(spark, sf).select(F.col("value").alias("s"), (F.col("user_id") % 3 == 0).cast("int").alias("y"))
     return plot_data.precision_recall_points(e, "y", "s").select("threshold", rounded("precision").alias("precision"), rounded("recall").alias("recall"))
 
 
+@registered("""
+WITH p AS (SELECT user_id, ts, event_id, (value > 80)::INT AS i, floor(value)::DOUBLE % 10 AS s FROM events),
+w AS (SELECT i, s, coalesce(max(i) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 0) AS ahead,
+  CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2 THEN coalesce(max(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING), 0)
+  ELSE coalesce(max(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) END AS carried FROM p),
+u AS (SELECT t, sum(p) AS p, sum(n) AS n, sum(r) AS r FROM (SELECT s AS t, ahead AS p, 1 AS n, 0 AS r FROM w UNION ALL SELECT carried, 0, 0, i FROM w) GROUP BY t)
+SELECT t AS threshold, round(coalesce(sum(p) OVER d / nullif(sum(n) OVER d, 0), 1), 6) AS precision, round(sum(r) OVER d / (SELECT sum(i) FROM w), 6) AS recall FROM u WINDOW d AS (ORDER BY t DESC)""")
+def incident_curve(spark, sf):
+    """Precision and recall of announced incidents by threshold."""
+    e = events(spark, sf).select("user_id", "ts", "event_id", (F.col("value") > 80).cast("int").alias("i"), (F.floor("value").cast("double") % 10).alias("s"))
+    c = metrics.precision_incident_recall_curve(e, "i", "s", (1, 2), ORDER, BY)
+    return c.select("threshold", rounded("precision").alias("precision"), rounded("recall").alias("recall"))
+
+
 @registered("SELECT event_type AS row, time_bucket(INTERVAL '1 day', ts) AS period, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def incident_heatmap(spark, sf):
     """Sums by type and day."""
@@ -576,6 +675,40 @@ def linear_forecast(spark, sf):
     return models.LassoTimeseriesRegressor("ts", "value", ["x"], alpha=0.0).fit(e).predict(e).select("event_id", rounded("predict_lead_0_mean", 4).alias("mean"))
 
 
+@registered("""
+WITH e AS (SELECT event_id, value AS y, (user_id % 7)::DOUBLE AS x, (1 + event_id % 3)::DOUBLE AS w FROM events),
+m AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * y) / sum(w) AS mxy, sum(w * x * x) / sum(w) AS mxx FROM e)
+SELECT event_id, round(my + (mxy - mx * my) / (mxx - mx * mx) * (x - mx), 4) AS mean FROM e, m""")
+def weighted_forecast(spark, sf):
+    """A linear forecast with sample weights."""
+    e = events(spark, sf).withColumns({"x": (F.col("user_id") % 7).cast("double"), "w": 1 + F.col("event_id") % 3})
+    return models.LassoTimeseriesRegressor("ts", "value", ["x"], alpha=0.0, weight="w").fit(e).predict(e).select("event_id", rounded("predict_lead_0_mean", 4).alias("mean"))
+
+
+@registered("""
+WITH e AS (SELECT event_id, value AS y, (value > 50)::INT::DOUBLE AS x FROM events), m AS (SELECT covar_pop(y, x) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM e)
+SELECT event_id, round(my + sign(c) * greatest(abs(c) - 1, 0) / v * (x - mx), 4) AS mean FROM e, m""")
+def lasso_forecast(spark, sf):
+    """A linear forecast of one feature with a penalty."""
+    e = events(spark, sf).withColumn("x", (F.col("value") > 50).cast("double"))
+    return models.LassoTimeseriesRegressor("ts", "value", ["x"], alpha=1.0).fit(e).predict(e).select("event_id", rounded("predict_lead_0_mean", 4).alias("mean"))
+
+
+@registered()
+def feature_importances(spark, sf):
+    """How much worse a forecast gets when a feature's values are dealt anew."""
+    e = events(spark, sf).withColumns({"x": (F.col("value") > 50).cast("double"), "z": (F.col("user_id") % 7).cast("double")})
+    return models.permutation_importances(models.LassoTimeseriesRegressor("ts", "value", ["x", "z"], alpha=0.0).fit(e), e)
+
+
+@registered()
+def benchmark_scores(spark, sf):
+    """Two forecasters against the last value and the training mean, on daily values."""
+    d = reshaping.resampled(events(spark, sf), "6h", ["value"], "ts").withColumn("x", F.hour("ts").cast("double"))
+    kinds = {"linear": models.LassoTimeseriesRegressor("ts", "value", predict_ahead=[1, 2], alpha=0.0), "constant": models.ConstantTimeseriesRegressor("ts", "value", predict_ahead=[1, 2])}
+    return models.benchmark_wrapper(kinds, {"events": d}, {"events": ["x"]}, {"events": "value"}, "ts", "6h", {"events": "2024-01-15"})
+
+
 @registered()
 def quantile_forecast(spark, sf):
     """A lasso and linear quantiles."""
@@ -598,6 +731,14 @@ def chosen_rolling_features(spark, sf):
     return out.select("event_id", out.columns[-1]).toDF("event_id", "feature")
 
 
+@registered()
+def rolling_search(spark, sf):
+    """Windows of rolling means and lags, chosen by time-series splits."""
+    e = events(spark, sf).withColumn("y", F.lead("value").over(ordered(BY, ORDER)))
+    out = features.RollingSearch(ORDER, "y", ["value"], ((1, 2, 3), (5, 8)), partition_by=BY).fit(e).transform(e)
+    return out.select("event_id", *[col(c) for c in out.columns[-4:]]).toDF("event_id", "a", "b", "c", "d")
+
+
 @registered()
 def synthetic_series(spark, sf):
     """A synthetic sensor for a year."""
