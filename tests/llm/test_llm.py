@@ -790,3 +790,13 @@ def test_pipeline(spark, texts):
     assert set(left) == set(after) and not any(secrets_base(t) for t in left.values())
     check_packing(stages["mixture_packing"](spark, safe, DATA).collect(), {k: hugging(t) + [1] for k, t in left.items()})
     assert corpus_pipeline.run(spark, DATA).agg(F.sum("length")).first()[0] == sum(len(hugging(t)) + 1 for t in left.values())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        out = stage(spark, docs_, str(tmp_path))
+        assert out.count() == 0 and out.columns == docs_.columns

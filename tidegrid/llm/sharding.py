@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import persisted
+from .store import persisted, scope
 
 #: Bits of the key's hash that a prefix may take.
 HASH_BITS = 32
@@ -45,11 +45,19 @@ def leaves(sizes: DataFrame, limit: int, bits: int, least: int = 0) -> DataFrame
     the bytes fit, or all bits. ``sizes``: columns ``hash`` and ``bytes``; ``bucket`` is the prefix of ``depth`` bits.
     """
     histogram = sizes.groupBy(F.shiftright("hash", HASH_BITS - bits).alias("fine")).agg(F.sum("bytes").alias("bytes"))
-    depths = histogram.select("fine", "bytes", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth")).withColumn("bucket", F.expr(f"shiftright(fine, {bits} - depth)"))
-    sums = depths.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bytes"))
-    fitting = depths.drop("bytes").join(sums.where((F.col("bytes") <= limit) | (F.col("depth") == bits)), ["depth", "bucket"])
-    leaf = fitting.groupBy("fine").agg(F.min(F.struct("depth", "bucket", "bytes")).alias("leaf"))
-    return leaf.select("fine", "leaf.depth", "leaf.bucket", "leaf.bytes")
+    histogram = persisted(histogram, "shard-histogram")
+    prefix = F.expr(f"shiftright(fine, {bits} - depth)").alias("bucket")
+    depths = histogram.select("fine", "bytes", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth")).select("depth", prefix, "bytes")
+    sums = persisted(depths.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bytes")), "shard-sums")
+    # A leaf fits (or has all bits) and hangs below a bucket that doesn't; at the first depth nothing is above.
+    split = sums.where(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("above"))
+    below = sums.withColumn("above", F.shiftright("bucket", 1)).join(split, ["depth", "above"], "left_semi").drop("above")
+    leaf = below.unionByName(sums.where(F.col("depth") == least)).where((F.col("bytes") <= limit) | (F.col("depth") == bits))
+    leaf = persisted(leaf.select("depth", "bucket", "bytes"), "shard-leaves")
+    used = sorted(r.depth for r in leaf.select("depth").distinct().collect())  # at most 33; prefixes go to these depths only
+    if not used:
+        return histogram.select("fine", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"), "bytes").limit(0)
+    return histogram.select("fine", F.explode(F.array(*[F.lit(d) for d in used])).alias("depth")).select("fine", "depth", prefix).join(leaf, ["depth", "bucket"]).select("fine", "depth", "bucket", "bytes")
 
 
 def paged(rows: DataFrame, limit: int) -> DataFrame:
@@ -68,6 +76,11 @@ def paged(rows: DataFrame, limit: int) -> DataFrame:
 
 def sharded(docs: DataFrame, *, limit: int = 1 << 20, spare: int = 4, most_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, depth, bucket, page, overflow, shard`` for every row; a shard's name is its depth and prefix."""
+    with scope() as here:
+        return here.result(_sharded(docs, limit, spare, most_bits, id_col, text_col), "shards")
+
+
+def _sharded(docs: DataFrame, limit: int, spare: int, most_bits: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
     rows = rows.withColumn("hash", hashed(F.col("doc_id")))
     sizes = rows.select("hash", F.col("n_bytes").alias("bytes"))
@@ -80,7 +93,8 @@ def sharded(docs: DataFrame, *, limit: int = 1 << 20, spare: int = 4, most_bits:
     if found.where(F.col("bytes") > limit).limit(1).count():
         # The rows of buckets beyond the limit go on to all bits; all others stay as they are.
         large = persisted(out.where(F.col("bytes") > limit).select("doc_id", "n_bytes", "hash"), "shard-large")
-        deep = leaves(large.select("hash", F.col("n_bytes").alias("bytes")), limit, HASH_BITS, bits).withColumnRenamed("fine", "hash")
+        deep = persisted(leaves(large.select("hash", F.col("n_bytes").alias("bytes")), limit, HASH_BITS, bits).withColumnRenamed("fine", "hash"), "shard-directory")
+        deep = F.broadcast(deep) if deep.count() <= BROADCAST_ROWS else deep
         more = persisted(large.join(deep, "hash").select(*columns), "shard-deep")
         parted = out.where(F.col("bytes") <= limit).unionByName(more.where(F.col("bytes") <= limit))
         out = parted.withColumn("page", F.lit(0).cast("long")).unionByName(paged(more.where(F.col("bytes") > limit), limit))
