@@ -10,6 +10,7 @@ import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -180,6 +181,90 @@ def lasso(gram: np.ndarray, cross: np.ndarray, alpha: float, steps: int = 2000,
     return w
 
 
+def _products(rows: DataFrame, x: Sequence[Column], y: Column, weight: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of products of the features, and of each with the target, in one pass."""
+    parts = [F.sum(a * b * weight) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * y * weight) for a in x]
+    row = list(rows.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first())
+    gram, at = np.zeros((len(x), len(x))), 0
+    for i in range(len(x)):
+        for j in range(i, len(x)):
+            gram[i, j] = gram[j, i] = row[at]
+            at += 1
+    return gram, np.array(row[at:], float)
+
+
+def quantile_weights(rows: DataFrame, x: Sequence[Column], y: Column, q: float, start: np.ndarray, weight: Column, rounds: int, tol: float = 1e-8) -> np.ndarray:
+    """Linear quantile regression by iteratively reweighted least squares, one pass of sums a round."""
+    w = start
+    for _ in range(rounds):
+        e = y - sum((a * float(b) for a, b in zip(x, w, strict=True)), F.lit(0.0))
+        gram, cross = _products(rows, x, y, weight * F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(e), F.lit(1e-6)))
+        new = np.linalg.lstsq(gram, cross, rcond=None)[0]
+        done, w = np.abs(new - w).max() < tol, new
+        if done:
+            break
+    return w
+
+
+@dataclass
+class LinearQuantileRegression:
+    """Linear quantile regressions with p-values: robust covariances with an Epanechnikov kernel and Hall and Sheather's
+    bandwidth, all by sums over the rows; the normal distribution stands for Student's. Rows with a missing value are left out.
+    """
+
+    target: str
+    features: Sequence[str]
+    quantiles: Sequence[float] = (0.05, 0.95)
+    tol: float = 1e-6
+    max_iter: int = 100
+    fit_intercept: bool = True
+    coef_: dict[float, dict[str, float]] = field(default_factory=dict)
+    pvalue_: dict[float, dict[str, float]] = field(default_factory=dict)
+
+    def _x(self) -> dict[str, Column]:
+        return {c: col(c).cast("double") for c in self.features} | ({"const": F.lit(1.0)} if self.fit_intercept else {})
+
+    def fit(self, df: DataFrame) -> LinearQuantileRegression:
+        """Fits each quantile."""
+        if any(not 0 < q < 1 for q in self.quantiles):
+            raise ValueError("quantiles lie between 0 and 1")
+        rows, y, normal = df.dropna(subset=[self.target, *self.features]), col(self.target).cast("double"), NormalDist()
+        names, x = list(self._x()), list(self._x().values())
+        gram, cross = _products(rows, x, y, F.lit(1.0))
+        row = rows.agg(F.count("*").alias("n"), F.stddev_pop(y).alias("s")).first()
+        low, high = exact_quantiles(rows, {"y": y}, [0.25, 0.75])["y"]
+        inverse = np.linalg.pinv(gram)
+        for q in self.quantiles:
+            w = quantile_weights(rows, x, y, q, np.linalg.lstsq(gram, cross, rcond=None)[0], F.lit(1.0), self.max_iter, self.tol)
+            z = normal.inv_cdf(q)
+            h = row.n ** (-1 / 3) * normal.inv_cdf(0.975) ** (2 / 3) * (1.5 * normal.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
+            a, b = max(q - h, 1e-6), min(q + h, 1 - 1e-6)
+            h = min(row.s, (high - low) / 1.34) * (normal.inv_cdf(b) - normal.inv_cdf(a))
+            e = y - sum((c * float(v) for c, v in zip(x, w, strict=True)), F.lit(0.0))
+            dense = rows.agg(F.sum(F.when(F.abs(e) <= h, 0.75 * (1 - (e / h) * (e / h)))).alias("d")).first().d if h > 0 else None
+            self.coef_[q] = dict(zip(names, w.tolist(), strict=True))
+            if not dense:  # no residuals near 0, or none at all
+                self.pvalue_[q] = dict.fromkeys(names, math.nan)
+                continue
+            size = row.n * h / dense
+            middle, _ = _products(rows, x, y, F.when(e > 0, F.lit((q * size) ** 2)).otherwise(F.lit(((1 - q) * size) ** 2)))
+            spread = np.sqrt(np.diag(inverse @ middle @ inverse))
+            self.pvalue_[q] = {n: math.erfc(abs(v) / s / math.sqrt(2)) if s > 0 else math.nan for n, v, s in zip(names, w.tolist(), spread.tolist(), strict=True)}
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with a column ``predict_q_{q}`` for each quantile."""
+        if not self.coef_:
+            raise ValueError("fit first")
+        x = self._x()
+        return df.withColumns({f"predict_q_{q}": sum((x[n] * float(v) for n, v in own.items()), F.lit(0.0)) for q, own in self.coef_.items()})
+
+    def score(self, df: DataFrame) -> float:
+        """The mean over the quantiles of their losses."""
+        losses = [F.avg(tilted(col(self.target) - col(f"predict_q_{q}"), q)) for q in self.quantiles]
+        return self.predict(df).agg(sum(losses[1:], losses[0]) / len(losses)).first()[0]
+
+
 @dataclass
 class LassoTimeseriesRegressor(TimeseriesRegressor):
     """A lasso for the mean, and linear quantile regressions by iteratively reweighted least squares."""
@@ -198,22 +283,7 @@ class LassoTimeseriesRegressor(TimeseriesRegressor):
         return out
 
     def _quantile(self, rows: DataFrame, y: str, q: float, w: np.ndarray) -> np.ndarray:
-        x = self._x()
-        for _ in range(self.rounds):
-            e = col(y) - self._line(w)
-            weight = self.create_weights() * F.when(e >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(e), F.lit(1e-6))
-            parts = [F.sum(a * b * weight) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * col(y) * weight) for a in x]
-            row = list(rows.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first())
-            gram, at = np.zeros((len(x), len(x))), 0
-            for i in range(len(x)):
-                for j in range(i, len(x)):
-                    gram[i, j] = gram[j, i] = row[at]
-                    at += 1
-            new = np.linalg.lstsq(gram, np.array(row[at:], float), rcond=None)[0]
-            done, w = np.abs(new - w).max() < 1e-8, new
-            if done:
-                break
-        return w
+        return quantile_weights(rows, self._x(), col(y), q, w, self.create_weights(), self.rounds)
 
     def _line(self, w: Sequence[float], read: Callable[[str], Column] = col) -> Column:
         return sum((a * float(b) for a, b in zip(self._x(read)[1:], w[1:], strict=True)), F.lit(float(w[0])))

@@ -87,18 +87,18 @@ def clean_range_average(spark, sf):
     return cleaning.correct_outside_range(events(spark, sf), "value", (5, 100), "average", time_col=ORDER, partition_by=BY).select("event_id", rounded("value").alias("value"))
 
 
-@registered("SELECT event_id, greatest(least(value, b.hi), b.lo) AS value FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE user_id < 3) b")
+@registered("SELECT event_id, greatest(least(value, b.hi), b.lo) AS value FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE event_type = 'purchase') b")
 def clip_fitted(spark, sf):
-    """Values clipped to the range of three users."""
+    """Values clipped to the range of one type."""
     e = events(spark, sf)
-    return cleaning.ClipTransformer(["value"]).fit(e.where("user_id < 3")).transform(e).select("event_id", "value")
+    return cleaning.ClipTransformer(["value"]).fit(e.where("event_type = 'purchase'")).transform(e).select("event_id", "value")
 
 
-@registered("SELECT event_id, CASE WHEN value >= b.lo AND value <= b.hi THEN value END AS value FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE user_id < 3) b")
+@registered("SELECT event_id, CASE WHEN value >= b.lo AND value <= b.hi THEN value END AS value FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE event_type = 'purchase') b")
 def range_validator(spark, sf):
-    """Values outside the range of three users become missing."""
+    """Values outside the range of one type become missing."""
     e = events(spark, sf)
-    return validation.OutsideRangeValidator(["value"]).fit(e.where("user_id < 3")).transform(e).select("event_id", "value")
+    return validation.OutsideRangeValidator(["value"]).fit(e.where("event_type = 'purchase'")).transform(e).select("event_id", "value")
 
 
 @registered("""
@@ -231,14 +231,12 @@ def normalize_last_ffill(spark, sf):
     return n.select(F.col("TIME").cast("timestamp_ntz").alias("time"), F.col("ID").alias("id"), F.col("TYPE").alias("type"), F.col("VALUE").alias("value"))
 
 
-@registered("""SELECT time_bucket(INTERVAL '1 day', ts) AS time, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'error'), 4) AS error, round(sum(value) FILTER (event_type = 'view'), 4) AS view
-FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY 1""")
+@registered("SELECT date_trunc('hour', ts)::TIMESTAMP AS time, " + ", ".join(f"round(sum(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in TYPES) + " FROM events GROUP BY 1")
 def wide_table(spark, sf):
-    """Daily sums by type as columns."""
-    e = events(spark, sf).where("event_type IN ('click', 'error', 'view')")
-    long = e.groupBy(F.date_trunc("day", "ts").alias("TIME"), F.lit("a").alias("ID"), F.col("event_type").alias("TYPE")).agg(rounded(F.sum("value"), 4).alias("VALUE"))
-    w = reshaping.long_to_wide(long, "_", ["a_click", "a_error", "a_view"])
-    return w.select(F.col("TIME").cast("timestamp_ntz").alias("time"), F.col("a_click").alias("click"), F.col("a_error").alias("error"), F.col("a_view").alias("view"))
+    """Hourly sums by type as columns."""
+    long = events(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("TIME"), F.lit("a").alias("ID"), F.col("event_type").alias("TYPE")).agg(rounded(F.sum("value"), 4).alias("VALUE"))
+    w = reshaping.long_to_wide(long, "_", [f"a_{t}" for t in TYPES])
+    return w.select(F.col("TIME").cast("timestamp_ntz").alias("time"), *[F.col(f"a_{t}").alias(t) for t in TYPES])
 
 
 @registered("SELECT event_id, id, type, value FROM (SELECT event_id, 'a' AS id, 'x' AS type, value AS value FROM events UNION ALL SELECT event_id, 'all', 'y', user_id::DOUBLE FROM events)")
@@ -249,23 +247,23 @@ def long_table(spark, sf):
 
 
 @registered("""
-WITH r AS (SELECT user_id, epoch_us(ts) // 86400000000 * 86400000000 AS bin, value FROM events WHERE user_id < 20),
-g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), 86400000000)) AS bin FROM r GROUP BY user_id), v AS (SELECT user_id, bin, avg(value) AS value FROM r GROUP BY ALL)
+WITH r AS (SELECT user_id, epoch_us(ts) // 43200000000 * 43200000000 AS bin, value FROM events),
+g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), 43200000000)) AS bin FROM r GROUP BY user_id), v AS (SELECT user_id, bin, avg(value) AS value FROM r GROUP BY ALL)
 SELECT g.user_id, make_timestamp(g.bin) AS time, round(v.value, 6) AS value FROM g LEFT JOIN v ON v.user_id = g.user_id AND v.bin = g.bin""")
 def resampled_mean(spark, sf):
-    """Daily means of 20 users, empty days missing."""
-    r = reshaping.resampled(events(spark, sf).where("user_id < 20"), "1d", ["value"], "ts", "mean", BY)
+    """Means by half days of all users, empty ones missing."""
+    r = reshaping.resampled(events(spark, sf), "12h", ["value"], "ts", "mean", BY)
     return r.select("user_id", F.col("ts").cast("timestamp_ntz").alias("time"), rounded("value").alias("value"))
 
 
 @registered("""
-WITH r AS (SELECT user_id, epoch_us(ts) // 21600000000 * 21600000000 AS bin, value, ts FROM events WHERE user_id < 20),
-g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), 21600000000)) AS bin FROM r GROUP BY user_id), v AS (SELECT user_id, bin, arg_max(value, ts) AS value FROM r GROUP BY ALL),
+WITH r AS (SELECT user_id, epoch_us(ts) // 86400000000 * 86400000000 AS bin, value, ts FROM events),
+g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), 86400000000)) AS bin FROM r GROUP BY user_id), v AS (SELECT user_id, bin, arg_max(value, ts) AS value FROM r GROUP BY ALL),
 f AS (SELECT g.user_id, g.bin, last_value(v.value IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.bin ROWS 2 PRECEDING) AS value FROM g LEFT JOIN v ON v.user_id = g.user_id AND v.bin = g.bin)
 SELECT user_id, make_timestamp(bin) AS time, value FROM f WHERE value IS NOT NULL""")
 def padded_values(spark, sf):
-    """As-of values on a six-hour grid, carried over two bins at most."""
-    r = reshaping.padded(events(spark, sf).where("user_id < 20"), "6h", ["value"], "ts", 2, BY)
+    """As-of values of all users on a daily grid, carried over two bins at most."""
+    r = reshaping.padded(events(spark, sf), "1d", ["value"], "ts", 2, BY)
     return r.select("user_id", F.col("ts").cast("timestamp_ntz").alias("time"), "value")
 
 
@@ -641,6 +639,17 @@ def incident_curve(spark, sf):
     return c.select("threshold", rounded("precision").alias("precision"), rounded("recall").alias("recall"))
 
 
+@registered("""
+WITH d AS (SELECT time_bucket(INTERVAL '1 day', ts) AS day, avg(value) AS y FROM events GROUP BY 1), l AS (SELECT *, lag(49.0::DOUBLE) OVER (ORDER BY day) AS low, lag(51.0::DOUBLE) OVER (ORDER BY day) AS high FROM d)
+SELECT day, round(y, 6) AS y, low, high, coalesce(y >= high OR y <= low, false) AS outlier FROM l""")
+def quantile_chart(spark, sf):
+    """Daily means, an interval that was predicted a day before, and the days outside."""
+    d = reshaping.resampled(events(spark, sf), "1d", ["value"], "ts").dropna(subset=["value"])
+    d = d.withColumns({"predict_lead_1_q_0.1": F.lit(49.0), "predict_lead_1_q_0.9": F.lit(51.0), "predict_lead_1_mean": F.lit(50.0)})
+    q = plot_data.quantile_plot(d, "value", "ts", 1, [0.1, 0.9], outlier_min_q=1)
+    return q.select(F.col("ts").cast("timestamp_ntz").alias("day"), rounded("value").alias("y"), col("predict_lead_1_q_0.1").alias("low"), col("predict_lead_1_q_0.9").alias("high"), "outlier")
+
+
 @registered("SELECT event_type AS row, time_bucket(INTERVAL '1 day', ts) AS period, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def incident_heatmap(spark, sf):
     """Sums by type and day."""
@@ -717,6 +726,14 @@ def quantile_forecast(spark, sf):
     return m.predict(e).select("event_id", *models.prediction_names([0], [])[:1], col("predict_lead_0_q_0.1").alias("low"), col("predict_lead_0_q_0.9").alias("high"))
 
 
+@registered()
+def quantile_regression(spark, sf):
+    """Coefficients and p-values of linear quantiles."""
+    e = events(spark, sf).withColumns({"x": (F.col("user_id") % 7).cast("double"), "z": (F.col("value") > 50).cast("double")})
+    m = models.LinearQuantileRegression("value", ["x", "z"], [0.25, 0.75]).fit(e)
+    return spark.createDataFrame([(q, n, v, m.pvalue_[q][n]) for q, own in m.coef_.items() for n, v in own.items()], "quantile double, name string, weight double, pvalue double")
+
+
 @registered()
 def network_forecast(spark, sf):
     """A small neural network's forecasts."""
