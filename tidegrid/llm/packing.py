@@ -8,7 +8,7 @@ form that needs only running sums, so the rounds of one queue are worked out in
 The packets in order of (round, queue, place) form one stream that is cut every ``window`` ids, so all sequences but the
 last are full and none is padded.
 
-Running sums are made in two levels (inside blocks of bounded size, then over block totals): no source, however large,
+Running sums are made in three levels (inside blocks of bounded size, inside groups of blocks, over groups): no source, however large,
 is sorted in one task by document. Ids are encoded once, kept as Parquet in the shared folder, and meet the pieces by
 one join on a row number.
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .store import persisted, small_batches
 from .tokens import END_ID, Encoder, vocabulary_file
 
-#: Documents in a block of the running sums, and the ids in a block of the stream (2**17: 64 windows) below most_blocks.
-BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 17
+#: Documents in a block of the running sums, blocks of a group (as bits), and the ids in a block of the stream (2**17: 64
+#: windows) below most_blocks.
+BLOCK_DOCS, GROUP_BITS, BLOCK_IDS = 512, 10, 1 << 17
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -94,11 +95,15 @@ def pack(
     quanta = [(q, i, max(window * share[q], 1.0)) for i, (q, _) in enumerate(named)]
     meta = meta.join(F.broadcast(spark.createDataFrame(quanta, "queue string, rank int, quantum double")), "queue")
 
-    # Tokens before each document in its queue: blocks of rows, then the blocks' totals.
-    block = (F.shiftrightunsigned("row", 33) * F.lit(1 << 21) + F.shiftright(F.col("row").bitwiseAND((1 << 33) - 1), BLOCK_DOCS.bit_length() - 1)).alias("block")
+    # Tokens before each document in its queue: blocks of rows, groups of blocks, then the groups' totals.
+    bits = BLOCK_DOCS.bit_length() - 1
+    block = (F.shiftrightunsigned("row", 33) * F.lit(1 << (33 - bits)) + F.shiftright(F.col("row").bitwiseAND((1 << 33) - 1), bits)).alias("block")
     meta = meta.withColumn("block", block)
-    over = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = meta.groupBy("rank", "block").agg(F.sum("n").alias("tokens")).select("rank", "block", F.coalesce(F.sum("tokens").over(over), F.lit(0)).alias("block_start"))
+    blocks = meta.groupBy("rank", "block").agg(F.sum("n").alias("tokens")).withColumn("group", F.shiftright("block", GROUP_BITS))
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = blocks.groupBy("rank", "group").agg(F.sum("tokens").alias("tokens")).select("rank", "group", before(Window.partitionBy("rank").orderBy("group")).alias("group_start"))
+    blocks = blocks.withColumn("in_group", before(Window.partitionBy("rank", "group").orderBy("block"))).join(groups, ["rank", "group"])
+    blocks = blocks.select("rank", "block", (F.col("group_start") + F.col("in_group")).alias("block_start"))
     inside = Window.partitionBy("rank", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = meta.withColumn("in_block", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["rank", "block"]).withColumn("queue_start", F.col("block_start") + F.col("in_block"))
 
