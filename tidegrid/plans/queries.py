@@ -730,7 +730,7 @@ def quantile_forecast(spark, sf):
 def quantile_regression(spark, sf):
     """Coefficients and p-values of linear quantiles."""
     e = events(spark, sf).withColumns({"x": (F.col("user_id") % 7).cast("double"), "z": (F.col("value") > 50).cast("double")})
-    m = models.LinearQuantileRegression("value", ["x", "z"], [0.25, 0.75]).fit(e)
+    m = models.LinearQuantileRegression("value", ["x", "z"], [0.25, 0.75], tol=1e-3, max_iter=25).fit(e)
     return spark.createDataFrame([(q, n, v, m.pvalue_[q][n]) for q, own in m.coef_.items() for n, v in own.items()], "quantile double, name string, weight double, pvalue double")
 
 
