@@ -399,7 +399,7 @@ def _joined(texts: DataFrame, words: int, percent: int) -> DataFrame:
     # All pairs across what are still different components, in the buckets that are still open.
     wide = wide.drop("comp", "shared").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     wide = persisted(wide, "join-relabelled")
-    still = wide.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+    still = persisted(wide.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket"), "join-still-open")
     wide = persisted(wide.join(still, "bucket", "left_semi").join(heads.select("doc_id", "bitmap"), "doc_id"), "join-crossing")
     x, y = wide.alias("x"), wide.alias("y")
     crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & _place("x", "y", percent) & _bound("x", "y", percent))
