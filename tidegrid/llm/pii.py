@@ -72,7 +72,6 @@ def folded(items: Column, first: Column, kind: str, step: Callable[[Column, Colu
     none). Outputs are put together by blocks, so that no long array is copied for each item. What is carried at the end
     is lost; ``kind`` is the outputs' type."""
     nothing = F.array().cast(f"array<{kind}>")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))), lambda b: F.slice(items, b * block + 1, block))
 
     def one(acc: Column, x: Column) -> Column:
         carried, out = step(acc["c"], x)
@@ -82,12 +81,16 @@ def folded(items: Column, first: Column, kind: str, step: Callable[[Column, Colu
         inner = F.array(F.aggregate(b, F.struct(acc["c"].alias("c"), nothing.alias("a")), one))
         return F.transform(inner, lambda r: F.struct(r["c"].alias("c"), F.concat(acc["a"], F.array(r["a"])).alias("a")))[0]
 
-    return F.flatten(F.aggregate(blocks, F.struct(first.alias("c"), F.array().cast(f"array<array<{kind}>>").alias("a")), whole)["a"])
+    def all_of(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))), lambda b: F.slice(a, b * block + 1, block))
+        return F.flatten(F.aggregate(blocks, F.struct(first.alias("c"), F.array().cast(f"array<array<{kind}>>").alias("a")), whole)["a"])
 
+    return once(items, all_of)
 
-def running(lengths: Column) -> Column:
-    """Running sums of an array of ints."""
-    return folded(lengths, F.lit(0), "int", lambda c, x: (c + x, c + x))
+
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What ``made`` makes of a value that it names more than once: the value is worked out once."""
+    return F.transform(F.array(value), made)[0]
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,own:string>>"
@@ -96,16 +99,17 @@ SPAN = "array<struct<start:int,kind:int,end:int,own:string>>"
 def found(text: Column, pattern: str, kind: int, gate: Column) -> Column:
     """All matches as ``start, kind, end, own``: the pieces between them give their places."""
     nothing = F.array().cast(SPAN)
+    # The text is cut into piece, match, piece, match ...: a fold over pairs carries where each begins.
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # Lengths of piece, match, piece, match ...: the running sums are start, end, start, end ...
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    both = F.flatten(F.transform(zipped, lambda z: F.array(z["p"], F.length(z["m"]))))
-    sums = running(both)
-    spans = F.zip_with(
-        F.filter(sums, lambda _, i: i % 2 == 0), F.zip_with(F.filter(sums, lambda _, i: i % 2 == 1), matches, lambda e, m: F.struct(e.alias("e"), m.alias("m"))),
-        lambda s, x: F.struct(s.alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["m"].alias("own")),
-    )
+    pairs = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda z: z["m"].isNotNull())  # one piece more than matches
+
+    def step(at: Column, z: Column) -> tuple[Column, Column]:
+        start = at + z["p"]
+        end = start + F.length(z["m"])
+        return end, F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), z["m"].alias("own"))
+
+    spans = folded(pairs, F.lit(0), SPAN.removeprefix("array<").removesuffix(">"), step)
     return F.when(gate & text.rlike(pattern), spans).otherwise(nothing).cast(SPAN)
 
 
