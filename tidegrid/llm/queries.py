@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, ngram_join, packing, pii, quality_rules, secrets_scan, sharding, token_counts, url_filter
+from . import chat_format, decontam, ngram_join, packing, pii, prefix_trie, quality_rules, secrets_scan, sharding, token_counts, url_filter
 from .store import persisted, scope, temporary
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
@@ -59,6 +59,33 @@ WITH d AS (
 SELECT doc_id, n_bytes, leaf.depth AS depth, leaf.bucket AS bucket, CAST(0 AS BIGINT) AS page, false AS overflow, concat(leaf.depth, '-', leaf.bucket) AS shard FROM l
 """
 
+#: CRC-32 by its table, rebuilt sequences of turn keys, and nodes as their prefixes.
+OP12_SQL = """
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), rows AS (
+  SELECT conv_id, turn, sha256(concat(length(role), ':', role, text))[1:32] AS k, strlen(text) AS b
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT conv_id, list({'k': k, 'b': b} ORDER BY turn NULLS FIRST, k, b) AS ts FROM rows GROUP BY conv_id
+), h AS (
+  SELECT conv_id, ts, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) % 9 AS h
+  FROM own, tab
+), s AS (
+  SELECT h.conv_id, coalesce(o.ts, [])[1:h.h] || h.ts[h.h + 1:] AS ts FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 5
+), p AS (
+  SELECT conv_id, len(ts) AS n, d, array_to_string(list_transform(ts[1:d], lambda x: x.k), '') AS p, CASE WHEN d > 0 THEN ts[d].b ELSE 0 END AS b FROM s, unnest(generate_series(0, len(ts))) u(d)
+), nodes AS MATERIALIZED (
+  SELECT p, d, min(conv_id) AS c, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS e FROM p GROUP BY p, d
+), kids AS (SELECT p[1:32 * (d - 1)] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), up AS (
+  SELECT x.p[1:32 * a] AS p, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.b) AS saved
+  FROM nodes x LEFT JOIN kids ON kids.p = x.p, unnest(generate_series(0, x.d)) u(a) GROUP BY ALL
+)
+SELECT x.c AS conv_id, x.d AS depth, y.c AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0) AS n_children, CAST(up.leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, x.e AS ends_sha256
+FROM nodes x JOIN up ON up.p = x.p LEFT JOIN kids ON kids.p = x.p LEFT JOIN nodes y ON x.d > 0 AND y.p = x.p[1:32 * (x.d - 1)]
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -129,11 +156,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(quality_rules.measured(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express on whole tables."""
-    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_prefix_trie": OP12_SQL}
