@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, ngram_join, packing, pii, prefix_trie, quality_rules, secrets_scan, sharding, token_counts, url_filter
+from . import chat_format, decontam, ngram_join, packing, pii, prefix_trie, quality_rules, secrets_scan, sharding, token_counts, url_filter, vector_codes
 from .store import persisted, scope, temporary
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
@@ -86,6 +86,38 @@ SELECT x.c AS conv_id, x.d AS depth, y.c AS parent_conv_id, x.n AS n_convs, coal
 FROM nodes x JOIN up ON up.p = x.p LEFT JOIN kids ON kids.p = x.p LEFT JOIN nodes y ON x.d > 0 AND y.p = x.p[1:32 * (x.d - 1)]
 """
 
+_OP13_ROUND = """), a{k} AS (
+  SELECT v.vec_id, v.p, arg_min(c.e, (v.n + c.n - 2 * list_inner_product(v.v, c.v), c.e)) AS e, min(v.n + c.n - 2 * list_inner_product(v.v, c.v)) AS d FROM v JOIN c{k} c ON c.p = v.p GROUP BY v.vec_id, v.p
+), c{j} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.v, c.v) AS v, list_inner_product(coalesce(m.v, c.v), coalesce(m.v, c.v)) AS n
+  FROM c{k} c LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT p, e, i, floor(sum(x) / count(*)) AS m FROM (SELECT v.p, a.e, unnest(v.v) AS x, unnest(range(len(v.v))) AS i FROM v JOIN a{k} a USING (vec_id, p)) GROUP BY ALL) GROUP BY p, e
+  ) m USING (p, e)
+"""
+
+#: Lloyd rounds written out, in doubles that hold every integer exactly.
+OP13_SQL = (
+    """
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, p, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] AS v, list_inner_product(q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4], q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4]) AS n FROM k, range(4) r(p)
+), c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v, n FROM v QUALIFY e < 256
+"""
+    + "".join(_OP13_ROUND.format(k=k, j=k + 1) for k in range(4))
+    + """), f AS (
+  SELECT vec_id, p, min(v.n + c.n - 2 * list_inner_product(v.v, c.v)) AS d, arg_min(c.e, (v.n + c.n - 2 * list_inner_product(v.v, c.v), c.e)) AS e FROM v JOIN c4 c USING (p) GROUP BY vec_id, p
+), o AS (
+  SELECT vec_id, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS s FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM c4)
+)
+SELECT o.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.s AS codebooks_sha256 FROM o JOIN k USING (vec_id), h
+"""
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -161,11 +193,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of four bytes and its error, under codebooks of four rounds."""
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules, op12_prefix_trie, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express on whole tables."""
-    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
