@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, ngram_join, packing, pii, prefix_trie, quality_rules, secrets_scan, sharding, token_counts, url_filter, vector_codes
+from . import chat_format, decontam, ngram_join, packing, pii, prefix_trie, quality_rules, secrets_scan, sharding, token_counts, url_filter, vector_codes, vector_join
 from .store import persisted, scope, temporary
 
 #: Words of five-word shingles, pairs by shared shingles, then reachable documents.
@@ -59,6 +59,18 @@ WITH d AS (
 SELECT doc_id, n_bytes, leaf.depth AS depth, leaf.bucket AS bucket, CAST(0 AS BIGINT) AS page, false AS overflow, concat(leaf.depth, '-', leaf.bucket) AS shard FROM l
 """
 
+#: Cosines of all pairs in double precision, then reachable vectors.
+OP11_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.9
+), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, m.c = e.vec_id AS kept FROM embeddings e JOIN m ON m.a = e.vec_id
+"""
+
 #: CRC-32 by its table, rebuilt sequences of turn keys, and nodes as their prefixes.
 OP12_SQL = """
 WITH tab AS (
@@ -188,6 +200,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(quality_rules.measured(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.9 or more, and its component."""
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the prefix trie of all rebuilt conversations."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
@@ -200,9 +217,9 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """By registered name."""
-    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules, op12_prefix_trie, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_mixture_packing, op2_token_counts, op3_url_filters, op4_extendible_sharding, op5_pii, op6_secret_scans, op7_ngram_jaccard_join, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_rules, op11_vector_join, op12_prefix_trie, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express on whole tables."""
-    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op4_extendible_sharding": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_vector_join": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
