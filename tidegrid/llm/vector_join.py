@@ -104,14 +104,15 @@ def placed(distinct: DataFrame, threshold: float) -> DataFrame:
                 cuts, budgets = budgets_of(size, threshold)
                 for b, budget in enumerate(budgets):
                     radius, dims = math.isqrt(budget) + 1, list(range(cuts[b], min(cuts[b] + GRID, cuts[b + 1])))
-                    home = np.floor_divide(q[:, dims].astype(np.int64), 2 * radius)
+                    at = q[:, dims].astype(np.int64)
+                    home = np.floor_divide(at, 2 * radius)
                     # A ball as wide as a cell touches its cell and at most one neighbour on either side.
                     for step in np.stack(np.meshgrid(*[[-1, 0, 1]] * len(dims), indexing="ij"), -1).reshape(-1, len(dims)):
                         if tuple(step) < (0,) * len(dims):
                             continue
                         cell = home + step
                         low, high = cell * 2 * radius, (cell + 1) * 2 * radius - 1
-                        near = ((q[:, dims] + radius >= low) & (q[:, dims] - radius <= high)).all(1)
+                        near = ((at + radius >= low) & (at - radius <= high)).all(1)
                         k = np.flatnonzero(near)
                         if not len(k):
                             continue
