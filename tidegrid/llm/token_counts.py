@@ -90,16 +90,21 @@ class Rollup:
         return {r.folder for r in held.where(F.col("folder").isin(names)).collect()}
 
     def _placed(self, own: str, to: str) -> bool:
-        """Moves a folder into place; False, and the folder is gone, if another one is there."""
+        """Moves a folder into place; False, and the folder is gone, if another one is there. A move that fails for any other
+        reason raises, and the folder stays."""
         nested = f"{to}/{own.rsplit('/', 1)[1]}"  # some stores move a folder into one that exists
-        if self._fs.rename(self._at(own), self._at(to)) and not self._there(nested):
+        moved = self._fs.rename(self._at(own), self._at(to))
+        if moved and not self._there(nested):
             return True
+        if not moved and not self._there(to):
+            raise OSError(f"{own} could not be moved to {to}; nothing is committed")
         self._fs.delete(self._at(nested), True)
         self._fs.delete(self._at(own), True)
         return False
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch of signed rows once; False if it was there already."""
+        """Adds a batch of signed rows once; False if it was there already. Raises where it can't be put in place: it is not
+        counted then, and may be committed again."""
         to = self._folder(batch)
         if self._there(to) or self._held(self._newest(), [to.rsplit("/", 1)[1]]):
             return False
