@@ -2,10 +2,11 @@
 
 The fixed patterns find assignments, access keys and long hexadecimal runs. The entropy test takes every run of token
 characters of ``LEAST`` characters or more as a candidate and slides one window over it for each character class. The
-window's Shannon entropy is kept by counts that each step changes by one character in and one out. Runs of windows above
-the class's threshold are spans, unless an allow-list pattern covers the candidate or a fixed pattern's span overlaps. The
-thresholds are about the hundredth part of the entropies of random strings of the class. Measured on random strings, 0.9
-of those of 16 characters are found and nearly all of 20 and more (a test holds this); shorter ones never.
+window's Shannon entropy is kept by counts that each step changes by one character in and one out. A candidate with a window
+above its class's threshold is a span as a whole, since a secret's ends may look plainer than its middle, unless an allow-list
+pattern covers it or a fixed pattern's span holds it. The thresholds are about the hundredth part of the entropies of random
+strings of the class. Measured on random strings, 0.9 of those of 16 characters are found in every class and nearly all of 20
+and more (a test holds this); shorter ones never.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; overlapping kinds are all
 reported; rows with a null or repeated ``doc_id`` are judged each by itself; other columns are ignored.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
@@ -120,17 +121,11 @@ def all_spans(text: str, classes: Sequence[CharClass] = CLASSES, allowed: re.Pat
         own = m.group()
         if not DIGIT.search(own) or allowed.fullmatch(own):
             continue
-        runs = sorted((a + m.start(), b + m.start()) for kind in classes for a, b in entropy_runs(own, kind))
-        joined: list[list[int]] = []
-        for a, b in runs:
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
-        more += [(a, 3, b) for a, b in joined]
-    if more and base:  # both are in order; ends of the fixed spans up to each one show whether any reaches over it
+        if any(entropy_runs(own, kind) for kind in classes):
+            more.append((m.start(), 3, m.end()))
+    if more and base:  # both are in order; ends of the fixed spans that begin no later show whether any holds it
         starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
-        more = [s for s in more if not (k := bisect_left(starts, s[2])) or reach[k - 1] <= s[0]]
+        more = [s for s in more if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[2]]
     return base, sorted(base + more)
 
 
