@@ -6,13 +6,14 @@ whether the line begins a turn. A turn begins at a row's first line or at a mark
 row does, or only quotes a marker, is for Viterbi to find.
 
 Starts, transitions and emissions are counted over labelled rows (each one turn of its ``role``) and smoothed; markers keep
-half of their prior weight however many rows have none. No row is judged by a model that has seen it: conversations fall
+half of their prior weight however many rows have none. A conversation starts with its first numbered turn. No row is judged by a model that has seen it: conversations fall
 in two halves by a hash, and each half is decoded by the model of the other.
 
 Rows are spread by range of (conversation, turn) and sorted inside the partitions, so that a conversation, however long,
 takes as many tasks as its rows fill. Conversations inside a partition are decoded there, many at a time. Of the two at
 its edges, which may go on beside it, the task keeps a max-plus matrix and the turns under every state before and behind;
-the matrices of a conversation, one a partition, are chained, and the right turns are chosen. Texts only pass through.
+the matrices of a conversation, one a partition, are chained, and the right turns are chosen. A task holds the rows of its
+part of one conversation, with their texts; a part is no larger than a partition of the range exchange.
 
 Defined results: a null text is one empty line; null roles train nothing; rows that share a conversation and a turn number
 are put in the order of a hash of their texts; a null turn stays null and comes first; rows with a null conversation are
@@ -150,7 +151,8 @@ def fitted(rows: DataFrame) -> tuple[Hmm, Hmm]:
     lines = known.select("half", "s", F.posexplode("x").alias("at", "cell"))
     for r in lines.groupBy("half", "s", (F.col("at") > 0).alias("on"), "cell").count().collect():  # at most 2 * STATES * CELLS rows
         emit[r.half, r.s + N * r.on, r.cell] += r["count"]
-    for r in known.where("turn = 0").groupBy("half", "s").count().collect():
+    begins = known.where("turn is not null").groupBy("half", "conv").agg(F.min(F.struct("turn", "s")).getField("s").alias("s"))
+    for r in begins.groupBy("half", "s").count().collect():
         starts[r.half, r.s] += r["count"]
     # A turn follows the one numbered before it; repeated numbers count by their shares, so no window over a conversation.
     per = known.where("turn is not null").groupBy("half", "conv", "turn", "s").count()
@@ -264,17 +266,27 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": pdf["part"].to_numpy(), "edge": pdf["edge"].to_numpy(), "way": [e * STATES + x for e, x in zip(enter, leave, strict=True)]})
 
 
+def marker(role: Column, text: Column) -> Column:
+    """What a turn's text begins with that only says who speaks: the speaker marker of its first line and the white space
+    behind it, where that line was read as marked by ``role``; else nothing."""
+    line = F.substring_index(text, "\n", 1)
+    own = F.lit("")
+    for name, pattern in reversed(MARKERS):
+        own = F.when(line.rlike(pattern), F.when(role == name, F.regexp_extract(line, pattern, 0)).otherwise("")).otherwise(own)
+    behind = F.regexp_extract(F.substring(text, F.length(own) + 1, F.length(text)), r"^\s*", 0)
+    return F.when(own == "", "").otherwise(F.concat(own, behind))
+
+
 def rendered(role: Column, text: Column) -> Column:
-    """A turn in canonical form: the marker is taken off, and role and end are written out."""
-    plain = text
-    for _, pattern in MARKERS:
-        plain = F.regexp_replace(plain, pattern + r"\s*", "")
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(plain), F.lit("\n<|end|>\n"))
+    """A turn in canonical form: role, the text behind its :func:`marker`, which is otherwise as it was, and the end."""
+    plain = F.substring(text, F.length(marker(role, text)) + 1, F.length(text))
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), plain, F.lit("\n<|end|>\n"))
 
 
 def formatted(turns: DataFrame, *, models: tuple[Hmm, Hmm] | None = None) -> DataFrame:
-    """``conv_id, turn, part, role, rendered`` for every turn; ``part`` numbers the turns of a row from 0. ``models`` (of
-    other conversations, one for each half) replace those that are counted on the table itself."""
+    """``conv_id, turn, part, role, rendered, marker`` for every turn; ``part`` numbers the turns of a row from 0. ``marker`` is
+    what was taken off: with the rendered texts it gives back the row, turn by turn, joined by newlines. ``models`` (of other
+    conversations, one for each half) replace those that are counted on the table itself."""
     small_batches(turns.sparkSession)
     rows = persisted(prepared(turns), "chat-rows")
     own = models or fitted(rows)
@@ -292,4 +304,4 @@ def formatted(turns: DataFrame, *, models: tuple[Hmm, Hmm] | None = None) -> Dat
     end = F.coalesce(F.expr(f"get(begins, part + 1) div {N}").cast("int"), F.size("lines"))
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.col("code") % N + 1).cast("int"))
     text = F.array_join(F.slice("lines", first + 1, end - first), "\n")
-    return out.select(F.col("conv").alias("conv_id"), "turn", "part", role.alias("role"), rendered(role, text).alias("rendered"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "part", role.alias("role"), rendered(role, text).alias("rendered"), marker(role, text).alias("marker"))
