@@ -164,6 +164,42 @@ def test_token_counts(spark, docs, texts, odd, empty, tmp_path):
     assert rollup.totals().count() == 0
 
 
+class Refusing:
+    """A store that moves nothing, but else is as the other."""
+
+    def __init__(self, store):
+        self.store = store
+
+    def rename(self, a, b):
+        return False
+
+    def __getattr__(self, name):
+        return getattr(self.store, name)
+
+
+def test_a_refused_move_is_no_silent_loss(spark, tmp_path):
+    one = spark.createDataFrame([("a", "en", "v", 1, 10)], token_counts.SCHEMA)
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    rollup.commit("first", one)
+    store = rollup._fs
+    rollup._fs = Refusing(store)
+    with pytest.raises(OSError, match="nothing is committed"):
+        rollup.commit("second", one)
+    with pytest.raises(OSError, match="could not be moved"):
+        rollup.compact()
+    assert not rollup.commit("first", one)  # this one is there
+    rollup._fs = store
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 10)]
+    assert rollup.commit("second", one) and not rollup.commit("second", one)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 2, 20)]
+    # Two writers of one id: whoever moves second leaves the other's batch.
+    writer = token_counts.Rollup(spark, rollup.path)
+    there = writer._there
+    writer._there = lambda path: False if path == writer._folder("second") and not hasattr(writer, "looked") and not setattr(writer, "looked", 1) else there(path)
+    assert not writer.commit("second", one) and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 2, 20)]
+    assert rollup.compact() and not rollup.commit("second", one) and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 2, 20)]
+
+
 def test_compaction_neither_loses_nor_doubles(spark, tmp_path):
     one = spark.createDataFrame([("a", "en", "v", 1, 10)], token_counts.SCHEMA)
     rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
@@ -445,7 +481,7 @@ def test_entropy_by_incremental_counts():
         for i in range(2000):
             kind = secrets_scan.CLASSES[i % 5]
             found[n] += bool(secrets_scan.all_spans("so " + "".join(rng.choice(sorted(kind.members - set("+/_=-"))) for _ in range(n)) + " it")[1])
-    assert found[16] >= 0.85 * 2000 and found[24] >= 0.97 * 2000, found
+    assert found[24] >= 0.97 * 2000, found
     for t in ("internationalization", "a-rather-long-hyphenated-word", "https://example.org/some/path/2024/01/index.html", "CamelCaseIdentifierName", "2024-01-02T10:20:30", "1234567890123456"):
         assert secrets_scan.all_spans(t)[1] == [], t
     assert secrets_scan.all_spans("key Zx9Kq2LmV7tRw4YpB8nJc3Hd ok", allowed=secrets_scan.allow_list(["Zx9.*"]))[1] == []
@@ -455,6 +491,23 @@ def test_entropy_by_incremental_counts():
     assert secrets_scan.all_spans("id 123e4567-e89b-12d3-a456-426614174000")[1] == []
 
 
+def test_secrets_are_covered_whole(spark):
+    """By class: how many random strings are hit, and how many of these are covered from end to end."""
+    rng = random.Random(5)
+    for kind in secrets_scan.CLASSES:
+        letters = sorted(kind.members - set("+/_=-"))
+        for n in (16, 40):
+            cases = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(800)]
+            found = [[(a, b) for a, _, b in secrets_scan.all_spans(f"so {c} it")[1]] for c in cases]
+            hit = sum(map(bool, found))
+            assert hit >= (0.9 if n == 16 else 0.99) * len(cases), (kind.name, n, hit)
+            assert sum(min(f)[0] <= 3 and max(b for _, b in f) >= 3 + n for f in found if f) >= 0.99 * hit
+    token = "ghp_" + "x7Kq2LmV9tRw4YpB" + "aaaaaaaaaaaaaaaaaaaa"
+    mixed = "Zx9Kq2LmV7tRw4Yp" + "0123456789abcdef" * 2 + "Q"  # a fixed pattern finds the middle only
+    rows = [(1, f"a {token} b {mixed} c", "en", "a", 1), (2, f"token = {token}", "en", "a", 1)]
+    assert [r.text for r in secrets_scan.redacted(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()] == ["a [SECRET] b [SECRET] c", "[SECRET]"]
+
+
 def join_brute(texts):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
     sets = {}
@@ -710,10 +763,11 @@ def chat_brute(convs, models, half):
                 turns[-1][1].append(line)
         canon = []
         for role, part in turns:
+            said = [name for (name, _), m in zip(chat_format.MARKERS, markers, strict=True) if m.match(part[0])][:1]
             plain = "\n".join(part)
-            for _, pattern in chat_format.MARKERS:
-                plain = re.sub(r"(?i)" + pattern.removeprefix("(?i)") + r"\s*", "", plain)
-            canon.append((role, f"<|{role}|>\n{plain.strip(' ')}\n<|end|>\n"))
+            if said == [role]:
+                plain = plain[markers[chat_format.ROLES.index(role)].match(part[0]).end() :].lstrip()
+            canon.append((role, f"<|{role}|>\n{plain}\n<|end|>\n"))
         out[conv] = canon
     return out
 
@@ -737,6 +791,23 @@ def test_chat(spark):
     assert joined.count() == conv.count() and joined.where("r = role").count() >= 0.9 * conv.count()
 
 
+def test_one_marker_is_taken_off_and_given_back(spark):
+    """Of two markers the first goes, of another role's none; what was taken off and the rest are the text."""
+    cases = [("user", "User: Model: T-800, what year?", "Model: T-800, what year?"), ("user", "me: AI: is it safe?", "AI: is it safe?"), ("user", "Model: T-800?", "Model: T-800?"), ("assistant", "  Answer:\n\n  42 ", "42 "), ("user", " plain  ", " plain  "), ("assistant", "\nUser: x", "\nUser: x"), ("system", "", ""), ("user", "q: a: b", "a: b")]
+    df = spark.createDataFrame([(r, t) for r, t, _ in cases], "role string, text string")
+    got = df.select("text", chat_format.rendered(F.col("role"), F.col("text")).alias("r"), chat_format.marker(F.col("role"), F.col("text")).alias("m"), "role").collect()
+    for r, (role, text, want) in zip(got, cases, strict=True):
+        assert r.r == f"<|{role}|>\n{want}\n<|end|>\n" and r.m + want == text
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("turn", F.col("turn") + 1)  # numbered from 1
+    own = {(r.conv_id, r.turn): r.text for r in conv.collect()}
+    back = {}
+    for r in sorted(chat_format.formatted(conv).collect(), key=lambda r: (r.conv_id, r.turn, r.part)):
+        back.setdefault((r.conv_id, r.turn), []).append(r.marker + r.rendered.removeprefix(f"<|{r.role}|>\n").removesuffix("\n<|end|>\n"))
+    assert {k: "\n".join(v) for k, v in back.items()} == own
+    models = chat_format.fitted(chat_format.prepared(conv))
+    assert all(m.start.max() > np.log(0.4) for m in models)  # starts are learnt though no turn has the number 0
+
+
 def test_viterbi_over_partitions_is_plain_viterbi(spark):
     rng = np.random.default_rng(0)
     models = tuple(chat_format.Hmm.of(rng.integers(0, 50, 3), rng.integers(0, 50, (3, 3)), rng.integers(0, 9, (6, chat_format.CELLS))) for _ in range(2))
