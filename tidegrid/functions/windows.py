@@ -17,6 +17,12 @@ def ordered(by: Sequence[str], order: Sequence[str] | str) -> WindowSpec:
     return Window.partitionBy(*[col(c) for c in by]).orderBy(*[col(c) for c in order])
 
 
+def turned(by: Sequence[str], order: Sequence[str] | str) -> WindowSpec:
+    """A series' rows from the last to the first."""
+    order = [order] if isinstance(order, str) else list(order)
+    return Window.partitionBy(*[col(c) for c in by]).orderBy(*[col(c).desc() for c in order])
+
+
 def last_rows(by: Sequence[str], order: Sequence[str] | str, n: int) -> WindowSpec:
     """The current row and the ``n - 1`` before it."""
     return ordered(by, order).rowsBetween(-(n - 1), 0)
@@ -32,13 +38,13 @@ def before(value: Column, w: WindowSpec) -> Column:
     return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def after(value: Column, w: WindowSpec) -> Column:
-    """The first value that is not missing, from this row on."""
-    return F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def after(value: Column, back: WindowSpec) -> Column:
+    """The first value that is not missing, from this row on, by the turned order (a frame that only grows)."""
+    return before(value, back)
 
 
-def interpolated(value: Column, place: Column, w: WindowSpec) -> Column:
+def interpolated(value: Column, place: Column, w: WindowSpec, back: WindowSpec) -> Column:
     """Missing values filled linearly by place; leading gaps stay, trailing gaps hold the last value."""
     known = F.when(value.isNotNull(), F.struct(place.cast("double").alias("t"), value.cast("double").alias("x")))
-    a, b, t = before(known, w), after(known, w), place.cast("double")
+    a, b, t = before(known, w), after(known, back), place.cast("double")
     return F.when(value.isNotNull(), value.cast("double")).when(a.isNull(), None).when(b.isNull(), a["x"]).otherwise(a["x"] + (b["x"] - a["x"]) * (t - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0.0)))

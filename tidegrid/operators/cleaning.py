@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.durations import micros
 from ..functions.names import col, group_of, numeric_columns
-from ..functions.windows import before, interpolated, ordered
+from ..functions import series
+from ..functions.windows import before, interpolated, ordered, turned
 
 METHODS = ("na", "value", "clip", "remove", "previous", "average")
 
@@ -25,10 +26,12 @@ def _corrected(df: DataFrame, column: str, wrong: Column, method: str, value: fl
     if method in ("previous", "average"):
         if time_col is None:
             raise ValueError(f"{method} needs time_col")
+        time, kept = time_col if isinstance(time_col, str) else time_col[0], F.when(~wrong, x)
+        if not by:
+            out = series.carried(df, time_col, {"_filled": kept}) if method == "previous" else series.interpolated(df, "_filled", kept, time, time_col)
+            return out.withColumn(column, F.when(x.isNotNull(), F.col("_filled"))).drop("_filled")
         w = ordered(by, time_col)
-        place = micros(col(time_col if isinstance(time_col, str) else time_col[0]))
-        kept = F.when(~wrong, x)
-        filled = before(kept, w) if method == "previous" else interpolated(kept, place, w)
+        filled = before(kept, w) if method == "previous" else interpolated(kept, micros(col(time)), w, turned(by, time_col))
         # What was missing before stays missing.
         return df.withColumn(column, F.when(x.isNotNull(), filled))
     new = {"na": F.lit(None), "value": F.lit(value), "clip": bound}[method]
@@ -124,7 +127,10 @@ def remove_until_first_value(df: DataFrame, features: Sequence[str], time_col: s
     full = F.lit(True)
     for c in features:
         full = full & col(c).isNotNull()
-    first = F.min(F.when(full, micros(col(time_col)))).over(Window.partitionBy(*partition_by))
+    known = F.min(F.when(full, micros(col(time_col))))
+    if not partition_by:
+        return df.where(micros(col(time_col)) >= F.lit(df.agg(known).first()[0]).cast("long"))
+    first = known.over(Window.partitionBy(*partition_by))
     return df.withColumn("_first", first).where(micros(col(time_col)) >= F.col("_first")).drop("_first")
 
 
@@ -162,8 +168,10 @@ def sum_grouped_columns(df: DataFrame, cols: Sequence[str], sep: str = "#", skip
 
 def spacing(df: DataFrame, time_col: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """By series: rows, distinct steps, smallest step in microseconds."""
-    step = micros(col(time_col)) - F.lag(micros(col(time_col))).over(ordered(partition_by, time_col))
-    return df.select(*[col(c) for c in partition_by], step.alias("step")).groupBy(*partition_by).agg(F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.min("step").alias("least"))
+    step = lambda d, by: d.withColumn("step", micros(col(time_col)) - F.lag(micros(col(time_col))).over(ordered(by, time_col)))
+    rows = df.select(*[col(c) for c in (*partition_by, time_col)])
+    rows = step(rows, partition_by) if partition_by else series.by_rows(rows, time_col, 1, 0, step)
+    return rows.groupBy(*partition_by).agg(F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.min("step").alias("least"))
 
 
 def has_strictly_increasing_index(df: DataFrame, time_col: str, linear: bool = True, partition_by: Sequence[str] = ()) -> bool:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import col, group_of, numeric_columns
 from ..functions.order import average_ranks
+from ..functions.series import by_rows, carried, numbered
 from ..functions.windows import ordered
 
 
@@ -47,6 +48,9 @@ def incident_curves(
     above, below = col(actual) > col(high), col(actual) < col(low)
     outlier = above | below if under_conf_interval else above
     out = df.withColumn("_out", F.coalesce(outlier, F.lit(False)))
+    distance = F.coalesce(F.greatest(col(actual) - col(high), col(low) - col(actual), F.lit(0.0)), F.lit(0.0))
+    if not by:
+        return _one_series(out, time_col, max_gap, (min_duration, max_gap_perc, min_dist_total), distance, name)
     out = _runs(out, "_out", "_run", by, time_col)
     run = Window.partitionBy(*by, "_run")
     whole = Window.partitionBy(*by)
@@ -57,13 +61,28 @@ def incident_curves(
     w = ordered(by, time_col)
     starts = F.when(F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False)), 1).otherwise(0)
     out = out.withColumn("_start", starts).withColumn("_no", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    distance = F.coalesce(F.greatest(col(actual) - col(high), col(low) - col(actual), F.lit(0.0)), F.lit(0.0))
     one = Window.partitionBy(*by, "_curve")
     keep = (F.count("*").over(one) >= min_duration) & (F.avg((~F.col("_out")).cast("double")).over(one) <= max_gap_perc) & (F.sum(distance).over(one) >= min_dist_total)
     out = out.withColumn(name, F.when(F.col("_in") & keep, F.col("_no")).otherwise(0).cast("long"))
     return out.drop("_out", "_run", "_size", "_first", "_last", "_in", "_curve", "_start", "_no")
 
 
+def _one_series(out: DataFrame, order: Sequence[str] | str, max_gap: int, least: tuple[int, float, float], distance: Column, name: str) -> DataFrame:
+    """Incidents of one long series: the outliers around a gap are carried over it, incidents are numbered by a running sum
+    of their starts, and judged by sums that are grouped, so that one may be longer than a task."""
+    out, _ = numbered(out, order)
+    at = F.when(F.col("_out"), F.col("_no"))
+    out = carried(out, "_no", {"_last": at}, {"_next": at})
+    out = out.withColumn("_in", F.col("_out") | F.coalesce(F.col("_next") - F.col("_last") - 1 <= max_gap, F.lit(False))).drop("_last", "_next")
+    first = lambda d, key: d.withColumn("_start", (F.col("_in") & ~F.coalesce(F.lag("_in").over(Window.partitionBy(*key).orderBy("_no")), F.lit(False))).cast("int"))
+    out = carried(by_rows(out.withColumnRenamed("_no", "_at"), "_at", 1, 0, first).withColumnRenamed("_at", "_no"), "_no", sums={"_curve": F.col("_start")})
+    if least != (0, 1, 0):
+        found = out.where("_in").groupBy("_curve").agg(F.count("*").alias("n"), F.avg((~F.col("_out")).cast("double")).alias("gaps"), F.sum(distance).alias("d"))
+        bad = found.where(~((F.col("n") >= least[0]) & (F.col("gaps") <= least[1]) & (F.col("d") >= least[2]))).select("_curve", F.lit(True).alias("_bad"))
+        out = out.join(bad, "_curve", "left").withColumn("_in", F.col("_in") & F.col("_bad").isNull()).drop("_bad")
+    return out.withColumn(name, F.when(F.col("_in"), F.col("_curve")).otherwise(0).cast("long")).drop("_out", "_in", "_start", "_curve", "_no")
+
+
 def incident_curves_information(df: DataFrame, time_col: str, return_aggregated: bool = True, normal: str = "PREDICT", actual: str = "ACTUAL", low: str = "PREDICT_LOW", high: str = "PREDICT_HIGH", partition_by: Sequence[str] = (), **options) -> DataFrame:
     """Incidents with distance, score and type by row, or one row for each incident."""
     out = incident_curves(df, time_col, actual=actual, low=low, high=high, partition_by=partition_by, **options)
@@ -150,9 +169,14 @@ def lag_correlation(df: DataFrame, target: str, time_col: str | Sequence[str], l
     one task: it is meant for one series."""
     lags = list(range(lag)) if isinstance(lag, int) else list(lag)
     cols = list(cols) if cols is not None else [c for c in numeric_columns(df, tuple(partition_by)) if c != target]
-    w = ordered(partition_by, time_col)
     y = col(target).cast("double")
-    shifted = df.select(y.alias("_y"), *[(F.lag(col(c).cast("double"), n).over(w) if n else col(c).cast("double")).alias(f"x{i}_{n}") for i, c in enumerate(cols) for n in lags])
+
+    def older(d: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = ordered(by, time_col)
+        return d.withColumns({"_y": y} | {f"x{i}_{n}": F.lag(col(c).cast("double"), n).over(w) if n else col(c).cast("double") for i, c in enumerate(cols) for n in lags})
+
+    shifted = older(df, partition_by) if partition_by else by_rows(df, time_col, max(lags, default=0), 0, older)
+    shifted = shifted.select("_y", *[f"x{i}_{n}" for i in range(len(cols)) for n in lags])
     names = [(n, i, f"x{i}_{n}") for n in lags for i in range(len(cols))]
     if method == "pearson":
         row = shifted.agg(*[F.corr(x, "_y").alias(x) for _, _, x in names])

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.durations import duration, micros
 from ..functions.names import col, numeric_columns
 from ..functions.order import bucket_of, cuts
+from ..functions.series import LONG, Frame, Rolling, by_rows, by_span, carried, framed, numbered
 from ..functions.windows import last_rows, last_span, ordered
 
 SIMPLE = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}
 ARRAYS = ("fourier", "cwt", "nfft")
+#: Kinds that long frames don't redo for each row.
+MOVING = (*SIMPLE, "median", "trimmean", "numpos")
 TYPES = ("lag", "diff", *SIMPLE, "median", "trimmean", "skew", "kurt", "numpos", "ewm", *ARRAYS)
 
 
@@ -158,38 +161,70 @@ class BuildRollingFeatures:
         """``df`` with the features; with ``keep_original=False`` without the columns they are made from."""
         self._check()
         cols = list(self.cols) if self.cols is not None else numeric_columns(df, (self._time(), *self.partition_by))
-        o, tail = ordered(self.partition_by, self.time_col), f"_lookback_{self.lookback}" if self.add_lookback_to_colname else ""
-        self.made, out = [], df
+        tail = f"_lookback_{self.lookback}" if self.add_lookback_to_colname else ""
+        spans = [duration(n) for n in self._windows() if isinstance(n, str)]
+        if self.rolling_type in ("lag", "diff", "fourier", "cwt") and spans:
+            raise ValueError(f"{self.rolling_type} needs numbers of rows")
         if self.rolling_type == "ewm":
             alphas = [self.alpha] if isinstance(self.alpha, (int, float)) else list(self.alpha)
-            return self._ewm(out, cols, alphas, o)
-        shift = lambda c: F.lag(c, self.lookback).over(o) if self.lookback else c
-        if self.rolling_type in ARRAYS:
-            return self._arrays(out, cols, o, tail)
-        raw, final = {}, {}
+            out = self._ewm(df, cols, alphas)
+        else:
+            steps = (self._arrays, self._shifted) if self.rolling_type in ARRAYS else (self._raw, self._final)
+            reach = max((n for n in self._windows() if isinstance(n, int)), default=1)
+            if self.partition_by:
+                out = steps[1](steps[0](df, self.partition_by, cols, tail), self.partition_by, cols, tail)
+            elif spans:
+                # What spans reach lies in blocks of time, what the shift reaches in blocks of rows.
+                out = by_rows(df, self.time_col, reach, 0, lambda d, by: steps[0](d, by, cols, tail, int)) if len(spans) < len(self._windows()) else df
+                out = by_span(out, self._time(), max(spans) - 1, 0, lambda d, by: steps[0](d, by, cols, tail, str))
+                out = by_rows(out, self.time_col, self.lookback, 0, lambda d, by: steps[1](d, by, cols, tail))
+            else:
+                out = by_rows(df, self.time_col, reach + self.lookback, 0, lambda d, by: steps[1](steps[0](d, by, cols, tail), by, cols, tail))
+            self.made = self._names(cols, tail)
+        return out if self.keep_original else out.drop(*cols)
+
+    def _names(self, cols: Sequence[str], tail: str) -> list[str]:
+        """The new columns in order."""
+        start, out = 0 if self.rolling_type == "cwt" else 1, []
         for c in cols:
-            x = col(c).cast("double")
             for n in self._windows():
-                name = f"{c}#{self.rolling_type}_{n}{tail}"
-                self.made.append(name)
-                if self.rolling_type in ("lag", "diff"):
-                    if not isinstance(n, int):
-                        raise ValueError("lag and diff need numbers of rows")
-                    if self.rolling_type == "lag":
-                        raw[name] = F.lag(x, n + self.lookback).over(o) if n + self.lookback else x
-                        final[name] = self._deviated(x, col(name))
-                        continue
-                    y = x - F.lag(x, n).over(o)
+                many = {"fourier": lambda n: n // 2, "cwt": lambda n: n, "nfft": lambda n: self.nfft_ncol}.get(self.rolling_type)
+                out += [f"{c}#{self.rolling_type}_{n}_{i + start}{tail}" for i in range(many(n))] if many else [f"{c}#{self.rolling_type}_{n}{tail}"]
+        return out
+
+    def _raw(self, df: DataFrame, by: Sequence[str], cols: Sequence[str], tail: str, only: type | tuple = (int, str)) -> DataFrame:
+        """Features before they are shifted, of windows by rows, spans or both."""
+        o, raw, long = ordered(by, self.time_col), {}, []
+        for c in cols:
+            x = col(c).cast("double")
+            for n in (n for n in self._windows() if isinstance(n, only)):
+                name, least = f"{c}#{self.rolling_type}_{n}{tail}", n if isinstance(n, int) else 2 if self.rolling_type in ("var", "std") else 1
+                if self.rolling_type == "lag":
+                    raw[name] = F.lag(x, n).over(o) if n else x
+                elif self.rolling_type == "diff":
+                    raw[name] = x - F.lag(x, n).over(o)
+                elif self.rolling_type in MOVING and (isinstance(n, str) or n > LONG):
+                    frame = Frame(n - 1, 0) if isinstance(n, int) else Frame(duration(n) - 1, 0, True)
+                    long.append(Rolling(name, c, self.rolling_type, frame, least, self.proportiontocut))
                 else:
-                    w = last_rows(self.partition_by, self.time_col, n) if isinstance(n, int) else last_span(self.partition_by, self._time(), duration(n))
-                    least = n if isinstance(n, int) else 2 if self.rolling_type in ("var", "std") else 1
-                    y = rolled(x, self.rolling_type, w, least, F.count(F.lit(1)).over(w), self.proportiontocut)
-                raw[name] = y
-                final[name] = self._deviated(x, shift(col(name)))
-        out = out.withColumns(raw).withColumns(final)
-        return out if self.keep_original else out.drop(*cols)
+                    w = last_rows(by, self.time_col, n) if isinstance(n, int) else last_span(by, self._time(), duration(n))
+                    raw[name] = rolled(x, self.rolling_type, w, least, F.count(F.lit(1)).over(w), self.proportiontocut)
+        out = df.withColumns(raw) if raw else df
+        return framed(out, by, self.time_col, long, self._time() if any(r.frame.span for r in long) else None) if long else out
+
+    def _final(self, df: DataFrame, by: Sequence[str], cols: Sequence[str], tail: str) -> DataFrame:
+        """Features shifted and set against the current value."""
+        o = ordered(by, self.time_col)
+        shift = lambda c: F.lag(c, self.lookback).over(o) if self.lookback else c
+        return df.withColumns({n: self._deviated(col(c).cast("double"), shift(col(n))) for c in cols for n in self._names([c], tail)})
+
+    def _shifted(self, df: DataFrame, by: Sequence[str], cols: Sequence[str], tail: str) -> DataFrame:
+        """Arrays' places shifted; those of row windows are already."""
+        o, spans = ordered(by, self.time_col), self.rolling_type == "nfft"
+        return df.withColumns({n: F.lag(col(n), self.lookback).over(o) for n in self._names(cols, tail)}) if spans and self.lookback else df
 
-    def _arrays(self, out: DataFrame, cols: Sequence[str], o: WindowSpec, tail: str) -> DataFrame:
+    def _arrays(self, out: DataFrame, by: Sequence[str], cols: Sequence[str], tail: str, only: type | tuple = (int, str)) -> DataFrame:
+        o = ordered(by, self.time_col)
         for c in cols:
             for n in self._windows():
                 first = 0 if self.rolling_type == "cwt" else 1
@@ -198,28 +233,25 @@ class BuildRollingFeatures:
                     past = [f"_x{k}" for k in range(self.lookback + n - 1, self.lookback - 1, -1)]
                     out = out.withColumns({f"_x{k}": F.lag(x, k).over(o) if k else x for k in range(self.lookback, self.lookback + n)})
                     forms = linear_forms(self.rolling_type, [F.col(p) for p in past], self.width)
-                    names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(len(forms))]
+                    names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(len(forms))]  # already shifted
                     out = out.withColumns(dict(zip(names, forms, strict=True))).drop(*past)
                 else:
-                    if self.rolling_type != "nfft":
-                        raise ValueError("fourier and cwt need numbers of rows")
-                    w, x = last_span(self.partition_by, self._time(), duration(n)), col(c).cast("double")
+                    w, x = last_span(by, self._time(), duration(n)), col(c).cast("double")
                     whole = F.count(x).over(w) == F.count(F.lit(1)).over(w)
                     got = _uneven_udf(duration(n) / 1e6, self.nfft_ncol)(F.col("_t"), F.col("_v"))
                     out = out.withColumns({"_t": F.when(whole, F.collect_list(micros(col(self._time())) / 1e6).over(w)), "_v": F.when(whole, F.collect_list(x).over(w))}).withColumn("_got", got)
                     names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(self.nfft_ncol)]
-                    part = lambda i: F.get(F.col("_got"), F.lit(i))
-                    out = out.withColumns({m: F.lag(part(i), self.lookback).over(o) if self.lookback else part(i) for i, m in enumerate(names)}).drop("_t", "_v", "_got")
-                self.made += names
-        return out if self.keep_original else out.drop(*cols)
+                    out = out.withColumns({m: F.get(F.col("_got"), F.lit(i)) for i, m in enumerate(names)}).drop("_t", "_v", "_got")
+        return out
 
-    def _ewm(self, df: DataFrame, cols: Sequence[str], alphas: Sequence[float], o: WindowSpec) -> DataFrame:
+    def _ewm(self, df: DataFrame, cols: Sequence[str], alphas: Sequence[float]) -> DataFrame:
         """Means with weights that fall by ``1 - alpha`` a row: sums inside blocks of rows, and what the block before carries
         over. Blocks are so long that anything older weighs less than 1e-200 of a value, which a double can't show, and so
         short that the reciprocal weights inside stay in range. Missing values hold the last mean."""
         names = {f"{c}#ewm_{a}": (c, a) for c in cols for a in alphas}
         by = [col(k) for k in self.partition_by]
-        out = df.withColumn("_no", F.row_number().over(o) - 1)
+        o = ordered(by_names := list(self.partition_by), self.time_col)
+        out = df.withColumn("_no", F.row_number().over(o) - 1) if by else numbered(df, self.time_col)[0]
         for n, (c, a) in names.items():
             q, x = 1.0 - a, col(c).cast("double")
             if q <= 0:
@@ -231,27 +263,42 @@ class BuildRollingFeatures:
             weight = F.pow(F.lit(1 / q), place.cast("double"))
             inside = Window.partitionBy(*by, "_block").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
             out = out.withColumns({m: F.coalesce(F.sum(F.when(x.isNotNull(), e * weight)).over(inside), F.lit(0.0)) / weight for m, e in (("_s", x), ("_w", F.lit(1.0)))})
-            block_before = Window.partitionBy(*by).orderBy("_block").rangeBetween(-1, -1)
-            carried = [F.coalesce(F.sum(F.when(place == size - 1, F.col(m))).over(block_before), F.lit(0.0)) * q / weight for m in ("_s", "_w")]
-            out = out.withColumns({"_s": F.col("_s") + carried[0], "_w": F.col("_w") + carried[1]})
-            out = out.withColumn(n, F.when(x.isNotNull(), F.col("_s") / F.col("_w"))).drop("_block", "_s", "_w")
-        out = out.drop("_no").withColumns({n: F.last(col(n), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)) for n in names})
-        self.made = list(names)
-        shift = lambda c: F.lag(c, self.lookback).over(o) if self.lookback else c
-        out = out.withColumns({n: self._deviated(col(c).cast("double"), shift(col(n))) for n, (c, _) in names.items()})
-        return out if self.keep_original else out.drop(*cols)
+            # What the block before hands on; keys are compared null-safely.
+            ends = out.where(place == size - 1).select(*[k.alias(f"_k{i}") for i, k in enumerate(by)], (F.col("_block") + 1).alias("_b"), F.col("_s").alias("_s0"), F.col("_w").alias("_w0"))
+            match = F.col("_block") == F.col("_b")
+            for i, k in enumerate(by):
+                match = match & k.eqNullSafe(F.col(f"_k{i}"))
+            out = out.join(ends, match, "left").drop(*[f"_k{i}" for i in range(len(by))], "_b")
+            carry = [F.coalesce(F.col(m), F.lit(0.0)) * q / weight for m in ("_s0", "_w0")]
+            out = out.withColumns({"_s": F.col("_s") + carry[0], "_w": F.col("_w") + carry[1]})
+            out = out.withColumn(n, F.when(x.isNotNull(), F.col("_s") / F.col("_w"))).drop("_block", "_s", "_w", "_s0", "_w0")
+        out, self.made = out.drop("_no"), list(names)
+
+        def final(d: DataFrame, key: Sequence[str]) -> DataFrame:
+            shift = lambda c: F.lag(c, self.lookback).over(ordered(key, self.time_col)) if self.lookback else c
+            return d.withColumns({n: self._deviated(col(c).cast("double"), shift(col(n))) for n, (c, _) in names.items()})
+
+        if by:
+            return final(out.withColumns({n: F.last(col(n), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)) for n in names}), by_names)
+        filled = carried(out, self.time_col, {f"_l{i}": col(n) for i, n in enumerate(names)})
+        filled = filled.withColumns({n: F.col(f"_l{i}") for i, n in enumerate(names)}).drop(*[f"_l{i}" for i in range(len(names))])
+        return by_rows(filled, self.time_col, self.lookback, 0, final) if self.lookback else final(filled, [])
 
 
 def range_lag_column(df: DataFrame, column: str, range_shift: int | tuple[int, int], time_col: str | Sequence[str], partition_by: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """The largest value of the rows from ``a`` to ``b`` ahead (negative: back); nothing counts as 0. Where ``a`` is
     negative, the first ``-a`` rows look back over ``b - a + 1`` rows instead."""
     a, b = sorted((range_shift, range_shift) if isinstance(range_shift, int) else range_shift)
-    o = ordered(partition_by, time_col)
-    value = F.coalesce(F.max(col(column)).over(o.rowsBetween(a, b)), F.lit(0))
-    if a < 0:
-        head = F.coalesce(F.max(col(column)).over(o.rowsBetween(-(b - a), 0)), F.lit(0))
-        value = F.when(F.row_number().over(o) <= -a, head).otherwise(value)
-    return df.withColumn(name or column, value)
+
+    def ranged(d: DataFrame, by: Sequence[str]) -> DataFrame:
+        o = ordered(by, time_col)
+        value = F.coalesce(F.max(col(column)).over(o.rowsBetween(a, b)), F.lit(0))
+        if a < 0:
+            head = F.coalesce(F.max(col(column)).over(o.rowsBetween(-(b - a), 0)), F.lit(0))
+            value = F.when(F.row_number().over(o) <= -a if partition_by else F.col("_no") < -a, head).otherwise(value)
+        return d.withColumn(name or column, value)
+
+    return ranged(df, partition_by) if partition_by else by_rows(df, time_col, max(0, -a, b - a), max(0, b), ranged)
 
 
 #: Largest values of calendar parts, for cyclical and one-hot coding.

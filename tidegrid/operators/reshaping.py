@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import duration, micros, moment
 from ..functions.names import col
-from ..functions.windows import after, before, ordered
+from ..functions.series import by_rows
+from ..functions.windows import after, before, ordered, turned
 
 #: Names of aggregates: ``first`` and ``last`` go by time (then by what the caller names as tie-breaks).
 AGGREGATES = {"mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct, "median": lambda c: F.percentile(c, F.lit(0.5)), "prod": F.product}
@@ -75,8 +76,9 @@ def normalize_timestamps(
     grid = grid.withColumn("_at", F.explode(F.when(last >= first, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<bigint>"))))
     out = grid.join(values, ["_at", "ID", "TYPE"], "left")
     if fillna_method:
-        w = Window.partitionBy("ID", "TYPE").orderBy("_at")
-        fill = {"ffill": before, "bfill": after}[fillna_method]
+        if fillna_method not in ("ffill", "bfill"):
+            raise ValueError("fillna_method must be ffill, bfill or None")
+        fill, w = (before, ordered(["ID", "TYPE"], "_at")) if fillna_method == "ffill" else (after, turned(["ID", "TYPE"], "_at"))
         out = out.withColumns({n: fill(F.col(n), w) for n in names})
     return out.select(moment(F.col("_at")).alias("TIME"), "ID", "TYPE", *names)
 
@@ -120,8 +122,12 @@ def resampled(df: DataFrame, freq: str, cols: Sequence[str], time_col: str = "TI
 def padded(df: DataFrame, freq: str, cols: Sequence[str], time_col: str = "TIME", limit: int = 5, partition_by: Sequence[str] = ()) -> DataFrame:
     """As-of values on a grid, carried over ``limit`` bins at most; bins with nothing are dropped."""
     grid = resampled(df, freq, cols, time_col, "last", partition_by)
-    w = ordered(partition_by, time_col).rowsBetween(-limit, 0)
-    out = grid.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in cols})
+
+    def filled(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = ordered(by, time_col).rowsBetween(-limit, 0)
+        return rows.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in cols})
+
+    out = filled(grid, partition_by) if partition_by else by_rows(grid, time_col, limit, 0, filled)
     return out.dropna("all", subset=list(cols))
 
 
@@ -144,6 +150,8 @@ def make_shifted_target(df: DataFrame, target: str, lags: Sequence[int], time_co
     if any(x < 0 or int(x) != x for x in lags):
         raise ValueError("lags must be whole numbers from 0")
     prefix = newcol_prefix or target
+    if not partition_by and max(lags, default=0):
+        return by_rows(df, time_col, 0, max(lags), lambda d, key: make_shifted_target(d, target, lags, time_col, use_diff_of_y, prefix, key))
     w = ordered(partition_by, time_col)
     ahead = lambda n: F.lead(col(target), n).over(w) if n else col(target)
     if use_diff_of_y:
@@ -164,6 +172,9 @@ def inverse_differenced_target(predictions: DataFrame, actual: DataFrame, keys:
 
 def recurrent(df: DataFrame, cols: Sequence[str], window: int, time_col: str | Sequence[str], lookback: int = 1, remove_leading_nan: bool = False, partition_by: Sequence[str] = (), name: str = "window") -> DataFrame:
     """Adds an array of ``window`` arrays: the features of earlier rows, oldest first, ending ``lookback`` rows ago."""
+    if not partition_by:
+        late = F.col("_no") > window + lookback - 2 if remove_leading_nan else F.lit(True)
+        return by_rows(df, time_col, window - 1 + lookback, 0, lambda d, key: recurrent(d, cols, window, time_col, lookback, False, key, name).where(late))
     w = ordered(partition_by, time_col)
     steps = [F.array(*[F.lag(col(c).cast("double"), n).over(w) if n else col(c).cast("double") for c in cols]) for n in range(window - 1 + lookback, lookback - 1, -1)]
     out = df.withColumn(name, F.array(*steps))

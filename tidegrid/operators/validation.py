@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durations import duration, micros
+from ..functions.durations import duration
 from ..functions.names import col, numeric_columns
 from ..functions.order import exact_quantiles
 from ..functions.tables import persisted, scope
+from ..functions.series import Frame, Rolling, by_rows, by_span, framed
 from ..functions.windows import last_rows, ordered
 from .cleaning import extremes
 
@@ -100,38 +101,45 @@ class MADValidator(Validator):
     partition_by: Sequence[str] = ()
     bounds: dict[str, tuple[float | None, float | None]] | None = None
 
-    def _deviation(self, c: str) -> Column:
+    def _deviated(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        """``df`` with the deviations as ``_d0`` and so on, by medians that move with the window."""
         n = self.rollingwindow
-        if isinstance(n, int):
-            w = ordered(self.partition_by, self.time_col).rowsBetween(-(n // 2), (n - 1) // 2)
+        half = 0 if isinstance(n, int) else duration(n) // 2
+        frame = Frame(n // 2, (n - 1) // 2) if isinstance(n, int) else Frame(half - 1, half, True)
+        medians = lambda d, by: framed(d, by, self.time_col, [Rolling(f"_d{i}", c, "median", frame) for i, c in enumerate(cols)])
+        time = self.time_col if isinstance(self.time_col, str) else self.time_col[0]
+        if self.partition_by:
+            out = medians(df, self.partition_by)
+        elif frame.span:
+            out = by_span(df, time, frame.before, frame.after, medians)
         else:
-            half = duration(n) // 2
-            time = self.time_col if isinstance(self.time_col, str) else self.time_col[0]
-            w = Window.partitionBy(*[col(c) for c in self.partition_by]).orderBy(micros(col(time))).rangeBetween(1 - half, half)
-        return col(c) - F.percentile(col(c), F.lit(0.5)).over(w)
+            out = by_rows(df, self.time_col, frame.before, frame.after, medians)
+        return out.withColumns({f"_d{i}": col(c) - F.col(f"_d{i}") for i, c in enumerate(cols)})
 
     def fit(self, df: DataFrame) -> MADValidator:
         """Both medians by column; a sign that never occurs never flags."""
         cols = self.columns_of(df)
-        found = df.select(*[self._deviation(c).alias(f"d{i}") for i, c in enumerate(cols)]).persist()  # for a few passes
-        try:
-            d = [F.col(f"d{i}") for i in range(len(cols))]
+        d = [F.col(f"_d{i}") for i in range(len(cols))]
+        with scope():  # a few passes
+            found = persisted(self._deviated(df, cols).select(*d), "deviations")
             got = exact_quantiles(found, {f"a{i}": F.when(x < 0, x) for i, x in enumerate(d)} | {f"b{i}": F.when(x > 0, x) for i, x in enumerate(d)}, [0.5])
-        finally:
-            found.unpersist()
         times = lambda x: None if x is None else x * self.madthresh
         self.bounds = {c: (times(got[f"a{i}"][0]), times(got[f"b{i}"][0])) for i, c in enumerate(cols)}
         return self
 
     def flags(self, df: DataFrame) -> dict[str, Column]:
-        """Strictly outside the bounds."""
+        """Not used: medians are columns of their own first."""
+        raise NotImplementedError
+
+    def validate(self, df: DataFrame) -> DataFrame:
+        """``df`` with a flag for each column: strictly outside the bounds."""
         if self.bounds is None:
             raise ValueError("fit first")
-        out = {}
-        for c in self.columns_of(df):
-            d, (low, high) = self._deviation(c), self.bounds[c]
-            out[c] = (F.lit(False) if low is None else d < low) | (F.lit(False) if high is None else d > high)
-        return out
+        cols, new = self.columns_of(df), {}
+        for i, c in enumerate(cols):
+            d, (low, high) = F.col(f"_d{i}"), self.bounds[c]
+            new[FLAG.format(c)] = F.coalesce((F.lit(False) if low is None else d < low) | (F.lit(False) if high is None else d > high), F.lit(False))
+        return self._deviated(df, cols).withColumns(new).drop(*[f"_d{i}" for i in range(len(cols))])
 
 
 @dataclass
@@ -159,8 +167,8 @@ class FlatlineValidator(Validator):
             return self
         if not self.pvalue:
             raise ValueError("an automatic window needs pvalue")
-        w = ordered(self.partition_by, self.time_col)
-        same = df.select(*[(col(c) == F.lag(col(c)).over(w)).cast("int").alias(f"s{i}") for i, c in enumerate(cols)])
+        equal = lambda d, by: d.withColumns({f"s{i}": (col(c) == F.lag(col(c)).over(ordered(by, self.time_col))).cast("int") for i, c in enumerate(cols)})
+        same = equal(df, self.partition_by) if self.partition_by else by_rows(df, self.time_col, 1, 0, equal)
         row = same.agg(F.count("*").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(cols))]).first()
         share = [(row[f"s{i}"] or 0) / row["n"] if row["n"] else 0 for i in range(len(cols))]
         self.windows = {c: math.ceil(math.log(self.pvalue) / math.log(p)) if 0 < p < 1 else None for c, p in zip(cols, share, strict=True)}
@@ -174,16 +182,23 @@ class FlatlineValidator(Validator):
         """``df`` with a flag column for each validated one."""
         if self.windows is None:
             raise ValueError("fit first")
+        cols = self.columns_of(df)
+        if self.partition_by:
+            return self._flagged(df, cols, self.partition_by)
+        reach = max((n or 1 for n in self.windows.values()), default=1) - 1
+        return by_rows(df, self.time_col, reach, reach if self.backfill else 0, lambda d, by: self._flagged(d, cols, by))
+
+    def _flagged(self, df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
         first, second = {}, {}
-        for c in self.columns_of(df):
+        for c in cols:
             n = self.windows[c]
             if not n:
                 first[FLAG.format(c)] = F.lit(False)
                 continue
-            w = last_rows(self.partition_by, self.time_col, n)
+            w = last_rows(by, self.time_col, n)
             first[FLAG.format(c)] = F.coalesce((F.count(col(c)).over(w) == n) & (F.max(col(c)).over(w) - F.min(col(c)).over(w) <= self.margin), F.lit(False))
             if self.backfill:
-                back = ordered(self.partition_by, self.time_col).rowsBetween(0, n - 1)
+                back = ordered(by, self.time_col).rowsBetween(0, n - 1)
                 second[FLAG.format(c)] = F.max(col(FLAG.format(c))).over(back)
         out = df.withColumns(first)
         return out.withColumns(second) if second else out
