@@ -14,6 +14,7 @@ of the rows before as frames reach back, and aggregates don't redo the frame for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -55,6 +56,16 @@ def _rows(order: Sequence[str] | str, down: bool = False) -> list[Column]:
     return [col(c).desc() if down else col(c) for c in names_of(order)]
 
 
+def _below(value: Column, at: Sequence[float]) -> Column:
+    """As :func:`bucket_of`, in less code where one expression needs it more than once: by sixteenths, then inside one."""
+    if not at:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    count = lambda a: F.size(F.filter(a, lambda c: c <= value))
+    step = max(1, math.isqrt(len(at)))
+    coarse = count(F.lit([float(c) for c in at[step - 1 :: step]]))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(coarse * step + count(F.slice(F.lit([float(c) for c in at]), coarse * step + 1, F.lit(step))))
+
+
 def numbered(df: DataFrame, order: Sequence[str] | str, name: str = "_no") -> tuple[DataFrame, int]:
     """``df`` with each row's place in the whole order, from 0, and the number of rows."""
     at = cuts(df, place(df, order))
@@ -82,8 +93,8 @@ def by_span(df: DataFrame, time: str, before: int, after: int, run: Callable[[Da
     for c in cuts(df, t):
         if not kept or c - kept[-1] >= before + after:
             kept.append(c)
-    near = F.sequence(bucket_of(t - after, kept), bucket_of(t + before, kept))
-    dealt = df.withColumn("_block", F.explode(F.when(t.isNull(), F.array(F.lit(-1))).otherwise(near))).withColumn("_own", F.col("_block") == bucket_of(t, kept))
+    near = F.sequence(_below(t - after, kept), _below(t + before, kept))
+    dealt = df.withColumn("_block", F.explode(F.when(t.isNull(), F.array(F.lit(-1))).otherwise(near))).withColumn("_own", F.col("_block") == _below(t, kept))
     return run(dealt, ["_block"]).where("_own").drop("_block", "_own")
 
 

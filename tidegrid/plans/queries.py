@@ -508,6 +508,83 @@ def incident_summary(spark, sf):
     return c.select("user_id", F.col("OUTLIER_CURVE").alias("curve"), F.col("OUTLIER_DURATION").alias("duration"), rounded("OUTLIER_DIST_SUM").alias("dist_sum"), rounded("OUTLIER_SCORE_MAX").alias("score_max"), F.col("OUTLIER_START_TIME").cast("timestamp_ntz").alias("start_time"))
 
 
+# The whole table as one series, without a key: nothing runs in one task.
+ALL = "OVER (ORDER BY ts, event_id)"
+
+
+def _long_series(kind: str, n: int | str, **options) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        step = features.BuildRollingFeatures(ORDER, kind, lookback=0, window_size=n, cols=["value"], **options)
+        return step.transform(events(spark, sf)).select("event_id", rounded(step.made[0]).alias("r"))
+
+    return run
+
+
+for _name, _kind, _n, _x in (
+    ("mean_1000", "mean", 1000, "avg(value) {w}"), ("std_200", "std", 200, "stddev_samp(value) {w}"), ("median_500", "median", 500, "quantile_cont(value, 0.5) {w}"), ("min_7", "min", 7, "min(value) {w}"),
+):
+    _frame = f"{ALL[:-1]} ROWS {_n - 1} PRECEDING)"
+    _queries[f"series_{_name}"] = _long_series(_kind, _n)
+    _sql[f"series_{_name}"] = f"SELECT event_id, CASE WHEN count(value) {_frame} = {_n} THEN round({_x.format(w=_frame)}, 6) END AS r FROM events"
+for _name, _kind, _n, _us, _x in (
+    ("day_median", "median", "1d", 86400000000, "quantile_cont(value, 0.5)"), ("week_var", "var", "7d", 7 * 86400000000, "var_samp(value)"), ("month_sum", "sum", "30d", 30 * 86400000000, "sum(value)"), ("hour_max", "max", "1h", 3600000000, "max(value)"),
+):
+    _queries[f"series_{_name}"] = _long_series(_kind, _n)
+    _sql[f"series_{_name}"] = f"SELECT event_id, round({_x} OVER (ORDER BY epoch_us(ts) RANGE BETWEEN {_us - 1} PRECEDING AND CURRENT ROW), 6) AS r FROM events"
+_queries["series_trimmed"] = _long_series("trimmean", 60, proportiontocut=0.1)
+_sql["series_trimmed"] = f"WITH l AS (SELECT event_id, list(value) {ALL[:-1]} ROWS 59 PRECEDING) AS v FROM events) SELECT event_id, CASE WHEN len(v) = 60 THEN round(list_avg(list_sort(v)[7:54]), 6) END AS r FROM l"
+
+
+@registered(f"SELECT event_id, round(value - lag(value, 3) {ALL}, 6) AS diff, lead(value, 50) {ALL} AS ahead FROM events")
+def series_shifts(spark, sf):
+    """Differences to older rows and later values of the whole table."""
+    e = features.BuildRollingFeatures(ORDER, "diff", lookback=0, window_size=3, cols=["value"]).transform(events(spark, sf))
+    e = reshaping.make_shifted_target(e, "value", [50], ORDER)
+    return e.select("event_id", rounded("value#diff_3").alias("diff"), F.col("value_lead_50").alias("ahead"))
+
+
+@registered(f"""
+WITH k AS (SELECT event_id, ts, CASE WHEN value BETWEEN 15 AND 60 THEN value END AS v, epoch_us(ts)::DOUBLE AS t FROM events),
+n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {{'t': t, 'x': v}} END IGNORE NULLS) {ALL[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+  first_value(CASE WHEN v IS NOT NULL THEN {{'t': t, 'x': v}} END IGNORE NULLS) {ALL[:-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM k)
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL THEN NULL WHEN b IS NULL THEN a.x ELSE a.x + (b.x - a.x) * (t - a.t) / nullif(b.t - a.t, 0) END, 6) AS value, a.x AS held FROM n""")
+def series_filled(spark, sf):
+    """Values outside a range, linear between good neighbours by time, and the last good ones."""
+    e = events(spark, sf).withColumn("held", F.col("value"))
+    e = cleaning.correct_outside_range(e, "held", (15, 60), "previous", time_col=ORDER)
+    return cleaning.correct_outside_range(e, "value", (15, 60), "average", time_col=ORDER).select("event_id", rounded("value").alias("value"), "held")
+
+
+@registered(f"""
+WITH f AS (SELECT event_id, ts, value, count(*) {ALL[:-1]} ROWS 3 PRECEDING) = 4 AND max(value) {ALL[:-1]} ROWS 3 PRECEDING) - min(value) {ALL[:-1]} ROWS 3 PRECEDING) <= 9 AS flat FROM events)
+SELECT event_id, CASE WHEN NOT bool_or(flat) {ALL[:-1]} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) THEN value END AS value FROM f""")
+def series_flat_lines(spark, sf):
+    """Runs of four values within 9 of the whole table become missing."""
+    return validation.FlatlineValidator(ORDER, 4, ["value"], margin=9).fit_transform(events(spark, sf)).select("event_id", "value")
+
+
+@registered(f"""
+WITH d AS (SELECT event_id, value, value - quantile_cont(value, 0.5) {ALL[:-1]} ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS d FROM events),
+b AS (SELECT quantile_cont(d, 0.5) FILTER (d < 0) * 2 AS lo, quantile_cont(d, 0.5) FILTER (d > 0) * 2 AS hi FROM d)
+SELECT event_id, CASE WHEN d < lo OR d > hi THEN NULL ELSE value END AS value FROM d, b""")
+def series_mad(spark, sf):
+    """Deviations of more than two median deviations from a rolling median of 101 become missing."""
+    return validation.MADValidator(ORDER, 101, ["value"], 2).fit_transform(events(spark, sf)).select("event_id", "value")
+
+
+@registered(CURVES.replace("PARTITION BY user_id, run2", "PARTITION BY run2").replace("PARTITION BY user_id, run", "PARTITION BY run").replace("OVER (PARTITION BY user_id)", "OVER ()").replace(W[:-1], ALL[:-1]) + "SELECT event_id, curve FROM x")
+def series_incidents(spark, sf):
+    """Incidents of the whole table as one series."""
+    c = exploration.incident_curves(_forecast(spark, sf), ORDER, max_gap=1, min_duration=2, min_dist_total=10)
+    return c.select("event_id", F.col("OUTLIER_CURVE").alias("curve"))
+
+
+@registered(f"SELECT event_id, coalesce(max(value) {ALL[:-1]} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), 0) AS ahead FROM events")
+def series_range_lag(spark, sf):
+    """Largest values of the twenty rows ahead, without a key."""
+    return features.range_lag_column(events(spark, sf), "value", (1, 20), ORDER, name="ahead").select("event_id", "ahead")
+
+
 @registered(" UNION ALL ".join(f"SELECT {n} AS lag, round(corr(x, y), 6) AS correlation FROM (SELECT lag(value, {n}) {W} AS x, event_id::DOUBLE AS y FROM events)" for n in range(4)))
 def lag_correlations(spark, sf):
     """Correlations of older values with the row's number."""
