@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quantile_lines
 from ..functions.names import col
 from ..functions.order import exact_quantiles
 from .cleaning import has_strictly_increasing_index, make_df_monotonic, remove_target_nan
@@ -24,6 +25,10 @@ from .metrics import joint_loss, tilted
 from .reshaping import make_shifted_target
 
 
+#: Rounds of reweighted least squares before the exact solution is looked for.
+START_ROUNDS = 6
+
+
 def prediction_names(predict_ahead: Sequence[int], quantiles: Sequence[float]) -> list[str]:
     """Quantiles outside, leads inside, then the means."""
     return [f"predict_lead_{p}_q_{q}" for q in quantiles for p in predict_ahead] + [f"predict_lead_{p}_mean" for p in predict_ahead]
@@ -193,8 +198,13 @@ def _products(rows: DataFrame, x: Sequence[Column], y: Column, weight: Column) -
     return gram, np.array(row[at:], float)
 
 
-def quantile_weights(rows: DataFrame, x: Sequence[Column], y: Column, q: float, start: np.ndarray, weight: Column, rounds: int, tol: float = 1e-8) -> np.ndarray:
-    """Linear quantile regression by iteratively reweighted least squares, one pass of sums a round."""
+def quantile_weights(rows: DataFrame, x: Sequence[Column], y: Column, q: float, start: np.ndarray, weight: Column, rounds: int, tol: float = 1e-8, alpha: float = 0.0, free: Sequence[int] = ()) -> np.ndarray:
+    """Linear quantile regression with a penalty of ``alpha`` times the absolute weights but those of ``free`` columns: a few
+    rounds of reweighted least squares, one pass of sums each, then the exact solution beside it."""
+    return quantile_lines.fitted(rows, x, y, q, _reweighted(rows, x, y, q, start, weight, rounds, tol), weight, alpha, free)
+
+
+def _reweighted(rows: DataFrame, x: Sequence[Column], y: Column, q: float, start: np.ndarray, weight: Column, rounds: int, tol: float) -> np.ndarray:
     w = start
     for _ in range(rounds):
         e = y - sum((a * float(b) for a, b in zip(x, w, strict=True)), F.lit(0.0))
@@ -235,7 +245,7 @@ class LinearQuantileRegression:
         low, high = exact_quantiles(rows, {"y": y}, [0.25, 0.75])["y"]
         inverse = np.linalg.pinv(gram)
         for q in self.quantiles:
-            w = quantile_weights(rows, x, y, q, np.linalg.lstsq(gram, cross, rcond=None)[0], F.lit(1.0), self.max_iter, self.tol)
+            w = quantile_weights(rows, x, y, q, np.linalg.lstsq(gram, cross, rcond=None)[0], F.lit(1.0), min(self.max_iter, START_ROUNDS), self.tol)
             z = normal.inv_cdf(q)
             h = row.n ** (-1 / 3) * normal.inv_cdf(0.975) ** (2 / 3) * (1.5 * normal.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
             a, b = max(q - h, 1e-6), min(q + h, 1 - 1e-6)
@@ -267,23 +277,32 @@ class LinearQuantileRegression:
 
 @dataclass
 class LassoTimeseriesRegressor(TimeseriesRegressor):
-    """A lasso for the mean, and linear quantile regressions by iteratively reweighted least squares."""
+    """A lasso for the mean, and linear quantile regressions with the same penalty. ``average_type="median"`` takes the
+    regression of the median in place of the mean's."""
 
     alpha: float = 0.01
-    rounds: int = 25
+    rounds: int = START_ROUNDS
+    average_type: str = "mean"
 
     def _x(self, read: Callable[[str], Column] = col) -> list[Column]:
         return [F.lit(1.0), *[read(c).cast("double") for c in self.features]]
 
     def _fit_one(self, rows: DataFrame, y: str) -> dict:
+        if self.average_type not in ("mean", "median"):
+            raise ValueError("average_type must be mean or median")
+        if self.average_type == "median" and 0.5 in self.quantiles:
+            raise ValueError("the median is the mean's place already; leave 0.5 out of the quantiles")
         gram, cross, _ = _sums(rows, self._x(), col(y).cast("double"), self.create_weights())
-        out = {"mean": lasso(gram, cross, self.alpha).tolist()}
+        if self.average_type == "median":
+            out = {"mean": self._quantile(rows, y, 0.5, np.linalg.lstsq(gram, cross, rcond=None)[0]).tolist()}
+        else:
+            out = {"mean": lasso(gram, cross, self.alpha).tolist()}
         for q in self.quantiles:
             out[str(q)] = self._quantile(rows, y, q, np.linalg.lstsq(gram, cross, rcond=None)[0]).tolist()
         return out
 
     def _quantile(self, rows: DataFrame, y: str, q: float, w: np.ndarray) -> np.ndarray:
-        return quantile_weights(rows, self._x(), col(y), q, w, self.create_weights(), self.rounds)
+        return quantile_weights(rows, self._x(), col(y), q, w, self.create_weights(), self.rounds, alpha=self.alpha, free=(0,))
 
     def _line(self, w: Sequence[float], read: Callable[[str], Column] = col) -> Column:
         return sum((a * float(b) for a, b in zip(self._x(read)[1:], w[1:], strict=True)), F.lit(float(w[0])))

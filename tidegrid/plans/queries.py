@@ -803,6 +803,23 @@ def quantile_forecast(spark, sf):
     return m.predict(e).select("event_id", *models.prediction_names([0], [])[:1], col("predict_lead_0_q_0.1").alias("low"), col("predict_lead_0_q_0.9").alias("high"))
 
 
+def _best_lines(q: float, alpha: float) -> str:
+    """The line of least penalised loss of all that pass through two users, or are level and pass through one."""
+    return f"""(SELECT arg_min(a, loss) AS a, arg_min(b, loss) AS b FROM (
+  SELECT l.a, l.b, avg(CASE WHEN u.y >= l.a + l.b * u.x THEN {q} * (u.y - l.a - l.b * u.x) ELSE {1 - q} * (l.a + l.b * u.x - u.y) END) + {alpha} * abs(l.b) AS loss
+  FROM (SELECT p.y - (r.y - p.y) / (r.x - p.x) * p.x AS a, (r.y - p.y) / (r.x - p.x) AS b FROM u p JOIN u r ON p.x < r.x UNION ALL SELECT y, 0.0 FROM u) l, u GROUP BY l.a, l.b))"""
+
+
+@registered(f"""
+WITH u AS (SELECT user_id, avg(value) AS y, count(*)::DOUBLE AS x FROM events GROUP BY user_id), lo AS {_best_lines(0.25, 0.01)}, hi AS {_best_lines(0.75, 0.01)}
+SELECT user_id, round(lo.a + lo.b * x, 4) AS low, round(hi.a + hi.b * x, 4) AS high FROM u, lo, hi""")
+def penalised_quantiles(spark, sf):
+    """Quantile lines of the users' mean values by their numbers of events, with a penalty on the slope."""
+    u = events(spark, sf).groupBy("user_id").agg(F.avg("value").alias("y"), F.count("*").cast("double").alias("x"))
+    m = models.LassoTimeseriesRegressor("user_id", "y", ["x"], quantiles=[0.25, 0.75], alpha=0.01, monotonic_quantiles=False)
+    return m.fit(u).predict(u).select("user_id", rounded("predict_lead_0_q_0.25", 4).alias("low"), rounded("predict_lead_0_q_0.75", 4).alias("high"))
+
+
 @registered()
 def quantile_regression(spark, sf):
     """Coefficients and p-values of linear quantiles."""
