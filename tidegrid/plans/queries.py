@@ -12,7 +12,8 @@ from ..functions.names import col
 from ..functions.windows import ordered
 from ..operators import cleaning, exploration, features, metrics, models, reshaping, validation
 from ..sources import synthetic, weather
-from ..streaming import binning
+from ..functions.tables import temporary
+from ..streaming import binning, stateful
 from . import plot_data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -871,6 +872,27 @@ def binned_events(spark, sf):
     return b.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded("mean").alias("mean"), "least", "most")
 
 
+@registered(f"""
+WITH e AS (SELECT * FROM events WHERE epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)),
+f AS (SELECT event_id, lag(value, 2) {W} AS lag_2, CASE WHEN count(value) {W[:-1]} ROWS 4 PRECEDING) = 5 THEN round(avg(value) {W[:-1]} ROWS 4 PRECEDING), 6) END AS mean_5,
+  count(value) {W[:-1]} ROWS 2 PRECEDING) = 3 AND max(value) {W[:-1]} ROWS 2 PRECEDING) - min(value) {W[:-1]} ROWS 2 PRECEDING) <= 5 AS flat FROM e)
+SELECT * FROM f""")
+def streamed_history(spark, sf):
+    """Lags, rolling means and flat lines of a stream over all events, for what its watermark has passed."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, place = spark.conf.get(key, None), temporary(spark, "streamed-history")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    wanted = stateful.Wanted(lags=(2,), rolling=(("mean", 5),), flat=(3, 5.0))
+    stream = stateful.with_history(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"), "ts", "value", BY, wanted, ["event_id"], "1 hour")
+    stateful.rocksdb(spark)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/at").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    out = spark.read.schema(stream.schema).parquet(f"{place}/out")
+    return out.select("event_id", "lag_2", rounded("mean_5").alias("mean_5"), "flat")
+
+
 def queries() -> dict[str, Query]:
     """By registered name."""
     return dict(_queries)
