@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -114,8 +115,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def _drop(tables: list[tuple[SparkSession, str]]) -> None:
     while tables:
-        with contextlib.suppress(Exception):  # the context has ended: the folder's owner cleans up
-            delete(*tables.pop())
+        spark, path = tables.pop()
+        try:
+            delete(spark, path)
+        except Exception as e:
+            if spark.sparkContext._jsc is None:  # the context has ended: the folder's owner cleans up
+                continue
+            logging.getLogger("tidegrid").warning("%s was not deleted: %s", path, type(e).__name__)
 
 
 @atexit.register
