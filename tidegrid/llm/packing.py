@@ -13,13 +13,12 @@ is sorted in one task by document. Ids are encoded once, kept as Parquet in the
 one join on a row number.
 
 Defined results: a null text is empty; an empty text is the id 1 alone; rows with a null or repeated ``doc_id`` are
-packed each by itself and keep their ``doc_id``; a null source is a queue of its own; sources beyond ``max_queues``
-share queues by hash, but for those with a proportion; other columns are ignored, whatever their names; an empty table gives no rows.
+packed each by itself and keep their ``doc_id``; a null source is a queue of its own, first of all, and there may be any
+number of sources: their quanta are a table; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -28,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import persisted, small_batches
+from .store import persisted, scope, small_batches
 from .tokens import END_ID, Encoder, vocabulary_file
 
 #: Documents in a block of the running sums, blocks of a group (as bits), and the ids in a block of the stream (2**17: 64
 #: windows) below most_blocks.
 BLOCK_DOCS, GROUP_BITS, BLOCK_IDS = 512, 10, 1 << 17
+#: Up to so many queues their quanta are broadcast, beyond it they are joined.
+BROADCAST_QUEUES = 10_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -61,7 +62,6 @@ def pack(
     packet: int = 512,
     proportions: Mapping[str, float] | None = None,
     temperature: float = 1.0,
-    max_queues: int = 1024,
     most_blocks: int = 4096,
     with_ids: bool = False,
 ) -> DataFrame:
@@ -71,57 +71,64 @@ def pack(
     tokens to the power ``temperature``: at 1 all queues end together, below 1 small sources are brought forward. Where a
     queue ends, the others go on in their proportions; every document is packed once whatever the targets.
     """
-    vocabulary = vocabulary or vocabulary_file()
+    with scope() as here:  # the ids, the largest table, go as the pieces are there
+        out = _packed(docs, vocabulary or vocabulary_file(), window, packet, proportions or {}, temperature, most_blocks, with_ids)
+        return here.result(out, "packing-pieces")
+
+
+def _packed(docs: DataFrame, vocabulary: str, window: int, packet: int, proportions: Mapping[str, float], temperature: float, most_blocks: int, with_ids: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     kept = persisted(tokenised(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "packing-ids")
     shared = F.when(F.col("source").isNull(), F.lit("null:")).otherwise(F.concat(F.lit("s:"), F.col("source")))
     meta = kept.select("row", "n", shared.alias("queue"))
-    totals = meta.groupBy("queue").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "queue")
-    given = {f"s:{k}": float(v) for k, v in (proportions or {}).items()}
+    given = {f"s:{k}": float(v) for k, v in proportions.items()}
     if any(v <= 0 for v in given.values()) or sum(given.values()) > 1 + 1e-9:
         raise ValueError("proportions must be above 0, and at most 1 in all")
-    named = [(r.queue, r.total) for r in totals.limit(max_queues).collect()]
-    if len(named) == max_queues:  # the smaller ones share queues, so that what the driver holds stays bounded
-        own = [*given, *[q for q, _ in named if q not in given][: max_queues // 2]]
-        meta = meta.withColumn("queue", F.when(F.col("queue").isin(own), F.col("queue")).otherwise(F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(max_queues // 2)).cast("string"))))
-        named = [(r.queue, r.total) for r in meta.groupBy("queue").agg(F.sum("n").alias("total")).collect()]
-    named.sort()
-    whole = sum(n for _, n in named)
     spark = docs.sparkSession
+    totals = persisted(meta.groupBy("queue").agg(F.sum("n").alias("total")), "packing-queues")
+    weight = F.pow(F.col("total").cast("double"), F.lit(float(temperature)))
+    if given:
+        shares = spark.createDataFrame(list(given.items()), "queue string, share double")
+        totals = totals.join(F.broadcast(shares), "queue", "left")
+    else:
+        totals = totals.withColumn("share", F.lit(None).cast("double"))
+    sums = totals.agg(F.count("*").alias("queues"), F.sum("total").alias("whole"), F.sum(F.when(F.col("share").isNull(), weight)).alias("rest")).first()
+    whole = sums.whole
     if not whole:
         return spark.createDataFrame([], PIECES + (", ids binary" if with_ids else ""))
-    left, rest = max(0.0, 1 - sum(given.values())), sum(n**temperature for q, n in named if q not in given)
-    share = {q: given[q] if q in given else left * n**temperature / rest for q, n in named}
-    quanta = [(q, i, max(window * share[q], 1.0)) for i, (q, _) in enumerate(named)]
-    meta = meta.join(F.broadcast(spark.createDataFrame(quanta, "queue string, rank int, quantum double")), "queue")
+    left = max(0.0, 1 - sum(given.values()))
+    quantum = F.greatest(window * F.coalesce("share", left * weight / F.lit(sums.rest)), F.lit(1.0))
+    quanta = totals.select("queue", "total", quantum.alias("quantum"))
+    rounds = quanta.agg(F.max(F.ceil(F.col("total") / F.col("quantum")))).first()[0]
+    quanta = quanta.select("queue", "quantum")
+    meta = meta.join(F.broadcast(quanta) if sums.queues <= BROADCAST_QUEUES else quanta, "queue")
 
     # Tokens before each document in its queue: blocks of rows, groups of blocks, then the groups' totals.
     bits = BLOCK_DOCS.bit_length() - 1
     block = (F.shiftrightunsigned("row", 33) * F.lit(1 << (33 - bits)) + F.shiftright(F.col("row").bitwiseAND((1 << 33) - 1), bits)).alias("block")
     meta = meta.withColumn("block", block)
-    blocks = meta.groupBy("rank", "block").agg(F.sum("n").alias("tokens")).withColumn("group", F.shiftright("block", GROUP_BITS))
+    blocks = meta.groupBy("queue", "block").agg(F.sum("n").alias("tokens")).withColumn("group", F.shiftright("block", GROUP_BITS))
     before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = blocks.groupBy("rank", "group").agg(F.sum("tokens").alias("tokens")).select("rank", "group", before(Window.partitionBy("rank").orderBy("group")).alias("group_start"))
-    blocks = blocks.withColumn("in_group", before(Window.partitionBy("rank", "group").orderBy("block"))).join(groups, ["rank", "group"])
-    blocks = blocks.select("rank", "block", (F.col("group_start") + F.col("in_group")).alias("block_start"))
-    inside = Window.partitionBy("rank", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = meta.withColumn("in_block", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["rank", "block"]).withColumn("queue_start", F.col("block_start") + F.col("in_block"))
+    groups = blocks.groupBy("queue", "group").agg(F.sum("tokens").alias("tokens")).select("queue", "group", before(Window.partitionBy("queue").orderBy("group")).alias("group_start"))
+    blocks = blocks.withColumn("in_group", before(Window.partitionBy("queue", "group").orderBy("block"))).join(groups, ["queue", "group"])
+    blocks = blocks.select("queue", "block", (F.col("group_start") + F.col("in_group")).alias("block_start"))
+    inside = Window.partitionBy("queue", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = meta.withColumn("in_block", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["queue", "block"]).withColumn("queue_start", F.col("block_start") + F.col("in_block"))
 
     # Packets and the rounds in which their deficits cover them.
     steps = placed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))))
     steps = steps.withColumn("length", F.least(F.lit(packet).cast("long"), F.col("n") - F.col("start")))
     steps = steps.withColumn("queue_end", F.col("queue_start") + F.col("start") + F.col("length"))
     steps = steps.withColumn("round", F.ceil(F.col("queue_end") / F.col("quantum")).cast("long"))
-    rounds = max(math.ceil(n / quantum) for (_, n), (_, _, quantum) in zip(named, quanta, strict=True))
     blocks = min(most_blocks, -(-whole // BLOCK_IDS))
-    steps = steps.select("row", "start", "length", "round", "rank", "queue_end", F.expr(f"round * {blocks} div {rounds}").alias("span"))
+    steps = steps.select("row", "start", "length", "round", "queue", "queue_end", F.expr(f"round * {blocks} div {rounds}").alias("span"))
 
     # Place in the stream, again by the totals of blocks of rounds; there are at most most_blocks + 1.
     steps = persisted(steps, "packing-rounds")
     firsts = steps.groupBy("span").agg(F.sum("length").alias("tokens")).orderBy("span").collect()
     at = np.concatenate([[0], np.cumsum([r.tokens for r in firsts])]).tolist()
     starts = spark.createDataFrame([(r.span, x) for r, x in zip(firsts, at, strict=False)], "span long, span_start long")
-    stream = Window.partitionBy("span").orderBy("round", "rank", "queue_end").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("span").orderBy("round", "queue", "queue_end").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("in_span", F.coalesce(F.sum("length").over(stream), F.lit(0))).join(F.broadcast(starts), "span").withColumn("place", F.col("span_start") + F.col("in_span"))
 
     first, last = F.floor(F.col("place") / window), F.floor((F.col("place") + F.col("length") - 1) / window)
