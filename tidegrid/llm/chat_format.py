@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import persisted, small_batches
+from .store import Scope, persisted, scope, small_batches
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers at the start of a line, by role.
@@ -287,6 +287,11 @@ def formatted(turns: DataFrame, *, models: tuple[Hmm, Hmm] | None = None) -> Dat
     """``conv_id, turn, part, role, rendered, marker`` for every turn; ``part`` numbers the turns of a row from 0. ``marker`` is
     what was taken off: with the rendered texts it gives back the row, turn by turn, joined by newlines. ``models`` (of other
     conversations, one for each half) replace those that are counted on the table itself."""
+    with scope() as here:
+        return here.result(_formatted(turns, models, here), "chat-rendered")
+
+
+def _formatted(turns: DataFrame, models: tuple[Hmm, Hmm] | None, here: Scope) -> DataFrame:
     small_batches(turns.sparkSession)
     rows = persisted(prepared(turns), "chat-rows")
     own = models or fitted(rows)
@@ -294,6 +299,7 @@ def formatted(turns: DataFrame, *, models: tuple[Hmm, Hmm] | None = None) -> Dat
     keys = ["conv", "turn", "tie", "row"]
     ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv", "turn", "text", "half", "x")
     found = persisted(ordered.mapInArrow(_decoded(own), OUT), "chat-turns")
+    here.drop(but=1)
     edges = found.where("best is not null").groupBy("conv").applyInPandas(_chained, "part int, edge int, way int")
     found = found.drop("best").join(F.broadcast(edges), ["part", "edge"], "left")  # two rows at most for each partition
     lines = F.split("text", "\n", -1)
