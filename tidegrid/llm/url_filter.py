@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .store import persisted
+from .store import persisted, scope
 
 #: The contract's rules: verdict and rule, in natural order.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -220,6 +220,11 @@ def joined_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, *, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_blocks: float = 0.002, max_contexts: int = MAX_CONTEXTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row. The models read host and path. ``labelled``: columns
     ``url`` and ``accepted``; rows with a null in either, or without a host, teach nothing."""
+    with scope() as here:
+        return here.result(_judged(pages, labelled, rules, seeds, false_blocks, max_contexts, id_col, url_col), "url-verdicts")
+
+
+def _judged(pages: DataFrame, labelled: DataFrame | None, rules: Sequence[tuple[str, str]], seeds: Sequence[str], false_blocks: float, max_contexts: int, id_col: str, url_col: str) -> DataFrame:
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("text", F.concat("host", "path"))
