@@ -133,6 +133,29 @@ def test_packing_is_deficit_round_robin(spark, proportions, temperature):
         assert abs(sum(w[4] for w in first if source[w[2]] == "b") / sum(w[4] for w in first) - 0.5) < 0.06
 
 
+def test_packing_of_many_sources(spark, monkeypatch):
+    """Three thousand sources, each a queue of its own, by broadcast quanta and by joined ones."""
+    rng = random.Random(9)
+    rows = [(i, "x y " * rng.randint(0, 12), None if i == 7 else f"s{i % 3000}") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    ids = {t: len(hugging(t)) + 1 for t in {t for _, t, _ in rows}}
+    queues = {}
+    for i, t, s in rows:
+        queues.setdefault("" if s is None else f"s:{s}", []).append((i, ids[t]))
+    total = {q: sum(n for _, n in own) for q, own in queues.items()}
+    rest = sum(n**0.5 for n in total.values())
+    want, at = [], 0
+    for doc, start, length in round_robin({q: queues[q] for q in sorted(queues)}, {q: max(256 * n**0.5 / rest, 1.0) for q, n in total.items()}, 100):
+        while length:
+            n = min(length, 256 - at % 256)
+            want.append((at // 256, at % 256, doc, start, n))
+            at, start, length = at + n, start + n, length - n
+    for most in (10_000, 100):
+        monkeypatch.setattr(packing, "BROADCAST_QUEUES", most)
+        got = packing.pack(df, window=256, packet=100, temperature=0.5).collect()
+        assert sorted((r.sequence_id, r.offset, r.doc_id, r.start, r.length) for r in got) == want
+
+
 def test_packing_round_trip(docs, texts):
     back = {}
     for r in packing.pack(docs, with_ids=True).collect():
