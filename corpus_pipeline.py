@@ -54,9 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What the stages hand on goes as the last one's rows are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        with scope() as here:  # what a stage writes on its way goes as its result is there
-            docs = here.result(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scope() as whole:
+        for name, stage in STAGES:
+            with scope() as here:  # what a stage writes on its way goes as its result is there
+                docs = here.result(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return whole.result(docs, "pipeline")
