@@ -52,18 +52,30 @@ def request_window(start: str, end: str, freq: str = "hourly") -> tuple[datetime
 
 
 def read_knmi_measurements(spark: SparkSession, path: str, freq: str = "hourly", preprocess: bool = False, start: str | None = None, end: str | None = None) -> DataFrame:
-    """``STN, TIME`` and the variables of a measurement file, from ``start`` to ``end`` if they are given. The last line of
-    the ``#`` header names the columns; hour n ends the n-th hour of its day, so hour 24 is midnight of the next."""
-    head = [r.value for r in spark.read.text(path).where(F.col("value").startswith("#")).orderBy(F.monotonically_increasing_id()).collect()]  # the header
-    names = [n.strip() for n in head[-1].lstrip("# ").split(",")]
+    """``STN, TIME`` and the variables of measurement files, from ``start`` to ``end`` if they are given. The last line of
+    each file's ``#`` header names its columns; a variable that a file lacks is missing in its rows. Hour n ends the n-th hour
+    of its day, so hour 24 is midnight of the next. Only the different headers come to the driver."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    heads = text.where(F.col("value").startswith("#")).groupBy("file").agg(F.max_by("value", F.struct("block", "line")).alias("head"))
+    formats = sorted(r["head"] for r in heads.select("head").distinct().collect())
+    named = [[n.strip() for n in h.lstrip("# ").split(",")] for h in formats]
     part = F.split("value", ",")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    rows = rows.select(*[F.nullif(F.trim(part[i]), F.lit("")).alias(n) for i, n in enumerate(names)])
-    day = F.try_to_timestamp(F.col("YYYYMMDD"), F.lit("yyyyMMdd"))
-    hour = next((h for h in ("HH", "H", "HR") if h in names), None) if freq == "hourly" else None
-    time = day if hour is None else day + F.make_dt_interval(hours=F.col(hour).cast("int"))
-    variables = [n for n in names if n not in ("STN", "YYYYMMDD", hour)]
-    out = rows.select(F.col("STN").cast("int").alias("STN"), time.alias("TIME"), *[F.col(v).cast("double").alias(v) for v in variables])
+
+    def read(*names: str) -> Column:
+        """The first of these columns that a row's own format has."""
+        found = F.lit(None).cast("string")
+        for h, own in zip(formats, named, strict=True):
+            k = next((own.index(n) for n in names if n in own), None)
+            if k is not None:
+                found = F.when(F.col("head") == h, F.nullif(F.trim(F.get(part, F.lit(k))), F.lit(""))).otherwise(found)
+        return found
+
+    hours = ("HH", "H", "HR") if freq == "hourly" else ()
+    rows = text.where(~F.col("value").startswith("#") & (F.trim("value") != "")).join(heads, "file")
+    day = F.try_to_timestamp(read("YYYYMMDD"), F.lit("yyyyMMdd"))
+    time = day + F.make_dt_interval(hours=F.coalesce(read(*hours).cast("int"), F.lit(0))) if hours else day
+    variables = dict.fromkeys(n for own in named for n in own if n not in ("STN", "YYYYMMDD", *hours))
+    out = rows.select(read("STN").cast("int").alias("STN"), time.alias("TIME"), *[read(v).cast("double").alias(v) for v in variables])
     if start is not None:
         out = out.where(F.col("TIME") >= F.lit(start).cast("timestamp"))
     if end is not None:
