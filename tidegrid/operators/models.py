@@ -1,12 +1,13 @@
 """Forecasters: a constant, linear (lasso and quantile), and a small neural network; importances and baselines.
 
 Fitted state is plain JSON. Fits that need all rows use one aggregate pass a step (sums of products, gradients), so the
-driver holds numbers by feature only; the network is fitted on a bounded sample.
+driver holds numbers by feature only.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quantile_lines
+from ..functions import network, quantile_lines
 from ..functions.names import col
 from ..functions.order import exact_quantiles
 from .cleaning import has_strictly_increasing_index, make_df_monotonic, remove_target_nan
@@ -318,48 +319,88 @@ class LassoTimeseriesRegressor(TimeseriesRegressor):
         return df.withColumns({f"{c}_contribution": (col(c) - means[c]) * float(b) for c, b in zip(self.features, w[1:], strict=True)})
 
 
+def _dense(z: Column, units: list[list[float]]) -> Column:
+    """A layer over an array: by unit its weights and, last, its bias. The layer below is bound once, however many units read it."""
+    dot = lambda below, unit: F.aggregate(F.zip_with(below, unit, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    layer = lambda below: F.transform(F.lit(units), lambda unit: F.tanh(dot(below, unit)))
+    return F.element_at(F.transform(F.array(F.concat(z, F.array(F.lit(1.0)))), layer), 1)
+
+
 @dataclass
 class MLPTimeseriesRegressor(TimeseriesRegressor):
-    """One hidden layer with a joint loss: squared error of the mean and quantile losses. It is fitted on the driver on a
-    sample of at most ``sample_rows`` rows (by hash of the row); predictions are SQL expressions."""
+    """Dense layers with a joint loss: squared error of the mean and quantile losses. Every epoch sums the gradients of all
+    rows over the tasks (see :mod:`tidegrid.functions.network`); predictions are SQL expressions.
+
+    ``hidden``: units of the one hidden layer, or of several. ``dropout``: the share of units that an epoch leaves out, by
+    row. ``validation_share`` of the rows (by a hash of their values) only judge; with ``patience`` the fit ends when they (or, without
+    any, the training rows) have not become better for so many epochs. ``state`` keeps the history by lead.
+    """
 
-    hidden: int = 8
+    hidden: int | Sequence[int] = 8
     epochs: int = 300
     rate: float = 0.02
-    sample_rows: int = 50_000
     seed: int = 42
+    dropout: float = 0.0
+    validation_share: float = 0.0
+    patience: int | None = None
+
+    def fit(self, df: DataFrame, validation: DataFrame | None = None, on_epoch: network.Hook | None = None) -> MLPTimeseriesRegressor:
+        """As the others. ``validation``: rows that only judge, in place of a share; ``on_epoch`` gets the scores after each epoch
+        (``epoch``, ``lead``, ``loss``, ``r2``, ``val_loss``, ``val_r2``, in units of the scaled target) and may end the fit."""
+        self._on_epoch, self._judges = on_epoch, None if validation is None else self.prepared(validation)
+        try:
+            return super().fit(df)
+        finally:
+            del self._on_epoch, self._judges
+
+    def _layers(self) -> list[int]:
+        return [self.hidden] if isinstance(self.hidden, int) else list(self.hidden)
 
     def _fit_one(self, rows: DataFrame, y: str) -> dict:
         cols = [*self.features, y]
-        got = rows.select(*[col(c).cast("double") for c in cols], self.create_weights().alias("_weight")).orderBy(F.xxhash64(*[col(c) for c in cols])).limit(self.sample_rows).toPandas().to_numpy()
-        x, t, share = got[:, :-2], got[:, -2], got[:, -1:] / got[:, -1].sum()
-        mx, sx, mt, st = x.mean(0), x.std(0), t.mean(), t.std() or 1.0
-        sx = np.where(sx == 0, 1, sx)
-        x, t, rng, outs = (x - mx) / sx, (t - mt) / st, np.random.default_rng(self.seed), 1 + len(self.quantiles)
-        p = [rng.normal(0, 1 / math.sqrt(x.shape[1] or 1), (x.shape[1], self.hidden)), np.zeros(self.hidden), rng.normal(0, 1 / math.sqrt(self.hidden), (self.hidden, outs)), np.zeros(outs)]
-        m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-        for step in range(1, self.epochs + 1):
-            z = np.tanh(x @ p[0] + p[1])
-            e = t[:, None] - (z @ p[2] + p[3])
-            g = np.empty_like(e)
-            g[:, 0] = -2 * e[:, 0]
-            for i, q in enumerate(self.quantiles, 1):
-                g[:, i] = np.where(e[:, i] >= 0, -q, 1 - q)
-            g *= share
-            gz = (g @ p[2].T) * (1 - z**2)
-            for i, d in enumerate((x.T @ gz, gz.sum(0), z.T @ g, g.sum(0))):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
-                p[i] -= self.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-        return {"x": [mx.tolist(), sx.tolist()], "y": [mt, st], "layers": [a.tolist() for a in p]}
+        weight = self.create_weights()
+        share = F.pmod(F.xxhash64(*[col(c).cast("double") for c in cols]), F.lit(1 << 20)) < int(self.validation_share * (1 << 20))
+        parts = rows.withColumn("validation", share)
+        if self._judges is not None:
+            parts = rows.withColumn("validation", F.lit(False)).unionByName(self._judges.withColumn("validation", F.lit(True)), True)
+        parts = parts.select(weight.alias("_weight"), *[col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)], "validation")
+        n, w = len(cols), F.when(~F.col("validation"), F.col("_weight"))
+        mean = [F.sum(w * F.col(f"_c{i}")) / F.sum(w) for i in range(n)]
+        got = parts.agg(*[f.alias(f"m{i}") for i, f in enumerate(mean)]).first()
+        centre = [got[f"m{i}"] or 0.0 for i in range(n)]
+        got = parts.agg(*[F.sqrt(F.sum(w * F.pow(F.col(f"_c{i}") - centre[i], F.lit(2.0))) / F.sum(w)).alias(f"s{i}") for i in range(n)]).first()
+        size = [got[f"s{i}"] or 1.0 for i in range(n)]
+        scaled = [((F.col(f"_c{i}") - centre[i]) / size[i]).alias(f"_c{i}") for i in (n - 1, *range(n - 1))]
+        lead = next(p for p, name in self._targets().items() if name == y)
+        hook = None if self._on_epoch is None else lambda told: self._on_epoch(told | {"lead": lead})
+        p, history = network.fitted(parts.select("_weight", *scaled, "validation"), self._layers(), self.quantiles, self.epochs, self.rate, self.seed, self.dropout, self.patience, hook)
+        return {"x": [centre[:-1], size[:-1]], "y": [centre[-1], size[-1]], "layers": [a.tolist() for a in p], "history": history}
 
     def _outputs(self, state: dict, read: Callable[[str], Column] = col) -> dict[str, Column]:
-        (mx, sx), (mt, st), (a, b, c, d) = state["x"], state["y"], state["layers"]
+        (mx, sx), (mt, st), layers = state["x"], state["y"], state["layers"]
         x = [(read(n).cast("double") - m) / s for n, m, s in zip(self.features, mx, sx, strict=True)]
-        z = F.array(*[F.tanh(sum((x[i] * float(a[i][h]) for i in range(len(x))), F.lit(float(b[h])))) for h in range(self.hidden)])
-        line = lambda k: sum((z[h] * float(c[h][k]) for h in range(self.hidden)), F.lit(float(d[k]))) * st + mt
+        (a, b), (c, d) = layers[:2], layers[-2:]
+        z = F.array(*[F.tanh(sum((x[i] * float(a[i][h]) for i in range(len(x))), F.lit(float(b[h])))) for h in range(len(b))])
+        for w, bias in zip(layers[2:-2:2], layers[3:-2:2], strict=True):
+            units = [[*map(float, column), float(v)] for column, v in zip(zip(*w, strict=True), bias, strict=True)]
+            z = _dense(z, units)
+        line = lambda k: sum((z[h] * float(c[h][k]) for h in range(len(c))), F.lit(float(d[k]))) * st + mt
         return {"mean": line(0)} | {q: line(i) for i, q in enumerate(self.quantiles, 1)}
 
 
+class R2Evaluation:
+    """A hook for fits of networks: keeps R2 of training and validation rows after each epoch, by lead, and logs it."""
+
+    def __init__(self, log: bool = True):
+        self.log, self.train_r2, self.val_r2 = log, {}, {}
+
+    def __call__(self, told: dict) -> None:
+        self.train_r2.setdefault(told["lead"], []).append(told["r2"])
+        self.val_r2.setdefault(told["lead"], []).append(told["val_r2"])
+        if self.log:
+            logging.getLogger("tidegrid").info("lead %s, epoch %s: R2 %s, of validation rows %s", told["lead"], told["epoch"], told["r2"], told["val_r2"])
+
+
 def shapley_contributions(model: TimeseriesRegressor, df: DataFrame, lead: int | None = None, output: str | float = "mean", orders: int = 8, seed: int = 0) -> DataFrame:
     """Adds ``{feature}_contribution`` and ``base``: how a prediction comes about from that at the features' means.
 
