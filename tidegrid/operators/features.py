@@ -15,6 +15,7 @@ from ..functions.durations import duration, micros
 from ..functions.names import col, numeric_columns
 from ..functions.order import bucket_of, cuts
 from ..functions.series import LONG, Frame, Rolling, by_rows, by_span, carried, framed, numbered
+from ..functions.tables import persisted, scope
 from ..functions.windows import last_rows, last_span, ordered
 
 SIMPLE = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}
@@ -479,15 +480,40 @@ def automatic_rolling_features(df: DataFrame, target: str, cols: Sequence[str],
     return out.drop(*[m for m in made if m not in chosen]), scores
 
 
+def evidence_ridge(gram: np.ndarray, use: Sequence[int], rounds: int = 300) -> np.ndarray:
+    """Weights of a Bayesian ridge from sums of products (1 first, the target last): the precisions of noise and weights are those
+    of the greatest evidence, under flat priors; the intercept (place 0 of ``use``) is free."""
+    f, n = list(use)[1:], gram[0, 0]
+    mean, middle = gram[0, f] / n, gram[0, -1] / n
+    a, b = gram[np.ix_(f, f)] - n * np.outer(mean, mean), gram[f, -1] - n * mean * middle
+    spread = max(gram[-1, -1] - n * middle**2, 0.0)
+    size, turn = np.linalg.eigh(a)
+    size, seen = np.maximum(size, 0.0), turn.T @ b
+    noise, weight, w = n / spread if spread else 1.0, 1.0, np.zeros(len(f))
+    for _ in range(rounds):
+        was, w = w, turn @ (seen / (size + weight / noise))
+        used = (noise * size / (weight + noise * size)).sum()
+        rest = max(spread - 2 * w @ b + w @ a @ w, 0.0)
+        weight, noise = (used + 2e-6) / (w @ w + 2e-6), (n - used + 2e-6) / (rest + 2e-6)
+        if np.abs(w - was).max(initial=0.0) < 1e-10:
+            break
+    return np.concatenate([[middle - w @ mean], w])
+
+
 @dataclass
 class RollingSearch:
-    """Searches the windows of rolling features of a linear forecast by time-series splits.
+    """Searches the windows of rolling features of a forecast by time-series splits.
 
     For each column, type and range of ``windows`` one window is chosen. Candidates are made in one plan; one pass sums the
     products of all features and the target in ``cv + 1`` parts of the time axis. A linear fit on some of the features and
     some of the parts needs these sums only, so that every choice is tried on the driver, on matrices of the features'
     number: each slot in turn takes the window with the best mean R2 (fitted on the parts before, judged on the next one),
     until nothing changes. Rows with a missing feature or target are left out.
+
+    ``estimator_type``: ``lin``; ``bayeslin``, a ridge of the greatest evidence, by the same sums; or ``rf``, Spark's random
+    forest, whose trees split by histograms that the tasks sum level by level. A forest is fitted on all candidates at once, on
+    the parts before each judged one; each slot takes the window of the largest mean importance, and forests of the columns and of
+    the chosen features give the two R2.
     """
 
     time_col: str | Sequence[str]
@@ -497,6 +523,9 @@ class RollingSearch:
     types: Sequence[str] = ("mean", "lag")
     cv: int = 3
     partition_by: Sequence[str] = ()
+    estimator_type: str = "lin"
+    trees: int = 20
+    seed: int = 0
     chosen: list[str] = field(default_factory=list)
     r2_base: float | None = None
     r2_rolling: float | None = None
@@ -516,12 +545,16 @@ class RollingSearch:
         absolute weights for one standard deviation."""
         if self.cv < 2 or "ewm" in self.types:
             raise ValueError("cv must be 2 or more, and ewm has no windows")
+        if self.estimator_type not in ("lin", "bayeslin", "rf"):
+            raise ValueError("estimator_type must be lin, bayeslin or rf")
         rows, slots = self._candidates(df)
         names = [*self.cols, *dict.fromkeys(m for s in slots for m in s)]
         rows = rows.dropna(subset=[*names, self.target])
         time = col(self.time_col if isinstance(self.time_col, str) else self.time_col[0]).cast("double")
         x = [F.lit(1.0), *[col(n).cast("double") for n in names], col(self.target).cast("double")]
         parts = rows.withColumn("_part", bucket_of(time, cuts(rows, time, self.cv + 1)))
+        if self.estimator_type == "rf":
+            return self._by_forests(parts, names, slots)
         products = [F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x[i:], i)]
         grams = np.zeros((self.cv + 1, len(x), len(x)))
         for r in parts.groupBy("_part").agg(*products).collect():
@@ -530,6 +563,8 @@ class RollingSearch:
                     grams[r._part, i, j] = grams[r._part, j, i] = r[f"s{i}_{j}"]
 
         def weights(gram: np.ndarray, use: list[int]) -> np.ndarray:
+            if self.estimator_type == "bayeslin":
+                return evidence_ridge(gram, use) if gram[0, 0] else np.zeros(len(use))
             return np.linalg.lstsq(gram[np.ix_(use, use)], gram[use, -1], rcond=None)[0]
 
         def score(features: Sequence[str]) -> float:
@@ -556,6 +591,37 @@ class RollingSearch:
         self.importances = dict(zip([*self.cols, *self.chosen], np.abs(weights(gram, use) * spread)[1:].tolist(), strict=True))
         return self
 
+    def _by_forests(self, parts: DataFrame, names: list[str], slots: list[list[str]]) -> RollingSearch:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.regression import RandomForestRegressor
+
+        place = {n: f"f{i}" for i, n in enumerate(names)}
+
+        def fitted(rows: DataFrame, own: Sequence[str]) -> object:
+            forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=self.trees, minInstancesPerNode=5, featureSubsetStrategy="all", seed=self.seed)
+            return forest.fit(VectorAssembler(inputCols=[place[n] for n in own], outputCol="_x").transform(rows))
+
+        with scope():
+            rows = persisted(parts.select("_part", col(self.target).cast("double").alias("_y"), *[col(n).cast("double").alias(f) for n, f in place.items()]), "forest-rows")
+
+            def score(own: Sequence[str]) -> float:
+                got = []
+                for k in range(1, self.cv + 1):
+                    judged = VectorAssembler(inputCols=[place[n] for n in own], outputCol="_x").transform(rows.where(F.col("_part") == k))
+                    told = fitted(rows.where(F.col("_part") < k), own).transform(judged).agg(F.sum(F.pow(F.col("_y") - F.col("prediction"), F.lit(2.0))).alias("e"), (F.var_pop("_y") * F.count("_y")).alias("s")).first()
+                    if told.s:
+                        got.append(1 - told.e / told.s)
+                return float(np.mean(got)) if got else -math.inf
+
+            own = list(names)
+            weight = np.mean([fitted(rows.where(F.col("_part") < k), own).featureImportances.toArray() for k in range(1, self.cv + 1)], axis=0)
+            rank = dict(zip(own, weight.tolist(), strict=True))
+            self.chosen = list(dict.fromkeys(max(s, key=rank.__getitem__) for s in slots))
+            use = [*self.cols, *self.chosen]
+            self.r2_base, self.r2_rolling = score(self.cols), score(use)
+            self.importances = dict(zip(use, fitted(rows, use).featureImportances.toArray().tolist(), strict=True))
+        return self
+
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the chosen features."""
         out, slots = self._candidates(df)
