@@ -147,11 +147,15 @@ Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.nda
 
 def rolling(kind: str, least: int, proportion: float = 0.1) -> Kernel:
     """A rolling aggregate: values, which are present, and ranges, to results and which of them are there: those of at
-    least ``least`` values (``numpos``: rows)."""
+    least ``least`` values (``numpos``: rows). ``count`` and ``rows`` are always there; ``first`` is the first row's value."""
 
     def run(values: np.ndarray, present: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = np.concatenate([[0], np.cumsum(present)])
         n = seen[high] - seen[low]
+        if kind in ("count", "rows"):
+            return (n if kind == "count" else high - low).astype(np.float64), np.ones(len(low), bool)
+        if kind == "first":
+            return values[low], present[low]
         there = (high - low if kind == "numpos" else n) >= max(least, 1)
         a, b = low[there], high[there]
         out = np.zeros(len(low))

@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -70,30 +69,6 @@ def ricker(values: np.ndarray, width: float) -> np.ndarray:
     return np.convolve(values, wave, mode="same")
 
 
-def uneven_spectrum(times: np.ndarray, values: np.ndarray, span: float, size: int) -> np.ndarray:
-    """Magnitudes of the non-uniform Fourier sums of a time window, padded or cut to ``size``."""
-    if len(values) % 2:
-        times, values = times[1:], values[1:]
-    out = np.zeros(size)
-    if len(values) <= 5:
-        return out
-    x = (times - times[-1]) / span + 0.5
-    k = np.arange(len(values)) - len(values) // 2
-    got = np.abs(np.exp(2j * np.pi * np.outer(k, x)) @ values)[len(values) // 2 + 1 :]
-    out[: min(size, len(got))] = got[:size]
-    return out
-
-
-def _uneven_udf(span: float, size: int) -> Callable:
-    """The non-uniform sums of arrays of times and values; missing without them."""
-
-    @F.pandas_udf("array<double>")
-    def run(times: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else uneven_spectrum(t, v, span, size) for t, v in zip(times, values, strict=True)])
-
-    return run
-
-
 def _weighted(values: Sequence[Column], weights: np.ndarray) -> Column:
     """A sum of columns with fixed weights."""
     return sum((v * float(w) for v, w in zip(values[1:], weights[1:], strict=True)), values[0] * float(weights[0]))
@@ -237,14 +212,27 @@ class BuildRollingFeatures:
                     names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(len(forms))]  # already shifted
                     out = out.withColumns(dict(zip(names, forms, strict=True))).drop(*past)
                 else:
-                    w, x = last_span(by, self._time(), duration(n)), col(c).cast("double")
-                    whole = F.count(x).over(w) == F.count(F.lit(1)).over(w)
-                    got = _uneven_udf(duration(n) / 1e6, self.nfft_ncol)(F.col("_t"), F.col("_v"))
-                    out = out.withColumns({"_t": F.when(whole, F.collect_list(micros(col(self._time())) / 1e6).over(w)), "_v": F.when(whole, F.collect_list(x).over(w))}).withColumn("_got", got)
-                    names = [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(self.nfft_ncol)]
-                    out = out.withColumns({m: F.get(F.col("_got"), F.lit(i)) for i, m in enumerate(names)}).drop("_t", "_v", "_got")
+                    out = self._uneven(out, by, c, n, [f"{c}#{self.rolling_type}_{n}_{i + first}{tail}" for i in range(self.nfft_ncol)])
         return out
 
+    def _uneven(self, df: DataFrame, by: Sequence[str], c: str, n: str, names: Sequence[str]) -> DataFrame:
+        """Magnitudes of the non-uniform Fourier sums ``1, 2, ...`` of a span, by rolling sums: a magnitude doesn't depend on where
+        the turn of the times begins, so each row's share can be worked out once. An odd number of rows loses the first; sums from
+        half the number of rows on are 0, as are all of five rows or fewer; missing where a value of the span is."""
+        span, x = duration(n), col(c).cast("double")
+        turn = F.pmod(micros(col(self._time())), F.lit(span)) / F.lit(float(span)) * (2 * math.pi)
+        parts = {f"_{f}{k}": x * g(turn * k) for k in range(1, len(names) + 1) for f, g in (("c", F.cos), ("s", F.sin))}
+        frame = Frame(span - 1, 0, True)
+        wanted = [Rolling(f"_{kind}{p}", p, kind, frame) for p in parts for kind in ("sum", "first")]
+        wanted += [Rolling("_count", "_c1", "count", frame), Rolling("_rows", "_c1", "rows", frame)]
+        out = framed(df.withColumns(parts), by, self.time_col, wanted, self._time())
+        odd, half = F.col("_count") % 2, F.floor(F.col("_count") / 2)
+        side = lambda p: F.pow(F.col(f"_sum{p}") - odd * F.col(f"_first{p}"), F.lit(2.0))
+        new = {m: F.when(F.col("_count") == F.col("_rows"), F.when((half * 2 > 5) & (k < half), F.sqrt(side(f"_c{k}") + side(f"_s{k}"))).otherwise(0.0)) for k, m in enumerate(names, 1)}
+        return out.withColumns(new).drop(*parts, *[w.name for w in wanted])
+
+
+
     def _ewm(self, df: DataFrame, cols: Sequence[str], alphas: Sequence[float]) -> DataFrame:
         """Means with weights that fall by ``1 - alpha`` a row: sums inside blocks of rows, and what the block before carries
         over. Blocks are so long that anything older weighs less than 1e-200 of a value, which a double can't show, and so

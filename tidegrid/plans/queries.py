@@ -416,6 +416,12 @@ _sql["rolling_wavelet"] = f"""
 WITH l AS (SELECT event_id, user_id, ts, list(value) {W[:-1]} ROWS 5 PRECEDING) AS v FROM events)
 SELECT event_id, {", ".join(f"round(lag(c{i}, 1) {W}, 6) AS r{i}" for i in range(6))} FROM (SELECT event_id, user_id, ts, {", ".join(f"CASE WHEN len(v) = 6 THEN {x} END AS c{i}" for i, x in enumerate(_waves))} FROM l)"""
 _queries["rolling_uneven_fourier"] = _rolling("nfft", "3d", nfft_ncol=5)
+_turn = "OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW)"
+_side = lambda f, k: f"(sum(value * {f}({k} * t)) {_turn} - (count(*) {_turn} % 2) * first_value(value * {f}({k} * t)) {_turn}) ** 2"
+_sql["rolling_uneven_fourier"] = f"""
+WITH e AS (SELECT *, 2 * pi() * (epoch_us(ts) % 259200000000) / 259200000000 AS t FROM events), s AS (SELECT event_id, user_id, ts,
+  {", ".join(f"CASE WHEN count(*) {_turn} // 2 > 2 AND {k} < count(*) {_turn} // 2 THEN sqrt({_side('cos', k)} + {_side('sin', k)}) ELSE 0 END AS f{k}" for k in range(1, 6))} FROM e)
+SELECT event_id, {", ".join(f"round(lag(f{k}) {W}, 6) AS r{k - 1}" for k in range(1, 6))} FROM s"""
 
 
 @registered(f"SELECT event_id, coalesce(max(value) {W[:-1]} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS ahead, CASE WHEN row_number() {W} <= 3 THEN max(value) {W[:-1]} ROWS 2 PRECEDING) ELSE coalesce(max(value) {W[:-1]} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) END AS back FROM events")
