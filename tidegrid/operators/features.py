@@ -406,13 +406,15 @@ def identity_features(df: DataFrame, numeric_only: bool = True) -> DataFrame:
 class SPEITransformer:
     """Standardised indices: a rolling mean against its mean and deviation on the same day of other years.
 
-    ``metric``: SPI (precipitation) or SPEI (precipitation less evaporation).
+    ``metric``: SPI (precipitation) or SPEI (precipitation less evaporation). ``partition_by``: stations, each with a climate of
+    its own; rows with a null in these have no index.
     """
 
     metric: str = "SPEI"
     window: str = "30D"
     smoothing: bool = True
     min_years: int = 30
+    partition_by: Sequence[str] = ()
     model_: DataFrame | None = None
 
     def _value(self) -> Column:
@@ -422,28 +424,32 @@ class SPEITransformer:
         need = {"RH"} | ({"EV24"} if self.metric == "SPEI" else set())
         if self.metric not in ("SPI", "SPEI") or not need <= set(df.columns):
             raise ValueError(f"{self.metric} needs the columns {sorted(need)}")
-        mean = F.avg(self._value()).over(last_span((), time_col, duration(self.window)))
-        t = col(time_col).cast("timestamp")
-        return df.select(time_col, mean.alias("_x"), F.month(t).alias("_month"), F.dayofmonth(t).alias("_day"))
+        by, reach, t = list(self.partition_by), duration(self.window) - 1, col(time_col).cast("timestamp")
+        rows = df.select(*[col(c) for c in (*by, time_col)], self._value().cast("double").alias("_v"))
+        rolled = lambda d, key: framed(d, key, time_col, [Rolling("_x", "_v", "mean", Frame(reach, 0, True))])
+        out = rolled(rows, by) if by else by_span(rows, time_col, reach, 0, rolled)
+        return out.drop("_v").withColumns({"_month": F.month(t), "_day": F.dayofmonth(t)})
 
     def configure(self, df: DataFrame, time_col: str = "TIME") -> SPEITransformer:
         """Fits the climate of each day of the year; days with too few years have none."""
-        days = self._rolled(df, time_col).groupBy("_month", "_day").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
+        by = list(self.partition_by)
+        days = self._rolled(df, time_col).groupBy(*by, "_month", "_day").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
         enough = F.col("n") >= self.min_years / 2
-        days = days.select("_month", "_day", F.when(enough, F.col("mean")).alias("mean"), F.when(enough, F.col("std")).alias("std"))
+        days = days.select(*by, "_month", "_day", F.when(enough, F.col("mean")).alias("mean"), F.when(enough, F.col("std")).alias("std"))
         if self.smoothing:
-            w = ordered((), ("_month", "_day")).rowsBetween(-2, 2)  # 366 rows at most
+            w = ordered(by, ("_month", "_day")).rowsBetween(-2, 2)  # 366 rows at most, by station
             days = days.withColumns({c: F.percentile(F.col(c), F.lit(0.5)).over(w) for c in ("mean", "std")})
         self.model_ = days
         return self
 
     def transform(self, df: DataFrame, time_col: str = "TIME") -> DataFrame:
-        """``time_col`` and the index."""
+        """Keys, ``time_col`` and the index."""
         if self.model_ is None:
             raise ValueError("configure first")
         name = f"{self.metric}_{self.window}"
-        out = self._rolled(df, time_col).join(F.broadcast(self.model_), ["_month", "_day"], "left")
-        return out.select(time_col, ((F.col("_x") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))).alias(name))
+        by = list(self.partition_by)
+        out = self._rolled(df, time_col).join(self.model_ if by else F.broadcast(self.model_), [*by, "_month", "_day"], "left")
+        return out.select(*by, time_col, ((F.col("_x") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))).alias(name))
 
 
 def automatic_rolling_features(df: DataFrame, target: str, cols: Sequence[str], time_col: str | Sequence[str], windows: Sequence[int] = (1, 2, 5, 10), types: Sequence[str] = ("mean", "lag", "min", "max", "std"), per_column: int = 1, partition_by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import col
 from ..functions.order import running
+from ..functions.series import by_rows
 from ..functions.windows import ordered
 from .features import range_lag_column
 
@@ -50,11 +51,29 @@ def rmse(df: DataFrame, y_true: str, y_pred: str, by: Sequence[str] = ()) -> Dat
 
 def mean_absolute_scaled_error(df: DataFrame, y_true: str, y_pred: str, shift: int, time_col: str | Sequence[str], weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Mean absolute error over that of the value ``shift`` rows ago; missing where that is 0."""
-    naive = F.lag(col(y_true), shift).over(ordered(by, time_col))
+    return mean_absolute_scaled_errors(df, {y_true: y_pred}, shift, time_col, "uniform_average", weight, by)
+
+
+def mean_absolute_scaled_errors(df: DataFrame, outputs: Mapping[str, str], shift: int, time_col: str | Sequence[str], multioutput: str | Sequence[float] = "uniform_average", weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """As :func:`mean_absolute_scaled_error` for several targets with their predictions: ``raw_values`` gives ``mase_{target}``
+    for each; ``uniform_average``, or weights in order of the outputs, give ``mase``, the mean error over the mean naive error."""
+    if shift != int(shift) or shift <= 0:
+        raise ValueError("shift must be a whole number above 0")
     w = F.lit(1.0) if weight is None else col(weight)
-    rows = df.withColumns({"_n": F.abs(col(y_true) - naive), "_e": F.abs(col(y_true) - col(y_pred)), "_w": w})
+
+    def errors(d: DataFrame, key: Sequence[str]) -> DataFrame:
+        o = ordered(key, time_col)
+        return d.withColumns({"_w": w} | {f"_n{i}": F.abs(col(t) - F.lag(col(t), shift).over(o)) for i, t in enumerate(outputs)} | {f"_e{i}": F.abs(col(t) - col(p)) for i, (t, p) in enumerate(outputs.items())})
+
+    rows = errors(df, by) if by else by_rows(df, time_col, shift, 0, errors)
     mean = lambda e: F.sum(F.col(e) * F.col("_w")) / F.sum(F.when(F.col(e).isNotNull(), F.col("_w")))
-    return rows.groupBy(*by).agg((mean("_e") / F.nullif(mean("_n"), F.lit(0.0))).alias("mase"))
+    if multioutput == "raw_values":
+        return rows.groupBy(*by).agg(*[(mean(f"_e{i}") / F.nullif(mean(f"_n{i}"), F.lit(0.0))).alias(f"mase_{t}") for i, t in enumerate(outputs)])
+    share = [1.0] * len(outputs) if multioutput == "uniform_average" else [float(v) for v in multioutput]
+    if len(share) != len(outputs) or isinstance(multioutput, str) and multioutput != "uniform_average":
+        raise ValueError("multioutput must be raw_values, uniform_average, or a weight for each output")
+    total = lambda side: sum((mean(f"_{side}{i}") * v for i, v in enumerate(share)), F.lit(0.0))
+    return rows.groupBy(*by).agg((total("e") / F.nullif(total("n"), F.lit(0.0))).alias("mase"))
 
 
 def train_r2(df: DataFrame, true: str, predicted: str, benchmark: float | str, by: Sequence[str] = (), epsilon: float = 1e-12) -> DataFrame:

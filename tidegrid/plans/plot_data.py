@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import col
+from ..functions.series import Frame, Rolling, by_rows, framed
 from ..functions.windows import ordered
 from ..operators.exploration import lag_correlation
 from ..operators.metrics import _curve, performance
@@ -33,25 +34,27 @@ def best_resolution(scores: DataFrame, metric: str = "R2", split: str = "test")
     return scores.where(F.col("split") == split).agg(best("resolution", metric)).first()[0]
 
 
-def quantile_plot(df: DataFrame, y_true: str, time_col: str, lead: int, quantiles: Sequence[float], outlier_min_q: int | None = None, outlier_window: int = 1, outlier_limit: int | None = None, resample: str | None = None, ignore_value: float | None = None) -> DataFrame:
+def quantile_plot(df: DataFrame, y_true: str, time_col: str, lead: int, quantiles: Sequence[float], outlier_min_q: int | None = None, outlier_window: int = 1, outlier_limit: int | None = None, resample: str | None = None, ignore_value: float | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Values, predictions moved to the time they are for, the interval's bounds, and outliers: at least
     ``outlier_limit`` of ``outlier_window`` rows on or outside the bounds of the ``outlier_min_q``-th widest interval."""
     names = {q: f"predict_lead_{lead}_q_{q}" for q in sorted(quantiles)}
     mean = f"predict_lead_{lead}_mean"
-    w = ordered((), time_col)
-    moved = {c: F.lag(col(c), lead).over(w) if lead else col(c) for c in [*names.values(), mean] if c in df.columns}
-    out = df.select(col(time_col), col(y_true), *[x.alias(c) for c, x in moved.items()])
+    keys, moved = list(partition_by), [c for c in [*names.values(), mean] if c in df.columns]
+    spread = lambda d, rows, run: run(d, keys) if keys else by_rows(d, time_col, rows, 0, run)
+    out = df.select(*[col(c) for c in (*keys, time_col, y_true, *moved)])
+    if lead:
+        out = spread(out, lead, lambda d, by: d.withColumns({c: F.lag(col(c), lead).over(ordered(by, time_col)) for c in moved}))
     if ignore_value is not None:
         out = out.withColumn(y_true, F.when(col(y_true) != ignore_value, col(y_true)))
     if resample:
-        out = resampled(out, resample, [y_true, *moved], time_col)
+        out = resampled(out, resample, [y_true, *moved], time_col, partition_by=keys)
     if outlier_min_q is None:
         return out
     qs = sorted(names)
     low, high = names[qs[len(qs) // 2 - outlier_min_q]], names[qs[-(len(qs) // 2) - 1 + outlier_min_q]]
     flag = F.coalesce(((col(y_true) >= col(high)) | (col(y_true) <= col(low))).cast("int"), F.lit(0))
-    run = ordered((), time_col).rowsBetween(-(outlier_window - 1), 0)
-    return out.withColumn("_flag", flag).withColumn("outlier", F.sum("_flag").over(run) >= (outlier_limit or outlier_window)).drop("_flag")
+    found = lambda d, by: d.withColumn("outlier", F.sum("_flag").over(ordered(by, time_col).rowsBetween(-(outlier_window - 1), 0)) >= (outlier_limit or outlier_window))
+    return spread(out.withColumn("_flag", flag), outlier_window - 1, found).drop("_flag")
 
 
 def incident_heatmap(df: DataFrame, row: str, value: str, time_col: str, resolution: str = "1 day", normalize: bool = False) -> DataFrame:
@@ -76,10 +79,13 @@ def lag_correlation_points(df: DataFrame, target: str, time_col: str, lag: int =
     return long.withColumn("strongest", F.col("LAG") == best)
 
 
-def removal_points(df: DataFrame, column: str, flag: str, time_col: str, window: int = 60) -> DataFrame:
-    """Value, centred rolling median, and whether a validator removes it."""
-    w = ordered((), time_col).rowsBetween(-(window // 2), (window - 1) // 2)
-    return df.select(col(time_col), col(column).alias("value"), F.percentile(col(column), F.lit(0.5)).over(w).alias("median"), col(flag).alias("removed"))
+def removal_points(df: DataFrame, column: str, flag: str, time_col: str, window: int = 60, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Value, centred rolling median, and whether a validator removes it, by series."""
+    frame, keys = Frame(window // 2, (window - 1) // 2), list(partition_by)
+    rows = df.select(*[col(c) for c in keys], col(time_col), col(column).alias("value"), col(flag).alias("removed"))
+    medians = lambda d, by: framed(d, by, time_col, [Rolling("median", "value", "median", frame)])
+    out = medians(rows, keys) if keys else by_rows(rows, time_col, frame.before, frame.after, medians)
+    return out.select(*[col(c) for c in keys], col(time_col), "value", "median", "removed")
 
 
 def score_table(scores: DataFrame) -> DataFrame:

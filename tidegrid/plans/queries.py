@@ -487,6 +487,39 @@ def drought_index(spark, sf):
     return features.SPEITransformer(min_years=10).configure(d).transform(d).select(F.col("TIME").cast("timestamp_ntz").alias("time"), rounded("SPEI_30D").alias("spei"))
 
 
+@registered("""
+WITH d AS (SELECT event_type, time_bucket(INTERVAL '1 day', ts + INTERVAL 1 YEAR * (event_id % 6)) AS day, sum(value) AS rh, count(*)::DOUBLE AS ev FROM events GROUP BY ALL),
+r AS (SELECT event_type, day, avg(rh - ev) OVER (PARTITION BY event_type ORDER BY epoch_us(day) RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS x FROM d),
+c AS (SELECT event_type, month(day) AS m, day(day) AS k, CASE WHEN count(x) >= 3 THEN avg(x) END AS mean, CASE WHEN count(x) >= 3 THEN stddev_samp(x) END AS std FROM r GROUP BY ALL),
+s AS (SELECT event_type, m, k, quantile_cont(mean, 0.5) OVER w AS mean, quantile_cont(std, 0.5) OVER w AS std FROM c WINDOW w AS (PARTITION BY event_type ORDER BY m, k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT r.event_type, r.day AS time, round((r.x - s.mean) / s.std, 6) AS spei FROM r LEFT JOIN s ON s.event_type = r.event_type AND s.m = month(r.day) AND s.k = day(r.day)""")
+def drought_index_by_type(spark, sf):
+    """Standardised indices of daily sums by type, each type with its own climate, over events dealt over six years."""
+    day = F.date_trunc("day", F.expr("ts + make_ym_interval(cast(event_id % 6 AS int), 0)"))
+    d = events(spark, sf).groupBy("event_type", day.alias("TIME")).agg(F.sum("value").alias("RH"), F.count("*").cast("double").alias("EV24"))
+    index = features.SPEITransformer(window="7D", min_years=6, partition_by=["event_type"])
+    return index.configure(d).transform(d).select("event_type", F.col("TIME").cast("timestamp_ntz").alias("time"), rounded("SPEI_7D").alias("spei"))
+
+
+@registered("""
+WITH e AS (SELECT *, abs(value - lag(value, 2) OVER w) AS n1, abs(user_id - lag(user_id, 2) OVER w) AS n2 FROM events WINDOW w AS (ORDER BY ts, event_id))
+SELECT round((avg(abs(value - 40)) + 3 * avg(abs(user_id - 60))) / (avg(n1) + 3 * avg(n2)), 6) AS mase FROM e""")
+def scaled_errors(spark, sf):
+    """The scaled error of two targets with weights, the whole table as one series."""
+    e = events(spark, sf).withColumns({"a": F.lit(40.0), "b": F.lit(60.0), "u": F.col("user_id").cast("double")})
+    return metrics.mean_absolute_scaled_errors(e, {"value": "a", "u": "b"}, 2, ORDER, [1, 3]).select(rounded("mase").alias("mase"))
+
+
+@registered("""
+WITH e AS (SELECT user_id, event_id, ts, value, coalesce(value >= 80 OR value <= 10, false)::INT AS f FROM events)
+SELECT event_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) >= 2 AS outlier, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING), 6) AS median FROM e""")
+def plotted_outliers(spark, sf):
+    """By user: two of three values outside an interval, and centred medians of 41 values."""
+    e = events(spark, sf).withColumns({"predict_lead_0_q_0.1": F.lit(10.0), "predict_lead_0_q_0.9": F.lit(80.0), "predict_lead_0_mean": F.lit(40.0), "at": F.struct("ts", "event_id"), "bad": F.lit(False)})
+    a = plot_data.quantile_plot(e, "value", "at", 0, [0.1, 0.9], outlier_min_q=1, outlier_window=3, outlier_limit=2, partition_by=BY).select("at", "outlier")
+    return a.join(plot_data.removal_points(e, "value", "bad", "at", 41, BY).select("at", "median"), "at").select("at.event_id", "outlier", rounded("median").alias("median"))
+
+
 def _forecast(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     return e.select("event_id", "ts", "user_id", F.col("value").alias("ACTUAL"), F.lit(40.0).alias("PREDICT"), F.lit(10.0).alias("PREDICT_LOW"), F.lit(80.0).alias("PREDICT_HIGH"))
