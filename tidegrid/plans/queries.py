@@ -555,7 +555,7 @@ ALL = "OVER (ORDER BY ts, event_id)"
 def _long_series(kind: str, n: int | str, **options) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         step = features.BuildRollingFeatures(ORDER, kind, lookback=0, window_size=n, cols=["value"], **options)
-        return step.transform(events(spark, sf)).select("event_id", rounded(step.made[0]).alias("r"))
+        return step.transform(events(spark, sf)).select("event_id", rounded(step.made[0], 3 if kind == "var" else 6).alias("r"))
 
     return run
 
@@ -570,7 +570,7 @@ for _name, _kind, _n, _us, _x in (
     ("day_median", "median", "1d", 86400000000, "quantile_cont(value, 0.5)"), ("week_var", "var", "7d", 7 * 86400000000, "var_samp(value)"), ("month_sum", "sum", "30d", 30 * 86400000000, "sum(value)"), ("hour_max", "max", "1h", 3600000000, "max(value)"),
 ):
     _queries[f"series_{_name}"] = _long_series(_kind, _n)
-    _sql[f"series_{_name}"] = f"SELECT event_id, round({_x} OVER (ORDER BY epoch_us(ts) RANGE BETWEEN {_us - 1} PRECEDING AND CURRENT ROW), 6) AS r FROM events"
+    _sql[f"series_{_name}"] = f"SELECT event_id, round({_x} OVER (ORDER BY epoch_us(ts) RANGE BETWEEN {_us - 1} PRECEDING AND CURRENT ROW), {3 if _kind == 'var' else 6}) AS r FROM events"
 _queries["series_trimmed"] = _long_series("trimmean", 60, proportiontocut=0.1)
 _sql["series_trimmed"] = f"WITH l AS (SELECT event_id, list(value) {ALL[:-1]} ROWS 59 PRECEDING) AS v FROM events) SELECT event_id, CASE WHEN len(v) = 60 THEN round(list_avg(list_sort(v)[7:54]), 6) END AS r FROM l"
 
