@@ -28,7 +28,7 @@ from pyspark.sql.types import DateType, DoubleType, NumericType, StructField, St
 from . import ranges
 from .durations import micros
 from .names import col
-from .order import BUCKETS, bucket_of, cuts
+from .order import BUCKETS, cuts
 
 #: Rows of a block at least.
 BLOCK_ROWS = 4096
@@ -57,7 +57,7 @@ def _rows(order: Sequence[str] | str, down: bool = False) -> list[Column]:
 
 
 def _below(value: Column, at: Sequence[float]) -> Column:
-    """As :func:`bucket_of`, in less code where one expression needs it more than once: by sixteenths, then inside one."""
+    """As :func:`tidegrid.functions.order.bucket_of`, in less code: by sixteenths, then inside one."""
     if not at:
         return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
     count = lambda a: F.size(F.filter(a, lambda c: c <= value))
@@ -69,7 +69,7 @@ def _below(value: Column, at: Sequence[float]) -> Column:
 def numbered(df: DataFrame, order: Sequence[str] | str, name: str = "_no") -> tuple[DataFrame, int]:
     """``df`` with each row's place in the whole order, from 0, and the number of rows."""
     at = cuts(df, place(df, order))
-    parts = df.withColumn("_part", bucket_of(place(df, order), at))
+    parts = df.withColumn("_part", _below(place(df, order), at))
     counts = {r._part: r["count"] for r in parts.groupBy("_part").count().collect()}  # a row for each part
     before = np.cumsum([0, *(counts.get(k, 0) for k in range(-1, len(at) + 1))]).tolist()
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*_rows(order)))
@@ -102,7 +102,7 @@ def carried(df: DataFrame, order: Sequence[str] | str, last: Mapping[str, Column
     """``df`` with, by name: the last value that is not missing up to each row, the first one from it on, and running sums."""
     last, following, sums = last or {}, following or {}, sums or {}
     at = cuts(df, place(df, order))
-    parts = df.withColumn("_part", bucket_of(place(df, order), at))
+    parts = df.withColumn("_part", _below(place(df, order), at))
     key = F.struct(*[col(c) for c in names_of(order)])
     known = [(n, F.max_by(v, F.when(v.isNotNull(), key))) for n, v in last.items()] + [(n, F.min_by(v, F.when(v.isNotNull(), key))) for n, v in following.items()] + [(n, F.sum(v)) for n, v in sums.items()]
     made = parts.groupBy("_part").agg(*[e.alias(f"c{i}") for i, (_, e) in enumerate(known)])
