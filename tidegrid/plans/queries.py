@@ -544,7 +544,7 @@ def incident_numbers(spark, sf):
 @registered(CURVES + "SELECT user_id, curve, count(*) AS duration, round(sum(greatest(value - 80, 10 - value, 0)), 6) AS dist_sum, round(max(greatest(value - 80, 10 - value, 0) / 36), 6) AS score_max, min(ts) AS start_time FROM x WHERE curve > 0 GROUP BY user_id, curve")
 def incident_summary(spark, sf):
     """One row for each incident."""
-    c = exploration.incident_curves_information(_forecast(spark, sf), "ts", partition_by=BY, max_gap=1, min_duration=2, min_dist_total=10)
+    c = exploration.incident_curves_information(_forecast(spark, sf), ORDER, partition_by=BY, max_gap=1, min_duration=2, min_dist_total=10)
     return c.select("user_id", F.col("OUTLIER_CURVE").alias("curve"), F.col("OUTLIER_DURATION").alias("duration"), rounded("OUTLIER_DIST_SUM").alias("dist_sum"), rounded("OUTLIER_SCORE_MAX").alias("score_max"), F.col("OUTLIER_START_TIME").cast("timestamp_ntz").alias("start_time"))
 
 
