@@ -123,5 +123,6 @@ def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], at: Sequence[f
                 continue
             place = q * (first[f"n{i}"] - 1)
             a, b = known[i, math.floor(place)], known[i, math.ceil(place)]
-            out[n].append(a + (b - a) * (place - math.floor(place)))
+            share = place - math.floor(place)
+            out[n].append(a if a == b else a * (1.0 - share) + b * share)  # as SQL has it, to the last digit
     return out
