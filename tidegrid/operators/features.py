@@ -89,7 +89,8 @@ class BuildRollingFeatures:
     """Rolling features of each column and window, shifted by ``lookback`` rows.
 
     ``window_size``: numbers of rows (a full window is needed), or spans such as ``"1h"`` (one value is enough, the window
-    is ``(t - span, t]``). ``deviation`` sets the current value against the feature: ``subtract`` or ``divide``.
+    is ``(t - span, t]``). ``deviation`` sets the current value against the feature: ``subtract`` or ``divide``; ``undefined`` is what
+    0/0 gives there (None: missing).
     """
 
     time_col: str | Sequence[str]
@@ -106,6 +107,7 @@ class BuildRollingFeatures:
     add_lookback_to_colname: bool = False
     partition_by: Sequence[str] = ()
     made: list[str] = field(default_factory=list)
+    undefined: float | None = None
 
     def _check(self) -> None:
         if self.rolling_type not in TYPES:
@@ -129,7 +131,7 @@ class BuildRollingFeatures:
         if self.deviation == "subtract":
             return x - y
         if self.deviation == "divide":
-            inf = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
+            inf = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x == 0, F.lit(self.undefined).cast("double"))
             return F.when(y == 0, inf).otherwise(x / F.nullif(y, F.lit(0.0)))
         return y
 

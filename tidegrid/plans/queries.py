@@ -35,8 +35,11 @@ def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
-    """Rounded, so that sums in another order compare equal."""
-    return F.round(col(c) if isinstance(c, str) else c, digits)
+    """Rounded, so that sums in another order compare equal: as SQL does, the nearest whole number of units, not the nearest decimal."""
+    c = (col(c) if isinstance(c, str) else c).cast("double")
+    unit = 10.0**digits
+    found = F.round(c * unit, 0) / unit
+    return F.when(F.abs(found) < float("inf"), found).otherwise(c)
 
 
 def registered(sql: str | None = None):
@@ -397,7 +400,7 @@ for _name, _x in {"sum": "sum(value)", "mean": "avg(value)", "max": "max(value)"
     _sql[f"rolling_day_{_name}"] = f"SELECT event_id, round({_x} {SPAN}, 6) AS r FROM events"
 _queries["rolling_deviation"] = _rolling("mean", 3, deviation="subtract")
 _sql["rolling_deviation"] = f"SELECT event_id, round(value - lag(r, 1) {W}, 6) AS r FROM ({_full('avg(value) {w}', 3).split('FROM (', 1)[1]}"
-_queries["rolling_ratio"] = _rolling("lag", 1, lookback=0, deviation="divide")
+_queries["rolling_ratio"] = _rolling("lag", 1, lookback=0, deviation="divide", undefined=float("nan"))
 _sql["rolling_ratio"] = f"SELECT event_id, round(value / lag(value, 1) {W}, 6) AS r FROM events"
 _queries["rolling_ewm"] = _rolling("ewm", 1, lookback=0, alpha=0.4)
 _sql["rolling_ewm"] = """
