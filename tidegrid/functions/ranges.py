@@ -7,7 +7,8 @@ nothing cancels. Order statistics come from a wavelet matrix over the ranks: one
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -72,32 +73,57 @@ def reduced(kind: str, values: np.ndarray, present: np.ndarray, low: np.ndarray,
     return out
 
 
+@dataclass(frozen=True)
+class Core:
+    """What every range holds besides its places: rows, values, positive ones, parts by kind as of :func:`reduced`, and the
+    values with their counts for order statistics. Every range goes over the place ``middle``, or up to it, or from it on."""
+
+    rows: int
+    present: int
+    positive: int
+    parts: Mapping[str, tuple[float, ...]]
+    values: np.ndarray
+    counts: np.ndarray
+    middle: int
+
+
 class Ranked:
-    """Order statistics of ranges of values: a wavelet matrix over their ranks, with sums of what goes left at each digit."""
-
-    def __init__(self, values: np.ndarray):
-        order = np.argsort(values, kind="stable")
-        self.sorted = values[order]
-        now = np.empty(len(values), np.int64)
-        now[order] = np.arange(len(values))
-        self.bits = max(1, (len(values) - 1).bit_length())
-        finite = np.where(np.isfinite(self.sorted), self.sorted, 0.0)
+    """Order statistics of ranges of values: a wavelet matrix over their ranks, with sums (if asked for) of what goes left at
+    each digit. What a core holds counts in each range."""
+
+    def __init__(self, values: np.ndarray, sums: bool = False, core: Core | None = None):
+        every = values if core is None else np.concatenate([values, core.values])
+        order = np.argsort(every, kind="stable")
+        self.sorted = every[order]
+        now = np.empty(len(every), np.int64)
+        now[order] = np.arange(len(every))
+        self.bits = max(1, (len(every) - 1).bit_length())
+        self.core = None
+        if core is not None:
+            weight = np.zeros((1 << self.bits) + 1, np.int64)
+            weight[now[len(values) :] + 1] = core.counts
+            self.core, now = np.cumsum(weight), now[: len(values)]
+        finite = np.where(np.isfinite(self.sorted), self.sorted, 0.0) if sums else None
         self.zeros, self.sums = [], []
         for bit in range(self.bits - 1, -1, -1):
             one = (now >> bit & 1).astype(bool)
-            self.zeros.append(np.concatenate([[0], np.cumsum(~one)]))
-            self.sums.append(np.concatenate([[0], np.cumsum(np.where(one, 0.0, finite[now]), dtype=np.longdouble)]))
+            self.zeros.append(np.concatenate([[0], np.cumsum(~one)]).astype(np.int32 if len(now) < 2**31 else np.int64))
+            if sums:
+                self.sums.append(np.concatenate([[0], np.cumsum(np.where(one, 0.0, finite[now]), dtype=np.longdouble)]))
             now = np.concatenate([now[~one], now[one]])
 
     def _walk(self, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rank, total = np.zeros(len(low), np.int64), np.zeros(len(low), np.longdouble)
+        rank, total = np.zeros(len(low), np.int64), np.zeros(len(low), np.longdouble if self.sums else np.float64)
         k = k.copy()
-        for level, (zero, sums) in enumerate(zip(self.zeros, self.sums, strict=True)):
+        for level, zero in enumerate(self.zeros):
             a, b = zero[low], zero[high]
-            right = k >= b - a
-            total += np.where(right, sums[high] - sums[low], 0)
-            rank |= right.astype(np.int64) << (self.bits - 1 - level)
-            k -= np.where(right, b - a, 0)
+            step = 1 << (self.bits - 1 - level)
+            less = b - a if self.core is None else b - a + self.core[rank + step] - self.core[rank]
+            right = k >= less
+            if self.sums:
+                total += np.where(right, self.sums[level][high] - self.sums[level][low], 0)
+            rank |= np.where(right, step, 0)
+            k -= np.where(right, less, 0)
             low, high = np.where(right, zero[-1] + low - a, a), np.where(right, zero[-1] + high - b, b)
         return rank, total, k
 
@@ -112,16 +138,16 @@ class Ranked:
         return total + np.where((left > 0) & np.isfinite(value), value, 0.0)
 
 
-def median(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def median(values: np.ndarray, low: np.ndarray, high: np.ndarray, core: Core | None = None) -> np.ndarray:
     """Medians of ranges, none of them empty."""
-    own, n = Ranked(values), high - low
+    own, n = Ranked(values, core=core), high - low + (core.present if core else 0)
     a, b = own.place(low, high, (n - 1) // 2), own.place(low, high, n // 2)
     return a * 0.5 + b * 0.5  # as SQL has it, to the last digit
 
 
 def trimmed(values: np.ndarray, low: np.ndarray, high: np.ndarray, proportion: float) -> np.ndarray:
     """Means without ``floor(n * proportion)`` values at either end; NaN where none is left."""
-    own, n = Ranked(values), high - low
+    own, n = Ranked(values, True), high - low
     cut = np.floor(n * proportion).astype(np.int64)
     left = n - 2 * cut
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -142,21 +168,35 @@ def first_after(times: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.
     return low
 
 
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+def _with_core(kind: str, values: np.ndarray, present: np.ndarray, low: np.ndarray, high: np.ndarray, core: Core | None) -> tuple[np.ndarray, ...]:
+    """As :func:`reduced` with a core, beside which a range may be empty."""
+    if core is None:
+        return reduced(kind, values, present, low, high)
+    none = {"sum": (0.0,), "min": (np.nan,), "max": (-np.inf,), "moments": (0.0, 0.0, 0.0)}[kind]
+    m = core.middle
+    left = [np.append(p[::-1], e) for p, e in zip(_scanned(values[:m][::-1], present[:m][::-1], kind), none, strict=True)]
+    right = [np.insert(p.astype(np.float64), 0, e) for p, e in zip(_scanned(values[m:], present[m:], kind), none, strict=True)]
+    ends = _joined(tuple(p[low] for p in left), tuple(p[high - m] for p in right), kind)
+    return _joined(ends, tuple(np.full(len(low), v) for v in core.parts[kind]), kind)
+
+
+Kernel = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
 def rolling(kind: str, least: int, proportion: float = 0.1) -> Kernel:
     """A rolling aggregate: values, which are present, and ranges, to results and which of them are there: those of at
-    least ``least`` values (``numpos``: rows). ``count`` and ``rows`` are always there; ``first`` is the first row's value."""
+    least ``least`` values (``numpos``: rows). ``count`` and ``rows`` are always there; ``first`` is the first row's value. What a core
+    holds counts in each range (not for ``first`` and ``trimmean``)."""
 
-    def run(values: np.ndarray, present: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(values: np.ndarray, present: np.ndarray, low: np.ndarray, high: np.ndarray, core: Core | None = None) -> tuple[np.ndarray, np.ndarray]:
         seen = np.concatenate([[0], np.cumsum(present)])
-        n = seen[high] - seen[low]
+        n = seen[high] - seen[low] + (core.present if core else 0)
+        rows = high - low + (core.rows if core else 0)
         if kind in ("count", "rows"):
-            return (n if kind == "count" else high - low).astype(np.float64), np.ones(len(low), bool)
+            return (n if kind == "count" else rows).astype(np.float64), np.ones(len(low), bool)
         if kind == "first":
             return values[low], present[low]
-        there = (high - low if kind == "numpos" else n) >= max(least, 1)
+        there = (rows if kind == "numpos" else n) >= max(least, 1)
         a, b = low[there], high[there]
         out = np.zeros(len(low))
         if not len(a):
@@ -164,18 +204,18 @@ def rolling(kind: str, least: int, proportion: float = 0.1) -> Kernel:
         with np.errstate(invalid="ignore", over="ignore"):
             if kind == "numpos":
                 positive = np.concatenate([[0], np.cumsum(present & ((values > 0) | np.isnan(values)))])
-                out[there] = positive[b] - positive[a]
+                out[there] = positive[b] - positive[a] + (core.positive if core else 0)
             elif kind in ("sum", "min", "max"):
-                out[there] = reduced(kind, values, present, a, b)[0]
+                out[there] = _with_core(kind, values, present, a, b, core)[0]
             elif kind == "mean":
-                out[there] = reduced("sum", values, present, a, b)[0] / n[there]
+                out[there] = _with_core("sum", values, present, a, b, core)[0] / n[there]
             elif kind in ("var", "std"):
-                count, _, squares = reduced("moments", values, present, a, b)
+                count, _, squares = _with_core("moments", values, present, a, b, core)
                 there[there] = count > 1
                 out[there] = (squares[count > 1] / (count[count > 1] - 1)) ** (0.5 if kind == "std" else 1)
             else:
                 own = values[present]
-                found = median(own, seen[a], seen[b]) if kind == "median" else trimmed(own, seen[a], seen[b], proportion)
+                found = median(own, seen[a], seen[b], core) if kind == "median" else trimmed(own, seen[a], seen[b], proportion)
                 out[there] = found
                 if kind == "trimmean":
                     cut = np.floor(n * proportion)

@@ -23,12 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, NumericType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType, TimestampNTZType, TimestampType
 
 from . import ranges
 from .durations import micros
 from .names import col
 from .order import BUCKETS, cuts
+from .tables import persisted
 
 #: Rows of a block at least.
 BLOCK_ROWS = 4096
@@ -228,3 +229,134 @@ def framed(df: DataFrame, by: Sequence[str], order: Sequence[str] | str, wanted:
 
     kind = StructType([*df.schema.fields, *[StructField(w.name, DoubleType()) for w in wanted]])
     return rows.mapInArrow(run, kind)
+
+
+#: Kinds that :func:`spanned` takes.
+SPANNED = ("sum", "mean", "min", "max", "var", "std", "median", "numpos")
+#: Stands for the time of rows without one, as in :func:`framed`.
+NO_TIME = -(2**62)
+
+
+def spanned(df: DataFrame, time: str, wanted: Sequence[Rolling]) -> DataFrame:
+    """``df``, one series, with rolling aggregates of spans, however many rows a span holds: no task gets a span whole.
+
+    Time is cut into blocks. The frames of a stretch of times begin inside one block and end inside one; the blocks between
+    (the core) lie in all of them, and count by their totals. A task gets a stretch's times and the rows of both end blocks. For medians it
+    also gets the values of the core in those buckets of the value's order that the end blocks' rows can move the median to; the
+    others count by their number. Rows of one time have one result, which is joined to them."""
+    for frame in dict.fromkeys(w.frame for w in wanted):
+        df = _spanned(df, time, frame, [w for w in wanted if w.frame == frame])
+    return df
+
+
+def _spanned(df: DataFrame, time: str, frame: Frame, wanted: Sequence[Rolling]) -> DataFrame:
+    spark, at_time = df.sparkSession, F.coalesce(micros(col(time)), F.lit(NO_TIME))
+    columns = list(dict.fromkeys(w.column for w in wanted))
+    xs = [f"_x{i}" for i in range(len(columns))]
+    ranked = [i for i, c in enumerate(columns) if any(w.column == c and w.kind == "median" for w in wanted)]
+    rows = df.select(at_time.alias("_t"), *[col(c).cast("double").alias(x) for c, x in zip(columns, xs, strict=True)])
+    n = rows.count()
+    if not n:
+        return df.withColumns({w.name: F.lit(None).cast("double") for w in wanted})
+    at = np.array([int(c) for c in cuts(rows, F.col("_t"), max(1, min(BUCKETS, n // BLOCK_ROWS)))], np.int64)
+    turns = np.unique(np.concatenate([at, at + frame.before, at - frame.after]))
+    probe = np.concatenate([turns[:1] - 1, turns]) if len(turns) else np.zeros(1, np.int64)  # a time of each stretch
+    ends = np.searchsorted(at, np.stack([probe - frame.before, probe + frame.after]), "right")  # by stretch, its two end blocks
+    values = {i: cuts(rows, F.col(xs[i]), max(1, min(BUCKETS, n // BLOCK_ROWS))) for i in ranked}
+    places = {"_b": ("_t", at), "_k": ("_t", turns)} | {f"_v{i}": (xs[i], np.array(v, np.float64)) for i, v in values.items()}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, (c, cut) in places.items():
+                x = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                batch = batch.append_column(name, pa.array(np.searchsorted(cut, x, "right").astype(np.int32)))
+            yield batch
+
+    rows = persisted(rows.mapInArrow(placed, StructType([*rows.schema.fields, *[StructField(p, IntegerType()) for p in places]])), "spans")
+
+    # Totals by block, and by block and bucket: fixed numbers of rows.
+    blocks, used = len(at) + 1, {r._k for r in rows.select("_k").distinct().collect()}
+    parts = [F.count("*").alias("n")]
+    for x in xs:
+        c = F.col(x)
+        parts += [e.alias(f"{m}{x}") for m, e in {"n": F.count(c), "p": F.count_if((c > 0) | F.isnan(c)), "s": F.sum(c), "a": F.min(c), "b": F.max(c), "m": F.avg(c), "v": F.var_pop(c)}.items()]
+    totals = {r._b: r for r in rows.groupBy("_b").agg(*parts).collect()}
+    counts, least = ({i: np.full((blocks, len(values[i]) + 1), v, t) for i in ranked} for v, t in ((0, np.int64), (np.inf, np.float64)))
+    per = {i: rows.where(F.col(xs[i]).isNotNull()).groupBy("_b", f"_v{i}", xs[i]).agg(F.count("*").alias("_n")) for i in ranked}
+    for i in ranked:
+        for r in per[i].groupBy("_b", f"_v{i}").agg(F.sum("_n").alias("n"), F.min(xs[i]).alias("a")).collect():
+            counts[i][r._b, r[f"_v{i}"]], least[i][r._b, r[f"_v{i}"]] = r.n, r.a
+
+    # Which stretches get a block's rows, and those of its values that a median may fall on.
+    open_, given = {}, [[] for _ in range(blocks)]
+    picked: dict[int, dict[tuple[int, int], list[int]]] = {i: {} for i in ranked}
+    for k in sorted(used):
+        first, last = ends[:, k].tolist()
+        for b in {first, last}:
+            given[b].append(k)
+        for i in ranked if last - first > 1 else ():
+            upto = np.cumsum(counts[i][first + 1 : last].sum(0))
+            c, edge = int(upto[-1]), int(counts[i][[first, last]].sum())
+            if c:
+                low, high = (int(np.searchsorted(upto, r, "right")) for r in (max(0, (c - edge) // 2 - 2), min(c - 1, (c + edge) // 2 + 2)))
+                open_[k, i] = low, high
+                for b, v in np.argwhere(counts[i][first + 1 : last, low : high + 1]).tolist():
+                    picked[i].setdefault((b + first + 1, v + low), []).append(k)
+    table = lambda cells, names: F.broadcast(spark.createDataFrame(pa.table({m: pa.array([c[j] for c in cells], pa.int32() if j < len(names) - 1 else pa.list_(pa.int32())) for j, m in enumerate(names)})))
+    pick = lambda part, own, x, n: [F.lit(part).alias("_part"), own.alias("_t"), *x, n.cast("long").alias("_n")]
+    none = [F.lit(None).cast("double").alias(x) for x in xs]
+    dealt = rows.select("_k", "_t").distinct().select("_k", *pick(-2, F.col("_t"), none, F.lit(1)))
+    edges = rows.join(table(list(enumerate(given)), ["_b", "_ks"]), "_b").select(F.explode("_ks").alias("_k"), "_t", *xs)
+    dealt = dealt.unionByName(edges.select("_k", *pick(-1, F.col("_t"), xs, F.lit(1))))
+    for i in ranked:
+        if picked[i]:
+            near = per[i].join(table([(b, v, ks) for (b, v), ks in picked[i].items()], ["_b", f"_v{i}", "_ks"]), ["_b", f"_v{i}"])
+            near = near.select(F.explode("_ks").alias("_k"), xs[i], "_n").groupBy("_k", xs[i]).agg(F.sum("_n").alias("_n"))
+            dealt = dealt.unionByName(near.select("_k", *pick(i, F.lit(0), [F.col(x) if x == xs[i] else e for x, e in zip(xs, none, strict=True)], F.col("_n"))))
+
+    def number(r: object, m: str, x: str) -> float:
+        v = r[f"{m}{x}"]
+        return {"a": np.nan, "b": -np.inf}.get(m, 0.0) if v is None else v
+
+    told = {b: {x: [number(r, m, x) for m in "npsabmv"] for x in xs} | {"n": r.n} for b, r in totals.items()}
+    kernels = [(columns.index(w.column), w.kind, ranges.rolling(w.kind, w.least)) for w in wanted]
+    before, after = frame.before, frame.after
+    joined, core_of = ranges._joined, ranges.Core
+
+    def core(k: int, i: int, near: np.ndarray, n_near: np.ndarray, middle: int) -> ranges.Core | None:
+        first, last = ends[:, k].tolist()
+        own = [told[b] for b in range(first + 1, last) if b in told]
+        if first == last:
+            return None
+        got = {"sum": (0.0,), "min": (np.nan,), "max": (-np.inf,), "moments": (0.0, 0.0, 0.0)}
+        for _, _, s, a, b, m, v, c in ((*o[xs[i]], o[xs[i]][0]) for o in own):
+            for kind, p in (("sum", (s,)), ("min", (a,)), ("max", (b,)), ("moments", (c, m, v * c))):
+                got[kind] = tuple(np.float64(e) for e in joined(got[kind], p, kind))
+        if i in counts and own:
+            n, a = counts[i][first + 1 : last].sum(0), least[i][first + 1 : last].min(0)
+            if (k, i) in open_:
+                n[open_[k, i][0] : open_[k, i][1] + 1] = 0
+            near, n_near = np.concatenate([near, a[n > 0]]), np.concatenate([n_near, n[n > 0]])
+        return core_of(sum(o["n"] for o in own), sum(o[xs[i]][0] for o in own), sum(o[xs[i]][1] for o in own), got, near, n_near, middle)
+
+    def run(rows: pa.Table) -> pa.Table:
+        k, part, t, n = (rows.column(c).to_numpy() for c in ("_k", "_part", "_t", "_n"))
+        own, edge = np.sort(t[part == -2]), np.flatnonzero(part == -1)
+        edge = edge[np.argsort(t[edge], kind="stable")]
+        low, high = np.searchsorted(t[edge], own - before, "left"), np.searchsorted(t[edge], own + after, "right")
+        last = int(ends[1, k[0]])
+        middle = int(np.searchsorted(t[edge], at[last - 1], "left")) if last else 0  # where the rows of the second end block begin
+        cells, cores = {}, {}
+        for i, x in enumerate(xs):
+            c = rows.column(x).combine_chunks()
+            v, ok = c.fill_null(0.0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
+            cells[i], cores[i] = (v[edge], ok[edge]), core(int(k[0]), i, v[part == i], n[part == i], middle)
+        out = [pa.array(own)]
+        for i, _, kernel in kernels:
+            value, there = kernel(*cells[i], low, high, cores[i])
+            out.append(pa.array(value, mask=~there))
+        return pa.table(out, names=["_t", *[w.name for w in wanted]])
+
+    kind = StructType([StructField("_t", LongType()), *[StructField(w.name, DoubleType()) for w in wanted]])
+    found = dealt.repartition(min(BUCKETS, max(1, len(used))), "_k").groupBy("_k").applyInArrow(run, kind)
+    return df.withColumn("_t", at_time).join(found, "_t", "left").drop("_t")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.durations import duration, micros
 from ..functions.names import col, numeric_columns
 from ..functions.order import bucket_of, cuts
-from ..functions.series import LONG, Frame, Rolling, by_rows, by_span, carried, framed, numbered
+from ..functions.series import LONG, SPANNED, Frame, Rolling, by_rows, by_span, carried, framed, numbered, spanned
 from ..functions.tables import persisted, scope
 from ..functions.windows import last_rows, last_span, ordered
 
@@ -154,8 +154,12 @@ class BuildRollingFeatures:
             elif spans:
                 # What spans reach lies in blocks of time, what the shift reaches in blocks of rows.
                 out = by_rows(df, self.time_col, reach, 0, lambda d, by: steps[0](d, by, cols, tail, int)) if len(spans) < len(self._windows()) else df
-                out = by_span(out, self._time(), max(spans) - 1, 0, lambda d, by: steps[0](d, by, cols, tail, str))
-                out = by_rows(out, self.time_col, self.lookback, 0, lambda d, by: steps[1](d, by, cols, tail))
+                if self.rolling_type in SPANNED:
+                    least = 2 if self.rolling_type in ("var", "std") else 1
+                    out = spanned(out, self._time(), [Rolling(f"{c}#{self.rolling_type}_{n}{tail}", c, self.rolling_type, Frame(duration(n) - 1, 0, True), least) for c in cols for n in self._windows() if isinstance(n, str)])
+                else:
+                    out = by_span(out, self._time(), max(spans) - 1, 0, lambda d, by: steps[0](d, by, cols, tail, str))
+                out = by_rows(out, self.time_col, self.lookback, 0, lambda d, by: steps[1](d, by, cols, tail)) if self.lookback else steps[1](out, [], cols, tail)
             else:
                 out = by_rows(df, self.time_col, reach + self.lookback, 0, lambda d, by: steps[1](steps[0](d, by, cols, tail), by, cols, tail))
             self.made = self._names(cols, tail)

@@ -14,7 +14,7 @@ from ..functions.durations import duration
 from ..functions.names import col, numeric_columns
 from ..functions.order import exact_quantiles
 from ..functions.tables import persisted, scope
-from ..functions.series import Frame, Rolling, by_rows, by_span, framed
+from ..functions.series import Frame, Rolling, by_rows, framed, spanned
 from ..functions.windows import last_rows, ordered
 from .cleaning import extremes
 
@@ -111,7 +111,7 @@ class MADValidator(Validator):
         if self.partition_by:
             out = medians(df, self.partition_by)
         elif frame.span:
-            out = by_span(df, time, frame.before, frame.after, medians)
+            out = spanned(df, time, [Rolling(f"_d{i}", c, "median", frame) for i, c in enumerate(cols)])
         else:
             out = by_rows(df, self.time_col, frame.before, frame.after, medians)
         return out.withColumns({f"_d{i}": col(c) - F.col(f"_d{i}") for i, c in enumerate(cols)})
