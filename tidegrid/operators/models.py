@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import network, quantile_lines
 from ..functions.names import col
 from ..functions.order import exact_quantiles
+from ..functions.tables import persisted, scope
 from .cleaning import has_strictly_increasing_index, make_df_monotonic, remove_target_nan
 from .features import BuildRollingFeatures, RollingSearch, SimpleFeatureEngineer
 from .metrics import joint_loss, tilted
@@ -201,8 +202,15 @@ def _products(rows: DataFrame, x: Sequence[Column], y: Column, weight: Column) -
 
 def quantile_weights(rows: DataFrame, x: Sequence[Column], y: Column, q: float, start: np.ndarray, weight: Column, rounds: int, tol: float = 1e-8, alpha: float = 0.0, free: Sequence[int] = ()) -> np.ndarray:
     """Linear quantile regression with a penalty of ``alpha`` times the absolute weights but those of ``free`` columns: a few
-    rounds of reweighted least squares, one pass of sums each, then the exact solution beside it."""
-    return quantile_lines.fitted(rows, x, y, q, _reweighted(rows, x, y, q, start, weight, rounds, tol), weight, alpha, free)
+    rounds of reweighted least squares, one pass of sums each, then the exact solution beside it. Equal rows are one row with the sum
+    of their weights; these are written once, and all passes read them."""
+    names = [f"_x{i}" for i in range(len(x))]
+    table = rows.select(*[c.cast("double").alias(n) for c, n in zip(x, names, strict=True)], y.cast("double").alias("_y"), weight.cast("double").alias("_s")).dropna()
+    with scope():
+        table = persisted(table.groupBy(*names, "_y").agg(F.sum("_s").alias("_s")), "quantile-rows")
+        own = [F.col(n) for n in names], F.col("_y")
+        near = _reweighted(table, *own, q, start, F.col("_s"), rounds, tol)
+        return quantile_lines.fitted(table, *own, q, near, F.col("_s"), alpha, free)
 
 
 def _reweighted(rows: DataFrame, x: Sequence[Column], y: Column, q: float, start: np.ndarray, weight: Column, rounds: int, tol: float) -> np.ndarray:
