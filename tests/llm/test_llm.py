@@ -659,6 +659,24 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_of_a_chain_take_few_tables(spark, monkeypatch):
+    """Links are contracted in the tasks that make them, by blocks; those that fit one block take no rounds."""
+    written, inner = [], components.persisted
+    monkeypatch.setattr(components, "persisted", lambda df, label: written.append(label) or inner(df, label))
+    ids = list(range(3000))
+    random.Random(5).shuffle(ids)
+    links = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(2999) if i != 1500], "a long, b long").repartition(7)
+    low, high = min(ids[:1501]), min(ids[1501:])
+    expected = {x: low if i < 1501 else high for i, x in enumerate(ids)}
+    found = [(r.node, r.component) for r in components.components(links).collect()]
+    assert len(found) == 3000 and dict(found) == expected
+    assert len(written) == 1
+    monkeypatch.setattr(components, "BLOCK", 100)
+    found = [(r.node, r.component) for r in components.components(links).collect()]
+    assert len(found) == 3000 and dict(found) == expected
+    assert len(written) > 3
+
+
 def decontam_brute(texts, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     out = {}

@@ -393,8 +393,7 @@ def _joined(texts: DataFrame, words: int, percent: int) -> DataFrame:
     star = wide_class.select("bucket", "class", "doc_id", "comp").join(hubs, ["bucket", "class"]).where("comp != hub.comp").select("doc_id", F.col("hub.doc_id").alias("hub"))
     star = star.groupBy("doc_id", "hub").agg(F.count("*").alias("times")).groupBy("doc_id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     star = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    links = links.unionByName(_verified(_bounded(star, heads, percent), profiles, texts, words, percent))
-    comps = components(links)
+    comps = components(_linked(comps).unionByName(_verified(_bounded(star, heads, percent), profiles, texts, words, percent)))
 
     # All pairs across what are still different components, in the buckets that are still open.
     wide = wide.drop("comp", "shared").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
@@ -406,12 +405,17 @@ def _joined(texts: DataFrame, words: int, percent: int) -> DataFrame:
     crossing = crossing.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both")).distinct()
     more = _verified(crossing, profiles, texts, words, percent)
 
-    final = components(links.unionByName(more))
+    final = components(_linked(comps).unionByName(more))
     head = F.coalesce("head", "doc_id")
     rows = profiles.select("doc_id", "n").join(twins, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), head.alias("node"))
     return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
+def _linked(comps: DataFrame) -> DataFrame:
+    """Components as links: each node with the smallest one."""
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _bounded(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the filters, with the sum of their sizes."""
     both = pairs.join(heads.withColumnRenamed("doc_id", "a").select("a", F.struct("n", "bitmap").alias("x")), "a").join(heads.withColumnRenamed("doc_id", "b").select("b", F.struct("n", "bitmap").alias("y")), "b")
