@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -91,3 +92,69 @@ def test_incidents_alone_and_no_rows(spark, store, tmp_path):
     stream = stateful.with_history(files.withColumn("t", F.timestamp_micros("us")), "t", "v", ["k"], stateful.Wanted(limits=(10, 90)), late="1 minute")
     query = stream.writeStream.format("memory").queryName("alone").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(60) and spark.table("alone").count() == 0 and spark.table("alone").columns == ["k", "t", "v", "incident"]
+
+
+def test_rows_wait_many_to_an_entry():
+    """The store is called by batch of a series, not by row; values that are missing and ties come out as they went in."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def appendList(self, rows):
+            calls.extend(rows)
+            self.rows += rows
+
+        def get(self):
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+        put = appendList
+
+        def exists(self):
+            return bool(self.rows)
+
+    class Value:
+        row = None
+
+        def update(self, row):
+            calls.append(row)
+            self.row = row
+
+        def get(self):
+            return self.row
+
+        def exists(self):
+            return self.row is not None
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            self.at = at
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 600
+
+    wanted = stateful.Wanted(lags=(2,), rolling=(("mean", 3),))
+    processor = stateful.SeriesProcessor(wanted, ["k"], 1, ["k", "t", "o", "x", "f0", "f1"])
+    handle = Handle()
+    processor.init(handle)
+    t = [(i * 7919) % 1000 * 1000 for i in range(1000)]
+    rows = pd.DataFrame({"k": 1, "_at": 0, "o": [(i * 31) % 1000 for i in range(1000)], "x": [None if i % 10 == 0 else i / 4 for i in range(1000)], "t": [a // 2000 * 2000 for a in t]})
+    processor.handleInputRows((1,), iter([rows[:500], rows[500:]]), None)
+    assert len(calls) == 2 and handle.at == 0
+    out = pd.concat(processor.handleExpiredTimer((1,), Times(), None))
+    expected = sorted((a, o, None if x != x else x) for a, o, x in zip(rows.t, rows.o, rows.x, strict=True) if a <= 600_000)
+    given = lambda c: [None if v is None or v != v else v for v in c]
+    assert list(zip(out.t, out.o, given(out.x), strict=True)) == expected
+    assert given(out.f0) == [None, None, *(x for _, _, x in expected[:-2])]
+    assert len(calls) == 4 and handle.at == 602

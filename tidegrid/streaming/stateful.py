@@ -1,7 +1,8 @@
 """Features of streams that need a series' past: lags, rolling windows, flat lines, and incidents that bridge gaps.
 
 Rows of a series wait in state until the watermark has passed them, so late rows find their place; a timer then takes them in
-order. Behind them only the last values that windows reach are kept, and the rows of a gap that may still be bridged. The
+order. Behind them only the last values that windows reach are kept, and the rows of a gap that may still be bridged. An entry of the
+state holds many rows, as each costs a call to the store; state of an earlier form isn't read. The
 results are those of the batch operators over the same rows (those that are too late, and those that still wait, left out).
 """
 
@@ -20,6 +21,8 @@ from ..functions import ranges
 from ..functions.durations import micros
 from ..functions.names import col
 
+#: Rows in an entry of the state, at most.
+ENTRY = 10_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -76,45 +79,53 @@ class SeriesProcessor(StatefulProcessor):
         ties = "".join(f", o{i} long" for i in range(self.ties))
         kinds = ", ".join(f"f{i} {'boolean' if n == 'flat' else 'double'}" for i, n in enumerate(n for n in self.wanted.names() if n != "incident"))
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"t long{ties}, x double")
-        self.past = handle.getListState("past", "x double")
+        self.waiting = handle.getListState("waiting", "cells binary")
+        self.past = handle.getValueState("past", "cells binary")
         self.gap = handle.getListState("gap", f"t long{ties}, x double" + (f", {kinds}" if kinds else ""))
         self.incident = handle.getValueState("incident", "number long, open boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Rows wait; a timer is set for the first of them."""
-        least = None
+        least = []
         for pdf in rows:
-            cells = [(int(t), *(int(o) for o in ties), None if np.isnan(x) else float(x)) for *ties, x, t in pdf.iloc[:, -(self.ties + 2) :].itertuples(index=False, name=None)]
-            if cells:
-                self.waiting.appendList(cells)
-                least = min([c[0] for c in cells] + ([] if least is None else [least]))
-        if least is not None:
-            self.handle.registerTimer(-(-least // 1000))
+            *ties, x, t = (pdf.iloc[:, i] for i in range(-(self.ties + 2), 0))
+            cells = np.array([*(c.astype("int64").to_numpy() for c in (t, *ties)), x.to_numpy(float, na_value=np.nan).view(np.int64)])
+            if cells.size:
+                self._wait(cells)
+                least.append(int(cells[0].min()))
+        if least:
+            self.handle.registerTimer(-(-min(least) // 1000))
         return iter(())
 
+    def _wait(self, cells: np.ndarray) -> None:
+        """Adds rows to those that wait, many to an entry: times, ties and the bits of the values, one after the other."""
+        self.waiting.appendList([(cells[:, i : i + ENTRY].tobytes(),) for i in range(0, cells.shape[1], ENTRY)])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Takes the rows that the watermark has passed, in order."""
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, rest = sorted((r for r in rows if r[0] <= until), key=lambda r: r[:-1]), [r for r in rows if r[0] > until]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
-        else:
-            self.waiting.clear()
-        if ready:
-            out = self._taken(ready)
+        entries = [np.frombuffer(r[0], np.int64).reshape(self.ties + 2, -1) for r in self.waiting.get()]
+        cells = np.concatenate([np.zeros((self.ties + 2, 0), np.int64), *entries], axis=1)
+        ready, rest = cells[:, cells[0] <= until], cells[:, cells[0] > until]
+        self.waiting.clear()
+        if rest.size:
+            self._wait(rest)
+            self.handle.registerTimer(-(-int(rest[0].min()) // 1000))
+        if ready.size:
+            ready = ready[:, np.lexsort(ready[self.ties :: -1])]
+            x = ready[-1].view(float)
+            out = self._taken([(*r, None if v != v else v) for *r, v in zip(*ready[:-1].tolist(), x.tolist(), strict=True)])
             if out:
                 yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns).astype(object)
 
     def _taken(self, ready: list[tuple]) -> list[tuple]:
         reach = self.wanted.reach()
-        past = [r[0] for r in self.past.get()] if reach and self.past.exists() else []
-        x = np.array([np.nan if v is None else v for v in [*past, *(r[-1] for r in ready)]], float)
+        before = self.past.get() if reach else None
+        past = np.zeros(0) if before is None else np.frombuffer(before[0], float)
+        x = np.concatenate([past, np.array([np.nan if r[-1] is None else r[-1] for r in ready], float)])
         features = self.wanted.made(x, len(past))
         if reach:
-            self.past.put([(None if np.isnan(v) else float(v),) for v in x[-reach:]])
+            self.past.update((x[-reach:].tobytes(),))
         rows = [(*r, *(f[i] for f in features)) for i, r in enumerate(ready)]
         if self.wanted.limits is None:
             return rows
