@@ -131,7 +131,9 @@ class BuildRollingFeatures:
         if self.deviation == "subtract":
             return x - y
         if self.deviation == "divide":
-            inf = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x == 0, F.lit(self.undefined).cast("double"))
+            inf = x * F.lit(float("inf"))  # as doubles are divided: NaN, that of the machine, for 0/0
+            if self.undefined is None or not math.isnan(self.undefined):
+                inf = F.when(x == 0, F.lit(self.undefined).cast("double")).otherwise(inf)
             return F.when(y == 0, inf).otherwise(x / F.nullif(y, F.lit(0.0)))
         return y
 
